@@ -187,7 +187,7 @@ def i13(spark, d):
     "i14_generate_all",
     f"""SELECT l_orderkey, l_linenumber, round(ln(1 + greatest(l_quantity, 0.0)), 6) AS l_quantity_log,
     round(l_quantity * l_tax, 6) AS l_quantity_mult_l_tax, CAST(least(len(list_filter(s, lambda x: x <= l_tax)) - 1, len(s) - 2) AS DOUBLE) AS l_tax_binned,
-    CAST(month(l_shipdate) AS INTEGER) AS l_shipdate_month, CAST(length(l_linestatus) AS INTEGER) AS l_linestatus_length, 63 AS n_columns
+    CAST(month(l_shipdate) AS INTEGER) AS l_shipdate_month, CAST(length(l_linestatus) AS INTEGER) AS l_linestatus_length, 7 + 3 * 4 + 3 * 4 + 3 + 8 + 3 AS n_columns
     FROM lineitem, (SELECT {_bin_sql("l_tax", "lineitem")} AS s)""",
 )
 def i14(spark, d):
