@@ -90,13 +90,17 @@ def generate_all(df: DataFrame, exclude=(), options: GenerateOptions = GenerateO
 
 
 def one_hot_assembler(categories: list[str], numbers: list[str], output: str = "features") -> Pipeline:
-    """Index, one-hot encode and assemble; unseen values get a slot of their own, null numbers drop the row at fit."""
+    """Index, one-hot encode and assemble.
+
+    The indexer's last level is 'unseen or null'; dropping it gives such values zeros in all slots.
+    Rows with a null number are left out.
+    """
     stages = []
     if categories:
         indexed, hot = [f"{c}__index" for c in categories], [f"{c}__onehot" for c in categories]
         stages += [
             StringIndexer(inputCols=categories, outputCols=indexed, handleInvalid="keep", stringOrderType="frequencyDesc"),
-            OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True, handleInvalid="keep"),
+            OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True),
         ]
         stages.append(VectorAssembler(inputCols=[*hot, *numbers], outputCol=output, handleInvalid="skip"))
     else:

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.rowwise import number
+from gleaner.functions.times import micros
 from gleaner.plans.ordered import GROUP_ROWS, look_back, running_totals
 from gleaner.plans.quantiles import group_quantiles, value_ranks
 from gleaner.plans.tables import null_safe_join, written
+from gleaner.types import DATETIME, role_of
 
 # Rolling statistics and the Spark function each one means.
 ROLLING = {"mean": F.avg, "std": F.stddev, "min": F.min, "max": F.max, "sum": F.sum}
@@ -88,11 +90,8 @@ def entity_profile(df: DataFrame, entity: str, order, columns, limit: int = GROU
 
 def seconds_of(df: DataFrame, column: str) -> Column:
     """A numeric position in time for dates and timestamps, the number itself otherwise."""
-    kind = df.schema[column].dataType.typeName()
-    if kind == "timestamp_ntz":
-        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(column)) / 1e6
-    if kind in ("timestamp", "date"):
-        return F.unix_micros(F.col(column).cast("timestamp")) / 1e6
+    if role_of(df.schema[column].dataType) == DATETIME:
+        return micros(df, column) / 1e6
     return F.col(column).cast("double")
 
 

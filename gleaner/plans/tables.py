@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,10 +43,6 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys, how: str = "left") -
     keys = list(keys)
     if not keys:
         return left.crossJoin(right)  # right is one summary row here
-    twins = right.select([F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
+    twins = right.select([F.col(f"`{c}`").alias(f"__r_{c}" if c in keys else c) for c in right.columns])
+    on = reduce(and_, [F.col(f"`{k}`").eqNullSafe(F.col(f"`__r_{k}`")) for k in keys])
     return left.join(twins, on, how).drop(*[f"__r_{k}" for k in keys])
-
-
-def null_safe_equal(pairs: list[tuple[Column, Column]]) -> Column:
-    return reduce(lambda a, b: a & b, [a.eqNullSafe(b) for a, b in pairs])

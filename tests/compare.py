@@ -99,7 +99,7 @@ def main(folder: str, wanted: list[str]) -> int:
             status, details, took = "ERROR", f"{type(e).__name__}: {str(e)[:600]}", 0.0
         bad += status not in ("ok", "rows")
         total += took
-        print(f"{status:5} {name:36} {took:6.2f}s {details if status != 'ok' else ''}", flush=True)
+        print(f"{status:5} {name:36} {took:6.2f}s {details}", flush=True)
     print(f"{bad} bad, {total:.1f}s")
     return bad
 
