@@ -154,7 +154,7 @@ def column_report(df: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
     numbers, texts = columns_of(df, NUMERICAL), columns_of(df, CATEGORICAL)
     distinct = distinct_counts(df, df.columns).select("column", F.col("count_values").alias("distinct_count"))
     skew = per_column(df, {c: [F.skewness(number(c)).alias("skewness")] for c in numbers}) if numbers else None
-    out = missing_report(df).join(F.broadcast(distinct), "column")  # one row per column here and below
+    out = missing_report(df).join(F.broadcast(distinct), "column", "left")  # one row per column here and below
     if skew is None:
         out = out.withColumn("skewness", F.lit(None).cast("double"))
     else:
@@ -174,7 +174,7 @@ def quality_score(df: DataFrame, report: DataFrame | None = None) -> DataFrame:
     pct = F.col("missing_pct")
     missing = F.when(pct > 50, 5).when(pct > 20, 3).when(pct > 5, 1).otherwise(0)
     constant = F.when(F.col("distinct_count") == 1, 2).otherwise(0)
-    columns = report.agg(F.sum(missing + constant).alias("column_penalty"))
+    columns = report.agg(F.coalesce(F.sum(missing + constant), F.lit(0)).alias("column_penalty"))
     dup = duplicate_count(df)
     dup_pct = F.when(F.col("n_rows") > 0, F.col("duplicates") / F.col("n_rows") * 100).otherwise(0.0)
     both = columns.crossJoin(F.broadcast(dup))  # one row each

@@ -109,16 +109,16 @@ def look_back(
         parts.append(cold.select("*", *columns(Window.partitionBy(*keys).orderBy(*order))))
     if hot is not None:
         block = max(limit // 2, rows_back, rows_ahead, 1)
-        placed = _running_in_slices(hot, keys, order, {"__pos": F.lit(1).cast("bigint")}, rows, limit)
-        home = F.floor((F.col("__pos") - 1) / block)
-        offset = (F.col("__pos") - 1) % block
+        placed = _running_in_slices(hot, keys, order, {"__seq": F.lit(1).cast("bigint")}, rows, limit)
+        home = F.floor((F.col("__seq") - 1) / block)
+        offset = (F.col("__seq") - 1) % block
         reach = F.array(
             home,
             F.when(offset >= block - rows_back, home + 1),
             F.when(offset < rows_ahead, home - 1),
         )
         copies = placed.select("*", home.alias("__home"), F.explode(F.array_compact(reach)).alias("__block"))
-        w = Window.partitionBy(*keys, "__block").orderBy("__pos")
+        w = Window.partitionBy(*keys, "__block").orderBy("__seq")
         done = copies.select("*", *columns(w)).filter(F.col("__home") == F.col("__block"))
-        parts.append(done.drop("__pos", "__home", "__block"))
+        parts.append(done.drop("__seq", "__home", "__block"))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

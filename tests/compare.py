@@ -69,11 +69,14 @@ def compare(spark, con, folder: str, name: str, make, sql: str | None):
     return "FAIL", f"{len(a)} / {len(b)} rows; spark only {len(only_a)} {only_a[:2]}; sql only {len(only_b)} {only_b[:2]}", took
 
 
-def session():
+def session(shared: str | None = None):
     from pyspark.sql import SparkSession
 
+    builder = SparkSession.builder
+    if shared is not None:
+        builder = builder.config("spark.checkpoint.dir", shared)
     spark = (
-        SparkSession.builder.master("local[8]")
+        builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
