@@ -322,7 +322,8 @@ def f3(spark, d):
     WHERE n > 5 AND n <= 10""",
 )
 def f4(spark, d):
-    page = ranking.paginate(_all(spark, d)[2], 2, 5, "support_count", "desc", ["feature", "op", "number", "text"])
+    store = insights.InsightStore.build(_lines(spark, d), RETURNED, numbers=NUM, categories=CAT)
+    page = ranking.paginate(store.rows, 2, 5, "support_count", "desc", ["feature", "op", "number", "text"])
     out = page.rows.select("feature", "op", "number", "text", "support_count", "row_number")
     facts = {"total": F.lit(page.total).cast("bigint"), "pages": F.lit(page.pages), "has_next": F.lit(page.has_next), "has_previous": F.lit(page.has_previous)}
     return out.withColumns(facts)

@@ -8,6 +8,7 @@ from catalog import query, table, tidy
 from gleaner.functions import rowwise
 from gleaner.models import compare, evaluate, explain, search, train
 from gleaner.operators.encode import one_hot_assemble, vector_names
+from gleaner.plans.tables import with_facts
 from gleaner.sources.tables import split_by_key
 from gleaner.types import CLASSIFICATION, REGRESSION, add_features
 
@@ -30,7 +31,7 @@ def _lines(spark, d, kind=CLASSIFICATION):
 
 def _fitted(spark, d, name, kind=CLASSIFICATION):
     fit_on, test, names = _lines(spark, d, kind)
-    return train.estimator(name, kind, trees=FEW).fit(fit_on), test, names
+    return train.estimator(name, kind, trees=FEW).fit(train.spread(fit_on)), train.spread(test), names
 
 
 def _measured(spark, d, name, kind=CLASSIFICATION):
@@ -82,7 +83,7 @@ def q6(spark, d):
     df = table(spark, d, "orders").select(label.alias("label"))
     guessed = train.naive_baseline(df, df, CLASSIFICATION)
     found = evaluate.classification_metrics(guessed).select("accuracy")
-    return tidy(found.crossJoin(F.broadcast(guessed.agg(F.max("prediction").alias("prediction")))))  # one row each
+    return tidy(with_facts(found, guessed.agg(F.max("prediction").alias("prediction"))))
 
 
 @query(

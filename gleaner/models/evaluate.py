@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.plans.ordered import GROUP_ROWS, running_totals
-from gleaner.plans.tables import written
+from gleaner.plans.tables import with_facts, written
 
 
 def exact_auc(df: DataFrame, label: str, score: str, limit: int = GROUP_ROWS) -> DataFrame:
@@ -54,7 +54,7 @@ def classification_metrics(df: DataFrame, label: str = "label", prediction: str
     )
     if score is None:
         return out
-    return out.crossJoin(F.broadcast(exact_auc(df, label, score)))  # one row each
+    return with_facts(out, exact_auc(df, label, score))
 
 
 def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:

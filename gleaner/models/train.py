@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gleaner.models.evaluate import classification_metrics, regression_metrics
 from gleaner.operators.encode import one_hot_assemble
+from gleaner.plans.tables import with_facts
 from gleaner.types import CLASSIFICATION
 
 FEATURES, LABEL, PREDICTION = "features", "label", "prediction"
@@ -60,6 +61,12 @@ def training_frame(
     return assembled.select(*keep, label.cast("double").alias(LABEL), FEATURES)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Split a table of fewer files than cores over all cores; training scans it many times."""
+    cores, files = df.sparkSession.sparkContext.defaultParallelism, len(df.inputFiles())
+    return df.repartition(cores) if 0 < files < cores else df
+
+
 def metrics(predictions: DataFrame, kind: str, score: str | None = None) -> DataFrame:
     if kind == CLASSIFICATION:
         return classification_metrics(predictions, LABEL, PREDICTION, score)
@@ -95,7 +102,7 @@ RUN_SCHEMA = "experiment_id int, name string, model string, feature_set string,
 def run_row(number: int, name: str, feature_set: str, took: float, width: int, measured: DataFrame) -> DataFrame:
     """One finished run as a row: description and metrics."""
     row = measured.sparkSession.createDataFrame([(number, name, name, feature_set, took, width)], RUN_SCHEMA)
-    return row.crossJoin(F.broadcast(measured))  # one row each
+    return with_facts(row, measured)
 
 
 def train_all_baselines(
@@ -106,7 +113,7 @@ def train_all_baselines(
 
     train and test are cached while the models are fitted, as each fit scans them many times.
     """
-    train, test = train.persist(), test.persist()
+    train, test = spread(train).persist(), spread(test).persist()
     width = len(train.first()[FEATURES])
     rows, models = [], {}
     try:

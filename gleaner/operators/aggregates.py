@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from gleaner.plans.ordered import GROUP_ROWS
 from gleaner.plans.quantiles import LINEAR, quantiles
-from gleaner.plans.tables import written
+from gleaner.plans.tables import with_facts, written
 
 # Aggregate names and the Spark function each one means.
 AGGREGATES = {
@@ -138,7 +138,7 @@ def class_distribution(df: DataFrame, target: str) -> DataFrame:
     """Rows and share per class."""
     counts = df.groupBy(F.col(target).alias("class")).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("__total"))
-    return counts.crossJoin(F.broadcast(total)).select("class", "n", (F.col("n") / F.col("__total")).alias("share"))
+    return with_facts(counts, total).select("class", "n", (F.col("n") / F.col("__total")).alias("share"))
 
 
 def baseline_rate(df: DataFrame, positive: Column) -> DataFrame:

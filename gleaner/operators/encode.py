@@ -28,10 +28,10 @@ def bin_splits(df: DataFrame, columns: list[str], bins: int = 5, limit: int = GR
 
 def bin_of(x: Column, splits: list[float]) -> Column:
     """Index of the right-open bin holding x; the last bin also holds its upper end; null stays null."""
-    case = F.lit(float(len(splits) - 2))
-    for i in reversed(range(len(splits) - 2)):
-        case = F.when(x < F.lit(splits[i + 1]), F.lit(float(i))).otherwise(case)
-    return F.when(x.isNotNull(), case)
+    case = F.when(x.isNull(), None)
+    for i, upper in enumerate(splits[1:-1]):
+        case = case.when(x < F.lit(upper), float(i))
+    return case.otherwise(float(len(splits) - 2))
 
 
 def binned(splits: dict[str, list[float]]) -> list[Feature]:
@@ -46,14 +46,20 @@ def quantile_bin(df: DataFrame, columns: list[str], bins: int = 5) -> DataFrame:
 
 
 def target_encode(df: DataFrame, columns: list[str], target: str, smoothing: float = 1.0) -> DataFrame:
-    """{column}_target_enc: (n * group mean + smoothing * mean) / (n + smoothing), the mean for unknown values."""
+    """{column}_target_enc: (n * group mean + smoothing * mean) / (n + smoothing), the mean for unknown values.
+
+    Statistics of all columns come from one job and are written, so each lookup is a broadcast only if it is small.
+    """
     overall = df.agg(F.avg(number(target))).first()[0]
+    wide = df.select(number(target).alias("__y"), *[F.col(c).cast("string").alias(c) for c in columns])
+    n, mean = F.count("__y"), F.avg("__y")
+    smoothed = F.coalesce((n * mean + smoothing * F.lit(overall)) / (n + smoothing), F.lit(overall))
+    stats = wide.unpivot(["__y"], columns, "__column", "__value").filter(F.col("__value").isNotNull())
+    stats = written(stats.groupBy("__column", "__value").agg(smoothed.alias("__enc")))
     out = df
     for c in columns:
-        n, mean = F.count(number(target)), F.avg(number(target))
-        smoothed = (n * mean + smoothing * F.lit(overall)) / (n + smoothing)
-        table = written(df.groupBy(c).agg(smoothed.alias("__enc")))
-        joined = out.join(table, c, "left")
+        table = stats.filter(F.col("__column") == c).select(F.col("__value"), F.col("__enc"))
+        joined = out.join(table, F.col(c).cast("string") == F.col("__value"), "left")
         out = joined.select(*out.columns, F.coalesce("__enc", F.lit(overall)).alias(f"{c}_target_enc"))
     return out
 

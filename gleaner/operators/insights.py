@@ -21,7 +21,7 @@ from gleaner.operators.aggregates import baseline_rate, distinct_counts
 from gleaner.operators.encode import BINNED
 from gleaner.plans.ordered import GROUP_ROWS
 from gleaner.plans.quantiles import LINEAR, quantiles
-from gleaner.plans.tables import written
+from gleaner.plans.tables import with_facts, written
 from gleaner.types import CATEGORICAL, NUMERICAL, REGRESSION, FeatureSpec, Problem, columns_of
 
 NUMERIC_GROUP = "Numeric Features"
@@ -103,13 +103,13 @@ def numeric_segments(df: DataFrame, cuts: dict[str, list[float]], positive: Colu
     """(feature, op, number, n, pos) for 'at least' and 'below' each threshold; nulls are in neither."""
 
     def bucket(c: str) -> Column:
-        case = F.lit(0)
-        for i, t in enumerate(cuts[c], 1):
-            case = F.when(number(c) >= F.lit(t), F.lit(i)).otherwise(case)
-        return F.when(F.col(c).isNotNull(), case.cast("tinyint" if len(cuts[c]) < 127 else "int")).alias(c)
+        case = F.when(F.col(c).isNull(), None)
+        for i, t in reversed(list(enumerate(cuts[c], 1))):
+            case = case.when(number(c) >= F.lit(t), i)
+        return case.otherwise(0).cast("int").alias(c)
 
     features = list(cuts)
-    long = df.select(positive.alias("__pos"), *[bucket(c).cast("int").alias(c) for c in features])
+    long = df.select(positive.alias("__pos"), *[bucket(c) for c in features])
     long = long.unpivot(["__pos"], features, "feature", "bucket").filter(F.col("bucket").isNotNull())
     counts = long.groupBy("feature", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("__pos").alias("pos"))
     rows = [(c, i, float(t)) for c in features for i, t in enumerate(cuts[c], 1)]
@@ -238,7 +238,7 @@ def insight_summary(insights: DataFrame) -> DataFrame:
         F.coalesce(F.avg("rig"), F.lit(0.0)).alias("avg_rig"),
     )
     top = in_order(insights, 10).agg(F.sort_array(F.collect_set("feature")).alias("top_features"))  # ten rows
-    return totals.crossJoin(F.broadcast(top))
+    return with_facts(totals, top)
 
 
 def condition_text() -> Column:
@@ -277,7 +277,7 @@ def lift_support_frontier(insights: DataFrame, n: int = 50) -> DataFrame:
         "feature", "op", "number", "text", (F.col("support") * 100).alias("support_pct"), "lift", "rig"
     )
     curve = points.agg(F.percentile(F.col("lift") * F.col("support_pct"), F.lit(0.75)).alias("curve_constant"))  # n rows
-    return points.crossJoin(F.broadcast(curve)).withColumn("curve_lift", F.col("curve_constant") / F.col("support_pct"))
+    return with_facts(points, curve).withColumn("curve_lift", F.col("curve_constant") / F.col("support_pct"))
 
 
 @dataclass(frozen=True)

@@ -18,7 +18,7 @@ from gleaner.functions.labelers import Labeler, churn, event_count, total_spend,
 from gleaner.functions.times import micros, micros_in, shifted
 from gleaner.operators.grouped import apply_per_group
 from gleaner.plans.ordered import GROUP_ROWS
-from gleaner.plans.tables import written
+from gleaner.plans.tables import with_facts, written
 
 
 @dataclass(frozen=True)
@@ -122,7 +122,7 @@ def label_distribution(labels: DataFrame, name: str) -> DataFrame:
     """(label, n, n_labels, n_cutoffs): rows per label, all labels, and distinct cutoff times."""
     counts = labels.groupBy(F.col(name).alias("label")).agg(F.count(F.lit(1)).alias("n"))
     whole = labels.agg(F.count(F.lit(1)).alias("n_labels"), F.countDistinct("cutoff_time").alias("n_cutoffs"))
-    return counts.crossJoin(F.broadcast(whole))  # whole is one row
+    return with_facts(counts, whole)
 
 
 def customer_churn(entity: str, time: str, window: str = "30 days") -> tuple[LabelWindow, Labeler]:

@@ -15,7 +15,7 @@ from gleaner.operators.quality import rows_of, missing_report, per_column
 from gleaner.operators.windows import percentile_features
 from gleaner.plans.ordered import GROUP_ROWS
 from gleaner.plans.quantiles import LINEAR, quantiles
-from gleaner.plans.tables import written
+from gleaner.plans.tables import with_facts, written
 from gleaner.sources.tables import bounded_sample
 from gleaner.types import (
     BOOLEAN,
@@ -41,7 +41,7 @@ def profile_summary(df: DataFrame) -> DataFrame:
     width = len(df.columns)
     share = lambda part, whole: F.when(whole > 0, part / whole * 100).otherwise(0.0)
     n, kinds = F.col("n"), [role_of(f.dataType) for f in df.schema.fields]
-    return per.crossJoin(F.broadcast(dup)).select(  # one row each
+    return with_facts(per, dup).select(
         "n",
         F.lit(width).alias("n_var"),
         "n_cells_missing",

@@ -16,7 +16,7 @@ from gleaner.functions.rowwise import number
 from gleaner.operators.aggregates import distinct_counts, duplicate_count, value_counts
 from gleaner.plans.ordered import GROUP_ROWS
 from gleaner.plans.quantiles import quantiles
-from gleaner.plans.tables import written
+from gleaner.plans.tables import with_facts, written
 from gleaner.types import CATEGORICAL, DATETIME, NUMERICAL, columns_of
 
 
@@ -177,7 +177,7 @@ def quality_score(df: DataFrame, report: DataFrame | None = None) -> DataFrame:
     columns = report.agg(F.coalesce(F.sum(missing + constant), F.lit(0)).alias("column_penalty"))
     dup = duplicate_count(df)
     dup_pct = F.when(F.col("n_rows") > 0, F.col("duplicates") / F.col("n_rows") * 100).otherwise(0.0)
-    both = columns.crossJoin(F.broadcast(dup))  # one row each
+    both = with_facts(columns, dup)
     penalty = F.col("column_penalty") + F.when(dup_pct > 20, 10).when(dup_pct > 5, 5).otherwise(0)
     return both.select(
         F.round(F.greatest(F.lit(0.0), F.lit(100.0) - penalty), 1).alias("quality_score"),

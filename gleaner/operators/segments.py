@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.plans.tables import with_facts
+
 Metric = Callable[[Column], Column]  # given which rows count, an aggregate over them
 
 BASELINE, COMPARISON = "baseline", "comparison"
@@ -81,7 +83,7 @@ def merge_segments(baseline: DataFrame, comparison: DataFrame) -> DataFrame:
 def segment_shares(merged: DataFrame, overall: DataFrame, name: str) -> DataFrame:
     """Shares of the overall metric and size on each side, and relative changes between the sides."""
     facts = overall.select([F.col(c).alias(c.replace(f"{name}_", f"{name}_overall_").replace("size_", "size_overall_")) for c in overall.columns])
-    out = merged.crossJoin(F.broadcast(facts))  # facts is one row
+    out = with_facts(merged, facts)
     sides = [s for s in (BASELINE, COMPARISON) if f"{name}_{s}" in merged.columns]
     made = {}
     for s in sides:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from gleaner.operators.aggregates import distinct_counts
 from gleaner.operators.windows import seconds_of
-from gleaner.plans.tables import written
+from gleaner.plans.tables import with_facts, written
 from gleaner.types import CATEGORICAL, DATETIME, columns_of
 
 # Words that mark a main time column, and words that mark an entity column.
@@ -36,7 +36,7 @@ def time_column_scores(df: DataFrame) -> DataFrame:
     named = [c for c in columns if any(w in c.lower() for w in TIME_WORDS)]
     rows = df.agg(F.count(F.lit(1)).alias("__rows"))
     bonus = F.when(F.col("column").isin(named), 10.0).otherwise(0.0) if named else F.lit(0.0)
-    scored = distinct_counts(df, columns).crossJoin(F.broadcast(rows))  # rows is one row
+    scored = with_facts(distinct_counts(df, columns), rows)
     return scored.select("column", (bonus + F.col("count_values") / F.col("__rows") * 5).alias("score"))
 
 
@@ -59,7 +59,7 @@ def entity_columns(df: DataFrame, time_column: str | None = None, words=tuple(EN
         return df.sparkSession.createDataFrame([], "column string, cardinality_ratio double")
     rows = df.agg(F.count(F.lit(1)).alias("__rows"))
     ratio = F.col("count_values") / F.col("__rows")
-    shares = distinct_counts(df, candidates).crossJoin(F.broadcast(rows)).select("column", ratio.alias("cardinality_ratio"))
+    shares = with_facts(distinct_counts(df, candidates), rows).select("column", ratio.alias("cardinality_ratio"))
     return shares.filter((F.col("cardinality_ratio") > 0.0001) & (F.col("cardinality_ratio") < 0.5))
 
 
@@ -87,7 +87,7 @@ def temporal_profile(df: DataFrame, time_column: str, entities: list[str] | None
             F.stddev("n").alias("stddev_records_per_entity"),
         )
         ratio = F.try_divide("stddev_records_per_entity", "avg_records_per_entity")
-        return span.crossJoin(F.broadcast(per)).withColumn(  # one row each
+        return with_facts(span, per).withColumn(
             "has_regular_intervals", F.coalesce(ratio < 0.3, F.lit(False))
         )
     none = F.lit(None)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from gleaner.plans.tables import null_safe_join, written
 
 GROUP_ROWS = 2_000_000
+MAX_SLICES = 20_000  # a shuffle into more partitions than this has too many blocks; slices grow instead
 
 
 def split_hot(df: DataFrame, keys: list[str], limit: int):
@@ -47,7 +48,7 @@ def _spread(df: DataFrame) -> Column:
 
 def _in_slices(df: DataFrame, keys: list[str], order: list[Column], rows: int, limit: int):
     """Range-partition by (keys, order) into about rows/limit slices of whole order ranges."""
-    parts = max(2, -(-rows // max(1, limit // 2)))
+    parts = min(MAX_SLICES, max(2, -(-rows // max(1, limit // 2))))
     tied = df.withColumn("__tie", _spread(df))
     full_order = [*order, F.col("__tie")]
     sliced = tied.repartitionByRange(parts, *keys, *full_order).withColumn("__slice", F.spark_partition_id())

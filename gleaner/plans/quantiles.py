@@ -46,74 +46,79 @@ def quantiles(
     if not columns:
         return {}
     wide = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    rows = wide.count()
-    if rows <= limit:
-        return _direct(wide, columns, probs, kind, limit)
-    return _by_rank(wide, columns, probs, kind, rows, limit)
+    rows, *known = wide.agg(F.count(F.lit(1)), *[F.count(c) for c in columns]).first()
+    totals = {c: n for c, n in zip(columns, known) if n}
+    ranks = {c: sorted({r for p in probs for r in _ranks(n, p, kind)[:2]}) for c, n in totals.items()}
+    at = _values_directly(wide, ranks, totals) if rows <= limit else _values_in_buckets(wide, ranks, probs, rows, limit)
+    out = {}
+    for c in columns:
+        places = [_ranks(totals[c], p, kind) for p in probs] if c in totals else []
+        out[c] = [at[c][low] if w == 0 else at[c][low] + (at[c][high] - at[c][low]) * w for low, high, w in places]
+        out[c] = out[c] or [None] * len(probs)
+    return out
 
 
-def _direct(wide, columns, probs, kind, limit):
-    asked = F.array(*[F.lit(float(p)) for p in probs])
-    if kind == LINEAR:
-        aggs = [F.percentile(c, asked).alias(c) for c in columns]
-    else:  # with an accuracy above the row count the sketch keeps every value
-        aggs = [F.percentile_approx(c, asked, max(limit, 10_000)).alias(c) for c in columns]
-    row = wide.agg(*aggs).first()
-    return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in columns}
+def _values_directly(wide: DataFrame, ranks: dict[str, list[int]], totals: dict[str, int]) -> dict[str, dict[int, float]]:
+    """{column: {rank: value}} in one aggregate.
 
+    The sketch is exact once rows / accuracy is below a half; the accuracy here leaves a wide margin.
+    """
+    if not ranks:
+        return {}
+    share = lambda c: F.array(*[F.lit((r - 0.5) / totals[c]) for r in ranks[c]])
+    row = wide.agg(*[F.percentile_approx(c, share(c), max(8 * totals[c], 10_000)).alias(c) for c in ranks]).first()
+    return {c: dict(zip(ranks[c], row[c])) for c in ranks}
 
-def _by_rank(wide, columns, probs, kind, rows, limit):
-    spark = wide.sparkSession
-    sample = wide.sample(min(1.0, SAMPLE_ROWS / rows), seed=7)
+
+def _proposed_cuts(wide: DataFrame, columns: list[str], probs: list[float], rows: int) -> dict[str, list[float]]:
+    """Cut points a little below and above each quantile of a sample."""
     edges = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-0.005, 0.005)})
-    proposed = _direct(sample, columns, edges, DISCRETE, 10_000)
-    cuts = {c: sorted({v for v in proposed[c] if v is not None and not math.isnan(v)}) for c in columns}
+    asked = F.array(*[F.lit(p) for p in edges])
+    sample = wide.sample(min(1.0, SAMPLE_ROWS / rows), seed=7)
+    row = sample.agg(*[F.percentile_approx(c, asked, 10_000).alias(c) for c in columns]).first()
+    return {c: sorted({v for v in row[c] or [] if not math.isnan(v)}) for c in columns}
+
+
+def _values_in_buckets(
+    wide: DataFrame, ranks: dict[str, list[int]], probs: list[float], rows: int, limit: int
+) -> dict[str, dict[int, float]]:
+    """{column: {rank: value}}: count rows between cut points, then rank only the ranges that hold a wanted rank."""
+    spark, columns = wide.sparkSession, list(ranks)
+    cuts = _proposed_cuts(wide, columns, probs, rows)
 
     # bucket 2i holds values between cuts, 2i+1 the values equal to cut i: a heavy value stays apart
     def bucket(c):
-        case = F.lit(2 * len(cuts[c]))
-        for i in reversed(range(len(cuts[c]))):
-            cut = F.lit(cuts[c][i])
-            case = F.when(F.col(c) < cut, 2 * i).when(F.col(c) == cut, 2 * i + 1).otherwise(case)
-        return F.when(F.col(c).isNotNull(), case).cast("int")
+        case = F.when(F.col(c).isNull(), None)
+        for i, cut in enumerate(cuts[c]):
+            case = case.when(F.col(c) < F.lit(cut), 2 * i).when(F.col(c) == F.lit(cut), 2 * i + 1)
+        return case.otherwise(2 * len(cuts[c])).cast("int")
 
     tagged = wide.select(*[F.struct(F.col(c).alias("x"), bucket(c).alias("bucket")).alias(c) for c in columns])
     long = tagged.unpivot([], columns, "feature", "v").select("feature", "v.x", "v.bucket").filter("bucket is not null")
-    counted = {}
+    counted: dict[str, list[tuple[int, int]]] = {}
     for r in long.groupBy("feature", "bucket").agg(F.count(F.lit(1)).alias("n")).collect():
         counted.setdefault(r["feature"], []).append((r["bucket"], r["n"]))
 
-    wanted, totals = [], {}
+    wanted = []
     for c, parts in counted.items():
-        totals[c] = sum(n for _, n in parts)
-        needed = sorted({r for p in probs for r in _ranks(totals[c], p, kind)[:2]})
         before = 0
         for b, n in sorted(parts):
-            wanted += [(c, b, r, r - before) for r in needed if before < r <= before + n]
+            wanted += [(c, b, r, r - before) for r in ranks[c] if before < r <= before + n]
             before += n
-    ranks = spark.createDataFrame(wanted, "feature string, bucket int, rank bigint, inner_rank bigint")
-    # wanted has at most two rows per column and probability, so it can be broadcast
-    kept = long.join(F.broadcast(ranks.select("feature", "bucket").distinct()), ["feature", "bucket"], "left_semi")
+    marks = spark.createDataFrame(wanted, "feature string, bucket int, rank bigint, inner_rank bigint")
+    # at most two marks per column and probability, so they can be broadcast
+    kept = long.join(F.broadcast(marks.select("feature", "bucket").distinct()), ["feature", "bucket"], "left_semi")
     counts = written(kept.groupBy("feature", "bucket", "x").agg(F.count(F.lit(1)).alias("n")))
     placed = running_totals(counts, ["feature", "bucket"], ["x"], {"upto": F.col("n")}, limit)
     found = (
-        placed.join(F.broadcast(ranks), ["feature", "bucket"])
+        placed.join(F.broadcast(marks), ["feature", "bucket"])
         .filter((F.col("inner_rank") <= F.col("upto")) & (F.col("inner_rank") > F.col("upto") - F.col("n")))
         .select("feature", "rank", "x")
         .collect()
     )
-    at = {(r["feature"], r["rank"]): r["x"] for r in found}
-    out = {}
-    for c in columns:
-        n = totals.get(c, 0)
-        out[c] = []
-        for p in probs:
-            if not n:
-                out[c].append(None)
-                continue
-            low, high, w = _ranks(n, p, kind)
-            a, b = at[c, low], at[c, high]
-            out[c].append(a if w == 0 else a + (b - a) * w)
+    out: dict[str, dict[int, float]] = {c: {} for c in columns}
+    for r in found:
+        out[r["feature"]][r["rank"]] = r["x"]
     return out
 
 

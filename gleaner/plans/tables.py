@@ -41,8 +41,13 @@ def written(df: DataFrame) -> DataFrame:
 def null_safe_join(left: DataFrame, right: DataFrame, keys, how: str = "left") -> DataFrame:
     """Join on keys where null equals null; keeps the left copy of the keys."""
     keys = list(keys)
-    if not keys:
-        return left.crossJoin(right)  # right is one summary row here
     twins = right.select([F.col(f"`{c}`").alias(f"__r_{c}" if c in keys else c) for c in right.columns])
     on = reduce(and_, [F.col(f"`{k}`").eqNullSafe(F.col(f"`__r_{k}`")) for k in keys])
     return left.join(twins, on, how).drop(*[f"__r_{k}" for k in keys])
+
+
+def with_facts(df: DataFrame, facts: DataFrame) -> DataFrame:
+    """df with the columns of facts, a table of one row, read as a scalar subquery rather than joined."""
+    row = facts.select(F.struct(*[F.col(f"`{c}`") for c in facts.columns]).alias("s")).scalar()
+    wide = df.withColumn("__facts", row)
+    return wide.select(*[F.col(f"`{c}`") for c in df.columns], "__facts.*")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleaner.plans.tables import with_facts
+
 
 def read_csv(spark: SparkSession, path, header: bool = True, sep: str = ",", schema=None, infer: bool = True) -> DataFrame:
     """Read CSV; give a schema for large data, since inference costs a scan of its own."""
@@ -40,7 +42,7 @@ def dataset_info(df: DataFrame) -> DataFrame:
     names = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
     schema = df.sparkSession.createDataFrame(names, "position int, column string, dtype string")
     counted = df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(names)))
-    return schema.crossJoin(F.broadcast(counted))  # counted is one row
+    return with_facts(schema, counted)
 
 
 # Timestamp formats tried in this order after the automatic one.

@@ -1,5 +1,7 @@
 """The ways for groups too large for one task, forced by tiny limits, against brute force in pandas."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -76,6 +78,12 @@ def test_quantiles(frame, kind, limit):
     assert got["same"] == [2.5] * 6 and got["none"] == [None] * 6
 
 
+def test_direct_quantiles_are_exact_on_many_rows(spark):
+    df = spark.range(0, 300_007, numPartitions=11).select((F.col("id") * 7919 % 300_007).cast("double").alias("x"))
+    got = quantiles(df, ["x"], [0.001, 0.1, 0.5, 0.77, 0.999])["x"]
+    assert got == [math.ceil(p * 300_007) - 1 for p in (0.001, 0.1, 0.5, 0.77, 0.999)]
+
+
 def test_quantiles_do_not_depend_on_the_sample(frame, monkeypatch):
     import gleaner.plans.quantiles as q
 
