@@ -42,4 +42,14 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def load_all() -> None:
-    from catalog import aggregates, events, features, insights, modelling, profiling, segments, sources  # noqa: F401
+    from catalog import (  # noqa: F401
+        aggregates,
+        events,
+        features,
+        insights,
+        modelling,
+        profiling,
+        scalars,
+        segments,
+        sources,
+    )

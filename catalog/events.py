@@ -77,6 +77,26 @@ def n3(spark, d):
     return tidy(labels.make_labels(table(spark, d, "events"), WINDOW, wanted))
 
 
+def _single_label(name: str, expression: str, labeler):
+    """Register one labeler on its own."""
+
+    @query(name, label_sql({"label": expression}))
+    def run(spark, d):
+        made = labels.make_labels(table(spark, d, "events"), WINDOW, [labeler()])
+        return tidy(made.toDF("user_id", "cutoff_time", "label"))
+
+
+# labelers are made when the query runs, as column expressions need a session
+_single_label("n3_churn", "CASE WHEN count(event_id) <= 8 THEN 1 ELSE 0 END", lambda: labelers.churn(8))
+_single_label("n4_total_spend", "round(coalesce(sum(value), 0.0), 6)", lambda: labelers.total_spend("value"))
+_single_label("n5_will_purchase", "CASE WHEN count(event_id) > 0 THEN 1 ELSE 0 END", labelers.will_purchase)
+_single_label("n6_average_value", "round(coalesce(avg(value), 0.0), 6)", lambda: labelers.average_value("value"))
+_single_label("n7_event_count", "count(event_id)", labelers.event_count)
+_single_label(
+    "n8_threshold", "CASE WHEN coalesce(avg(value), 0) >= 50 THEN 1 ELSE 0 END", lambda: labelers.threshold("value", 50.0, "mean")
+)
+
+
 @query(
     "n9_label_distribution",
     f"""WITH y AS ({label_sql({"will_churn": "CASE WHEN count(event_id) <= 8 THEN 1 ELSE 0 END"})})

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import query, table, tidy
 from gleaner.operators import profile, quality, temporal
+from gleaner.types import REGRESSION, Problem
 
 ORDER_NUM = ["o_orderkey", "o_custkey", "o_totalprice"]
 
@@ -376,3 +377,27 @@ def l6(spark, d):
 )
 def l7(spark, d):
     return temporal.time_quality(temporal.temporal_profile(_null_times(spark, d), "ts", ["user_id"]))
+
+
+@query("l5_is_time_series", """SELECT avg(n) >= 3 AS is_time_series FROM (SELECT count(*) AS n FROM events GROUP BY user_id)""")
+def l5(spark, d):
+    p = temporal.temporal_profile(table(spark, d, "events"), "ts", ["user_id"])
+    return p.select(temporal.is_time_series(True).alias("is_time_series"))
+
+
+@query(
+    "k17_validate_target",
+    """SELECT 'o_orderstatus' AS target, 'classification' AS kind, CASE WHEN count(DISTINCT o_orderstatus) BETWEEN 2 AND 10 THEN 0 ELSE 1 END AS problems FROM orders
+    UNION ALL SELECT 'o_custkey', 'classification', CASE WHEN count(DISTINCT o_custkey) BETWEEN 2 AND 10 THEN 0 ELSE 1 END FROM orders
+    UNION ALL SELECT 'o_totalprice', 'regression', 0 UNION ALL SELECT 'o_orderpriority', 'regression', 1""",
+)
+def k17(spark, d):
+    orders = table(spark, d, "orders")
+    asked = [
+        Problem("o_orderstatus"),
+        Problem("o_custkey"),
+        Problem("o_totalprice", REGRESSION),
+        Problem("o_orderpriority", REGRESSION, None, "o_orderdate"),
+    ]
+    rows = [(p.target, p.kind, len(profile.validate_target(orders, p))) for p in asked]
+    return spark.createDataFrame(rows, "target string, kind string, problems int")

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalog import query, table
 from gleaner.functions.predicates import (
@@ -24,10 +27,11 @@ from gleaner.functions.predicates import (
     is_above,
     is_class,
 )
+from gleaner.operators import encode
 from gleaner.operators.aggregates import select_by_cardinality
 from gleaner.plans.quantiles import LINEAR, quantiles
-from gleaner.plans.tables import with_facts
-from gleaner.sources import tables
+from gleaner.plans.tables import shared_folder, with_facts
+from gleaner.sources import models, tables
 from gleaner.types import CATEGORICAL, DATETIME, NUMERICAL, columns_of
 
 
@@ -186,3 +190,51 @@ def b7(spark, d):
     df = table(spark, d, "lineitem").withColumn("key_text", F.col("l_orderkey").cast("string"))
     kept = select_by_cardinality(df, columns_of(df, CATEGORICAL), 20)
     return df.groupBy(*kept).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a1_read_csv", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def a1(spark, d):
+    source = table(spark, d, "customer")
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    source.write.option("header", True).csv(path)
+    return tables.read_csv(spark, path, schema=source.schema)
+
+
+@query("a1_read_csv_inferred", "SELECT CAST(n_nationkey AS INTEGER) AS n_nationkey, n_name, CAST(n_regionkey AS INTEGER) AS n_regionkey FROM nation")
+def a1_inferred(spark, d):
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    table(spark, d, "nation").write.option("header", True).option("sep", ";").csv(path)
+    return tables.read_csv(spark, path, sep=";")
+
+
+@query("a6_save_and_load_table", "SELECT * FROM supplier WHERE s_acctbal > 0")
+def a6(spark, d):
+    path = f"{shared_folder(spark)}/saved-{uuid.uuid4().hex}"
+    tables.save_table(table(spark, d, "supplier"), path)
+    tables.save_table(tables.load_table(spark, path).filter("s_acctbal > 0"), path)  # replaces what it reads
+    return tables.load_table(spark, path)
+
+
+@query("a7_save_and_load_model", "SELECT o_orderkey, CAST(0 AS DOUBLE) AS difference FROM orders")
+def a7(spark, d):
+    orders = table(spark, d, "orders")
+    before, model = encode.one_hot_assemble(orders, ["o_orderpriority"], ["o_totalprice"])
+    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    models.save_model(model, path)
+    after = models.load_model(path).transform(orders).select(F.col("o_orderkey").alias("k"), F.col("features").alias("again"))
+    gap = F.aggregate(
+        F.zip_with(vector_to_array("features"), vector_to_array("again"), lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: a + x
+    )
+    return before.join(after, F.col("o_orderkey") == F.col("k")).select("o_orderkey", gap.alias("difference"))
+
+
+@query("a8_conform_schema", "SELECT o_orderkey, CAST(o_totalprice AS VARCHAR) AS o_totalprice, CAST(NULL AS BIGINT) AS o_orderpriority FROM orders")
+def a8(spark, d):
+    schema = T.StructType().add("o_orderkey", T.LongType()).add("o_totalprice", T.StringType()).add("o_orderpriority", T.LongType())
+    return tables.conform_schema(table(spark, d, "orders"), schema)[0]
+
+
+@query("a8_schema_mismatches", """SELECT * FROM (VALUES ('o_totalprice', 'string', 'double'), ('o_new', 'date', NULL)) v("column", expected, found)""")
+def a8_mismatches(spark, d):
+    schema = T.StructType().add("o_orderkey", T.LongType()).add("o_totalprice", T.StringType()).add("o_new", T.DateType())
+    return tables.conform_schema(table(spark, d, "orders"), schema)[1]

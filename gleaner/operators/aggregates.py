@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleaner.plans.lookup import lookup
 from gleaner.plans.ordered import GROUP_ROWS
 from gleaner.plans.quantiles import LINEAR, quantiles
-from gleaner.plans.tables import with_facts, written
+from gleaner.plans.tables import with_facts
 
 # Aggregate names and the Spark function each one means.
 AGGREGATES = {
@@ -32,13 +33,10 @@ def group_stats(df: DataFrame, groups: list[str], columns: list[str], funcs=("me
 def group_agg_features(df: DataFrame, groups: list[str], columns: list[str], funcs=("mean", "sum")) -> DataFrame:
     """Every row with the statistics of its group; a null group key gets nulls.
 
-    Statistics are aggregated first (combined on the map side) and joined back, rather than
-    computed in a window, so that one large group is not sorted inside one task. The
-    statistics are written, so the join is a broadcast only if they are truly small, and
-    otherwise a sort-merge join whose hot partitions Spark can split.
+    Statistics are aggregated first (combined on the map side) and looked up, rather than
+    computed in a window, so that one large group is not sorted inside one task.
     """
-    stats = written(group_stats(df, groups, columns, funcs))
-    return df.join(stats, groups, "left").select(*df.columns, *[c for c in stats.columns if c not in groups])
+    return lookup(df, group_stats(df, groups, columns, funcs), groups)
 
 
 def value_counts(df: DataFrame, columns: list[str], keep=()) -> DataFrame:

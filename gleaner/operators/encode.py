@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import rowwise
 from gleaner.functions.rowwise import number
+from gleaner.plans.lookup import lookup
 from gleaner.plans.ordered import GROUP_ROWS
 from gleaner.plans.quantiles import quantiles
 from gleaner.plans.tables import written
@@ -48,7 +49,7 @@ def quantile_bin(df: DataFrame, columns: list[str], bins: int = 5) -> DataFrame:
 def target_encode(df: DataFrame, columns: list[str], target: str, smoothing: float = 1.0) -> DataFrame:
     """{column}_target_enc: (n * group mean + smoothing * mean) / (n + smoothing), the mean for unknown values.
 
-    Statistics of all columns come from one job and are written, so each lookup is a broadcast only if it is small.
+    Statistics of all columns come from one job; each column then looks its own up.
     """
     overall = df.agg(F.avg(number(target))).first()[0]
     wide = df.select(number(target).alias("__y"), *[F.col(c).cast("string").alias(c) for c in columns])
@@ -58,9 +59,9 @@ def target_encode(df: DataFrame, columns: list[str], target: str, smoothing: flo
     stats = written(stats.groupBy("__column", "__value").agg(smoothed.alias("__enc")))
     out = df
     for c in columns:
-        table = stats.filter(F.col("__column") == c).select(F.col("__value"), F.col("__enc"))
-        joined = out.join(table, F.col(c).cast("string") == F.col("__value"), "left")
-        out = joined.select(*out.columns, F.coalesce("__enc", F.lit(overall)).alias(f"{c}_target_enc"))
+        table = stats.filter(F.col("__column") == c).select("__value", "__enc")
+        found = lookup(out.withColumn("__value", F.col(c).cast("string")), table, ["__value"])
+        out = found.select(*out.columns, F.coalesce("__enc", F.lit(overall)).alias(f"{c}_target_enc"))
     return out
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.times import micros, micros_in
 from gleaner.operators.asof import PRIMITIVES, asof_aggregate
 from gleaner.operators.windows import cumulative_features, percentile_features
+from gleaner.plans.lookup import lookup
 from gleaner.plans.tables import written
 from gleaner.types import CATEGORICAL, NUMERICAL, columns_of
 
@@ -185,12 +186,11 @@ def _with_direct(es: EntitySet, name: str, df: DataFrame, depth: int) -> tuple[D
         higher: list[str] = []
         if depth > 1:
             parent, higher = _with_direct(es, rel.parent, parent, depth - 1)
+        names = [f"{rel.parent}.{c}" for c in [*columns, *higher]]
         renamed = parent.select(
-            F.col(rel.parent_key).alias("__pk"), *[_quoted(c).alias(f"{rel.parent}.{c}") for c in [*columns, *higher]]
+            _quoted(rel.parent_key).alias(rel.child_key), *[_quoted(c).alias(n) for c, n in zip([*columns, *higher], names)]
         )
-        joined = df.join(renamed, F.col(f"`{rel.child_key}`") == F.col("__pk"), "left")
-        names = [f"{rel.parent}.{c}" for c in [*columns, *higher]]
-        df = joined.select(*[_quoted(c) for c in [*df.columns, *names]])
+        df = lookup(df, renamed, [rel.child_key])  # a parent may have very many children
         made += names
     return df, made
 

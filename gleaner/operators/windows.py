@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.rowwise import number
 from gleaner.functions.times import micros
+from gleaner.plans.lookup import lookup
 from gleaner.plans.ordered import GROUP_ROWS, look_back, running_totals
 from gleaner.plans.quantiles import group_quantiles, value_ranks
 from gleaner.plans.tables import null_safe_join, written
@@ -97,8 +98,7 @@ def seconds_of(df: DataFrame, column: str) -> Column:
 
 def entity_features(df: DataFrame, entity: str, order, columns, limit: int = GROUP_ROWS) -> DataFrame:
     """Every row with the profile of its entity."""
-    profile = written(entity_profile(df, entity, order, columns, limit))
-    return null_safe_join(df, profile, [entity], "left")
+    return lookup(df, entity_profile(df, entity, order, columns, limit), [entity], null_safe=True, limit=limit)
 
 
 def cumulative_features(df: DataFrame, columns, order, partition=(), limit: int = GROUP_ROWS) -> DataFrame:
@@ -123,7 +123,7 @@ def percentile_features(df: DataFrame, columns, limit: int = GROUP_ROWS) -> Data
         ranks = written(value_ranks(df, c, limit))
         total = ranks.agg(F.sum("n")).first()[0] or 1
         share = ranks.select(F.col("value").alias(c), (F.col("avg_rank") / F.lit(float(total))).alias(f"{c}_percentile"))
-        out = out.join(share, c, "left").select(*out.columns, f"{c}_percentile")
+        out = lookup(out, share, [c], limit=limit)
     return out
 
 

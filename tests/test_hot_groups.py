@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators import asof, grouped, tsfeatures, windows
 from gleaner.operators.profile import spearman
+from gleaner.plans import lookup as lookup_module
 from gleaner.plans.ordered import look_back, running_totals
 from gleaner.plans.quantiles import DISCRETE, LINEAR, group_quantiles, quantiles, value_ranks
 
@@ -162,3 +163,14 @@ def test_bounded_python_groups(frame):
     got = grouped.combine_per_group(df.dropna(subset=["k"]), ["k"], partial, "k double, n long, most long", finish, "k double, n long, most long", LIMIT).toPandas()
     np.testing.assert_array_equal(got.sort_values("k").n, pdf.dropna(subset=["k"]).groupby("k").size())
     assert got.most.max() <= LIMIT
+
+
+@pytest.mark.parametrize("null_safe", [False, True])
+def test_lookup_gives_the_same_rows_in_every_way(frame, monkeypatch, null_safe):
+    df, _ = frame
+    stats = df.groupBy("k").agg(F.avg("x").alias("a.b"))
+    key = lambda r: str(tuple(r))
+    expected = sorted(map(key, lookup_module.lookup(df, stats, ["k"], null_safe).collect()))
+    monkeypatch.setattr(lookup_module, "BROADCAST_CELLS", 0)
+    for limit in (LIMIT, 10**6):
+        assert sorted(map(key, lookup_module.lookup(df, stats, ["k"], null_safe, limit).collect())) == expected
