@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.times import micros, micros_in
+from gleaner.plans.lookup import lookup
 from gleaner.plans.ordered import GROUP_ROWS, look_back, running_totals
 from gleaner.plans.tables import written
 
@@ -52,7 +53,7 @@ def asof_aggregate(
         near = (F.col("__t") <= F.col("__ct")) if window is None else (
             (F.col("__t") <= F.col("__ct")) & (F.col("__t") > F.col("__ct") - micros_in(window))
         )
-        seen = slim.join(marks, "__e").filter(near).groupBy("__e", "__c").agg(
+        seen = lookup(slim, marks, ["__e"], limit=limit, stored=True).filter(near).groupBy("__e", "__c").agg(
             *[_aggregate(p, c).alias(n) for n, p, c in wanted]
         )
     else:
@@ -77,7 +78,7 @@ def _intervals(slim: DataFrame, ends: DataFrame, limit: int) -> DataFrame:
     placed = running_totals(both, ["__e"], [F.desc("__t"), F.desc("__end")], {"__no": F.col("__end")}, limit)
     placed = written(placed)
     times = placed.filter("__end = 1").select("__e", "__no", F.col("__t").alias("__until"))
-    return placed.filter("__end = 0 and __no > 0").join(times, ["__e", "__no"])
+    return lookup(placed.filter("__end = 0 and __no > 0"), times, ["__e", "__no"], limit=limit)
 
 
 def _accumulated(slim: DataFrame, marks: DataFrame, wanted: Wanted, window: str | None, limit: int) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.labelers import Labeler, churn, event_count, total_spend, will_purchase
 from gleaner.functions.times import micros, micros_in, shifted
 from gleaner.operators.grouped import apply_per_group
+from gleaner.plans.lookup import lookup
 from gleaner.plans.ordered import GROUP_ROWS
 from gleaner.plans.tables import with_facts, written
 
@@ -76,7 +77,7 @@ def window_events(events: DataFrame, w: LabelWindow, spans: DataFrame | None = N
     at = F.col("__t") - F.col("__start") - micros_in(w.minimum_data) - micros_in(w.gap)
     last = F.least(F.floor(at / step), F.col("__count") - 1)
     first = F.greatest(F.floor((at - window) / step) + 1, F.lit(0))
-    joined = events.withColumn("__t", micros(events, w.time)).join(spans, w.entity)
+    joined = lookup(events.withColumn("__t", micros(events, w.time)), spans, [w.entity], stored=True)
     hit = joined.withColumns({"__lo": first, "__hi": last}).filter(F.col("__lo") <= F.col("__hi"))
     return hit.select(*events.columns, F.explode(F.sequence("__lo", "__hi")).alias("__k"))
 

@@ -207,7 +207,8 @@ def _before_cutoff(es: EntitySet, target: str, cutoffs: DataFrame, window: str |
             if rel.parent != name or rel.child in limits:
                 continue
             child = tables[rel.child]
-            joined = child.join(limits[name], F.col(f"`{rel.child_key}`") == F.col("__key")).drop("__key")
+            joined = lookup(child, limits[name].withColumnRenamed("__key", rel.child_key), [rel.child_key])
+            joined = joined.filter(F.col("__ct").isNotNull())
             if rel.child in es.time:
                 t = micros(child, es.time[rel.child])
                 joined = joined.filter(t <= F.col("__ct"))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.operators.grouped import apply_per_group
+from gleaner.plans.lookup import lookup
 from gleaner.plans.ordered import GROUP_ROWS, look_back, running_totals
 from gleaner.plans.quantiles import LINEAR, group_quantiles, quantiles
 from gleaner.plans.tables import null_safe_join, written
@@ -108,7 +109,8 @@ def _efficient(df, entity, time, values, include, exclude, limit):
     base = written(long.groupBy(*keys).agg(*[a.alias(n) for n, a in base_aggs.items()]))
 
     steps = max(*LAGS, *SUPPORTS)
-    facts = null_safe_join(long, base.select(*keys, *[F.col(c).alias(f"__{c}") for c in ("mean", "standard_deviation", "maximum", "minimum", "length")]), keys, "inner")
+    known = base.select(*keys, *[F.col(c).alias(f"__{c}") for c in ("mean", "standard_deviation", "maximum", "minimum", "length")])
+    facts = lookup(long, known, keys, null_safe=True, limit=limit, stored=True)
     above, below = x > F.col("__mean"), x < F.col("__mean")
     one = F.lit(1).cast("bigint")
     totals = {"__pos": one, "__above": above.cast("bigint"), "__below": below.cast("bigint")}

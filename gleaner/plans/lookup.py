@@ -19,14 +19,16 @@ def _joined(df: DataFrame, table: DataFrame, keys: list[str], null_safe: bool) -
     )
 
 
-def lookup(df: DataFrame, table: DataFrame, keys: list[str], null_safe: bool = False, limit: int = GROUP_ROWS) -> DataFrame:
-    """Left join with a table that has one row per key; the table is written first, so its size is known.
+def lookup(
+    df: DataFrame, table: DataFrame, keys: list[str], null_safe: bool = False, limit: int = GROUP_ROWS, stored: bool = False
+) -> DataFrame:
+    """Left join with a table that has one row per key; unless stored, it is written first, so its size is known.
 
     A table of checked size is broadcast. With a larger one, rows whose key is hot meet only
     the hot keys' rows of the table, of which there are at most rows / limit, by broadcast;
     all others are joined by sorting, where no key is large any more.
     """
-    table = written(table)
+    table = table if stored else written(table)
     if table.count() * len(table.columns) <= BROADCAST_CELLS:
         return _joined(df, F.broadcast(table), keys, null_safe)
     cold, hot, _ = split_hot(df, keys, limit)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleaner.plans.lookup import lookup
 from gleaner.plans.ordered import GROUP_ROWS, running_totals, split_hot
 from gleaner.plans.tables import null_safe_join, written
 
@@ -147,7 +148,7 @@ def _hot_group_quantiles(hot, keys, columns, probs, names, limit):
     counts = written(long_values(hot, columns, keys).groupBy(*keys, "feature", "x").agg(F.count(F.lit(1)).alias("n")))
     placed = running_totals(counts, [*keys, "feature"], ["x"], {"upto": F.col("n")}, limit)
     total = counts.groupBy(*keys, "feature").agg(F.sum("n").alias("total"))
-    ranked = null_safe_join(placed, total, [*keys, "feature"], "inner")
+    ranked = lookup(placed, total, [*keys, "feature"], null_safe=True, limit=limit)
 
     def value_at(rank):
         inside = (rank <= F.col("upto")) & (rank > F.col("upto") - F.col("n"))
