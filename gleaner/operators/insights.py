@@ -17,6 +17,7 @@ from gleaner.functions import rowwise
 from gleaner.functions.lift import segment_metrics
 from gleaner.functions.predicates import Condition, is_above, is_class
 from gleaner.functions.rowwise import number
+from gleaner.functions.text import fixed, percent
 from gleaner.operators.aggregates import baseline_rate, distinct_counts
 from gleaner.operators.encode import BINNED
 from gleaner.plans.ordered import GROUP_ROWS
@@ -246,7 +247,7 @@ def condition_text() -> Column:
     return (
         F.when(F.col("op") == "=", F.concat("feature", F.lit(" = '"), "text", F.lit("'")))
         .when(F.col("op") == "null", F.concat("feature", F.lit(" IS NULL")))
-        .otherwise(F.format_string("%s %s %.3f", F.col("feature"), F.col("op"), F.col("number")))
+        .otherwise(F.concat_ws(" ", "feature", "op", fixed("number", 3)))
     )
 
 
@@ -257,15 +258,15 @@ def insight_table(insights: DataFrame, label: str, n: int | None = None) -> Data
         F.col("feature").alias("Feature"),
         condition_text().alias("Condition"),
         F.lit(label).alias("Class"),
-        F.format_string("x%.2f", "lift").alias("Lift"),
+        F.concat(F.lit("x"), fixed("lift", 2)).alias("Lift"),
         F.col("lift").alias("Lift_Value"),
-        F.format_string("%.1f%%", F.col("support") * 100).alias("Support"),
+        percent(F.col("support") * 100).alias("Support"),
         F.format_number("support_count", 0).alias("Support_Count"),
         F.col("support").alias("Support_Value"),
-        F.format_string("%.3f", "rig").alias("RIG"),
+        fixed("rig", 3).alias("RIG"),
         F.col("rig").alias("RIG_Value"),
-        F.format_string("%.1f%%", F.col("class_rate") * 100).alias("Class_Rate"),
-        F.format_string("%.1f%%", F.col("baseline_rate") * 100).alias("Baseline_Rate"),
+        percent(F.col("class_rate") * 100).alias("Class_Rate"),
+        percent(F.col("baseline_rate") * 100).alias("Baseline_Rate"),
         F.col("feature_group").alias("Group"),
         F.col("feature").alias("Source"),
     )

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.lift import segment_metrics
 from gleaner.functions.predicates import Condition
+from gleaner.functions.text import fixed
 from gleaner.operators.insights import Goal, conditions_of
 
 WORD = 62  # conditions packed into one integer
@@ -149,6 +150,6 @@ def segment_name() -> Column:
     one = lambda c: (
         F.when(c["op"] == "=", F.concat(c["feature"], F.lit(" = '"), c["text"], F.lit("'")))
         .when(c["op"] == "null", F.concat(c["feature"], F.lit(" IS NULL")))
-        .otherwise(F.concat_ws(" ", c["feature"], c["op"], F.format_string("%.3f", c["number"])))
+        .otherwise(F.concat_ws(" ", c["feature"], c["op"], fixed(c["number"], 3)))
     )
     return F.array_join(F.transform("conditions", one), " AND ")

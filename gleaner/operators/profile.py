@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.functions.rowwise import number
+from gleaner.functions.text import fixed, percent
 from gleaner.operators.aggregates import by_carrier, distinct_counts, duplicate_count
 from gleaner.operators.quality import rows_of, missing_report, per_column
 from gleaner.operators.windows import percentile_features
@@ -186,7 +187,7 @@ def profile_recommendations(df: DataFrame, variables: DataFrame | None = None) -
             (
                 pct > 30,
                 advice(
-                    F.format_string("High missing values (%.1f%%)", pct),
+                    F.concat(F.lit("High missing values ("), percent(pct), F.lit(")")),
                     "Consider dropping or imputing with median/mode",
                     F.when(pct > 50, "high").otherwise("medium"),
                 ),
@@ -194,7 +195,7 @@ def profile_recommendations(df: DataFrame, variables: DataFrame | None = None) -
             (
                 (pct > 5) & (pct <= 30),
                 advice(
-                    F.format_string("Missing values (%.1f%%)", pct),
+                    F.concat(F.lit("Missing values ("), percent(pct), F.lit(")")),
                     "Impute with mean/median for numeric, mode for categorical",
                     "low",
                 ),
@@ -214,7 +215,7 @@ def profile_recommendations(df: DataFrame, variables: DataFrame | None = None) -
             (
                 F.abs(skew) > 2,
                 advice(
-                    F.format_string("Highly skewed distribution (skewness: %.2f)", skew),
+                    F.concat(F.lit("Highly skewed distribution (skewness: "), fixed(skew, 2), F.lit(")")),
                     "Consider log transformation or Box-Cox",
                     "medium",
                 ),

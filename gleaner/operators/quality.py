@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.rowwise import number
+from gleaner.functions.text import fixed, percent
 from gleaner.operators.aggregates import distinct_counts, duplicate_count, value_counts
 from gleaner.plans.ordered import GROUP_ROWS
 from gleaner.plans.quantiles import quantiles
@@ -203,10 +204,10 @@ def quality_issues(df: DataFrame, report: DataFrame | None = None) -> DataFrame:
     return rows_of(
         report,
         [
-            (pct > 50, issue(F.format_string("Very high missing values (%.1f%%)", pct), "high")),
-            ((pct > 20) & (pct <= 50), issue(F.format_string("High missing values (%.1f%%)", pct), "medium")),
+            (pct > 50, issue(F.concat(F.lit("Very high missing values ("), percent(pct), F.lit(")")), "high")),
+            ((pct > 20) & (pct <= 50), issue(F.concat(F.lit("High missing values ("), percent(pct), F.lit(")")), "medium")),
             (F.col("distinct_count") == 1, issue("Constant column (only one unique value)", "high")),
-            (F.abs(skew) > 3, issue(F.format_string("Highly skewed distribution (skewness: %.2f)", skew), "low")),
+            (F.abs(skew) > 3, issue(F.concat(F.lit("Highly skewed distribution (skewness: "), fixed(skew, 2), F.lit(")")), "low")),
             (F.col("cardinality_ratio") > 0.95, issue("Potential ID column (very high cardinality)", "low")),
         ],
     )
@@ -225,9 +226,9 @@ def quality_recommendations(df: DataFrame, report: DataFrame | None = None) -> D
     return rows_of(
         report,
         [
-            (pct > 50, advice(F.format_string("Consider dropping column (%.1f%% missing)", pct), "high")),
-            (some & numeric, advice(F.format_string("Impute with median (%.1f%% missing)", pct), "medium")),
-            (some & ~numeric, advice(F.format_string("Impute with mode (%.1f%% missing)", pct), "medium")),
+            (pct > 50, advice(F.concat(F.lit("Consider dropping column ("), percent(pct), F.lit(" missing)")), "high")),
+            (some & numeric, advice(F.concat(F.lit("Impute with median ("), percent(pct), F.lit(" missing)")), "medium")),
+            (some & ~numeric, advice(F.concat(F.lit("Impute with mode ("), percent(pct), F.lit(" missing)")), "medium")),
             (F.abs(F.col("skewness")) > 2, advice("Apply log or Box-Cox transformation", "low")),
             (F.col("distinct_count") == 1, advice("Remove constant column", "high")),
         ],
