@@ -152,6 +152,15 @@ def d7(spark, d):
     return agg.distinct_counts(df, DISTINCT_COLUMNS)
 
 
+@query("d7_distinct_count_approx_error", "SELECT * FROM (VALUES ('o_custkey', true), ('o_totalprice', true), ('o_orderdate', true), ('o_orderpriority', true)) v(\"column\", close)")
+def d7_error(spark, d):
+    orders = table(spark, d, "orders")
+    rough = agg.distinct_counts(orders, DISTINCT_COLUMNS, approx=True).select("column", F.col("count_distinct").alias("rough"))
+    exact = agg.distinct_counts(orders, DISTINCT_COLUMNS).join(rough, "column")
+    gap = F.abs(F.col("rough") - F.col("count_distinct")) / F.col("count_distinct")
+    return exact.select("column", (gap < 0.15).alias("close"))
+
+
 @query("d7_distinct_count_approx")
 def d7_approx(spark, d):
     return agg.distinct_counts(table(spark, d, "orders"), DISTINCT_COLUMNS, approx=True)

@@ -338,3 +338,26 @@ def j8(spark, d):
     options = prep.PrepOptions(rare_threshold=0.3)
     out = prep.prepare(_lines(spark, d), ["l_quantity"], ["l_returnflag"], options)
     return tidy(out.select(*KEY, "l_quantity", "l_returnflag", "l_quantity_scaled"))
+
+
+@query(
+    "i15_one_hot_slots",
+    """SELECT l_orderkey, l_linenumber, CAST(l_returnflag = 'R' AS INTEGER)::DOUBLE AS l_returnflag_R, CAST(l_returnflag = 'A' AS INTEGER)::DOUBLE AS l_returnflag_A,
+    CAST(l_linestatus = 'O' AS INTEGER)::DOUBLE AS l_linestatus_O, l_quantity FROM lineitem""",
+)
+def i15_slots(spark, d):
+    out, _ = encode.one_hot_assemble(table(spark, d, "lineitem").withColumn("q", F.col("l_quantity")), ["l_returnflag", "l_linestatus"], ["q"])
+    names = encode.vector_names(out)
+    slot = lambda n: vector_to_array("features")[names.index(n)]
+    shown = ["l_returnflag_R", "l_returnflag_A", "l_linestatus_O"]
+    return out.select(*KEY, *[slot(n).alias(n) for n in shown], slot("q").alias("l_quantity"))
+
+
+@query(
+    "i16_scaled_values",
+    """SELECT o_orderkey, CAST(k AS DOUBLE) AS label, round(o_totalprice / s, 6) AS scaled FROM orders JOIN (SELECT o_orderstatus AS st,
+    row_number() OVER (ORDER BY count(*) DESC, o_orderstatus) - 1 AS k FROM orders GROUP BY 1) ON st = o_orderstatus CROSS JOIN (SELECT stddev_samp(o_totalprice) AS s FROM orders)""",
+)
+def i16_scaled(spark, d):
+    out, _ = encode.index_and_scale(table(spark, d, "orders"), "o_orderstatus", [], ["o_totalprice"])
+    return tidy(out.select("o_orderkey", "label", vector_to_array("features")[0].alias("scaled")))

@@ -264,3 +264,41 @@ def q18_improvements(spark, d):
 @query("q18_improvements_smaller_is_better", improvement_sql("down"))
 def q18_smaller(spark, d):
     return _improved(compare.improvements(_runs(spark, d, "rmse"), "rmse"))
+
+
+# properties of fitted models that SQL can state
+
+
+@query("q4_least_squares_line", "SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem")
+def q4_line(spark, d):
+    df = table(spark, d, "lineitem")
+    ready, _ = one_hot_assemble(df, [], ["l_quantity"])
+    model = train.estimator("linear", REGRESSION).fit(ready.select(F.col("l_extendedprice").alias("label"), "features"))
+    return tidy(spark.createDataFrame([(float(model.coefficients[0]), float(model.intercept))], "slope double, intercept double"), 4)
+
+
+@query("q11_importances_sum_to_one", "SELECT CAST(1 AS DOUBLE) AS total, 6 AS features FROM (SELECT count(*) FROM lineitem)")
+def q11_total(spark, d):
+    model, _, names = _fitted(spark, d, "random_forest")
+    per = explain.feature_importances(spark, model, names)
+    return tidy(per.agg(F.sum("importance").alias("total"), F.count(F.lit(1)).cast("int").alias("features")))
+
+
+@query("q14_contributions_add_up", "SELECT l_orderkey, l_linenumber, CAST(0 AS DOUBLE) AS gap FROM lineitem")
+def q14_additive(spark, d):
+    fit_on, test, _ = _lines(spark, d)
+    model = train.estimator("random_forest", CLASSIFICATION).fit(train.spread(fit_on))
+    rows = train.positive_score(train.predict(model, fit_on.unionByName(test)))
+    explained = explain.contributions(rows, explain.read_trees(spark, model), [*KEYS, "score"])
+    total = F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x) + F.col("base_value")
+    return explained.select(*KEYS, F.abs(F.round(total - F.col("score"), 6)).alias("gap"))
+
+
+@query("q16_one_prediction_per_row", "SELECT o_orderkey, CAST(1 AS BIGINT) AS predictions FROM orders")
+def q16_once(spark, d):
+    orders = table(spark, d, "orders")
+    ready, _ = one_hot_assemble(orders, ["o_orderpriority"], ["o_custkey"])
+    frame = ready.select("o_orderkey", F.col("o_totalprice").alias("label"), "features")
+    grids = {"decision_tree": {"maxDepth": [1, 2]}}
+    found = search.model_search(frame, REGRESSION, ["o_orderkey"], quick=True, grids=grids)
+    return found.out_of_fold.groupBy("o_orderkey").agg(F.count("prediction").alias("predictions"))

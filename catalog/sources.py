@@ -238,3 +238,18 @@ def a8(spark, d):
 def a8_mismatches(spark, d):
     schema = T.StructType().add("o_orderkey", T.LongType()).add("o_totalprice", T.StringType()).add("o_new", T.DateType())
     return tables.conform_schema(table(spark, d, "orders"), schema)[1]
+
+
+@query("a9_sample_is_bounded", "SELECT true AS enough, true AS bounded, count(*) AS whole FROM lineitem")
+def a9_bounds(spark, d):
+    lines = table(spark, d, "lineitem")
+    some = tables.bounded_sample(lines, 2000).agg(F.count(F.lit(1)).alias("n"))
+    whole = tables.bounded_sample(lines, 10**9).agg(F.count(F.lit(1)).alias("whole"))
+    both = with_facts(some, whole)
+    return both.select((F.col("n") > 1500).alias("enough"), (F.col("n") <= 2200).alias("bounded"), "whole")
+
+
+@query("a10_table_size_fixed_width", "SELECT count(*) AS n_rows, CAST(24 AS DOUBLE) AS mean_row_bytes, CAST(count(*) * 24 AS DOUBLE) AS total_bytes FROM orders")
+def a10_fixed(spark, d):
+    size = tables.table_size(table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderdate"))
+    return spark.createDataFrame([(size.rows, size.mean_row_bytes, size.total_bytes)], "n_rows bigint, mean_row_bytes double, total_bytes double")

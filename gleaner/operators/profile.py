@@ -253,7 +253,7 @@ def numeric_histogram(df: DataFrame, columns: list[str], bins: int = 10) -> Data
     counts = long.groupBy("column", "bin").agg(F.count(F.lit(1)).alias("n"))
     edges = [(c, b, lo + b * (hi - lo) / bins, lo + (b + 1) * (hi - lo) / bins) for c, (lo, hi) in spans.items() for b in range(bins)]
     table = df.sparkSession.createDataFrame(edges, "column string, bin int, low double, high double")
-    return F.broadcast(table).join(counts, ["column", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return table.join(counts, ["column", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def category_histogram(df: DataFrame, column: str) -> DataFrame:

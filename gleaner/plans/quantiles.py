@@ -40,6 +40,10 @@ def _ranks(n: int, p: float, kind: str) -> tuple[int, int, float]:
     return low + 1, min(n, math.ceil(at) + 1), at - low
 
 
+def _wanted_ranks(totals: dict[str, int], probs: list[float], kind: str) -> dict[str, list[int]]:
+    return {c: sorted({r for p in probs for r in _ranks(n, p, kind)[:2]}) for c, n in totals.items()}
+
+
 def quantiles(
     df: DataFrame, columns: list[str], probs: list[float], kind: str = DISCRETE, limit: int = GROUP_ROWS
 ) -> dict[str, list[float | None]]:
@@ -47,10 +51,13 @@ def quantiles(
     if not columns:
         return {}
     wide = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    rows, *known = wide.agg(F.count(F.lit(1)), *[F.count(c) for c in columns]).first()
-    totals = {c: n for c, n in zip(columns, known) if n}
-    ranks = {c: sorted({r for p in probs for r in _ranks(n, p, kind)[:2]}) for c, n in totals.items()}
-    at = _values_directly(wide, ranks, totals) if rows <= limit else _values_in_buckets(wide, ranks, probs, rows, limit)
+    rows = wide.count()  # parquet footers answer this without reading data
+    if rows <= limit:
+        known = wide.agg(*[F.count(c) for c in columns]).first()
+        totals = {c: n for c, n in zip(columns, known) if n}
+        at = _values_directly(wide, _wanted_ranks(totals, probs, kind), totals)
+    else:
+        totals, at = _values_in_buckets(wide, columns, probs, kind, rows, limit)
     out = {}
     for c in columns:
         places = [_ranks(totals[c], p, kind) for p in probs] if c in totals else []
@@ -81,10 +88,10 @@ def _proposed_cuts(wide: DataFrame, columns: list[str], probs: list[float], rows
 
 
 def _values_in_buckets(
-    wide: DataFrame, ranks: dict[str, list[int]], probs: list[float], rows: int, limit: int
-) -> dict[str, dict[int, float]]:
-    """{column: {rank: value}}: count rows between cut points, then rank only the ranges that hold a wanted rank."""
-    spark, columns = wide.sparkSession, list(ranks)
+    wide: DataFrame, columns: list[str], probs: list[float], kind: str, rows: int, limit: int
+) -> tuple[dict[str, int], dict[str, dict[int, float]]]:
+    """Row counts and {column: {rank: value}}: count rows between cut points, then rank only ranges with a wanted rank."""
+    spark = wide.sparkSession
     cuts = _proposed_cuts(wide, columns, probs, rows)
 
     # bucket 2i holds values between cuts, 2i+1 the values equal to cut i: a heavy value stays apart
@@ -100,6 +107,8 @@ def _values_in_buckets(
     for r in long.groupBy("feature", "bucket").agg(F.count(F.lit(1)).alias("n")).collect():
         counted.setdefault(r["feature"], []).append((r["bucket"], r["n"]))
 
+    totals = {c: sum(n for _, n in parts) for c, parts in counted.items()}
+    ranks = _wanted_ranks(totals, probs, kind)
     wanted = []
     for c, parts in counted.items():
         before = 0
@@ -117,10 +126,10 @@ def _values_in_buckets(
         .select("feature", "rank", "x")
         .collect()
     )
-    out: dict[str, dict[int, float]] = {c: {} for c in columns}
+    at: dict[str, dict[int, float]] = {c: {} for c in totals}
     for r in found:
-        out[r["feature"]][r["rank"]] = r["x"]
-    return out
+        at[r["feature"]][r["rank"]] = r["x"]
+    return totals, at
 
 
 def group_quantiles(
