@@ -132,13 +132,14 @@ def _accumulated(slim: DataFrame, marks: DataFrame, wanted: Wanted, window: str
 def _unique_values(slim: DataFrame, marks: DataFrame, name: str, column: str, span: int | None, limit: int) -> DataFrame:
     """Distinct values seen at each cutoff: a value counts from each occurrence until it occurs again or goes out of the window."""
     seen = slim.filter(F.col(f"`{column}`").isNotNull()).select("__e", "__t", F.col(f"`{column}`").alias("__v")).distinct()
+    seen = written(seen)
     following = look_back(
         seen, ["__e", "__v"], ["__t"], lambda w: [F.lead("__t").over(w).alias("__next")], 0, 1, limit
     )
     gone = F.col("__next") if span is None else F.least(F.col("__next"), F.col("__t") + span)
-    change = following.select("__e", F.col("__t"), F.lit(1).cast("bigint").alias("__d")).unionByName(
-        following.select("__e", gone.alias("__t"), F.lit(-1).cast("bigint").alias("__d")).filter(F.col("__t").isNotNull())
-    )
+    step = lambda t, d: F.struct(t.alias("__t"), F.lit(d).cast("bigint").alias("__d"))
+    change = following.select("__e", F.inline(F.array(step(F.col("__t"), 1), step(gone, -1))))
+    change = written(change.filter(F.col("__t").isNotNull()))
     ends = marks.select("__e", F.col("__ct").alias("__t"))
     per = _intervals(change, ends, limit).groupBy("__e", "__until").agg(F.sum("__d").alias("__d"))
     timeline = ends.withColumnRenamed("__t", "__until").join(per, ["__e", "__until"], "left")

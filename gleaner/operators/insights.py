@@ -103,22 +103,25 @@ def _grouped(insights: DataFrame, groups: dict[str, str], default: str) -> DataF
 def numeric_segments(df: DataFrame, cuts: dict[str, list[float]], positive: Column) -> DataFrame:
     """(feature, op, number, n, pos) for 'at least' and 'below' each threshold; nulls are in neither."""
 
-    def bucket(c: str) -> Column:
-        case = F.when(F.col(c).isNull(), None)
-        for i, t in reversed(list(enumerate(cuts[c], 1))):
-            case = case.when(number(c) >= F.lit(t), i)
-        return case.otherwise(0).cast("int").alias(c)
-
     features = list(cuts)
-    long = df.select(positive.alias("__pos"), *[bucket(c) for c in features])
-    long = long.unpivot(["__pos"], features, "feature", "bucket").filter(F.col("bucket").isNotNull())
-    counts = long.groupBy("feature", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("__pos").alias("pos"))
-    rows = [(c, i, float(t)) for c in features for i, t in enumerate(cuts[c], 1)]
-    marks = df.sparkSession.createDataFrame(rows, "feature string, i int, number double")
-    at_least = F.col("bucket") >= F.col("i")
+    stride = max(len(t) for t in cuts.values()) + 1
+
+    def place(i: int, c: str) -> Column:
+        """Feature and bucket as one integer, the cheapest key to group by."""
+        case = F.when(F.col(c).isNull(), None)
+        for j, t in reversed(list(enumerate(cuts[c], 1))):
+            case = case.when(number(c) >= F.lit(t), j + i * stride)
+        return case.otherwise(i * stride).cast("int").alias(c)
+
+    long = df.select(positive.alias("__pos"), *[place(i, c) for i, c in enumerate(features)])
+    long = long.unpivot(["__pos"], features, "feature", "place").filter(F.col("place").isNotNull())
+    counts = long.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.sum("__pos").alias("pos"))
+    rows = [(k * stride + b, c, i, float(t)) for k, c in enumerate(features) for b in range(len(cuts[c]) + 1) for i, t in enumerate(cuts[c], 1)]
+    marks = df.sparkSession.createDataFrame(rows, "place int, feature string, i int, number double")
+    at_least = F.col("place") % stride >= F.col("i")
     side = lambda cond, x: F.coalesce(F.sum(F.when(cond, F.col(x))), F.lit(0))
-    # both sides hold at most features x bins rows
-    per = counts.join(F.broadcast(marks), "feature").groupBy("feature", "i", "number").agg(
+    # both sides hold at most features x bins x bins rows
+    per = counts.join(F.broadcast(marks), "place").groupBy("feature", "i", "number").agg(
         F.array(
             F.struct(F.lit(">=").alias("op"), side(at_least, "n").alias("n"), side(at_least, "pos").alias("pos")),
             F.struct(F.lit("<").alias("op"), side(~at_least, "n").alias("n"), side(~at_least, "pos").alias("pos")),

@@ -114,14 +114,15 @@ def _efficient(df, entity, time, values, include, exclude, limit):
     above, below = x > F.col("__mean"), x < F.col("__mean")
     one = F.lit(1).cast("bigint")
     totals = {"__pos": one, "__above": above.cast("bigint"), "__below": below.cast("bigint")}
-    placed = running_totals(facts, keys, order, totals, limit)
+    sizes = base.select(*keys, F.col("length").alias("__rows"))
+    placed = running_totals(facts, keys, order, totals, limit, sizes)
 
     def neighbours(w) -> list[Column]:
         made = [F.lag("x", k).over(w).alias(f"__b{k}") for k in range(1, steps + 1)]
         return made + [F.lead("x", k).over(w).alias(f"__f{k}") for k in range(1, max(SUPPORTS) + 1)]
 
     # the position orders rows totally, so both passes see the same order
-    seen = written(look_back(placed, keys, ["__pos"], neighbours, steps, max(SUPPORTS), limit))
+    seen = written(look_back(placed, keys, ["__pos"], neighbours, steps, max(SUPPORTS), limit, sizes))
     n, mean, std = F.col("__length"), F.col("__mean"), F.col("__standard_deviation")
     step = x - F.col("__b1")
     when = lambda cond, value=one: F.when(cond, value)

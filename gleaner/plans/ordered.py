@@ -19,16 +19,18 @@ GROUP_ROWS = 2_000_000
 MAX_SLICES = 20_000  # a shuffle into more partitions than this has too many blocks; slices grow instead
 
 
-def split_hot(df: DataFrame, keys: list[str], limit: int):
+def split_hot(df: DataFrame, keys: list[str], limit: int, sizes: DataFrame | None = None):
     """Split df into rows of small groups and rows of groups above limit, with the hot row count.
 
     Returns (cold, hot, hot_rows); one of the frames is None where it would be empty for sure.
+    sizes, a table of the keys and __rows, saves the scan that counts rows per group.
     """
     if not keys:
         rows = df.count()
         return (df, None, 0) if rows <= limit else (None, df, rows)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > limit)
-    hot = written(sizes)
+    if sizes is None:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    hot = written(sizes.filter(F.col("__rows") > limit))
     hot_rows = hot.agg(F.sum("__rows")).first()[0]
     if not hot_rows:
         return df, None, 0
@@ -56,14 +58,16 @@ def _in_slices(df: DataFrame, keys: list[str], order: list[Column], rows: int, l
 
 
 def running_totals(
-    df: DataFrame, keys, order, totals: dict[str, Column], limit: int = GROUP_ROWS
+    df: DataFrame, keys, order, totals: dict[str, Column], limit: int = GROUP_ROWS, sizes: DataFrame | None = None
 ) -> DataFrame:
     """Append, per group and in the given order, the sum of each expression up to and with the row.
 
+    df is read twice (once to look for hot groups) unless sizes are given, so store what is costly to compute.
+
     Rows with equal order values come in a fixed but arbitrary order. A lit(1) total is the row position.
     """
     keys, order = list(keys), _order_columns(order)
-    cold, hot, rows = split_hot(df, keys, limit)
+    cold, hot, rows = split_hot(df, keys, limit, sizes)
     parts = []
     if cold is not None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -97,6 +101,7 @@ def look_back(
     rows_back: int,
     rows_ahead: int = 0,
     limit: int = GROUP_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Append window columns whose frames reach at most rows_back before and rows_ahead after the row.
 
@@ -104,7 +109,7 @@ def look_back(
     neighbouring rows its frames can reach; the copies are dropped after the window ran.
     """
     keys, order = list(keys), _order_columns(order)
-    cold, hot, rows = split_hot(df, keys, limit)
+    cold, hot, rows = split_hot(df, keys, limit, sizes)
     parts = []
     if cold is not None:
         parts.append(cold.select("*", *columns(Window.partitionBy(*keys).orderBy(*order))))

@@ -10,8 +10,10 @@ rank. A poor sample makes those ranges wider, never the answer wrong.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_, or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +21,9 @@ from gleaner.plans.lookup import lookup
 from gleaner.plans.ordered import GROUP_ROWS, running_totals, split_hot
 from gleaner.plans.tables import null_safe_join, written
 
-SAMPLE_ROWS = 200_000
+SAMPLE_ROWS = 500_000
+CUT_MARGIN = 0.0025  # several standard errors of a sample quantile
+COLUMNS_PER_METHOD = 8
 DISCRETE = "discrete"
 LINEAR = "linear"
 
@@ -80,49 +84,78 @@ def _values_directly(wide: DataFrame, ranks: dict[str, list[int]], totals: dict[
 
 def _proposed_cuts(wide: DataFrame, columns: list[str], probs: list[float], rows: int) -> dict[str, list[float]]:
     """Cut points a little below and above each quantile of a sample."""
-    edges = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-0.005, 0.005)})
+    edges = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-CUT_MARGIN, CUT_MARGIN)})
     asked = F.array(*[F.lit(p) for p in edges])
     sample = wide.sample(min(1.0, SAMPLE_ROWS / rows), seed=7)
     row = sample.agg(*[F.percentile_approx(c, asked, 10_000).alias(c) for c in columns]).first()
     return {c: sorted({v for v in row[c] or [] if not math.isnan(v)}) for c in columns}
 
 
+def _bucket(c: str, cuts: list[float]) -> Column:
+    """Number of cuts at or below the value."""
+    case = F.when(F.col(c).isNull(), None)
+    for i, cut in enumerate(cuts):
+        case = case.when(F.col(c) < F.lit(cut), i)
+    return case.otherwise(len(cuts)).cast("int")
+
+
+def _inside(c: str, cuts: list[float], bucket: int) -> Column:
+    """Whether a value lies in one bucket."""
+    tests = [F.col(c) >= F.lit(cuts[bucket - 1])] if bucket else []
+    tests += [F.col(c) < F.lit(cuts[bucket])] if bucket < len(cuts) else []
+    return reduce(and_, tests, F.lit(True))
+
+
+def _bucket_sizes(wide: DataFrame, columns: list[str], cuts: dict[str, list[float]]) -> dict[str, dict[int, int]]:
+    """Rows per column and bucket.
+
+    Column and bucket share one integer, the cheapest key to group by. A few columns go into
+    one generated method, since a long one is not compiled; each group reads only its columns.
+    """
+    stride = max((len(v) for v in cuts.values()), default=0) + 1
+    parts = []
+    for at in range(0, len(columns), COLUMNS_PER_METHOD):
+        some = list(enumerate(columns))[at : at + COLUMNS_PER_METHOD]
+        numbered = wide.select(*[(_bucket(c, cuts[c]) + i * stride).alias(c) for i, c in some])
+        long = numbered.unpivot([], [c for _, c in some], "feature", "place").filter(F.col("place").isNotNull())
+        parts.append(long.groupBy("place").count())
+    sizes: dict[str, dict[int, int]] = {}
+    for r in reduce(DataFrame.unionByName, parts).collect():  # one row per column and bucket
+        sizes.setdefault(columns[r["place"] // stride], {})[r["place"] % stride] = r["count"]
+    return sizes
+
+
 def _values_in_buckets(
     wide: DataFrame, columns: list[str], probs: list[float], kind: str, rows: int, limit: int
 ) -> tuple[dict[str, int], dict[str, dict[int, float]]]:
     """Row counts and {column: {rank: value}}: count rows between cut points, then rank only ranges with a wanted rank."""
     spark = wide.sparkSession
     cuts = _proposed_cuts(wide, columns, probs, rows)
-
-    # bucket 2i holds values between cuts, 2i+1 the values equal to cut i: a heavy value stays apart
-    def bucket(c):
-        case = F.when(F.col(c).isNull(), None)
-        for i, cut in enumerate(cuts[c]):
-            case = case.when(F.col(c) < F.lit(cut), 2 * i).when(F.col(c) == F.lit(cut), 2 * i + 1)
-        return case.otherwise(2 * len(cuts[c])).cast("int")
-
-    tagged = wide.select(*[F.struct(F.col(c).alias("x"), bucket(c).alias("bucket")).alias(c) for c in columns])
-    long = tagged.unpivot([], columns, "feature", "v").select("feature", "v.x", "v.bucket").filter("bucket is not null")
-    counted: dict[str, list[tuple[int, int]]] = {}
-    for r in long.groupBy("feature", "bucket").agg(F.count(F.lit(1)).alias("n")).collect():
-        counted.setdefault(r["feature"], []).append((r["bucket"], r["n"]))
-
-    totals = {c: sum(n for _, n in parts) for c, parts in counted.items()}
+    sizes = _bucket_sizes(wide, columns, cuts)
+    totals = {c: sum(parts.values()) for c, parts in sizes.items()}
     ranks = _wanted_ranks(totals, probs, kind)
-    wanted = []
-    for c, parts in counted.items():
-        before = 0
-        for b, n in sorted(parts):
-            wanted += [(c, b, r, r - before) for r in ranks[c] if before < r <= before + n]
+    marks, kept = [], {}
+    for c, parts in sizes.items():
+        before = skipped = 0
+        for b, n in sorted(parts.items()):
+            hits = [r for r in ranks[c] if before < r <= before + n]
+            if hits:
+                kept.setdefault(c, []).append(_inside(c, cuts[c], b))
+                marks += [(c, r, r - skipped) for r in hits]  # rank among the kept values
+            else:
+                skipped += n
             before += n
-    marks = spark.createDataFrame(wanted, "feature string, bucket int, rank bigint, inner_rank bigint")
+    if not marks:
+        return totals, {}
+    near = wide.select(*[F.when(reduce(or_, tests), F.col(c)).alias(c) for c, tests in kept.items()])
+    long = near.unpivot([], list(kept), "feature", "x").filter(F.col("x").isNotNull())
+    values = written(long.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n")))
+    placed = running_totals(values, ["feature"], ["x"], {"upto": F.col("n")}, limit)
     # at most two marks per column and probability, so they can be broadcast
-    kept = long.join(F.broadcast(marks.select("feature", "bucket").distinct()), ["feature", "bucket"], "left_semi")
-    counts = written(kept.groupBy("feature", "bucket", "x").agg(F.count(F.lit(1)).alias("n")))
-    placed = running_totals(counts, ["feature", "bucket"], ["x"], {"upto": F.col("n")}, limit)
+    wanted = spark.createDataFrame(marks, "feature string, rank bigint, kept_rank bigint")
     found = (
-        placed.join(F.broadcast(marks), ["feature", "bucket"])
-        .filter((F.col("inner_rank") <= F.col("upto")) & (F.col("inner_rank") > F.col("upto") - F.col("n")))
+        placed.join(F.broadcast(wanted), "feature")
+        .filter((F.col("kept_rank") <= F.col("upto")) & (F.col("kept_rank") > F.col("upto") - F.col("n")))
         .select("feature", "rank", "x")
         .collect()
     )
