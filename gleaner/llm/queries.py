@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm.common import LOWER, UPPER, table
 from gleaner.llm.decontaminate import contamination
+from gleaner.llm.packing import pack
+from gleaner.llm.token_counts import token_counts
+from gleaner.plans.tables import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,3 +53,14 @@ FROM d LEFT JOIN cover USING (r) LEFT JOIN items USING (r)
 @query("op2_benchmark_decontamination", DECONTAMINATE_SQL)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op8_best_fit_packing")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"))
+
+
+@query("op9_token_counts")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """With a cache of its own for each call, so that all distinct texts are encoded; a pipeline passes a lasting one."""
+    return token_counts(table(spark, folder, "documents"), f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}")
