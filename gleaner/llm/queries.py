@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm.common import LOWER, UPPER, table
 from gleaner.llm.decontaminate import contamination
+from gleaner.llm.jaccard import jaccard_components
 from gleaner.llm.packing import pack
 from gleaner.llm.token_counts import token_counts
 from gleaner.plans.tables import shared_folder
@@ -64,3 +65,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """With a cache of its own for each call, so that all distinct texts are encoded; a pipeline passes a lasting one."""
     return token_counts(table(spark, folder, "documents"), f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}")
+
+
+@query("op10_ngram_jaccard_join")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_components(table(spark, folder, "documents"))
