@@ -11,6 +11,7 @@ from gleaner.llm.common import LOWER, UPPER, table
 from gleaner.llm.decontaminate import contamination
 from gleaner.llm.jaccard import jaccard_components
 from gleaner.llm.packing import pack
+from gleaner.llm.secrets import MORE_RULES, report
 from gleaner.llm.token_counts import token_counts
 from gleaner.plans.tables import shared_folder
 
@@ -70,3 +71,50 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_ngram_jaccard_join")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(table(spark, folder, "documents"))
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+def sql_spans(rules: list[tuple[str, str, int, str]]) -> str:
+    """CTEs d (r, doc_id, t) and span (r, k, kind, s, e): matches, leftmost and not overlapping, that pass a test.
+
+    rules: kind, pattern, group, and the test on that group as `v` and the match as `x`. A match and the gap before
+    it are taken together, so places follow from lengths.
+    """
+    found = " UNION ALL ".join(
+        f"""SELECT r, {k} AS k, '{kind}' AS kind, regexp_extract_all(t, '(?s)(.*?)({p})', 1) AS g,
+        regexp_extract_all(t, '(?s)(.*?)({p})', 2) AS xs, regexp_extract_all(t, '(?s)(.*?)({p})', {group + 2}) AS vs FROM d"""
+        for k, (kind, pattern, group, _) in enumerate(rules)
+        for p in [pattern.replace("'", "''")]
+    )
+    tests = " OR ".join(f"(k = {k} AND {test})" for k, (_, _, _, test) in enumerate(rules))
+    return f"""d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({found}),
+placed AS (SELECT r, k, kind, g, xs, vs, unnest(range(1, len(xs) + 1)) AS i FROM found WHERE len(xs) > 0),
+match AS (SELECT r, k, kind, xs[i] AS x, vs[i] AS v, CAST(list_sum(list_transform(g[1:i], lambda a: length(a)))
+  + coalesce(list_sum(list_transform(xs[1:i - 1], lambda a: length(a))), 0) AS BIGINT) AS s FROM placed),
+span AS (SELECT r, k, kind, s, s + length(x) AS e FROM match WHERE {tests})"""
+
+
+def sql_report(kinds: list[str], base: int) -> str:
+    """Counts per base kind, the digest of base spans, and all spans, per document."""
+    counts = ", ".join(f"coalesce(sum(CASE WHEN kind = '{kind}' THEN 1 END), 0)::BIGINT AS n_{kind}" for kind in kinds[:base])
+    joined = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k)"
+    return f"""SELECT any_value(doc_id) AS doc_id, {counts},
+  sha256(coalesce({joined} FILTER (WHERE k < {base}), '')) AS base_sha256, coalesce({joined}, '') AS spans
+FROM d LEFT JOIN span USING (r) GROUP BY r"""
+
+
+_KEYS = "|".join(map(_either_case, ("password", "passwd", "secret", "token"))) + "|" + _either_case("api") + "_?" + _either_case("key")
+SECRET_SQL_RULES = [
+    ("assign", rf"""({_KEYS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, "length(v) >= 12"),
+    ("access", "AKIA[A-Z0-9]+", 0, "length(v) >= 18"),
+    ("hex", "[0-9a-f]+", 0, "length(v) >= 16"),
+] + [(r.kind, r.pattern, r.group, f"length(v) >= {r.least}") for r in MORE_RULES]
+
+
+@query("op4_secret_scan", f"WITH {sql_spans(SECRET_SQL_RULES)} {sql_report([r[0] for r in SECRET_SQL_RULES], 3)}")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return report(table(spark, folder, "documents"))
