@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleaner.llm import toxicity
 from gleaner.llm.common import LOWER, UPPER, table
 from gleaner.llm.decontaminate import contamination
 from gleaner.llm.jaccard import jaccard_components
@@ -118,3 +119,9 @@ SECRET_SQL_RULES = [
 @query("op4_secret_scan", f"WITH {sql_spans(SECRET_SQL_RULES)} {sql_report([r[0] for r in SECRET_SQL_RULES], 3)}")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return report(table(spark, folder, "documents"))
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
