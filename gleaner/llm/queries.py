@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import toxicity
+from gleaner.llm import pii, toxicity
 from gleaner.llm.common import LOWER, UPPER, table
 from gleaner.llm.decontaminate import contamination
 from gleaner.llm.jaccard import jaccard_components
@@ -125,3 +125,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
+@query("op5_personal_data")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.report(table(spark, folder, "documents"))
