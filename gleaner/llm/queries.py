@@ -7,9 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import pii, toxicity
+from gleaner.llm import html_text, pii, toxicity, url_filter
 from gleaner.llm.common import LOWER, UPPER, table
 from gleaner.llm.decontaminate import contamination
+from gleaner.llm.exact_search import top_k
 from gleaner.llm.jaccard import jaccard_components
 from gleaner.llm.packing import pack
 from gleaner.llm.secrets import MORE_RULES, report
@@ -130,3 +131,69 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_personal_data")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return pii.report(table(spark, folder, "documents"))
+
+
+SEARCH_SQL = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r AS r, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM
+  (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+
+@query("op3_exact_top_k_search", SEARCH_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k(table(spark, folder, "embeddings"))
+
+
+def _url_sql() -> str:
+    """Rules and rounds of trust as in url_filter, a round per table expression."""
+    d, rules = url_filter.DAMPING, url_filter.RULES
+    listed = ", ".join(f"('{v}', '{r}', '{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}')" for v, r in rules)
+    rounds = ""
+    for k in range(1, url_filter.ROUNDS + 1):
+        before = "SELECT host, kind, seed AS score FROM start" + (f" UNION ALL SELECT * FROM got{k - 1}" if k > 1 else "")
+        rounds += f""",
+got{k} AS MATERIALIZED (SELECT w.b AS host, w.kind AS kind, sum(s.score * w.w) * {d} AS score
+  FROM (SELECT host, kind, sum(score) AS score FROM ({before}) GROUP BY host, kind) s JOIN ways w ON s.host = w.a AND s.kind = w.kind
+  GROUP BY w.b, w.kind)"""
+    low = f"translate(%s, '{UPPER}', '{LOWER}')"
+    rest = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END"
+    return rf"""
+WITH p AS (SELECT row_number() OVER () AS r, page_id, html, coalesce({rest}, '') AS rest FROM pages),
+h AS (SELECT r, page_id, html, {low % "regexp_extract(rest, '^[^/?#]*')"} AS host,
+  regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM p),
+rules(verdict, rule, domain, prefix) AS (VALUES {listed}),
+target AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''),
+  '(?i)\bhref\s*=\s*["'']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^/?#"''\s>]+)', 1)) AS t FROM h WHERE host <> ''),
+pairs AS (SELECT src, {low % "regexp_extract(t, '//(.*)$', 1)"} AS dst FROM target),
+links AS (SELECT src, dst, count(*) AS links FROM pairs WHERE dst <> '' AND dst <> src GROUP BY src, dst),
+hosts AS (SELECT host FROM h UNION SELECT dst FROM links),
+whole AS (SELECT host, verdict FROM (SELECT host, verdict, row_number() OVER
+  (PARTITION BY host ORDER BY length(rule) DESC, length(domain) DESC, verdict DESC) AS k
+  FROM hosts JOIN rules ON (host = domain OR ends_with(host, '.' || domain)) AND prefix = '/') WHERE k = 1),
+start AS (SELECT host, CASE verdict WHEN 'allow' THEN 0 ELSE 1 END AS kind, {1 - d} AS seed FROM whole),
+ways AS (SELECT src AS a, dst AS b, links / sum(links) OVER (PARTITION BY src) AS w, 0 AS kind FROM links
+  UNION ALL SELECT dst, src, links / sum(links) OVER (PARTITION BY dst), 1 FROM links){rounds},
+score AS (SELECT host, round(sum(CASE kind WHEN 0 THEN score ELSE 0 END), 9) AS trust,
+  round(sum(CASE kind WHEN 1 THEN score ELSE 0 END), 9) AS distrust FROM got{url_filter.ROUNDS} GROUP BY host),
+fit AS (SELECT r, rule, verdict FROM (SELECT r, rule, verdict, row_number() OVER
+  (PARTITION BY r ORDER BY length(rule) DESC, length(domain) DESC, verdict DESC) AS k
+  FROM h JOIN rules ON (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, prefix)) WHERE k = 1)
+SELECT page_id, h.host AS host, path, rule, coalesce(verdict, CASE WHEN distrust >= {url_filter.LEAST_DISTRUST}
+  AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict
+FROM h LEFT JOIN fit USING (r) LEFT JOIN score ON score.host = h.host
+"""
+
+
+@query("op6_url_filter", _url_sql())
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(table(spark, folder, "pages"))
+
+
+@query("op7_html_extraction")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"))
