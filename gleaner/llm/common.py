@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleaner.plans.tables import written
 
@@ -67,3 +68,22 @@ def in_batches(df: DataFrame, make: Callable[[], Callable[[list], Iterable]], sc
                     yield pa.RecordBatch.from_arrays(made, [n for n, _ in fields])
 
     return df.mapInArrow(run, shape)
+
+
+def append(df: DataFrame, inputs: list[str], make: Callable[[], Callable[[list], Iterable]], schema: str) -> DataFrame:
+    """df with new columns made from some of its own, as in in_batches; all others pass through untouched."""
+    new = df.sparkSession.createDataFrame([], schema).schema
+    fields = [(f.name, f.dataType) for f in new.fields]
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        work = make()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2000):
+                piece = batch.slice(start, 2000)
+                out = work(*[piece.column(c).to_pylist() for c in inputs])
+                made = [pa.array(v, to_arrow_type(t)) for v, (_, t) in zip(out, fields, strict=True)]
+                yield pa.RecordBatch.from_arrays([*piece.columns, *made], [*piece.schema.names, *(n for n, _ in fields)])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *new.fields]))

@@ -112,13 +112,8 @@ def near_matches(index: DataFrame, anchors: DataFrame, slop: int) -> DataFrame:
     return per_text.join(spots, "item").filter(near).select("key", "item")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id") -> DataFrame:
-    """Per row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated.
-
-    docs needs id_col and text, benchmark item_id and text; other columns are not looked at. A null text has no
-    words and no hits. Rows with equal or null ids each get a row. Items without an id hit words but are not listed.
-    """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col("text"))
+def found_windows(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, int]:
+    """(key, found) of texts with candidate windows of benchmark items, written, and its size in bytes."""
     windows = written(item_windows(benchmark, window))
     terms, terms_size = sized(windows.select(F.explode("words").alias("term")).distinct(), F.length("term") + 24)
     counts = written(corpus_counts(docs, terms, terms_size))
@@ -127,30 +122,47 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
         anchors.select(F.explode(F.array("first.term", "second.term")).alias("term")).distinct(), F.length("term") + 24
     )
     index = build_index(docs, rare, rare_size)
-
     items = windows.select("item", "item_id", "words").distinct()
     found = phrase_candidates(index, anchors).join(items, "item")
     per_text = found.groupBy("key").agg(F.collect_list(F.struct("item_id", "words", "shift", "spots")).alias("found"))
-    stored, size = sized(per_text, F.length(F.to_json("found")))
+    return sized(per_text, F.length(F.to_json("found")))
 
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id") -> DataFrame:
+    """Per row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    docs needs id_col and text, benchmark item_id and text; other columns are not looked at. A null text has no
+    words and no hits. Rows with equal or null ids each get a row. Items without an id hit words but are not listed.
+    """
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col("text"))
+    stored, size = found_windows(docs, benchmark, window)
     rows = docs.withColumn("key", text_key(F.col("text")))
     own = attach(rows, stored, size, ["key"]).select("doc_id", "found", words_of(F.col("text")).alias("own"))
-    return own.select("doc_id", F.size("own").cast("bigint").alias("n_words"), _exact().alias("exact")).select(
-        "doc_id", "n_words", *_summary(F.col("exact"))
-    )
+    return own.select(
+        "doc_id", F.size("own").cast("bigint").alias("n_words"), _exact(F.col("found"), F.col("own")).alias("exact")
+    ).select("doc_id", "n_words", *_summary(F.col("exact")))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs, with all their columns, in whose text no window of a benchmark item stands."""
+    stored, size = found_windows(docs.select("text"), benchmark, window)
+    stored = stored.select(F.col("key").alias("__key"), F.col("found").alias("__found"))
+    rows = attach(docs.withColumn("__key", text_key(F.col("text"))), stored, size, ["__key"])
+    hit = F.size(_exact(F.col("__found"), words_of(F.col("text")))) > 0
+    return rows.filter(F.col("__found").isNull() | ~hit).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def _exact() -> Column:
+def _exact(found: Column, own: Column) -> Column:
     """The windows that really stand in the text: (item_id, start, n)."""
 
     def of_item(f):
         same = F.filter(
             f["spots"],
-            lambda w: F.slice(F.col("own"), f["shift"] + w["at"] + 1, w["n"]) == F.slice(f["words"], w["at"] + 1, w["n"]),
+            lambda w: F.slice(own, f["shift"] + w["at"] + 1, w["n"]) == F.slice(f["words"], w["at"] + 1, w["n"]),
         )
         return F.transform(same, lambda w: F.struct(f["item_id"].alias("item_id"), (f["shift"] + w["at"]).alias("start"), w["n"].alias("n")))
 
-    return F.flatten(F.transform(F.coalesce(F.col("found"), F.array()), of_item))
+    return F.flatten(F.transform(F.coalesce(found, F.array()), of_item))
 
 
 def _summary(exact: Column) -> list[Column]:

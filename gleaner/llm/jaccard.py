@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import attach, in_batches, sized
+from gleaner.llm.common import attach, in_batches, sized, text_key
 from gleaner.llm.components import components
 from gleaner.plans.tables import written
 
@@ -34,6 +34,7 @@ PIVOTS = 12  # of a region in Spark
 SPARE = 2  # parts beyond those needed, so that a set may leave out that many empty ones
 CLASS_RATIO = 1.3
 KNOWN_WORDS = 1_000_000
+MARKS_HELD = 2_000_000  # marks that a task ties at once
 
 # ---------------------------------------------------------------- sets and parts
 
@@ -119,24 +120,79 @@ def _key(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
+def _stars(marks: np.ndarray, nodes: np.ndarray):
+    """(marks, their smallest nodes) and the edges from other nodes of a mark to it, each once."""
+    order = np.lexsort((nodes, marks))
+    marks, nodes = marks[order], nodes[order]
+    first = np.concatenate([[True], marks[1:] != marks[:-1]])
+    hubs = nodes[first][np.cumsum(first) - 1]
+    away = nodes != hubs
+    a, b = nodes[away], hubs[away]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, bool)
+    return marks[first], nodes[first], a[new], b[new]
+
+
+DESCRIBED = "doc_id bigint, key binary, n_shingles bigint, set_key binary, node bigint, mark bigint, hub bigint"
+
+
+def _columns(n: int, **given) -> pa.RecordBatch:
+    """Rows of DESCRIBED with the given columns, the others null."""
+    types = {"doc_id": pa.int64(), "key": pa.binary(), "n_shingles": pa.int64(), "set_key": pa.binary(), "node": pa.int64(), "mark": pa.int64(), "hub": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array(given[k], t) if k in given else pa.nulls(n, t) for k, t in types.items()], list(types))
+
+
 def _describe(q: int, num: int, den: int):
-    def make():
+    """Rows of three kinds: documents; (mark, hub), a part's content and a set that has it; edges (node, hub).
+
+    Sets of one task that share a mark are tied by edges at once, so a mark leaves a task with one set only, and
+    a content that very many sets share costs no more rows than there are tasks.
+    """
+
+    def run(batches):
         shingles = shingler(q)
+        marks: list[np.ndarray] = []
+        nodes: list[np.ndarray] = []
+        held = 0
+
+        def tied():
+            m, h, a, b = _stars(np.concatenate(marks).view(np.int64), np.concatenate(nodes))
+            yield _columns(len(m), mark=m, hub=h)
+            if len(a):
+                yield _columns(len(a), node=a, hub=b)
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2000):
+                doc_ids, keys, texts = (c.to_pylist() for c in batch.slice(start, 2000).columns)
+                sizes, set_keys, own = [], [], []
+                for text in texts:
+                    s = shingles(text)
+                    set_keys.append(_key(s) if len(s) else None)
+                    sizes.append(len(s))
+                    own.append(int.from_bytes(set_keys[-1][:8], "big", signed=True) if len(s) else None)
+                    if len(s):
+                        marks.append(signatures(s, num, den))
+                        nodes.append(np.full(len(marks[-1]), own[-1], np.int64))
+                        held += len(marks[-1])
+                yield _columns(len(texts), doc_id=doc_ids, key=keys, n_shingles=sizes, set_key=set_keys, node=own)
+                if held > MARKS_HELD:
+                    yield from tied()
+                    marks, nodes, held = [], [], 0
+        if held:
+            yield from tied()
 
-        def rows(doc_ids, texts):
-            sizes, keys, nodes, marks = [], [], [], []
-            for text in texts:
-                s = shingles(text)
-                key = _key(s) if len(s) else None
-                sizes.append(len(s))
-                keys.append(key)
-                nodes.append(int.from_bytes(key[:8], "big", signed=True) if key else None)
-                marks.append(signatures(s, num, den).view(np.int64) if len(s) else [])
-            return doc_ids, sizes, keys, nodes, marks
+    return run
 
-        return rows
 
-    return make
+def _tie_hubs(batches):
+    """Edges between the sets that tasks sent for one mark; all rows of a mark are in one partition."""
+    pairs = [(x.column("mark").to_numpy(), x.column("hub").to_numpy()) for x in batches]
+    if not pairs:
+        return
+    _, _, a, b = _stars(np.concatenate([m for m, _ in pairs]), np.concatenate([h for _, h in pairs]))
+    if len(a):
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def _sets(q: int):
@@ -406,35 +462,20 @@ def _large_regions(members: DataFrame, num: int, den: int, block_sets: int, bloc
 # ---------------------------------------------------------------- the join
 
 
-def coarse_regions(rows: DataFrame) -> DataFrame:
+def coarse_regions(described: DataFrame) -> DataFrame:
     """(node, region): components of sets that agree on a part; sets that agree with no other are left out."""
-    marks = rows.select(F.explode("signatures").alias("mark"), "node").distinct()
-    hubs = marks.groupBy("mark").agg(F.min("node").alias("b"), F.max("node").alias("last")).filter(F.col("b") < F.col("last"))
-    edges = marks.join(hubs.select("mark", "b"), "mark").filter(F.col("node") != F.col("b"))
-    return components(edges.select(F.col("node").alias("a"), "b").distinct()).withColumnRenamed("root", "region")
+    marks = described.filter(F.col("mark").isNotNull()).select("mark", "hub").repartition("mark")
+    inside = described.filter(F.col("mark").isNull() & F.col("hub").isNotNull()).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    return components(marks.mapInArrow(_tie_hubs, "a bigint, b bigint").union(inside).distinct()).withColumnRenamed("root", "region")
 
 
-def jaccard_components(
-    docs: DataFrame,
-    q: int = 3,
-    percent: int = 90,
-    id_col: str = "doc_id",
-    region_sets: int = REGION_SETS,
-    region_shingles: int = REGION_SHINGLES,
-) -> DataFrame:
-    """Per row of docs: id, n_shingles, component_id.
-
-    Two documents are linked when 100 * shared shingles >= percent * shingles of either. component_id is the
-    smallest id reachable by links. A text without words, or null, has no shingles and no link: it is its own
-    component. Copies and rows with repeated ids are joined like any others; a null id names no component
-    unless it is the only kind of id there. Shingles are compared by 64-bit hashes. Only id_col and text are read.
-    """
+def set_components(docs: DataFrame, q: int, percent: int, region_sets: int, region_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, key of the text, n_shingles, set_key), and (set_key, root, component_id) of every set."""
     num, den = percent, 100
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col("text"))
-    rows = written(
-        in_batches(docs, _describe(q, num, den), "doc_id bigint, n_shingles bigint, set_key binary, node bigint, signatures array<bigint>")
-    )
-    regions, regions_size = sized(coarse_regions(rows), 40)
+    texts = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text")
+    described = written(texts.mapInArrow(_describe(q, num, den), DESCRIBED))
+    rows = described.filter(F.col("n_shingles").isNotNull()).select("doc_id", "key", "n_shingles", "set_key")
+    regions, regions_size = sized(coarse_regions(described), 40)
 
     sets = in_batches(docs.select("text"), _sets(q), "set_key binary, node bigint, n bigint, shingles binary")
     inside = attach(sets, regions, regions_size, ["node"], "inner")
@@ -457,6 +498,52 @@ def jaccard_components(
     named = firsts.join(roots, firsts.set_key == roots.node, "left").select("set_key", "first", F.coalesce("root", "set_key").alias("root"))
     named = written(named)
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    known, known_size = sized(named.join(lowest, "root").select("set_key", "component_id"), 50)
+    return rows, named.join(lowest, "root").select("set_key", "root", "component_id")
+
+
+def jaccard_components(
+    docs: DataFrame,
+    q: int = 3,
+    percent: int = 90,
+    id_col: str = "doc_id",
+    region_sets: int = REGION_SETS,
+    region_shingles: int = REGION_SHINGLES,
+) -> DataFrame:
+    """Per row of docs: id, n_shingles, component_id.
+
+    Two documents are linked when 100 * shared shingles >= percent * shingles of either. component_id is the
+    smallest id reachable by links. A text without words, or null, has no shingles and no link: it is its own
+    component. Copies and rows with repeated ids are joined like any others; a null id names no component
+    unless it is the only kind of id there. Shingles are compared by 64-bit hashes. Only id_col and text are read.
+    """
+    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col("text"))
+    rows, sets = set_components(docs, q, percent, region_sets, region_shingles)
+    known, known_size = sized(sets.select("set_key", "component_id"), 50)
     out = attach(rows.select("doc_id", "n_shingles", "set_key"), known, known_size, ["set_key"])
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, q: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
+    """docs with one row of each component, all columns kept: the one of the smallest id that is not null.
+
+    Of rows with that id the smallest text digest decides, and of rows equal in both any one. Texts without words
+    all stay.
+    """
+    ids = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col("text"))
+    rows, sets = set_components(ids, q, percent, REGION_SETS, REGION_SHINGLES)
+    known, known_size = sized(sets.select("set_key", "root"), 60)
+    placed = attach(rows.filter("n_shingles > 0"), known, known_size, ["set_key"], "inner")
+    mine = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "key")
+    placed = placed.groupBy("root", "key", mine.alias("mine")).agg(F.count(F.lit(1)).alias("n"))
+    best = placed.groupBy("root").agg(F.min("mine").alias("best"), F.sum("n").alias("rows")).filter("rows > 1")
+    grouped = written(placed.join(best, "root").select("root", "key", "mine", "best", "n"))
+    texts, size = sized(grouped.select(F.col("key").alias("__key"), F.col("root").alias("__root"), F.col("best").alias("__best")).distinct(), 120)
+    joined = attach(docs.withColumn("__key", text_key(F.col("text"))), texts, size, ["__key"])
+    own = F.struct(F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(2**63 - 1)).alias("id"), F.col("__key").alias("key"))
+    kept = joined.filter(F.col("__best").isNull() | (own == F.col("__best")))
+    # rows that repeat in id and text are told apart by nothing, so one of them is taken
+    twice, twice_size = sized(grouped.filter("mine = best AND n > 1").select(F.col("root").alias("__root")).distinct(), 32)
+    if twice_size:
+        single = attach(kept, twice, twice_size, ["__root"], "left_anti")
+        kept = single.unionByName(attach(kept, twice, twice_size, ["__root"], "left_semi").dropDuplicates(["__root"]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -14,7 +14,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import LOWER, UPPER, ascii_lower, attach, in_batches, sized, text_key
+from gleaner.llm.common import LOWER, UPPER, append, ascii_lower, attach, in_batches, sized, text_key
 from gleaner.plans.tables import written
 
 NEIGHBOURS = 8  # words on either side of a mention that count as its context
@@ -192,14 +192,11 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     Where spans overlap, the first one's mask stands for all.
     """
-    names = [c for c in docs.columns if c != "text"]
     rows = with_terms(docs)
-    kept = F.struct(*[F.col(f"`{c}`") for c in names])
-    shape = f"struct<{','.join(f'`{c}`:{docs.schema[c].dataType.simpleString()}' for c in names)}>"
 
     def make():
         mask = _masked()
-        return lambda others, texts, told: (others, mask(texts, told))
+        return lambda texts, told: (mask(texts, told),)
 
-    made = in_batches(rows.select(kept.alias("others"), "text", F.col("__told")), make, f"others {shape}, text string")
-    return made.select(*[F.col("text") if c == "text" else F.col("others").getField(c).alias(c) for c in docs.columns])
+    made = append(rows, ["text", "__told"], make, "__masked string")
+    return made.select(*[F.col("__masked").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import in_batches
+from gleaner.llm.common import append, in_batches
 from gleaner.plans.tables import written
 
 TRAIN_ROWS = 20_000  # labelled rows, about, that lexicon and model are fitted on
@@ -375,16 +375,16 @@ def _scorer(model: Model):
         matcher, memory = Matcher(model.lexicon), {}
         weights = np.array(model.coefficients)
 
-        def score(doc_ids, outs, texts):
+        def scored(texts):
             x = []
             for text in texts:
                 met = meetings(text or "", matcher, memory)
                 x.append(features(met, len(WORD.findall(text)) if met else 0, model.neighbours) + [1.0])
             scores = 1 / (1 + np.exp(-np.clip(np.array(x).reshape(-1, FEATURES + 1) @ weights, -30, 30)))
             scores = [round(s, 9) for s in scores.tolist()]
-            return doc_ids, outs, scores, [int(s >= 0.5) for s in scores]
+            return scores, [int(s >= 0.5) for s in scores]
 
-        return score
+        return scored
 
     return make
 
@@ -395,4 +395,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     A null or empty text has the score of a text that meets nothing. Only id_col, for held_out, and text are read.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), "text")
-    return in_batches(rows, _scorer(model), "doc_id bigint, held_out boolean, score double, predicted int")
+    return append(rows, ["text"], _scorer(model), "score double, predicted int").drop("text")
+
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, with all their columns, whose text is not predicted to be toxic."""
+    made = append(docs, ["text"], _scorer(model), "__score double, __predicted int")
+    return made.filter("__predicted = 0").drop("__score", "__predicted")
