@@ -71,7 +71,7 @@ def shingler(q: int):
         h = np.fromiter(map(word, words), np.uint64, len(words))
         n = len(words) - q + 1
         if n < 1:
-            return _mix((h * factors[: len(h)]).sum(dtype=np.uint64, keepdims=True) + factors[q] * np.uint64(len(h)))
+            return _mix((h * factors[: len(h)]).sum(dtype=np.uint64, keepdims=True) + factors[q : q + 1] * np.uint64(len(h)))
         total = h[:n] * factors[0]
         for i in range(1, q):
             total += h[i : i + n] * factors[i]
