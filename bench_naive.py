@@ -33,7 +33,7 @@ def microsegments_per_batch(spark, d):
     combos = [
         c
         for depth in (2, 3)
-        for c in combinations(range(min(len(top), max(15, 18 - 10 * (depth - 2)))), depth)
+        for c in combinations(range(len(top)), depth)
         if len({top[i][0].feature for i in c}) == depth
     ]
     for at in range(0, len(combos), 50):

@@ -1,16 +1,17 @@
 """Microsegments: combinations of conditions that lift the target more than each one alone.
 
-One scan serves all depths. Spark evaluates every condition in generated code and packs
-the answers of a row into a few integers. Each task turns its rows into one bitmap per
-condition, so a combination is an AND of bitmaps and a bit count: about a byte of work
-per eight rows and condition. A task emits one row per combination, whatever its input.
+Spark evaluates every condition once in generated code, packs the answers of a row into a few integers and
+writes them. Each task turns its rows into one bitmap per condition, so a combination is an AND of bitmaps and a
+bit count: about a byte of work per eight rows and condition. A task emits one row per combination, whatever its
+input. Combinations grow level by level: adding a condition never adds rows, so only those whose every part has
+enough support are counted. Nothing else limits them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations, islice
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,19 +22,29 @@ from gleaner.functions.lift import segment_metrics
 from gleaner.functions.predicates import Condition
 from gleaner.functions.text import fixed
 from gleaner.operators.insights import Goal, conditions_of
+from gleaner.plans.tables import written
 
 WORD = 62  # conditions packed into one integer
-COMBINATIONS_PER_DEPTH = 5000
-MIN_CONDITIONS = 15
-
+COMBINATIONS_PER_JOB = 100_000  # counted at once; a level with more takes several jobs
+DEEPEST = 5
+
+
+def next_level(conditions: list[tuple[Condition, float]], frequent: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
+    """Index tuples one longer, over distinct features, whose every part is among the frequent ones; in order."""
+    known, by_start = set(frequent), {}
+    for c in frequent:
+        by_start.setdefault(c[:-1], []).append(c[-1])
+    feature = [c.feature for c, _ in conditions]
+    grown = (
+        (*start, a, b)
+        for start, last in by_start.items()
+        for a, b in combinations(sorted(last), 2)
+        if feature[a] != feature[b]
+    )
+    return sorted(c for c in grown if all(c[:i] + c[i + 1 :] in known for i in range(len(c) - 2)))
 
-def combinations_at(conditions: list[tuple[Condition, float]], depth: int, top_n: int, cap: int = COMBINATIONS_PER_DEPTH):
-    """The first cap index tuples over distinct features, strongest conditions first; deeper levels use fewer."""
-    usable = conditions[: max(MIN_CONDITIONS, top_n - 10 * (depth - 2))]
-    every = combinations(range(len(usable)), depth)
-    distinct = (c for c in every if len({usable[i][0].feature for i in c}) == depth)
-    return list(islice(distinct, cap))
 
+WORD = 62  # conditions packed into one integer
 
 def _packed(conditions: list[Condition]) -> list[Column]:
     words = [conditions[i : i + WORD] for i in range(0, len(conditions), WORD)]
@@ -78,53 +89,73 @@ def _bitmap_counter(n_conditions: int, combos: list[tuple[int, ...]]):
     return count
 
 
+def _counts(packed: DataFrame, n_conditions: int, combos: list[tuple[int, ...]]) -> DataFrame:
+    partial = packed.mapInArrow(_bitmap_counter(n_conditions, combos), "combo int, n bigint, pos bigint")
+    return partial.groupBy("combo").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+
+
 def combination_counts(
     df: DataFrame, conditions: list[Condition], combos: list[tuple[int, ...]], positive: Column
 ) -> DataFrame:
     """(combo, n, pos): rows and positive rows satisfying all conditions of each combination."""
-    packed = df.select(*_packed(conditions), positive.cast("int").alias("__pos"))
-    partial = packed.mapInArrow(_bitmap_counter(len(conditions), combos), "combo int, n bigint, pos bigint")
-    return partial.groupBy("combo").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    return _counts(df.select(*_packed(conditions), positive.cast("int").alias("__pos")), len(conditions), combos)
+
+
+Counted = tuple[tuple[int, ...], int, int]  # a combination, its rows and its positive rows
+
+
+def counted_levels(
+    df: DataFrame, conditions: list[tuple[Condition, float]], goal: Goal, max_depth: int, min_support: float
+) -> Iterator[tuple[int, list[Counted]]]:
+    """(depth, combinations with enough support) from depth 2 on; each depth is counted once, when asked for.
+
+    The lists follow from the conditions, of which the caller sets the number, never from the rows.
+    """
+    plain, least = [c for c, _ in conditions], max(1, min_support * goal.total)
+    if not plain:
+        return
+    packed = written(df.select(*_packed(plain), goal.positive.cast("int").alias("__pos")))
+
+    def supported(combos: list[tuple[int, ...]]) -> list[Counted]:
+        out = []
+        for at in range(0, len(combos), COMBINATIONS_PER_JOB):
+            part = combos[at : at + COMBINATIONS_PER_JOB]
+            rows = _counts(packed, len(plain), part).filter(F.col("n") >= least).collect()
+            out += sorted((part[r["combo"]], r["n"], r["pos"]) for r in rows)
+        return out
+
+    found = supported([(i,) for i in range(len(plain))])
+    for depth in range(2, max(2, min(max_depth, DEEPEST)) + 1):
+        found = supported(next_level(conditions, [c for c, _, _ in found]))
+        yield depth, found
 
 
 SEGMENT_SCHEMA = (
-    "combo int, depth int, best_single_lift double, "
+    "combo int, depth int, best_single_lift double, n bigint, pos bigint, "
     "conditions array<struct<feature: string, op: string, number: double, text: string>>"
 )
 
 
 def microsegments_of(
-    df: DataFrame, conditions: list[tuple[Condition, float]], combos: list[tuple[int, ...]], goal: Goal, min_support: float
+    spark, conditions: list[tuple[Condition, float]], counted: list[Counted], goal: Goal, first: int = 0
 ) -> DataFrame:
-    """Combinations that keep enough support and beat their best single condition by the margin of their depth."""
-    rows = [
-        (
-            i,
-            len(c),
-            max(conditions[j][1] for j in c),
-            [(conditions[j][0].feature, conditions[j][0].op, conditions[j][0].number, conditions[j][0].text) for j in c],
-        )
-        for i, c in enumerate(combos)
-    ]
-    spark = df.sparkSession
-    described = spark.createDataFrame(rows, SEGMENT_SCHEMA)
-    if not combos:
-        none = spark.createDataFrame([], "combo int, n bigint, pos bigint")
-        counts = none
-    else:
-        counts = combination_counts(df, [c for c, _ in conditions], combos, goal.positive)
+    """Of counted combinations, those that beat their best single condition by the margin of their depth."""
+    base = goal.positives / goal.total if goal.total else 0.0
+    rows = []
+    for i, (c, n, pos) in enumerate(counted, first):
+        best = max(conditions[j][1] for j in c)
+        if pos > 0.99 * n * base * best:  # far from the margin, so rounding cannot matter
+            told = [(conditions[j][0].feature, conditions[j][0].op, conditions[j][0].number, conditions[j][0].text) for j in c]
+            rows.append((i, len(c), best, n, pos, told))
     margin = 1.1 + (F.col("depth") - 2) * 0.05
-    measured = counts.join(F.broadcast(described), "combo").select(  # at most the cap of rows per depth
+    measured = spark.createDataFrame(rows, SEGMENT_SCHEMA).select(
         "combo",
         "depth",
         "conditions",
         "best_single_lift",
         *segment_metrics(F.col("n"), F.col("pos"), goal.total, goal.positives),
     )
-    return measured.filter(
-        (F.col("support_count") >= min_support * goal.total)
-        & (F.col("lift") > F.col("best_single_lift") * margin)
-    )
+    return measured.filter(F.col("lift") > F.col("best_single_lift") * margin)
 
 
 def microsegments(
@@ -133,16 +164,14 @@ def microsegments(
     goal: Goal,
     max_depth: int = 3,
     top_n: int = 50,
-    max_segments: int = 100,
+    max_segments: int | None = None,
     min_support: float = 0.01,
-    cap: int = COMBINATIONS_PER_DEPTH,
 ) -> DataFrame:
-    """The max_segments strongest combinations of 2 to max_depth (itself 2 to 5) of the top_n conditions."""
+    """Combinations of 2 to max_depth (itself 2 to 5) of the top_n strongest conditions, the best max_segments if given."""
     conditions = conditions_of(insights, top_n)
-    depths = range(2, max(2, min(max_depth, 5)) + 1)
-    combos = [c for d in depths for c in combinations_at(conditions, d, top_n, cap)]
-    found = microsegments_of(df, conditions, combos, goal, min_support)
-    return found.orderBy(F.desc("lift"), "combo").limit(max_segments)
+    counted = [c for _, level in counted_levels(df, conditions, goal, max_depth, min_support) for c in level]
+    found = microsegments_of(df.sparkSession, conditions, counted, goal).orderBy(F.desc("lift"), "combo")
+    return found if max_segments is None else found.limit(max_segments)
 
 
 def segment_name() -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 
 from gleaner.operators.insights import Goal, conditions_of
-from gleaner.operators.microsegments import COMBINATIONS_PER_DEPTH, combinations_at, microsegments_of
+from gleaner.operators.microsegments import counted_levels, microsegments_of
 
 
 def microsegments_by_depth(
@@ -17,11 +17,9 @@ def microsegments_by_depth(
     max_depth: int = 3,
     top_n: int = 50,
     min_support: float = 0.01,
-    batch: int = COMBINATIONS_PER_DEPTH,
 ) -> Iterator[tuple[int, DataFrame]]:
-    """Yield (depth, microsegments) lazily, at most batch combinations each, so a caller can show or stop early."""
-    conditions = conditions_of(insights, top_n)
-    for depth in range(2, max(2, min(max_depth, 5)) + 1):
-        combos = combinations_at(conditions, depth, top_n)
-        for at in range(0, len(combos), batch):
-            yield depth, microsegments_of(df, conditions, combos[at : at + batch], goal, min_support)
+    """Yield (depth, microsegments); a depth is counted when it is asked for, so a caller can show or stop early."""
+    conditions, first = conditions_of(insights, top_n), 0
+    for depth, counted in counted_levels(df, conditions, goal, max_depth, min_support):
+        yield depth, microsegments_of(df.sparkSession, conditions, counted, goal, first)
+        first += len(counted)

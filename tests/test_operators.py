@@ -296,19 +296,30 @@ def test_microsegments_against_counting(mined):
     holds = lambda c, r: {">=": lambda v: v >= c.number, "<": lambda v: v < c.number, "=": lambda v: v == c.text, "null": lambda v: v is None}[c.op](r[place[c.feature]])
     base, expected = sum(r[3] for r in rows) / len(rows), {}
     for depth in (2, 3):
-        usable = top[: max(15, 20 - 10 * (depth - 2))]
+        usable = top
         for combo in itertools.combinations(range(len(usable)), depth):
             if len({usable[i][0].feature for i in combo}) < depth:
                 continue
             inside = [r[3] for r in rows if all(holds(usable[i][0], r) for i in combo)]
             if len(inside) >= 0.01 * len(rows) and sum(inside) / len(inside) / base > max(usable[i][1] for i in combo) * (1.1 + 0.05 * (depth - 2)):
                 expected[tuple(usable[i][0] for i in combo)] = len(inside)
-    got = microsegments.microsegments(df, single, goal, 3, 20, 10_000).collect()
+    got = microsegments.microsegments(df, single, goal, 3, 20).collect()
     assert {tuple(Condition(*c) for c in r["conditions"]): r["support_count"] for r in got} == expected and expected
-    steps = list(microsegments_by_depth(df, single, goal, 3, 20, batch=50))
+    steps = list(microsegments_by_depth(df, single, goal, 3, 20))
     assert sum(s.count() for _, s in steps) == len(expected) and [d for d, _ in steps] == sorted(d for d, _ in steps)
 
 
+def test_no_number_of_combinations_is_left_out(spark):
+    """Forty conditions on forty features that all hold everywhere: every combination has full support."""
+    df = spark.createDataFrame([(float(i),) for i in range(50)], "x double")
+    conditions = [(Condition(f"f{i}", ">=", number=0.0), 1.0) for i in range(40)]
+    df = df.select("x", *[(F.col("x") + i).alias(f"f{i}") for i in range(40)])
+    goal = insights.Goal(F.col("x") >= 25, "up", 50, 25)
+    levels = dict(microsegments.counted_levels(df, conditions, goal, 4, 0.01))
+    assert [len(levels[d]) for d in (2, 3, 4)] == [math.comb(40, d) for d in (2, 3, 4)]
+    assert {(n, pos) for level in levels.values() for _, n, pos in level} == {(50, 25)}
+
+
 def test_more_conditions_than_one_word(mined):
     df, rows = mined
     goal = insights.goal_of(df, Problem("y", CLASSIFICATION, 1))
