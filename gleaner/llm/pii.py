@@ -30,6 +30,7 @@ KINDS = ("email", "ip", "card", "phone", "hint", "term")  # the first four by fo
 BASE = 4
 MASKS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[WORD]", "")
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]{3,}"  # letters, and whatever is not ASCII
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"  # what stands between words, terms and shorter ones
 _TERM = re.compile(TERM)
 _LOWER = str.maketrans(UPPER, LOWER)
 
@@ -106,15 +107,21 @@ def disclosing(docs: DataFrame, mentions: DataFrame, generalise: float, remove:
     pairs = mentions.select("entity", "context", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(
         F.count(F.lit(1)).alias("n_te")
     )
-    pairs = written(pairs.filter(F.col("n_te") >= LEAST_CONTEXTS))
-    terms, terms_size = sized(pairs.select("term").distinct(), F.length("term") + 24)
+    pairs = pairs.filter(F.col("n_te") >= LEAST_CONTEXTS)
     texts = docs.select(text_key(F.col("text")).alias("key"), "text").filter(F.col("text").isNotNull())
-    words = texts.select("key", F.explode(F.array_distinct(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0)))).alias("term"))
-    held = attach(words, terms, terms_size, ["term"], "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     total = texts.select("key").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
-    n, n_e, n_t, n_te = total, F.col("n_e"), F.greatest("n_t", "n_te"), F.col("n_te")
-    share = F.round(F.log(n_te * n / (n_t * n_e)) / F.log(n / n_e), 9)
-    counted = pairs.join(held, "term").join(seen, "entity").filter(n > n_e).withColumn("share", share)
+    share = lambda n_t: F.round(
+        F.log(F.col("n_te") * total / (n_t * F.col("n_e"))) / F.log(total / F.col("n_e")), 9
+    )
+    # a term stands in no fewer texts than those that mention someone beside it: most terms reveal too little
+    # by that bound already, so only few are counted in all texts
+    beside = mentions.select("key", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_m"))
+    pairs = pairs.join(seen, "entity").join(beside, "term").filter(total > F.col("n_e"))
+    pairs = written(pairs.filter(share(F.greatest("n_m", "n_te")) >= generalise))
+    terms, terms_size = sized(pairs.select("term").distinct(), F.length("term") + 24)
+    words = texts.select("key", F.explode(F.array_distinct(F.split(ascii_lower(F.col("text")), BETWEEN))).alias("term"))
+    held = attach(words, terms, terms_size, ["term"], "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    counted = pairs.join(held, "term").withColumn("share", share(F.greatest("n_t", "n_te")))
     return counted.filter(F.col("share") >= generalise).select("entity", "term", (F.col("share") >= remove).alias("removed"))
 
 
