@@ -90,19 +90,26 @@ def contexts(text: str) -> list[tuple[int, int, list[str]]]:
 
 
 def _mentions():
+    """A row for each mention, and for each text with mentions one without entity that holds all of its terms."""
+
     def rows(keys, texts):
-        made = [(k, *c) for k, t in zip(keys, texts, strict=True) if t for c in contexts(t)]
+        made = []
+        for key, text in zip(keys, texts, strict=True):
+            if found := contexts(text):
+                made += [(key, *c) for c in found]
+                made.append((key, None, None, sorted({w for w in _TERM.findall(text.translate(_LOWER)) if len(w) <= LONGEST_TERM})))
         return [[m[i] for m in made] for i in range(4)]
 
     return rows
 
 
-def disclosing(docs: DataFrame, mentions: DataFrame, generalise: float, remove: float) -> DataFrame:
+def disclosing(docs: DataFrame, found: DataFrame, generalise: float, remove: float) -> DataFrame:
     """(entity, term, removed): terms whose co-occurrence carries at least `generalise` of the entity's information.
 
     Counts are over all texts, copies counting once: distinct contexts for entities and for pairs, distinct texts
     for terms. Only pairs with LEAST_CONTEXTS contexts are looked at.
     """
+    mentions = found.filter(F.col("entity").isNotNull())
     seen = mentions.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     pairs = mentions.select("entity", "context", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(
         F.count(F.lit(1)).alias("n_te")
@@ -113,9 +120,10 @@ def disclosing(docs: DataFrame, mentions: DataFrame, generalise: float, remove:
     share = lambda n_t: F.round(
         F.log(F.col("n_te") * total / (n_t * F.col("n_e"))) / F.log(total / F.col("n_e")), 9
     )
-    # a term stands in no fewer texts than those that mention someone beside it: most terms reveal too little
-    # by that bound already, so only few are counted in all texts
-    beside = mentions.select("key", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_m"))
+    # a term stands in no fewer texts than those that mention somebody: most terms reveal too little by that bound
+    # already, so only few are counted in all texts
+    beside = found.filter(F.col("entity").isNull()).select("key", F.explode("terms").alias("term")).distinct()
+    beside = beside.groupBy("term").agg(F.count(F.lit(1)).alias("n_m"))
     pairs = pairs.join(seen, "entity").join(beside, "term").filter(total > F.col("n_e"))
     pairs = written(pairs.filter(share(F.greatest("n_m", "n_te")) >= generalise))
     terms, terms_size = sized(pairs.select("term").distinct(), F.length("term") + 24)
@@ -163,9 +171,9 @@ def _masked():
 def with_terms(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """docs with the column told: the disclosing terms of the entities that the text mentions, or null."""
     texts = docs.filter(F.col("text").isNotNull()).select(text_key(F.col("text")).alias("key"), "text")
-    mentions = written(in_batches(texts, _mentions, "key binary, entity bigint, context bigint, terms array<string>"))
-    told = written(disclosing(docs, mentions, generalise, remove))
-    per_text = mentions.select("key", "entity").distinct().join(told, "entity").groupBy("key", "term").agg(F.max("removed").alias("removed"))
+    found = written(in_batches(texts, _mentions, "key binary, entity bigint, context bigint, terms array<string>"))
+    told = written(disclosing(docs, found, generalise, remove))
+    per_text = found.filter(F.col("entity").isNotNull()).select("key", "entity").distinct().join(told, "entity").groupBy("key", "term").agg(F.max("removed").alias("removed"))
     per_text = per_text.groupBy("key").agg(F.collect_list(F.struct("term", "removed")).alias("told"))
     stored, size = sized(per_text.select(F.col("key").alias("__key"), F.col("told").alias("__told")), F.size("__told") * 40 + 40)
     return attach(docs.withColumn("__key", text_key(F.col("text"))), stored, size, ["__key"]).drop("__key")
