@@ -147,8 +147,9 @@ def n10(spark, d):
 
 @query("n11_custom_labeler", label_sql({"label": "round(max(value) - min(value), 6)"}))
 def n11(spark, d):
-    spread = lambda pdf: pdf["value"].max() - pdf["value"].min()
-    return tidy(labels.make_labels_with(table(spark, d, "events"), WINDOW, spread))
+    ends = lambda pdf: {"lo": pdf["value"].min(), "hi": pdf["value"].max()}
+    spread = lambda parts: parts["hi"].max() - parts["lo"].min()
+    return tidy(labels.make_labels_with(table(spark, d, "events"), WINDOW, ends, spread, ["lo", "hi"]))
 
 
 @query(
@@ -242,9 +243,9 @@ def o1(spark, d):
     return _single_rounded(synthesis.dfs_single(_order_numbers(spark, d), "o_orderkey"))
 
 
-@query("o7_quick_dfs", SINGLE_ROUNDED.format(source=f'(SELECT * EXCLUDE ("CUM_MEAN(price)", "CUM_MEAN(cust)") FROM ({SINGLE_SQL}))'))
+@query("o7_quick_dfs", SINGLE_ROUNDED.format(source=f"({SINGLE_SQL})"))
 def o7(spark, d):
-    return _single_rounded(synthesis.quick_dfs(_order_numbers(spark, d), "o_orderkey", 10))
+    return _single_rounded(synthesis.quick_dfs(_order_numbers(spark, d), "o_orderkey"))
 
 
 def _shop(spark, d):
@@ -405,10 +406,14 @@ def p2(spark, d):
 
 @query("p3_custom_ts_features", "SELECT user_id, round(max(value) - min(value), 6) AS spread, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY 1")
 def p3(spark, d):
-    def measure(pdf):
-        return {"spread": pdf["value"].max() - pdf["value"].min(), "n": float(len(pdf))}
+    def part(pdf):
+        return {"lo": pdf["value"].min(), "hi": pdf["value"].max(), "n": float(len(pdf))}
 
-    return tidy(tsfeatures.ts_features_with(table(spark, d, "events").drop("props"), "user_id", "ts", measure, ["spread", "n"]))
+    def whole(parts):
+        return {"spread": parts["hi"].max() - parts["lo"].min(), "n": parts["n"].sum()}
+
+    events = table(spark, d, "events").drop("props")
+    return tidy(tsfeatures.ts_features_with(events, "user_id", part, whole, ["lo", "hi", "n"], ["spread", "n"]))
 
 
 @query(

@@ -183,6 +183,28 @@ def i13(spark, d):
     return _made(_lines(spark, d), rowwise.row_stats(NUM))
 
 
+MANY = [f"c{i:02}" for i in range(20)]  # small whole numbers, so that sums do not depend on the order of rows
+MANY_PAIRS = [(a, b, k) for a, b in combinations(MANY, 2) for k in ("mult", "div", "add", "sub")]
+
+
+def _many_sql() -> str:
+    forms = {"mult": "{a} * {b}", "div": "CASE WHEN {b} <> 0 THEN {a} / {b} ELSE 0 END", "add": "{a} + {b}", "sub": "{a} - {b}"}
+    sums = ", ".join(f"CAST(sum(round(({forms[k].format(a=a, b=b)}) * 1000)) AS BIGINT) AS {a}_{k}_{b}" for a, b, k in MANY_PAIRS)
+    columns = ", ".join(f"CAST((p_partkey * {i + 1} + p_size) % 17 AS DOUBLE) AS {c}" for i, c in enumerate(MANY))
+    return f"SELECT name AS feature, value AS total FROM (UNPIVOT (SELECT {sums} FROM (SELECT {columns} FROM part)) ON *)"
+
+
+@query("i4_interactions_of_twenty_columns", _many_sql())
+def i4_many(spark, d):
+    """All 760 features of 190 pairs, each one summed up over all rows."""
+    number = lambda i: ((F.col("p_partkey") * (i + 1) + F.col("p_size")) % 17).cast("double")
+    df = table(spark, d, "part").select(*[number(i).alias(c) for i, c in enumerate(MANY)])
+    wide = add_features(df, rowwise.interactions(MANY))
+    made = [c for c in wide.columns if c not in MANY]
+    long = wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in made])).alias("f"))
+    return long.groupBy("f.feature").agg(F.sum(F.round(F.col("f.x") * 1000)).cast("bigint").alias("total"))
+
+
 @query(
     "i14_generate_all",
     f"""SELECT l_orderkey, l_linenumber, round(ln(1 + greatest(l_quantity, 0.0)), 6) AS l_quantity_log,

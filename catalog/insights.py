@@ -349,6 +349,17 @@ def m14(spark, d):
     return tidy(insights.lift_support_frontier(_all(spark, d)[2], 20))
 
 
+@query(
+    "m14_frontier_of_all_insights",
+    measured_sql(ALL_SEGMENTS, 0.001, 1.0)
+    + """, p AS (SELECT feature, op, number, text, support * 100 AS support_pct, lift, rig FROM i)
+    SELECT feature, op, number, text, round(support_pct, 6) AS support_pct, round(lift, 6) AS lift, round(rig, 6) AS rig, round(k, 6) AS curve_constant,
+    round(k / support_pct, 6) AS curve_lift FROM p, (SELECT quantile_cont(lift * support_pct, 0.75) AS k FROM p)""",
+)
+def m14_all(spark, d):
+    return tidy(insights.lift_support_frontier(_all(spark, d)[2]))
+
+
 @query("f3_top_insights", measured_sql(ALL_SEGMENTS, 0.1, 1.001) + OUT + " ORDER BY i.rig DESC, feature, op, number, text LIMIT 7")
 def f3(spark, d):
     return _shaped(ranking.top_insights(_all(spark, d)[2], "rig", 7, 0.1, 1.001))

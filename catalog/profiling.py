@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import query, table, tidy
 from gleaner.operators import profile, quality, temporal
+from gleaner.plans.tables import with_facts
 from gleaner.types import REGRESSION, Problem
 
 ORDER_NUM = ["o_orderkey", "o_custkey", "o_totalprice"]
@@ -163,11 +164,11 @@ def k7_dup(spark, d):
 @query(
     "k8_quality_issues",
     f"""WITH t AS {DIRTY}, {COLUMNS}
-    SELECT "column", printf('Very high missing values (%.1f%%)', missing_pct) AS issue, 'high' AS severity FROM r WHERE missing_pct > 50
-    UNION ALL SELECT "column", printf('High missing values (%.1f%%)', missing_pct), 'medium' FROM r WHERE missing_pct > 20 AND missing_pct <= 50
-    UNION ALL SELECT "column", 'Constant column (only one unique value)', 'high' FROM r WHERE dc = 1
-    UNION ALL SELECT "column", printf('Highly skewed distribution (skewness: %.2f)', sk), 'low' FROM r WHERE abs(sk) > 3
-    UNION ALL SELECT "column", 'Potential ID column (very high cardinality)', 'low' FROM r WHERE ratio > 0.95""",
+    SELECT "column", printf('mostly_null: %.1f%%', missing_pct) AS issue, 'high' AS severity FROM r WHERE missing_pct > 50
+    UNION ALL SELECT "column", printf('often_null: %.1f%%', missing_pct), 'medium' FROM r WHERE missing_pct > 20 AND missing_pct <= 50
+    UNION ALL SELECT "column", 'single_value', 'high' FROM r WHERE dc = 1
+    UNION ALL SELECT "column", printf('long_tail: skewness %.2f', sk), 'low' FROM r WHERE abs(sk) > 3
+    UNION ALL SELECT "column", 'nearly_unique', 'low' FROM r WHERE ratio > 0.95""",
 )
 def k8(spark, d):
     return quality.quality_issues(dirty(spark, d))
@@ -176,11 +177,11 @@ def k8(spark, d):
 @query(
     "k9_quality_recommendations",
     f"""WITH t AS {DIRTY}, {COLUMNS}
-    SELECT "column", printf('Consider dropping column (%.1f%% missing)', missing_pct) AS action, 'high' AS priority FROM r WHERE missing_pct > 50
-    UNION ALL SELECT "column", printf('Impute with ' || CASE WHEN num THEN 'median' ELSE 'mode' END || ' (%.1f%% missing)', missing_pct), 'medium'
+    SELECT "column", printf('leave_out: null in %.1f%%', missing_pct) AS action, 'high' AS priority FROM r WHERE missing_pct > 50
+    UNION ALL SELECT "column", printf('fit_impute ' || CASE WHEN num THEN 'median' ELSE 'mode' END || ': null in %.1f%%', missing_pct), 'medium'
     FROM r WHERE missing_pct > 5 AND missing_pct <= 50
-    UNION ALL SELECT "column", 'Apply log or Box-Cox transformation', 'low' FROM r WHERE abs(sk) > 2
-    UNION ALL SELECT "column", 'Remove constant column', 'high' FROM r WHERE dc = 1""",
+    UNION ALL SELECT "column", 'transforms log', 'low' FROM r WHERE abs(sk) > 2
+    UNION ALL SELECT "column", 'leave_out: carries nothing', 'high' FROM r WHERE dc = 1""",
 )
 def k9(spark, d):
     return quality.quality_recommendations(dirty(spark, d))
@@ -257,14 +258,14 @@ def k13(spark, d):
 @query(
     "k14_profile_recommendations",
     f"""WITH t AS {DIRTY}, {VARIABLES}, a AS (
-    SELECT "column", printf('High missing values (%.1f%%)', p_missing) AS issue, 'Consider dropping or imputing with median/mode' AS action,
+    SELECT "column", printf('often_null: %.1f%%', p_missing) AS issue, 'leave_out or fit_impute' AS action,
     CASE WHEN p_missing > 50 THEN 'high' ELSE 'medium' END AS priority FROM v WHERE p_missing > 30
-    UNION ALL SELECT "column", printf('Missing values (%.1f%%)', p_missing), 'Impute with mean/median for numeric, mode for categorical', 'low'
+    UNION ALL SELECT "column", printf('some_null: %.1f%%', p_missing), 'fit_impute', 'low'
     FROM v WHERE p_missing > 5 AND p_missing <= 30
-    UNION ALL SELECT "column", printf('High cardinality (%d unique values)', n_distinct), 'Consider grouping rare categories or using target encoding', 'medium'
+    UNION ALL SELECT "column", printf('many_values: %d', n_distinct), 'group_rare or target_encode', 'medium'
     FROM v WHERE type = 'Categorical' AND n_distinct > 50
-    UNION ALL SELECT "column", 'Constant column (single value)', 'Remove column - provides no information', 'high' FROM v WHERE NOT is_unique AND n_distinct = 1
-    UNION ALL SELECT "column", printf('Highly skewed distribution (skewness: %.2f)', skewness), 'Consider log transformation or Box-Cox', 'medium'
+    UNION ALL SELECT "column", 'single_value', 'leave_out', 'high' FROM v WHERE NOT is_unique AND n_distinct = 1
+    UNION ALL SELECT "column", printf('long_tail: skewness %.2f', skewness), 'transforms log', 'medium'
     FROM v WHERE abs(skewness) > 2)
     SELECT *, CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS rank FROM a""",
 )
@@ -277,6 +278,25 @@ def k15(spark, d):
     return profile.profile_sample(table(spark, d, "lineitem"))[1]
 
 
+LARGE_SAMPLE = """SELECT n > 1000000 AS sampled, n AS original_rows, least(n, 1000000) AS profiled_rows, CAST(least(n, 1000000) / n AS DOUBLE) AS sample_ratio
+    FROM (SELECT count(*) AS n FROM lineitem)"""
+
+
+@query("k15_profile_sample_of_a_million", LARGE_SAMPLE)
+def k15_large(spark, d):
+    """Asking for a million rows profiles as many, or all there are."""
+    return profile.profile_sample(table(spark, d, "lineitem"), 1_000_000)[1]
+
+
+@query("k15_sample_is_taken", "SELECT true AS sampled, count(*) AS original_rows, true AS near, true AS ratio_agrees FROM lineitem")
+def k15_sampled(spark, d):
+    rows, info = profile.profile_sample(table(spark, d, "lineitem"), 3000)
+    n = rows.agg(F.count(F.lit(1)).alias("n"))
+    near = F.abs(F.col("profiled_rows") - 3000) < 300
+    agrees = (F.col("n") == F.col("profiled_rows")) & (F.abs(F.col("sample_ratio") * F.col("original_rows") - F.col("n")) < 0.01)
+    return with_facts(info, n).select("sampled", "original_rows", near.alias("near"), agrees.alias("ratio_agrees"))
+
+
 @query(
     "k16_value_histogram",
     """WITH e AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem),
@@ -360,9 +380,9 @@ def l4(spark, d):
 
 @query(
     "l6_recommend_features",
-    """SELECT CAST(i AS INTEGER) AS position, f AS feature FROM (VALUES (0, 'date_components'), (1, 'cyclical_encoding'), (2, 'lag_features_7d'),
-    (3, 'rolling_mean_7d'), (4, 'yearly_seasonality'), (5, 'day_of_week_patterns'), (6, CASE WHEN (SELECT avg(n) FROM
-    (SELECT count(*) AS n FROM orders GROUP BY o_custkey)) >= 10 THEN 'tsfresh_comprehensive' ELSE 'tsfresh_minimal' END), (7, 'difference_features')) v(i, f)""",
+    """SELECT CAST(i AS INTEGER) AS position, f AS feature FROM (VALUES (0, 'datetime_parts'), (1, 'cyclical'), (2, 'lag_features 7'),
+    (3, 'rolling_features 7'), (4, 'datetime_parts dayofyear'), (5, 'datetime_parts dayofweek'), (6, CASE WHEN (SELECT avg(n) FROM
+    (SELECT count(*) AS n FROM orders GROUP BY o_custkey)) >= 10 THEN 'ts_features efficient' ELSE 'ts_features minimal' END), (7, 'diff_features')) v(i, f)""",
 )
 def l6(spark, d):
     p = temporal.temporal_profile(table(spark, d, "orders"), "o_orderdate", ["o_custkey"])

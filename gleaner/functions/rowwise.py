@@ -25,8 +25,6 @@ DATETIME_PART = "datetime"
 TEXT = "text"
 ROW = "row"
 
-INTERACTION_CAP = 500  # generated pair features per call
-
 
 def number(name: str) -> Column:
     return F.col(name).cast("double")
@@ -46,7 +44,8 @@ def transforms(columns: list[str], kinds=("log", "sqrt", "square", "cube")) -> l
     return [feature(f"{c}_{k}", TRANSFORM, [c], forms[k](number(c))) for c in columns for k in kinds]
 
 
-def interactions(columns: list[str], kinds=("mult", "div", "add", "sub"), cap: int = INTERACTION_CAP) -> list[Feature]:
+def interactions(columns: list[str], kinds=("mult", "div", "add", "sub"), cap: int | None = None) -> list[Feature]:
+    """Every pair in every kind; the first cap of them if the caller wants no more."""
     forms = {
         "mult": lambda a, b: a * b,
         "div": quotient,

@@ -107,10 +107,10 @@ def split_impact(spark: SparkSession, trees: Trees, names: list[str]) -> DataFra
     return spark.createDataFrame(rows, SPLIT_SCHEMA).orderBy(F.desc("prob_impact"), "tree", "node")
 
 
-def feature_impact(splits: DataFrame, top: int = 20) -> DataFrame:
-    """Splits summed up per feature, the strongest total impact first."""
+def feature_impact(splits: DataFrame, top: int | None = None) -> DataFrame:
+    """Splits summed up per feature, the strongest total impact first; the first top of them if given."""
     four = lambda c: F.round(c, 4)
-    return (
+    found = (
         splits.groupBy("feature")
         .agg(
             four(F.avg("prob_impact")).alias("avg_prob_impact"),
@@ -124,8 +124,8 @@ def feature_impact(splits: DataFrame, top: int = 20) -> DataFrame:
             four(F.median("threshold")).alias("median_threshold"),  # a model's splits are few
         )
         .orderBy(F.desc("total_prob_impact"), "feature")
-        .limit(top)
     )
+    return found if top is None else found.limit(top)
 
 
 @dataclass

@@ -72,7 +72,7 @@ class GenerateOptions:
     binning: bool = True
     datetime: bool = True
     text: bool = True
-    interaction_cap: int = rowwise.INTERACTION_CAP
+    interaction_cap: int | None = None
 
 
 def plan_features(df: DataFrame, exclude=(), options: GenerateOptions = GenerateOptions()) -> list[Feature]:

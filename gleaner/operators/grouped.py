@@ -9,20 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.plans.ordered import GROUP_ROWS, split_hot
-
-
-def apply_per_group(
-    df: DataFrame, keys: list[str], function: Callable[[pd.DataFrame], pd.DataFrame], schema: str, limit: int = GROUP_ROWS
-) -> DataFrame:
-    """Run function on the rows of each group; refuses tables with a group above limit rows.
-
-    A function that needs all rows at once cannot be split. For hot groups use an aggregate
-    column or combine_per_group.
-    """
-    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest > limit:
-        raise ValueError(f"a group holds {largest} rows, more than {limit}; use combine_per_group or an aggregate")
-    return df.groupBy(*keys).applyInPandas(function, schema)
+from gleaner.plans.tables import written
 
 
 def combine_per_group(
@@ -36,7 +23,8 @@ def combine_per_group(
 ) -> DataFrame:
     """Run partial on slices of at most about limit rows of each group, then finish on the slices' results.
 
-    partial returns a few rows per slice (with the keys); finish sees them all for one group.
+    partial returns a few rows per slice (with the keys); finish sees them all for one group. No Python call gets
+    a whole group that is large.
     """
     cold, hot, _ = split_hot(df, keys, limit)
     pieces = []
@@ -45,8 +33,37 @@ def combine_per_group(
     if hot is not None:
         largest = hot.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
         slices = max(2, -(-largest // max(1, limit // 2)))
-        plain = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-        pieces.append(hot.withColumn("__slice", F.pmod(F.xxhash64(*plain), F.lit(slices))))
+        # numbered rows, so that rows which are equal are spread as well
+        numbered = written(hot.withColumn("__row", F.monotonically_increasing_id()))
+        pieces.append(numbered.withColumn("__slice", F.pmod(F.xxhash64("__row"), F.lit(slices))).drop("__row"))
     sliced = pieces[0] if len(pieces) == 1 else pieces[0].unionByName(pieces[1])
     parts = sliced.groupBy(*keys, "__slice").applyInPandas(lambda pdf: partial(pdf.drop(columns="__slice")), partial_schema)
     return parts.groupBy(*keys).applyInPandas(finish, schema)
+
+
+def measure_per_group(
+    df: DataFrame,
+    keys: list[str],
+    partial: Callable[[pd.DataFrame], dict[str, float]],
+    finish: Callable[[pd.DataFrame], dict[str, float]],
+    parts: list[str],
+    names: list[str],
+    limit: int = GROUP_ROWS,
+) -> DataFrame:
+    """One row per group with the numbers `names`: partial gives the numbers `parts` of a slice of the group's rows,
+    finish makes the result from a table of the slices' parts."""
+    kinds = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
+    schema = lambda columns: ", ".join([*kinds, *[f"`{c}` double" for c in columns]])
+
+    def row(pdf: pd.DataFrame, found: dict[str, float], columns: list[str]) -> pd.DataFrame:
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, **{c: [found.get(c)] for c in columns}})
+
+    return combine_per_group(
+        df,
+        keys,
+        lambda pdf: row(pdf, partial(pdf), parts),
+        schema(parts),
+        lambda pdf: row(pdf, finish(pdf[parts]), names),
+        schema(names),
+        limit,
+    )

@@ -18,7 +18,7 @@ from gleaner.functions.lift import segment_metrics
 from gleaner.functions.predicates import Condition, is_above, is_class
 from gleaner.functions.rowwise import number
 from gleaner.functions.text import fixed, percent
-from gleaner.operators.aggregates import baseline_rate, distinct_counts
+from gleaner.operators.aggregates import baseline_rate
 from gleaner.operators.encode import BINNED
 from gleaner.plans.ordered import GROUP_ROWS
 from gleaner.plans.quantiles import LINEAR, quantiles
@@ -190,9 +190,16 @@ def engineered_insights(df: DataFrame, specs: list[FeatureSpec], goal: Goal, lim
     )
 
 
+# endings of the names of calendar parts with 31 values or fewer
+FEW_VALUED_PARTS = ("_month", "_day", "_dayofweek", "_quarter", "_is_weekend", "_hour")
+
+
 def datetime_insights(df: DataFrame, columns: list[str], goal: Goal, limits: Limits = Limits()) -> DataFrame:
-    """Calendar parts with up to 31 values as categories, others by thresholds."""
-    few = {r["column"] for r in distinct_counts(df, columns).filter(F.col("count_values") <= 31).collect()}
+    """Calendar parts that can have up to 31 values as categories, others by thresholds.
+
+    The name tells the part, as in orderdate_month, so the data decide nothing.
+    """
+    few = {c for c in columns if c.endswith(FEW_VALUED_PARTS)}
     groups = dict.fromkeys(columns, DATETIME_GROUP)
     return categorical_insights(df, [c for c in columns if c in few], goal, limits, groups).unionByName(
         numeric_insights(df, [c for c in columns if c not in few], goal, limits, groups)
@@ -275,8 +282,8 @@ def insight_table(insights: DataFrame, label: str, n: int | None = None) -> Data
     )
 
 
-def lift_support_frontier(insights: DataFrame, n: int = 50) -> DataFrame:
-    """Points (support %, lift, rig) of the n strongest, and the lift at that support on the 75th-percentile curve."""
+def lift_support_frontier(insights: DataFrame, n: int | None = None) -> DataFrame:
+    """Points (support %, lift, rig) of all insights, or the n strongest, and the lift at that support on the 75th-percentile curve."""
     points = in_order(insights, n).select(
         "feature", "op", "number", "text", (F.col("support") * 100).alias("support_pct"), "lift", "rig"
     )
@@ -296,7 +303,7 @@ class InsightStore:
         goal = goal_of(df, problem)
         return InsightStore(goal, written(all_insights(df, problem, low, specs, goal, **columns)))
 
-    def query(self, min_support: float = 0.01, min_lift: float = 1.1, top: int | None = 30) -> DataFrame:
+    def query(self, min_support: float = 0.01, min_lift: float = 1.1, top: int | None = None) -> DataFrame:
         kept = self.rows.filter(
             (F.col("support_count") >= min_support * self.goal.total) & (F.col("lift") >= min_lift)
         )

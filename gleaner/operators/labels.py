@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.labelers import Labeler, churn, event_count, total_spend, will_purchase
 from gleaner.functions.times import micros, micros_in, shifted
-from gleaner.operators.grouped import apply_per_group
+from gleaner.operators.grouped import measure_per_group
 from gleaner.plans.lookup import lookup
 from gleaner.plans.ordered import GROUP_ROWS
 from gleaner.plans.tables import with_facts, written
@@ -98,24 +98,25 @@ def make_labels(events: DataFrame, w: LabelWindow, labelers: list[Labeler] = ())
 def make_labels_with(
     events: DataFrame,
     w: LabelWindow,
-    function: Callable[[pd.DataFrame], float],
+    partial: Callable[[pd.DataFrame], dict[str, float]],
+    finish: Callable[[pd.DataFrame], float],
+    parts: list[str],
     name: str = "label",
     empty: float | None = None,
     limit: int = GROUP_ROWS,
 ) -> DataFrame:
-    """Labels from a Python function over the rows of each window; empty is the label of a window without events."""
+    """Labels from Python functions over the rows of each window; empty is the label of a window without events.
+
+    partial gets at most about limit rows of a window and gives the numbers `parts`; finish makes the label from
+    a table with the parts of all slices of the window, which is one row unless the window is large.
+    """
     spans = written(_spans(events, w))
     inside = window_events(events, w, spans)
-    kind = events.schema[w.entity].dataType.simpleString()
     columns = events.columns
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = {w.entity: [pdf[w.entity].iloc[0]], "__k": [pdf["__k"].iloc[0]], "__label": [float(function(pdf[columns]))]}
-        return pd.DataFrame(row)
-
-    schema = f"`{w.entity}` {kind}, `__k` bigint, `__label` double"
-    per = apply_per_group(inside, [w.entity, "__k"], label, schema, limit)
-    labelled = _cutoffs(spans, w).join(per, [w.entity, "__k"], "left")
+    measured = measure_per_group(
+        inside, [w.entity, "__k"], lambda pdf: partial(pdf[columns]), lambda rows: {"__label": float(finish(rows))}, parts, ["__label"], limit
+    )
+    labelled = _cutoffs(spans, w).join(measured, [w.entity, "__k"], "left")
     return labelled.select(w.entity, "cutoff_time", F.coalesce("__label", F.lit(empty).cast("double")).alias(name))
 
 

@@ -187,36 +187,36 @@ def profile_recommendations(df: DataFrame, variables: DataFrame | None = None) -
             (
                 pct > 30,
                 advice(
-                    F.concat(F.lit("High missing values ("), percent(pct), F.lit(")")),
-                    "Consider dropping or imputing with median/mode",
+                    F.concat(F.lit("often_null: "), percent(pct)),
+                    "leave_out or fit_impute",
                     F.when(pct > 50, "high").otherwise("medium"),
                 ),
             ),
             (
                 (pct > 5) & (pct <= 30),
                 advice(
-                    F.concat(F.lit("Missing values ("), percent(pct), F.lit(")")),
-                    "Impute with mean/median for numeric, mode for categorical",
+                    F.concat(F.lit("some_null: "), percent(pct)),
+                    "fit_impute",
                     "low",
                 ),
             ),
             (
                 (F.col("type") == "Categorical") & (distinct > 50),
                 advice(
-                    F.format_string("High cardinality (%d unique values)", distinct),
-                    "Consider grouping rare categories or using target encoding",
+                    F.format_string("many_values: %d", distinct),
+                    "group_rare or target_encode",
                     "medium",
                 ),
             ),
             (
                 ~F.col("is_unique") & (distinct == 1),
-                advice(F.lit("Constant column (single value)"), "Remove column - provides no information", "high"),
+                advice(F.lit("single_value"), "leave_out", "high"),
             ),
             (
                 F.abs(skew) > 2,
                 advice(
-                    F.concat(F.lit("Highly skewed distribution (skewness: "), fixed(skew, 2), F.lit(")")),
-                    "Consider log transformation or Box-Cox",
+                    F.concat(F.lit("long_tail: skewness "), fixed(skew, 2)),
+                    "transforms log",
                     "medium",
                 ),
             ),
@@ -227,9 +227,9 @@ def profile_recommendations(df: DataFrame, variables: DataFrame | None = None) -
 
 
 def profile_sample(df: DataFrame, max_rows: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """The rows to profile (all of them unless max_rows, kept within 1..100000, is given) and how they were taken."""
+    """The rows to profile (all of them unless max_rows is given and smaller) and how they were taken."""
     original = df.count()
-    taken = df if max_rows is None else bounded_sample(df, min(100_000, max(1, max_rows)), seed)
+    taken = df if max_rows is None else bounded_sample(df, max(1, max_rows), seed)
     # written only when sampled, so that every later job sees the same rows
     taken = taken if taken is df else written(taken)
     rows = original if taken is df else taken.count()

@@ -204,11 +204,11 @@ def quality_issues(df: DataFrame, report: DataFrame | None = None) -> DataFrame:
     return rows_of(
         report,
         [
-            (pct > 50, issue(F.concat(F.lit("Very high missing values ("), percent(pct), F.lit(")")), "high")),
-            ((pct > 20) & (pct <= 50), issue(F.concat(F.lit("High missing values ("), percent(pct), F.lit(")")), "medium")),
-            (F.col("distinct_count") == 1, issue("Constant column (only one unique value)", "high")),
-            (F.abs(skew) > 3, issue(F.concat(F.lit("Highly skewed distribution (skewness: "), fixed(skew, 2), F.lit(")")), "low")),
-            (F.col("cardinality_ratio") > 0.95, issue("Potential ID column (very high cardinality)", "low")),
+            (pct > 50, issue(F.concat(F.lit("mostly_null: "), percent(pct)), "high")),
+            ((pct > 20) & (pct <= 50), issue(F.concat(F.lit("often_null: "), percent(pct)), "medium")),
+            (F.col("distinct_count") == 1, issue("single_value", "high")),
+            (F.abs(skew) > 3, issue(F.concat(F.lit("long_tail: skewness "), fixed(skew, 2)), "low")),
+            (F.col("cardinality_ratio") > 0.95, issue("nearly_unique", "low")),
         ],
     )
 
@@ -226,11 +226,11 @@ def quality_recommendations(df: DataFrame, report: DataFrame | None = None) -> D
     return rows_of(
         report,
         [
-            (pct > 50, advice(F.concat(F.lit("Consider dropping column ("), percent(pct), F.lit(" missing)")), "high")),
-            (some & numeric, advice(F.concat(F.lit("Impute with median ("), percent(pct), F.lit(" missing)")), "medium")),
-            (some & ~numeric, advice(F.concat(F.lit("Impute with mode ("), percent(pct), F.lit(" missing)")), "medium")),
-            (F.abs(F.col("skewness")) > 2, advice("Apply log or Box-Cox transformation", "low")),
-            (F.col("distinct_count") == 1, advice("Remove constant column", "high")),
+            (pct > 50, advice(F.concat(F.lit("leave_out: null in "), percent(pct)), "high")),
+            (some & numeric, advice(F.concat(F.lit("fit_impute median: null in "), percent(pct)), "medium")),
+            (some & ~numeric, advice(F.concat(F.lit("fit_impute mode: null in "), percent(pct)), "medium")),
+            (F.abs(F.col("skewness")) > 2, advice("transforms log", "low")),
+            (F.col("distinct_count") == 1, advice("leave_out: carries nothing", "high")),
         ],
     )
 

@@ -102,18 +102,13 @@ def pair_transforms(columns: list[str], kinds=PAIR_TRANSFORMS) -> dict[str, Colu
     }
 
 
-def dfs_single(
-    df: DataFrame, index: str, columns: list[str] | None = None, transforms=TRANSFORMS, max_features: int | None = 100
-) -> DataFrame:
-    """index, the numeric columns, and their transforms; running ones follow the index order.
-
-    The first max_features features are kept; only those are computed.
-    """
+def _single(df: DataFrame, index: str, columns: list[str] | None, transforms, max_features: int | None):
+    """df with the running columns it needs, and the expressions of all features by name."""
     columns = columns_of(df, NUMERICAL, {index}) if columns is None else columns
     pairs = pair_transforms(columns, [t for t in transforms if t in PAIR_TRANSFORMS])
     running = [f"{t.upper()}({c})" for t in ("percentile", "cum_sum", "cum_mean") if t in transforms for c in columns]
     names = [*columns, *pairs, *running][:max_features]
-    out = df.select(index, *columns)
+    out = df
     sums = [c for c in columns if f"CUM_SUM({c})" in names or f"CUM_MEAN({c})" in names]
     if sums:
         out = cumulative_features(out, sums, [index])
@@ -121,14 +116,25 @@ def dfs_single(
     if ranks:
         out = percentile_features(out, ranks)
     computed = {f"{t.upper()}({c})": F.col(f"{c}_{t}") for t in ("percentile", "cum_sum", "cum_mean") for c in columns}
-    return out.select(index, *[pairs.get(n, computed.get(n, _quoted(n))).alias(n) for n in names])
+    return out, {n: pairs.get(n, computed.get(n, _quoted(n))) for n in names}
+
+
+def dfs_single(
+    df: DataFrame, index: str, columns: list[str] | None = None, transforms=TRANSFORMS, max_features: int | None = None
+) -> DataFrame:
+    """index, the numeric columns, and their transforms; running ones follow the index order.
+
+    With max_features, that many are kept, in this order, and only those are computed.
+    """
+    columns = columns_of(df, NUMERICAL, {index}) if columns is None else columns
+    out, made = _single(df.select(index, *columns), index, columns, transforms, max_features)
+    return out.select(index, *[e.alias(n) for n, e in made.items()])
 
 
-def quick_dfs(df: DataFrame, index: str, max_features: int = 100) -> DataFrame:
-    """The source table with its single-table features joined on the index."""
-    features = dfs_single(df, index, max_features=max_features)
-    fresh = [c for c in features.columns if c not in df.columns]
-    return df.join(features.select(index, *[_quoted(c) for c in fresh]), index, "left")
+def quick_dfs(df: DataFrame, index: str, max_features: int | None = None) -> DataFrame:
+    """The source table with its single-table features beside each row, without a join."""
+    out, made = _single(df, index, None, TRANSFORMS, max_features)
+    return out.select(*[_quoted(c) for c in df.columns], *[e.alias(n) for n, e in made.items() if n not in df.columns])
 
 
 def _child_columns(es: EntitySet, rel: Relationship, plan: Synthesis, depth: int):

@@ -120,22 +120,22 @@ def is_time_series(entities: bool, min_records: int = 3) -> Column:
 
 
 def recommended_features(profile: DataFrame, entities: bool, min_records: int = 3) -> DataFrame:
-    """(position, feature): feature families that suit the series."""
+    """(position, feature): operators of this library, with their main setting, that suit the series."""
     p = profile.withColumns({"__f": frequency(), "__ts": is_time_series(entities, min_records)})
     f, lit = F.col("__f"), F.lit
     deep = F.lit(entities) & (F.col("avg_records_per_entity") >= 10)
     slow, fast = f.isin("daily", "weekly"), f.isin("hourly", "minutes")
     chosen = [
-        lit("date_components"),
-        lit("cyclical_encoding"),
-        F.when(slow, "lag_features_7d").when(f == "monthly", "lag_features_3m").when(fast, "lag_features_24h"),
-        F.when(slow, "rolling_mean_7d").when(f == "monthly", "rolling_mean_3m").when(fast, "rolling_mean_24h"),
-        F.when(F.col("date_range_days") > 365, "yearly_seasonality"),
-        F.when(f.isin("daily", "hourly"), "day_of_week_patterns"),
-        F.when(deep, "tsfresh_comprehensive").otherwise("tsfresh_minimal"),
-        lit("difference_features"),
+        lit("datetime_parts"),
+        lit("cyclical"),
+        F.when(slow, "lag_features 7").when(f == "monthly", "lag_features 3").when(fast, "lag_features 24"),
+        F.when(slow, "rolling_features 7").when(f == "monthly", "rolling_features 3").when(fast, "rolling_features 24"),
+        F.when(F.col("date_range_days") > 365, "datetime_parts dayofyear"),
+        F.when(f.isin("daily", "hourly"), "datetime_parts dayofweek"),
+        F.when(deep, "ts_features efficient").otherwise("ts_features minimal"),
+        lit("diff_features"),
     ]
-    names = F.when(F.col("__ts"), F.array_compact(F.array(*chosen))).otherwise(F.array(lit("basic_datetime_features")))
+    names = F.when(F.col("__ts"), F.array_compact(F.array(*chosen))).otherwise(F.array(lit("datetime_parts")))
     return p.select(F.posexplode(names).alias("position", "feature"))
 
 

@@ -16,7 +16,7 @@ from pyspark.ml.feature import UnivariateFeatureSelector, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.operators.grouped import apply_per_group
+from gleaner.operators.grouped import measure_per_group
 from gleaner.plans.lookup import lookup
 from gleaner.plans.ordered import GROUP_ROWS, look_back, running_totals
 from gleaner.plans.quantiles import LINEAR, group_quantiles, quantiles
@@ -185,17 +185,20 @@ def _efficient(df, entity, time, values, include, exclude, limit):
 
 
 def ts_features_with(
-    df: DataFrame, entity: str, time: str, function: Callable[[pd.DataFrame], dict[str, float]], names: list[str], limit: int = GROUP_ROWS
+    df: DataFrame,
+    entity: str,
+    partial: Callable[[pd.DataFrame], dict[str, float]],
+    finish: Callable[[pd.DataFrame], dict[str, float]],
+    parts: list[str],
+    names: list[str],
+    limit: int = GROUP_ROWS,
 ) -> DataFrame:
-    """One row per entity with the numbers a Python function computes from the entity's rows in time order."""
-    kind = df.schema[entity].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = function(pdf.sort_values(time, kind="stable"))
-        return pd.DataFrame({entity: [pdf[entity].iloc[0]], **{n: [found.get(n)] for n in names}})
+    """One row per entity with the numbers `names` that Python functions compute.
 
-    schema = ", ".join([f"`{entity}` {kind}", *[f"`{n}` double" for n in names]])
-    return apply_per_group(df, [entity], run, schema, limit)
+    partial gets at most about limit rows of the entity and gives the numbers `parts`; finish makes the features
+    from a table of all slices' parts. What needs the order of time can keep first and last times among its parts.
+    """
+    return measure_per_group(df, [entity], partial, finish, parts, names, limit)
 
 
 def impute_features(df: DataFrame, columns: list[str], limit: int = GROUP_ROWS) -> DataFrame:

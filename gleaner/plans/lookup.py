@@ -9,6 +9,7 @@ from gleaner.plans.ordered import GROUP_ROWS, split_hot
 from gleaner.plans.tables import null_safe_join, written
 
 BROADCAST_CELLS = 4_000_000  # rows x columns a broadcast table may have
+SALTS = 64  # shares of a hot key where even the hot keys are too many to broadcast
 
 
 def _joined(df: DataFrame, table: DataFrame, keys: list[str], null_safe: bool) -> DataFrame:
@@ -24,9 +25,9 @@ def lookup(
 ) -> DataFrame:
     """Left join with a table that has one row per key; unless stored, it is written first, so its size is known.
 
-    A table of checked size is broadcast. With a larger one, rows whose key is hot meet only
-    the hot keys' rows of the table, of which there are at most rows / limit, by broadcast;
-    all others are joined by sorting, where no key is large any more.
+    A table of checked size is broadcast. With a larger one, rows whose key is hot meet only the hot keys' rows
+    of the table, by broadcast if those are few enough and else by a join on key and salt; all others are joined
+    by sorting, where no key is large any more.
     """
     table = table if stored else written(table)
     if table.count() * len(table.columns) <= BROADCAST_CELLS:
@@ -34,5 +35,11 @@ def lookup(
     cold, hot, _ = split_hot(df, keys, limit)
     if hot is None:
         return _joined(cold, table, keys, null_safe)
-    hot_table = null_safe_join(table, hot.select(*keys).distinct(), keys, "left_semi")
-    return _joined(cold, table, keys, null_safe).unionByName(_joined(hot, F.broadcast(hot_table), keys, null_safe))
+    hot_table = written(null_safe_join(table, hot.select(*keys).distinct(), keys, "left_semi"))
+    if hot_table.count() * len(hot_table.columns) <= BROADCAST_CELLS:
+        found = _joined(hot, F.broadcast(hot_table), keys, null_safe)
+    else:
+        salted = hot.withColumn("__salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)))
+        copies = hot_table.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+        found = _joined(salted, copies, [*keys, "__salt"], null_safe).drop("__salt")
+    return _joined(cold, table, keys, null_safe).unionByName(found)

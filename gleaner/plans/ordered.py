@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from gleaner.plans.tables import null_safe_join, written
 
 GROUP_ROWS = 2_000_000
+BROADCAST_KEYS = 1_000_000
 MAX_SLICES = 20_000  # a shuffle into more partitions than this has too many blocks; slices grow instead
 
 
@@ -35,6 +36,8 @@ def split_hot(df: DataFrame, keys: list[str], limit: int, sizes: DataFrame | Non
     if not hot_rows:
         return df, None, 0
     hot_keys = hot.drop("__rows")
+    if hot.count() <= BROADCAST_KEYS:  # keys with more than limit rows each; beyond that, none holds a large share of rows
+        hot_keys = F.broadcast(hot_keys)
     return null_safe_join(df, hot_keys, keys, "left_anti"), null_safe_join(df, hot_keys, keys, "left_semi"), hot_rows
 
 
@@ -42,8 +45,8 @@ def _order_columns(order) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
-def _spread(df: DataFrame) -> Column:
-    """Tie-break that lets equal order values fall into different range slices."""
+def _tie(df: DataFrame) -> Column:
+    """Last order key: rows that tie in the caller's order come in one order in every way of computing."""
     plain = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
     return F.xxhash64(*plain)
 
@@ -51,8 +54,9 @@ def _spread(df: DataFrame) -> Column:
 def _in_slices(df: DataFrame, keys: list[str], order: list[Column], rows: int, limit: int):
     """Range-partition by (keys, order) into about rows/limit slices of whole order ranges."""
     parts = min(MAX_SLICES, max(2, -(-rows // max(1, limit // 2))))
-    tied = df.withColumn("__tie", _spread(df))
-    full_order = [*order, F.col("__tie")]
+    # numbered rows, so that rows which are equal fall into different slices too
+    tied = written(df.withColumn("__tie", _tie(df)).withColumn("__row", F.monotonically_increasing_id()))
+    full_order = [*order, F.col("__tie"), F.col("__row")]
     sliced = tied.repartitionByRange(parts, *keys, *full_order).withColumn("__slice", F.spark_partition_id())
     return written(sliced), full_order
 
@@ -64,13 +68,13 @@ def running_totals(
 
     df is read twice (once to look for hot groups) unless sizes are given, so store what is costly to compute.
 
-    Rows with equal order values come in a fixed but arbitrary order. A lit(1) total is the row position.
+    Rows with equal order values come in the order of a hash of the row; rows that are equal are interchangeable. A lit(1) total is the row position.
     """
     keys, order = list(keys), _order_columns(order)
     cold, hot, rows = split_hot(df, keys, limit, sizes)
     parts = []
     if cold is not None:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        w = Window.partitionBy(*keys).orderBy(*order, _tie(cold)).rowsBetween(Window.unboundedPreceding, 0)
         parts.append(cold.select("*", *[F.coalesce(F.sum(e).over(w), F.lit(0)).alias(n) for n, e in totals.items()]))
     if hot is not None:
         parts.append(_running_in_slices(hot, keys, order, totals, rows, limit))
@@ -112,7 +116,7 @@ def look_back(
     cold, hot, rows = split_hot(df, keys, limit, sizes)
     parts = []
     if cold is not None:
-        parts.append(cold.select("*", *columns(Window.partitionBy(*keys).orderBy(*order))))
+        parts.append(cold.select("*", *columns(Window.partitionBy(*keys).orderBy(*order, _tie(cold)))))
     if hot is not None:
         block = max(limit // 2, rows_back, rows_ahead, 1)
         placed = _running_in_slices(hot, keys, order, {"__seq": F.lit(1).cast("bigint")}, rows, limit)

@@ -158,16 +158,16 @@ WIDTHS = {
 }
 
 
-def table_size(df: DataFrame, limit_bytes: float = 2 * 1024**3, probe_rows: int = 1000) -> TableSize:
-    """Size estimate: mean width of a few rows times the row count, and how many rows would fit."""
+def table_size(df: DataFrame, limit_bytes: float = 2 * 1024**3) -> TableSize:
+    """Number of rows, their mean width over the whole table in one scan, and how many rows would fit."""
     width = F.lit(0)
     for f in df.schema.fields:
         kind = f.dataType.simpleString()
         c = F.col(f"`{f.name}`")
         fixed = WIDTHS.get(kind, 16 if kind.startswith("decimal") else None)
         width = width + (F.lit(fixed) if fixed else F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)))
-    mean = df.limit(probe_rows).agg(F.avg(width)).first()[0] or 0.0
-    rows = df.count()
+    facts = df.agg(F.count(F.lit(1)).alias("rows"), F.avg(width).alias("mean")).first()
+    rows, mean = facts["rows"], facts["mean"] or 0.0
     total = mean * rows
     fits = total <= limit_bytes
     return TableSize(rows, float(mean), float(total), fits, rows if fits or not mean else int(limit_bytes / mean))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gleaner.operators import asof, grouped, tsfeatures, windows
+from gleaner.operators import asof, grouped, labels, tsfeatures, windows
 from gleaner.operators.profile import spearman
 from gleaner.plans import lookup as lookup_module
 from gleaner.plans.ordered import look_back, running_totals
@@ -148,9 +148,6 @@ def test_asof_does_not_depend_on_the_limit(spark, frame, window):
 
 def test_bounded_python_groups(frame):
     df, pdf = frame
-    size = lambda p: pd.DataFrame({"k": [p.k.iloc[0]], "n": [len(p)]})
-    with pytest.raises(ValueError, match="combine_per_group"):
-        grouped.apply_per_group(df, ["k"], size, "k double, n long", LIMIT)
     largest = []
 
     def partial(p):
@@ -165,6 +162,28 @@ def test_bounded_python_groups(frame):
     assert got.most.max() <= LIMIT
 
 
+def test_measures_of_a_group_of_equal_rows(spark):
+    """A group above the limit whose rows are all the same is still cut into slices."""
+    df = spark.range(0, 500).select(F.lit(1).alias("k"), F.lit(2.0).alias("x")).unionByName(spark.createDataFrame([(2, 5.0)], "k int, x double"))
+    part = lambda p: {"n": float(len(p)), "s": p.x.sum(), "most": float(len(p))}
+    whole = lambda ps: {"mean": ps.s.sum() / ps.n.sum(), "n": ps.n.sum(), "most": ps.most.max()}
+    got = {r.k: r for r in grouped.measure_per_group(df, ["k"], part, whole, ["n", "s", "most"], ["mean", "n", "most"], LIMIT).collect()}
+    assert (got[1]["mean"], got[1]["n"], got[2]["mean"]) == (2.0, 500.0, 5.0) and got[1]["most"] <= LIMIT
+
+
+def test_python_features_and_labels_of_hot_groups(spark, frame):
+    df, pdf = frame
+    part = lambda p: {"lo": p.x.min(), "hi": p.x.max()}
+    whole = lambda ps: {"spread": ps.hi.max() - ps.lo.min()}
+    got, one = (tsfeatures.ts_features_with(df.dropna(subset=["k"]), "k", part, whole, ["lo", "hi"], ["spread"], limit).toPandas().sort_values("k").reset_index(drop=True) for limit in (LIMIT, 10**6))
+    pd.testing.assert_frame_equal(got, one)
+    events = df.select("k", (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("i").cast("int"))).alias("t"), "x").dropna()
+    window = labels.LabelWindow("k", "t", "2 hours", minimum_data="1 hour")
+    a, b = (labels.make_labels_with(events, window, part, lambda ps: ps.hi.max() - ps.lo.min(), ["lo", "hi"], limit=limit).toPandas().sort_values(["k", "cutoff_time"]).reset_index(drop=True) for limit in (LIMIT, 10**6))
+    pd.testing.assert_frame_equal(a, b)
+    assert len(a) and a.label.notna().any()
+
+
 @pytest.mark.parametrize("null_safe", [False, True])
 def test_lookup_gives_the_same_rows_in_every_way(frame, monkeypatch, null_safe):
     df, _ = frame
@@ -174,3 +193,37 @@ def test_lookup_gives_the_same_rows_in_every_way(frame, monkeypatch, null_safe):
     monkeypatch.setattr(lookup_module, "BROADCAST_CELLS", 0)
     for limit in (LIMIT, 10**6):
         assert sorted(map(key, lookup_module.lookup(df, stats, ["k"], null_safe, limit).collect())) == expected
+
+
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_equal_rows_and_ties_come_in_one_order_in_every_way(spark, threshold):
+    """All rows of a hot key equal, or tied in the order: slices stay small, and limits change nothing."""
+    rows = [(1, 5, "same")] * 300 + [(1, 6, f"t{i % 7}") for i in range(60)] + [(2, 5, "other"), (2, 5, "another")]
+    df = spark.createDataFrame(rows, "k int, o int, x string").repartition(5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        for limit in (LIMIT, 10**6):
+            totals = running_totals(df, ["k"], ["o"], {"n": F.lit(1).cast("bigint")}, limit=limit)
+            back = look_back(df, ["k"], ["o"], lambda w: [F.lag("x").over(w).alias("p")], 1, limit=limit)
+            made = sorted(map(tuple, totals.collect())), sorted(tuple(map(str, r)) for r in back.collect())
+            first = made if limit == LIMIT else first
+            assert made == first
+        assert [n for k, *_, n in made[0] if k == 1] != [] and sorted(n for k, *_, n in made[0] if k == 1) == list(range(1, 361))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+
+
+def test_slices_of_equal_rows_are_small(spark):
+    from gleaner.plans import ordered
+
+    df = spark.range(0, 5000).select(F.lit(1).alias("k"), F.lit(2).alias("o"))
+    sliced, _ = ordered._in_slices(df, ["k"], [F.col("o")], 5000, 500)
+    assert max(r["count"] for r in sliced.groupBy("__slice").count().collect()) <= 1000
+
+
+def test_salted_lookup(frame, monkeypatch):
+    df, _ = frame
+    stats = df.groupBy("k").agg(F.avg("x").alias("m"))
+    expected = sorted(str(tuple(r)) for r in lookup_module.lookup(df, stats, ["k"]).collect())
+    monkeypatch.setattr(lookup_module, "BROADCAST_CELLS", 0)
+    assert sorted(str(tuple(r)) for r in lookup_module.lookup(df, stats, ["k"], limit=LIMIT).collect()) == expected

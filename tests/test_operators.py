@@ -55,8 +55,9 @@ def test_large_integers_do_not_overflow(spark):
     assert row["a_mult_b"] == 2.0**124 and row["a_add_b"] == 2.0**63
 
 
-def test_interactions_are_capped(nulls):
-    assert len(rowwise.interactions([f"c{i}" for i in range(60)])) == rowwise.INTERACTION_CAP
+def test_interactions_of_all_pairs_unless_fewer_are_asked_for():
+    names = [f"c{i}" for i in range(60)]
+    assert len(rowwise.interactions(names)) == 4 * math.comb(60, 2) and len(rowwise.interactions(names, cap=500)) == 500
 
 
 def test_row_stats(nulls):
@@ -234,7 +235,7 @@ def test_detects_a_time_series(spark):
     df = spark.range(200).withColumn("created", day).withColumn("user_id", (F.col("id") % 5).cast("string")).drop("id")
     info = temporal.detect(df)
     assert info.is_time_series and info.frequency == "daily" and info.entity_columns == ("user_id",)
-    assert "lag_features_7d" in info.recommended and info.warnings == ("low_time_uniqueness",)
+    assert "lag_features 7" in info.recommended and info.warnings == ("low_time_uniqueness",)
     assert not temporal.detect(spark.range(3)).is_time_series
 
 
