@@ -32,7 +32,7 @@ from gleaner.plans.tables import written
 REGION_SETS, REGION_SHINGLES = 4000, 2_000_000  # a region above either is joined by many tasks
 PIVOTS = 12  # of a region in Spark
 SPARE = 2  # parts beyond those needed, so that a set may leave out that many empty ones
-CLASS_RATIO = 1.3
+CLASS_RATIO = 1.6
 KNOWN_WORDS = 1_000_000
 MARKS_HELD = 2_000_000  # marks that a task ties at once
 
@@ -134,17 +134,8 @@ def _stars(marks: np.ndarray, nodes: np.ndarray):
     return marks[first], nodes[first], a[new], b[new]
 
 
-DESCRIBED = "doc_id bigint, key binary, n_shingles bigint, set_key binary, node bigint, mark bigint, hub bigint"
-
-
-def _columns(n: int, **given) -> pa.RecordBatch:
-    """Rows of DESCRIBED with the given columns, the others null."""
-    types = {"doc_id": pa.int64(), "key": pa.binary(), "n_shingles": pa.int64(), "set_key": pa.binary(), "node": pa.int64(), "mark": pa.int64(), "hub": pa.int64()}
-    return pa.RecordBatch.from_arrays([pa.array(given[k], t) if k in given else pa.nulls(n, t) for k, t in types.items()], list(types))
-
-
-def _describe(q: int, num: int, den: int):
-    """Rows of three kinds: documents; (mark, hub), a part's content and a set that has it; edges (node, hub).
+def _marks(q: int, num: int, den: int):
+    """Rows (kind, a, b): kind 0, a part's content and a set that has it; kind 1, an edge between two sets.
 
     Sets of one task that share a mark are tied by edges at once, so a mark leaves a task with one set only, and
     a content that very many sets share costs no more rows than there are tasks.
@@ -154,31 +145,33 @@ def _describe(q: int, num: int, den: int):
         shingles = shingler(q)
         marks: list[np.ndarray] = []
         nodes: list[np.ndarray] = []
-        held = 0
+        held, known = 0, set()
+
+        def rows(kind: int, a: np.ndarray, b: np.ndarray):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
 
         def tied():
             m, h, a, b = _stars(np.concatenate(marks).view(np.int64), np.concatenate(nodes))
-            yield _columns(len(m), mark=m, hub=h)
-            if len(a):
-                yield _columns(len(a), node=a, hub=b)
+            yield rows(0, m, h)
+            yield rows(1, a, b)
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                doc_ids, keys, texts = (c.to_pylist() for c in batch.slice(start, 2000).columns)
-                sizes, set_keys, own = [], [], []
-                for text in texts:
-                    s = shingles(text)
-                    set_keys.append(_key(s) if len(s) else None)
-                    sizes.append(len(s))
-                    own.append(int.from_bytes(set_keys[-1][:8], "big", signed=True) if len(s) else None)
-                    if len(s):
-                        marks.append(signatures(s, num, den))
-                        nodes.append(np.full(len(marks[-1]), own[-1], np.int64))
-                        held += len(marks[-1])
-                yield _columns(len(texts), doc_id=doc_ids, key=keys, n_shingles=sizes, set_key=set_keys, node=own)
+            for text in batch.column(0).to_pylist():
+                s = shingles(text)
+                if not len(s):
+                    continue
+                node = _node(_key(s))
+                if node in known:  # a copy
+                    continue
+                known.add(node)
+                marks.append(signatures(s, num, den))
+                nodes.append(np.full(len(marks[-1]), node, np.int64))
+                held += len(marks[-1])
                 if held > MARKS_HELD:
                     yield from tied()
                     marks, nodes, held = [], [], 0
+            if len(known) > KNOWN_WORDS:
+                known.clear()
         if held:
             yield from tied()
 
@@ -187,23 +180,47 @@ def _describe(q: int, num: int, den: int):
 
 def _tie_hubs(batches):
     """Edges between the sets that tasks sent for one mark; all rows of a mark are in one partition."""
-    pairs = [(x.column("mark").to_numpy(), x.column("hub").to_numpy()) for x in batches]
-    if not pairs:
-        return
-    _, _, a, b = _stars(np.concatenate([m for m, _ in pairs]), np.concatenate([h for _, h in pairs]))
-    if len(a):
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    marks, hubs = [], []
+    for x in batches:
+        kind, a, b = (x.column(n).to_numpy() for n in ("kind", "a", "b"))
+        marks.append(a[kind == 0])
+        hubs.append(b[kind == 0])
+        if (kind == 1).any():
+            yield pa.RecordBatch.from_arrays([pa.array(a[kind == 1]), pa.array(b[kind == 1])], ["a", "b"])
+    if marks and sum(map(len, marks)):
+        _, _, a, b = _stars(np.concatenate(marks), np.concatenate(hubs))
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def _node(key: bytes) -> int:
+    """Half of a set's key; what a set is called until its shingles are compared."""
+    return int.from_bytes(key[:8], "big", signed=True)
+
 
+DESCRIBED = "doc_id bigint, key binary, n_shingles bigint, set_key binary, node bigint, shingles binary"
+
+
+def _describe(q: int):
+    """A row per document; a set's shingles come with the first of its documents in a task."""
 
-def _sets(q: int):
     def make():
         shingles = shingler(q)
+        known: set[bytes] = set()
 
-        def rows(texts):
-            made = [s for s in map(shingles, texts) if len(s)]
-            keys = [_key(s) for s in made]
-            nodes = [int.from_bytes(k[:8], "big", signed=True) for k in keys]
-            return keys, nodes, [len(s) for s in made], [s.tobytes() for s in made]
+        def rows(doc_ids, keys, texts):
+            sizes, set_keys, nodes, blobs = [], [], [], []
+            if len(known) > KNOWN_WORDS:
+                known.clear()
+            for text in texts:
+                s = shingles(text)
+                key = _key(s) if len(s) else None
+                sizes.append(len(s))
+                set_keys.append(key)
+                nodes.append(_node(key) if key else None)
+                blobs.append(s.tobytes() if key and key not in known else None)
+                known.add(key)
+            return doc_ids, keys, sizes, set_keys, nodes, blobs
 
         return rows
 
@@ -333,9 +350,11 @@ def _join_groups(num: int, den: int):
 
     def run(batches):
         for g in _groups(batches, "task"):
-            keys = g["set_key"]
-            if len(keys) < 2:
+            first = {k: i for i, k in reversed(list(enumerate(g["set_key"])))}  # several tasks may have sent a set
+            if len(first) < 2:
                 continue
+            g = {n: [v[i] for i in sorted(first.values())] for n, v in g.items()}
+            keys = g["set_key"]
             _, labels = np.unique(np.array(g["label"], dtype=object), return_inverse=True)
             region = Region(g["shingles"], labels, num, den)
             side = np.array(g["side"])
@@ -462,43 +481,43 @@ def _large_regions(members: DataFrame, num: int, den: int, block_sets: int, bloc
 # ---------------------------------------------------------------- the join
 
 
-def coarse_regions(described: DataFrame) -> DataFrame:
-    """(node, region): components of sets that agree on a part; sets that agree with no other are left out."""
-    marks = described.filter(F.col("mark").isNotNull()).select("mark", "hub").repartition("mark")
-    inside = described.filter(F.col("mark").isNull() & F.col("hub").isNotNull()).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    return components(marks.mapInArrow(_tie_hubs, "a bigint, b bigint").union(inside).distinct()).withColumnRenamed("root", "region")
+def coarse_regions(docs: DataFrame, q: int, num: int, den: int) -> DataFrame:
+    """(node, region): components of sets that agree on a part; sets that agree with no other are left out.
+
+    Marks go from one pass over the texts straight into one shuffle; they are stored nowhere else.
+    """
+    sent = docs.select("text").mapInArrow(_marks(q, num, den), "kind tinyint, a bigint, b bigint").repartition("a")
+    return components(sent.mapInArrow(_tie_hubs, "a bigint, b bigint").distinct()).withColumnRenamed("root", "region")
 
 
 def set_components(docs: DataFrame, q: int, percent: int, region_sets: int, region_shingles: int) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, key of the text, n_shingles, set_key), and (set_key, root, component_id) of every set."""
     num, den = percent, 100
+    regions, regions_size = sized(coarse_regions(docs, q, num, den), 40)
     texts = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text")
-    described = written(texts.mapInArrow(_describe(q, num, den), DESCRIBED))
-    rows = described.filter(F.col("n_shingles").isNotNull()).select("doc_id", "key", "n_shingles", "set_key")
-    regions, regions_size = sized(coarse_regions(described), 40)
-
-    sets = in_batches(docs.select("text"), _sets(q), "set_key binary, node bigint, n bigint, shingles binary")
-    inside = attach(sets, regions, regions_size, ["node"], "inner")
-    members = written(
-        inside.groupBy("set_key").agg(F.first("region").alias("region"), F.first("n").alias("n"), F.first("shingles").alias("shingles"))
-    )
-    weight = members.groupBy("region").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total"))
+    placed = attach(in_batches(texts, _describe(q), DESCRIBED), regions, regions_size, ["node"])
+    # shingles are kept of the sets in regions only
+    rows = written(placed.withColumn("shingles", F.when(F.col("region").isNotNull(), F.col("shingles"))))
+    sent = rows.filter(F.col("shingles").isNotNull()).select("region", "set_key", F.col("n_shingles").alias("n"), "shingles")
+
+    weight = sent.select("region", "set_key", "n").distinct().groupBy("region").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total"))
     large = (F.col("sets") > region_sets) | (F.col("total") > region_shingles)
-    weight, weight_size = sized(weight.select("region", "sets", large.alias("large")), 40)
-    weighed = attach(members, weight, weight_size, ["region"], "inner").filter("sets > 1")
+    weight, weight_size = sized(weight.filter("sets > 1").select("region", large.alias("large")), 40)
+    weighed = attach(sent, weight, weight_size, ["region"], "inner")
     small = weighed.filter(~F.col("large")).select(
         F.col("region").alias("task"), F.lit(0).alias("side"), F.col("set_key").alias("label"), "set_key", "shingles"
     )
     links = _joined(small, num, den)
     if weight.filter("large").limit(1).count():
-        links = links.union(_large_regions(weighed.filter("large").drop("sets", "large"), num, den, region_sets // 2, region_shingles // 2))
+        once = weighed.filter("large").groupBy("set_key").agg(*[F.first(c).alias(c) for c in ("region", "n", "shingles")])
+        links = links.union(_large_regions(written(once), num, den, region_sets // 2, region_shingles // 2))
     roots = components(written(links))
 
     firsts = rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("first"))
     named = firsts.join(roots, firsts.set_key == roots.node, "left").select("set_key", "first", F.coalesce("root", "set_key").alias("root"))
     named = written(named)
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows, named.join(lowest, "root").select("set_key", "root", "component_id")
+    return rows.select("doc_id", "key", "n_shingles", "set_key"), named.join(lowest, "root").select("set_key", "root", "component_id")
 
 
 def jaccard_components(
