@@ -323,6 +323,45 @@ def o5(spark, d):
     return _close(synthesis.dfs_multi(es, plan, first))
 
 
+MANY_CUTS = """cust AS (SELECT c.*, f + to_days(CAST(days AS INTEGER)) AS cutoff_time FROM customer c JOIN (SELECT o_custkey AS ck, min(o_orderdate) AS f FROM orders GROUP BY 1) ON ck = c_custkey,
+    (VALUES (300), (600), (900)) v(days) WHERE days = 900 OR c_custkey % 2 = 0),
+    seen AS (SELECT o.*, cutoff_time AS ct FROM orders o JOIN cust ON o_custkey = c_custkey WHERE o_orderdate <= cutoff_time AND o_orderdate > cutoff_time - INTERVAL 700 DAY),
+    parts AS (SELECT * REPLACE (l_quantity / 7 AS l_quantity) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM seen))"""
+
+
+def _per_cutoff(sql: str) -> str:
+    """The matrix with a row per customer and cutoff, and running totals along them."""
+    sql = sql.replace("a AS (SELECT o_custkey, count(*) AS k", "a AS (SELECT o_custkey, ct, count(*) AS k").replace("FROM oo GROUP BY 1)", "FROM oo GROUP BY 1, 2)")
+    sql = sql.replace("EXCLUDE (o_custkey, k, u1, u2)", "EXCLUDE (o_custkey, ct, k, u1, u2)").replace("a ON o_custkey = c_custkey", "a ON o_custkey = c_custkey AND ct = cutoff_time")
+    return sql.replace(', n_name AS "nation.n_name"', ', round(sum(c_acctbal) OVER (ORDER BY c_custkey, cutoff_time ROWS UNBOUNDED PRECEDING), 2) AS "CUM_SUM(c_acctbal)", n_name AS "nation.n_name"')
+
+
+@query("o5_dfs_many_cutoffs", _per_cutoff(_whole(f"WITH {MANY_CUTS}, " + shop_sql("seen", "cutoff_time,", "parts") + DIRECT)))
+def o5_many(spark, d):
+    """One cutoff for customers with odd keys, three for the others; all features at each."""
+    es = _shop(spark, d)
+    es.tables["lineitem"] = es.tables["lineitem"].withColumn("l_quantity", F.col("l_quantity") / 7)  # no ties in rounding
+    first = es.tables["orders"].groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderdate").alias("f"))
+    days = F.when(F.col("c_custkey") % 2 == 0, F.array(*map(F.lit, (300, 600, 900)))).otherwise(F.array(F.lit(900)))
+    cuts = first.select("c_custkey", "f", F.explode(days).alias("n")).select("c_custkey", (F.col("f") + F.make_dt_interval(days=F.col("n"))).alias("cutoff_time"))
+    plan = synthesis.Synthesis("customer", transforms=("cum_sum",), training_window="700 days")
+    made = tidy(synthesis.dfs_multi(es, plan, cuts), 4)
+    return made.withColumn("CUM_SUM(c_acctbal)", F.round("`CUM_SUM(c_acctbal)`", 2))
+
+
+@query(
+    "o2_dfs_multi_transforms",
+    """SELECT c_custkey, round(c_acctbal, 4) AS c_acctbal, coalesce(n, 0) AS "COUNT(orders)", round(sum(c_acctbal) OVER w, 2) AS "CUM_SUM(c_acctbal)",
+    round(avg(c_acctbal) OVER w / 7, 4) AS "CUM_MEAN(c_acctbal) / 7" FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey
+    WINDOW w AS (ORDER BY c_custkey ROWS UNBOUNDED PRECEDING)""",
+)
+def o2_transforms(spark, d):
+    plan = synthesis.Synthesis("customer", aggregations=("count",), transforms=("cum_sum", "cum_mean"), max_depth=1)
+    made = synthesis.dfs_multi(_shop(spark, d), plan).drop("nation.n_name")
+    some = ["c_custkey", "c_acctbal", "`COUNT(orders)`", F.round("`CUM_SUM(c_acctbal)`", 2).alias("CUM_SUM(c_acctbal)")]
+    return tidy(made.select(*some, (F.col("`CUM_MEAN(c_acctbal)`") / 7).alias("CUM_MEAN(c_acctbal) / 7")), 4)
+
+
 @query(
     "o6_reapply_features",
     """SELECT c_custkey, count(o_orderkey) AS "COUNT(orders)", round(avg(o_totalprice / 7), 4) AS "MEAN(orders.o_totalprice)" FROM customer

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleaner.functions.times import micros, micros_in
 from gleaner.plans.lookup import lookup
@@ -59,11 +60,16 @@ def asof_aggregate(
     else:
         seen = _accumulated(slim, marks, wanted, window, limit)
     counts = [n for n, p, _ in wanted if p in ("count", "num_unique")]
+    # types follow from the columns alone, not from how many cutoffs an entity has
+    kinds = {f.name: f.dataType for f in slim.agg(*[_aggregate(p, c).alias(n) for n, p, c in wanted]).schema.fields}
     out = marks.join(seen, ["__e", "__c"], "left")
     return out.select(
         F.col("__e").alias(entity),
         F.col("__c").alias(cutoff),
-        *[F.coalesce(F.col(f"`{n}`"), F.lit(0)).alias(n) if n in counts else F.col(f"`{n}`") for n, _, _ in wanted],
+        *[
+            (F.coalesce(F.col(f"`{n}`"), F.lit(0)) if n in counts else F.col(f"`{n}`")).cast(kinds[n]).alias(n)
+            for n, _, _ in wanted
+        ],
     )
 
 
@@ -97,7 +103,8 @@ def _accumulated(slim: DataFrame, marks: DataFrame, wanted: Wanted, window: str
         x = F.col(f"`{c}`").cast("double")
         dev = x - F.lit(centre[c] or 0.0)
         aggs += [F.count(x).alias(f"__n{i}"), F.sum(dev).alias(f"__s{i}"), F.sum(dev * dev).alias(f"__q{i}")]
-        aggs += [F.min(x).alias(f"__lo{i}"), F.max(x).alias(f"__hi{i}")]
+        own = F.col(f"`{c}`")
+        aggs += [F.min(own).alias(f"__lo{i}"), F.max(own).alias(f"__hi{i}"), F.sum(own).alias(f"__t{i}")]
     per = parts.groupBy("__e", "__until").agg(*aggs)
     # one row per end: an entity has as many as it has cutoffs (twice that with a window)
     timeline = ends.withColumnRenamed("__t", "__until").join(per, ["__e", "__until"], "left")
@@ -111,11 +118,12 @@ def _accumulated(slim: DataFrame, marks: DataFrame, wanted: Wanted, window: str
             made.append(F.coalesce(F.sum("__rows").over(w), F.lit(0)).alias(name))
             continue
         i = columns.index(c)
+        whole = isinstance(slim.schema[c].dataType, (T.IntegralType, T.DecimalType))
         n, s, q = F.sum(f"__n{i}").over(w), F.sum(f"__s{i}").over(w), F.sum(f"__q{i}").over(w)
         mid = F.lit(centre[c] or 0.0)
         made.append(
             {
-                "sum": F.when(n > 0, s + n * mid),
+                "sum": F.sum(f"__t{i}").over(w) if whole else F.when(n > 0, s + n * mid),
                 "mean": F.when(n > 0, s / n + mid),
                 "min": F.min(f"__lo{i}").over(w),
                 "max": F.max(f"__hi{i}").over(w),

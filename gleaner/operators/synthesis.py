@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.times import micros, micros_in
-from gleaner.operators.asof import PRIMITIVES, asof_aggregate
+from gleaner.operators.asof import PRIMITIVES
 from gleaner.operators.windows import cumulative_features, percentile_features
 from gleaner.plans.lookup import lookup
 from gleaner.plans.tables import written
@@ -29,6 +29,9 @@ TRANSFORMS = (*PAIR_TRANSFORMS, "percentile", "cum_sum", "cum_mean")
 SIGNS = {"add": "+", "subtract": "-", "multiply": "*", "divide": "/"}
 
 
+CUT = "__cut"  # the cutoff a row was chosen for, in microseconds, where rows are cut
+
+
 @dataclass(frozen=True)
 class Relationship:
     parent: str
@@ -48,7 +51,7 @@ class EntitySet:
 
     def keys_of(self, name: str) -> set[str]:
         keys = {self.index[name]} | {self.time.get(name)}
-        keys |= {r.child_key for r in self.relationships if r.child == name}
+        keys |= {r.child_key for r in self.relationships if r.child == name} | {CUT}
         return keys | {r.parent_key for r in self.relationships if r.parent == name}
 
     def numbers(self, name: str) -> list[str]:
@@ -170,9 +173,11 @@ def _with_aggregates(es: EntitySet, name: str, df: DataFrame, plan: Synthesis, d
         aggs = [
             (F.count(F.lit(1)) if p == "count" else PRIMITIVES[p][1](_quoted(c))).alias(n) for n, p, c in wanted
         ]
-        stats = child.groupBy(F.col(rel.child_key).alias("__fk")).agg(*aggs)
+        cut = [F.col(CUT).alias("__fcut")] if CUT in child.columns else []
+        stats = child.groupBy(F.col(rel.child_key).alias("__fk"), *cut).agg(*aggs)
         counts = {n for n, p, _ in wanted if p in ("count", "num_unique")}
-        joined = df.join(stats, F.col(f"`{rel.parent_key}`") == F.col("__fk"), "left")
+        same = F.col(f"`{rel.parent_key}`") == F.col("__fk")
+        joined = df.join(stats, same & (F.col(CUT) == F.col("__fcut")) if cut else same, "left")
         df = joined.select(
             *[_quoted(c) for c in df.columns],
             *[F.coalesce(_quoted(n), F.lit(0)).alias(n) if n in counts else _quoted(n) for n, _, _ in wanted],
@@ -202,10 +207,12 @@ def _with_direct(es: EntitySet, name: str, df: DataFrame, depth: int) -> tuple[D
 
 
 def _before_cutoff(es: EntitySet, target: str, cutoffs: DataFrame, window: str | None) -> EntitySet:
-    """Descendant tables without rows later than the cutoff of the target row they belong to (one cutoff per row)."""
+    """Descendant tables with the rows that each cutoff lets through, once per cutoff, marked with it in CUT.
+
+    A child row takes the cutoffs of its parent's rows; where its table has a time, those before it are left out.
+    """
     tables = dict(es.tables)
-    key = es.index[target]
-    limits = {target: cutoffs.select(F.col(key).alias("__key"), micros(cutoffs, "cutoff_time").alias("__ct"))}
+    limits = {target: cutoffs.select(F.col(es.index[target]).alias("__key"), F.col(CUT))}
     todo = [target]
     while todo:
         name = todo.pop(0)
@@ -213,15 +220,14 @@ def _before_cutoff(es: EntitySet, target: str, cutoffs: DataFrame, window: str |
             if rel.parent != name or rel.child in limits:
                 continue
             child = tables[rel.child]
-            joined = lookup(child, limits[name].withColumnRenamed("__key", rel.child_key), [rel.child_key])
-            joined = joined.filter(F.col("__ct").isNotNull())
+            joined = child.join(limits[name].withColumnRenamed("__key", rel.child_key), rel.child_key)
             if rel.child in es.time:
                 t = micros(child, es.time[rel.child])
-                joined = joined.filter(t <= F.col("__ct"))
+                joined = joined.filter(t <= F.col(CUT))
                 if window is not None:
-                    joined = joined.filter(t > F.col("__ct") - micros_in(window))
-            limits[rel.child] = joined.select(F.col(es.index[rel.child]).alias("__key"), "__ct")
-            tables[rel.child] = joined.drop("__ct")
+                    joined = joined.filter(t > F.col(CUT) - micros_in(window))
+            tables[rel.child] = joined.select(*child.columns, CUT)
+            limits[rel.child] = tables[rel.child].select(F.col(es.index[rel.child]).alias("__key"), CUT)
             todo.append(rel.child)
     return EntitySet(tables, es.index, es.relationships, es.time)
 
@@ -229,45 +235,36 @@ def _before_cutoff(es: EntitySet, target: str, cutoffs: DataFrame, window: str |
 def dfs_multi(es: EntitySet, plan: Synthesis, cutoffs: DataFrame | None = None) -> DataFrame:
     """Feature matrix of the target table: its columns, child aggregates up to max_depth, parent columns, transforms.
 
-    cutoffs holds (index, cutoff_time). With one cutoff per row, all descendant tables are
-    cut at it; with several, the matrix has a row per cutoff and one level of aggregates.
+    cutoffs holds (index, cutoff_time), any number for each row: the matrix has a row per cutoff, and all
+    descendant tables are cut at it. Running transforms follow the index, and the cutoff.
     """
     index, base = es.index[plan.target], es.tables[plan.target]
-    keep = [index, *es.numbers(plan.target)]
+    numbers = es.numbers(plan.target)
+    keep, order = [index, *numbers], [index]
     if cutoffs is not None:
-        most = cutoffs.groupBy(index).agg(F.countDistinct("cutoff_time").alias("n")).agg(F.max("n")).first()[0] or 0
-        if most > 1:
-            return _matrix_per_cutoff(es, plan, cutoffs)
-        cutoffs = written(cutoffs.select(index, "cutoff_time").distinct())
-        es = _before_cutoff(es, plan.target, cutoffs, plan.training_window)
-        base = base.join(cutoffs, index)
-        keep = [index, "cutoff_time", *es.numbers(plan.target)]
+        marks = cutoffs.select(index, "cutoff_time", micros(cutoffs, "cutoff_time").alias(CUT)).distinct()
+        marks = written(marks.filter(F.col(CUT).isNotNull()))
+        es = _before_cutoff(es, plan.target, marks, plan.training_window)
+        base = base.join(marks, index)
+        keep, order = [index, "cutoff_time", *numbers], [index, CUT]
+    running = {f"{t.upper()}({c})": F.col(f"`{c}_{t}`") for t in ("percentile", "cum_sum", "cum_mean") if t in plan.transforms for c in numbers}
+    asked = [n for n in running if plan.names is None or n in plan.names]
+    sums = [c for c in numbers if f"CUM_SUM({c})" in asked or f"CUM_MEAN({c})" in asked]
+    if sums:
+        base = cumulative_features(base, sums, order)
+    ranks = [c for c in numbers if f"PERCENTILE({c})" in asked]
+    if ranks:
+        base = percentile_features(base, ranks)
     df, made = _with_aggregates(es, plan.target, base, plan, plan.max_depth)
     df, direct = _with_direct(es, plan.target, df, plan.max_depth)
-    pairs = pair_transforms(es.numbers(plan.target), [t for t in plan.transforms if t in PAIR_TRANSFORMS])
-    names = [*keep, *made, *direct, *pairs]
+    pairs = pair_transforms(numbers, [t for t in plan.transforms if t in PAIR_TRANSFORMS])
+    names = [*keep, *made, *direct, *pairs, *running]
     fixed = 1 if cutoffs is None else 2
     if plan.names is not None:
         names = [*names[:fixed], *[n for n in names[fixed:] if n in plan.names]]
     elif plan.max_features is not None:
         names = names[: fixed + plan.max_features]
-    return df.select(*[pairs.get(n, _quoted(n)).alias(n) for n in names])
-
-
-def _matrix_per_cutoff(es: EntitySet, plan: Synthesis, cutoffs: DataFrame) -> DataFrame:
-    index = es.index[plan.target]
-    out = es.tables[plan.target].select(index, *es.numbers(plan.target)).join(
-        cutoffs.select(index, "cutoff_time").distinct(), index
-    )
-    for rel in es.relationships:
-        if rel.parent != plan.target or rel.child not in es.time:
-            continue
-        wanted = _wanted(rel, es.numbers(rel.child), es.texts(rel.child), plan)
-        stats = asof_aggregate(
-            es.tables[rel.child], rel.child_key, es.time[rel.child], cutoffs, index, "cutoff_time", wanted, plan.training_window
-        )
-        out = out.join(stats, [index, "cutoff_time"], "left")
-    return out
+    return df.select(*[pairs.get(n, running.get(n, _quoted(n))).alias(n) for n in names])
 
 
 def feature_names(matrix: DataFrame, plan: Synthesis, es: EntitySet) -> Synthesis:

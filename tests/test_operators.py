@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from gleaner.functions import labelers, rowwise
 from gleaner.functions.predicates import Condition, Filter, all_of
 from gleaner.models import compare, evaluate, explain, search, train
-from gleaner.operators import encode, insights, labels, microsegments, prep, profile, quality, ranking, segments, temporal, windows
+from gleaner.operators import asof, encode, synthesis, insights, labels, microsegments, prep, profile, quality, ranking, segments, temporal, windows
 from gleaner.operators import aggregates as agg
 from gleaner.plans.tables import shared_folder, written
 from gleaner.sources import models as saved
@@ -484,3 +484,29 @@ def test_written_tables_go_to_the_named_folder(spark):
 
 def test_specs_are_plain_json():
     assert json.loads(FeatureSpec("a", "log", ("x",)).to_json())["inputs"] == ["x"]
+
+
+def test_a_second_cutoff_changes_no_other_row(spark):
+    t = lambda d: dt.datetime(2024, 1, d)
+    users = spark.createDataFrame([(1, 2.5), (2, 1.0), (3, 0.5)], "u long, w double")
+    orders = spark.createDataFrame([(i, 1 + i % 3, t(1 + i), 10 * i, "ab"[i % 2]) for i in range(20)], "o long, u long, t timestamp_ntz, x long, s string")
+    lines = spark.createDataFrame([(i, i % 20, float(i)) for i in range(60)], "l long, o long, q double")
+    links = (synthesis.Relationship("users", "u", "orders", "u"), synthesis.Relationship("orders", "o", "lines", "o"))
+    es = synthesis.EntitySet({"users": users, "orders": orders, "lines": lines}, {"users": "u", "orders": "o", "lines": "l"}, links, {"orders": "t"})
+    cuts = [(1, t(10)), (2, t(12)), (3, t(15))]
+    plan = synthesis.Synthesis("users", transforms=("cum_sum",), max_depth=2)
+    one, two = (synthesis.dfs_multi(es, plan, spark.createDataFrame(c, "u long, cutoff_time timestamp_ntz")) for c in (cuts, [*cuts, (3, t(18))]))
+    assert one.dtypes == two.dtypes and len(one.columns) > 12
+    rows = lambda df: {(r["u"], r["cutoff_time"]): tuple(r) for r in df.collect()}
+    first, second = rows(one), rows(two)
+    assert len(second) == 4 and all(second[k][:-1] == v[:-1] for k, v in first.items())
+    assert second[3, t(18)][one.columns.index("COUNT(orders)")] > second[3, t(15)][one.columns.index("COUNT(orders)")]
+
+
+def test_asof_types_do_not_follow_the_cutoffs(spark):
+    t = lambda d: dt.datetime(2024, 1, d)
+    rows = spark.createDataFrame([(1, t(2), 2**60 + 1), (1, t(3), 1), (2, t(2), 5)], "k long, t timestamp_ntz, x long")
+    wanted = [("s", "sum", "x"), ("lo", "min", "x"), ("m", "mean", "x"), ("n", "count", "k")]
+    made = [asof.asof_aggregate(rows, "k", "t", spark.createDataFrame(c, "k long, c timestamp_ntz"), "k", "c", wanted) for c in ([(1, t(5))], [(1, t(5)), (1, t(9))])]
+    assert made[0].dtypes == made[1].dtypes
+    assert {r["s"] for m in made for r in m.collect()} == {2**60 + 2}
