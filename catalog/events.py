@@ -325,7 +325,7 @@ def o5(spark, d):
 
 MANY_CUTS = """cust AS (SELECT c.*, f + to_days(CAST(days AS INTEGER)) AS cutoff_time FROM customer c JOIN (SELECT o_custkey AS ck, min(o_orderdate) AS f FROM orders GROUP BY 1) ON ck = c_custkey,
     (VALUES (300), (600), (900)) v(days) WHERE days = 900 OR c_custkey % 2 = 0),
-    seen AS (SELECT o.*, cutoff_time AS ct FROM orders o JOIN cust ON o_custkey = c_custkey WHERE o_orderdate <= cutoff_time AND o_orderdate > cutoff_time - INTERVAL 700 DAY),
+    seen AS (SELECT o.* REPLACE (o_totalprice * 0.6180339887::DOUBLE AS o_totalprice), cutoff_time AS ct FROM orders o JOIN cust ON o_custkey = c_custkey WHERE o_orderdate <= cutoff_time AND o_orderdate > cutoff_time - INTERVAL 700 DAY),
     parts AS (SELECT * REPLACE (l_quantity * 0.6180339887::DOUBLE AS l_quantity) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM seen))"""
 
 
@@ -341,6 +341,7 @@ def o5_many(spark, d):
     """One cutoff for customers with odd keys, three for the others; all features at each."""
     es = _shop(spark, d)
     es.tables["lineitem"] = es.tables["lineitem"].withColumn("l_quantity", F.col("l_quantity") * 0.6180339887)  # no ties in rounding
+    es.tables["orders"] = es.tables["orders"].withColumn("o_totalprice", F.col("o_totalprice") * 0.6180339887)
     first = es.tables["orders"].groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderdate").alias("f"))
     days = F.when(F.col("c_custkey") % 2 == 0, F.array(*map(F.lit, (300, 600, 900)))).otherwise(F.array(F.lit(900)))
     cuts = first.select("c_custkey", "f", F.explode(days).alias("n")).select("c_custkey", (F.col("f") + F.make_dt_interval(days=F.col("n"))).alias("cutoff_time"))
