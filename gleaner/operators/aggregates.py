@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from gleaner.plans.lookup import lookup
 from gleaner.plans.ordered import GROUP_ROWS
 from gleaner.plans.quantiles import LINEAR, quantiles
-from gleaner.plans.tables import with_facts
+from gleaner.plans.tables import with_facts, written
 
 # Aggregate names and the Spark function each one means.
 AGGREGATES = {
@@ -153,13 +153,17 @@ def batch_quantiles(df: DataFrame, columns: list[str], probs: list[float], limit
 
 
 def duplicate_count(df: DataFrame, subset=None) -> DataFrame:
-    """rows, distinct_rows and duplicates (rows minus distinct rows)."""
-    per = df.groupBy(*(subset or df.columns)).agg(F.count(F.lit(1)).alias("n"))
-    return per.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
-        F.count(F.lit(1)).alias("distinct_rows"),
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"),
-    )
+    """rows, distinct_rows and duplicates (rows minus distinct rows).
+
+    Rows are first counted by a hash; only those whose hash repeats are sent whole and compared.
+    """
+    columns = [F.col(f"`{c}`") for c in (subset or df.columns)]
+    marked = df.select(*columns, F.xxhash64(*columns).alias("__h"))
+    repeated = written(marked.groupBy("__h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__h"))
+    equal = marked.join(repeated, "__h", "left_semi").groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    again = equal.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
+    both = with_facts(df.agg(F.count(F.lit(1)).alias("n_rows")), again)
+    return both.select("n_rows", (F.col("n_rows") - F.col("duplicates")).alias("distinct_rows"), "duplicates")
 
 
 def select_by_cardinality(df: DataFrame, columns: list[str], max_values: int = 20, approx: bool = False) -> list[str]:

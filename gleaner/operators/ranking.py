@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.operators.aggregates import value_counts
-from gleaner.plans.ordered import running_totals
+from gleaner.plans.ordered import order_tie, running_totals
 
 
 def top_categories(df: DataFrame, column: str, k: int = 10) -> DataFrame:
@@ -40,17 +40,27 @@ class Page:
 
 
 SORTABLE = ("lift", "support", "rig", "support_count")
+TOP_ROWS = 100_000
 
 
 def paginate(df: DataFrame, page: int, size: int, sort_by: str = "lift", order: str = "desc", ties=()) -> Page:
-    """One page of a sorted table. Row numbers come from running totals, so a large table is not sorted in one task."""
+    """One page of a sorted table.
+
+    Pages that end within the first TOP_ROWS rows are cut from the table's top; for later ones, row numbers come
+    from running totals, so a large table is not sorted in one task. Both ways give the same rows.
+    """
     if sort_by not in SORTABLE:
         raise ValueError(f"sort_by must be one of {SORTABLE}")
     total = df.count()
     pages = max(1, -(-total // size))
     by = [F.desc(sort_by) if order == "desc" else F.asc(sort_by), *ties]
-    numbered = running_totals(df, [], by, {"row_number": F.lit(1).cast("bigint")})
     first = (page - 1) * size
+    if first + size <= TOP_ROWS:
+        order = [*by, order_tie(df)]
+        top = df.orderBy(*order).limit(first + size)
+        numbered = top.withColumn("row_number", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    else:
+        numbered = running_totals(df, [], by, {"row_number": F.lit(1).cast("bigint")})
     rows = numbered.filter((F.col("row_number") > first) & (F.col("row_number") <= first + size))
     return Page(rows, total, pages, page < pages, page > 1)
 

@@ -45,7 +45,7 @@ def _order_columns(order) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
-def _tie(df: DataFrame) -> Column:
+def order_tie(df: DataFrame) -> Column:
     """Last order key: rows that tie in the caller's order come in one order in every way of computing."""
     plain = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
     return F.xxhash64(*plain)
@@ -55,7 +55,7 @@ def _in_slices(df: DataFrame, keys: list[str], order: list[Column], rows: int, l
     """Range-partition by (keys, order) into about rows/limit slices of whole order ranges."""
     parts = min(MAX_SLICES, max(2, -(-rows // max(1, limit // 2))))
     # numbered rows, so that rows which are equal fall into different slices too
-    tied = written(df.withColumn("__tie", _tie(df)).withColumn("__row", F.monotonically_increasing_id()))
+    tied = written(df.withColumn("__tie", order_tie(df)).withColumn("__row", F.monotonically_increasing_id()))
     full_order = [*order, F.col("__tie"), F.col("__row")]
     sliced = tied.repartitionByRange(parts, *keys, *full_order).withColumn("__slice", F.spark_partition_id())
     return written(sliced), full_order
@@ -74,7 +74,7 @@ def running_totals(
     cold, hot, rows = split_hot(df, keys, limit, sizes)
     parts = []
     if cold is not None:
-        w = Window.partitionBy(*keys).orderBy(*order, _tie(cold)).rowsBetween(Window.unboundedPreceding, 0)
+        w = Window.partitionBy(*keys).orderBy(*order, order_tie(cold)).rowsBetween(Window.unboundedPreceding, 0)
         parts.append(cold.select("*", *[F.coalesce(F.sum(e).over(w), F.lit(0)).alias(n) for n, e in totals.items()]))
     if hot is not None:
         parts.append(_running_in_slices(hot, keys, order, totals, rows, limit))
@@ -116,7 +116,7 @@ def look_back(
     cold, hot, rows = split_hot(df, keys, limit, sizes)
     parts = []
     if cold is not None:
-        parts.append(cold.select("*", *columns(Window.partitionBy(*keys).orderBy(*order, _tie(cold)))))
+        parts.append(cold.select("*", *columns(Window.partitionBy(*keys).orderBy(*order, order_tie(cold)))))
     if hot is not None:
         block = max(limit // 2, rows_back, rows_ahead, 1)
         placed = _running_in_slices(hot, keys, order, {"__seq": F.lit(1).cast("bigint")}, rows, limit)

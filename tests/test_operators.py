@@ -510,3 +510,11 @@ def test_asof_types_do_not_follow_the_cutoffs(spark):
     made = [asof.asof_aggregate(rows, "k", "t", spark.createDataFrame(c, "k long, c timestamp_ntz"), "k", "c", wanted) for c in ([(1, t(5))], [(1, t(5)), (1, t(9))])]
     assert made[0].dtypes == made[1].dtypes
     assert {r["s"] for m in made for r in m.collect()} == {2**60 + 2}
+
+
+def test_pages_are_the_same_in_both_ways(spark, monkeypatch):
+    df = spark.createDataFrame([(i, float(i % 5)) for i in range(40)], "id int, lift double").repartition(4)
+    page = lambda p: sorted(map(tuple, ranking.paginate(df, p, 7).rows.collect()), key=lambda r: r[-1])
+    near = [page(p) for p in range(1, 8)]
+    monkeypatch.setattr(ranking, "TOP_ROWS", 0)
+    assert [page(p) for p in range(1, 8)] == near and sum(map(len, near)) == 40
