@@ -208,7 +208,7 @@ def test_rare_lookup_equals_inline(spark, monkeypatch):
 def test_quality_of_constant_and_duplicates(spark):
     df = spark.createDataFrame([("k", 1.0)] * 8 + [("k", 2.0)] * 2, "g string, x double")
     assert quality.quality_score(df).first()["quality_score"] == 88.0  # duplicates 10, constant 2
-    assert one(quality.quality_issues(df)) == [("g", "Constant column (only one unique value)", "high")]
+    assert one(quality.quality_issues(df)) == [("g", "single_value", "high")]
     empty = df.limit(0)
     assert quality.missing_report(empty).count() == 2 and quality.quality_score(empty).first()["quality_score"] == 100.0
 
