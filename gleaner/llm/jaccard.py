@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import attach, in_batches, sized, text_key
@@ -406,8 +406,8 @@ def _large_regions(members: DataFrame, num: int, den: int, block_sets: int, bloc
     """Links of regions above the limits. members: region, set_key, n, shingles, one row per set.
 
     A pivot round: PIVOTS sets of each region, those with the smallest hashes, are compared with all its sets.
-    Sets linked with a pivot are labelled by the pivots' components. Cells (label, nearest pivot, ring) are cut
-    by hash into blocks within the limits. Two blocks are joined unless they hold one label only or, for some
+    Sets linked with a pivot are labelled by the pivots' components. Cells (label, nearest pivot, ring) are put
+    together, or cut by hash, into blocks within about twice the limits. Two blocks are joined unless they hold one label only or, for some
     pivot, their distances to it are more than eps apart.
     """
     eps = (den - num) / den + 1e-9
@@ -447,10 +447,15 @@ def _large_regions(members: DataFrame, num: int, den: int, block_sets: int, bloc
     cells = cells.withColumn("of", F.when(free, F.lit(b"").cast("binary")).otherwise(F.col("label")))
     cell = ["region", "of", "home", "ring"]
     weight = cells.groupBy(*cell).agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total"))
-    weight = weight.withColumn("cuts", F.ceil(F.greatest(F.col("sets") / block_sets, F.col("total") / block_shingles)))
-    weight, weight_size = sized(weight.select(*cell, "cuts"), 80)
+    load = F.greatest(F.col("sets") / block_sets, F.col("total") / block_shingles)
+    before = Window.partitionBy("region", "of").orderBy("home", "ring").rowsBetween(Window.unboundedPreceding, -1)
+    # neighbouring cells of one label share a block, as far as they fit; a larger cell has blocks of its own
+    weight = weight.withColumn("load", load).withColumn("cuts", F.ceil("load"))
+    weight = weight.withColumn("pack", F.floor(F.coalesce(F.sum(F.when(F.col("cuts") < 2, F.col("load"))).over(before), F.lit(0.0))))
+    weight, weight_size = sized(weight.select(*cell, "cuts", "pack"), 80)
     blocks = attach(cells, weight, weight_size, cell, "inner").withColumn("cut", F.pmod(F.xxhash64("set_key", F.lit(7)), F.col("cuts")))
-    blocks = blocks.withColumn("block", F.xxhash64(*cell, "cut"))
+    alone = F.when(F.col("cuts") > 1, F.xxhash64("home", "ring", "cut")).otherwise(F.lit(0).cast("bigint"))
+    blocks = blocks.withColumn("block", F.xxhash64("region", "of", F.when(F.col("cuts") > 1, F.lit(-1)).otherwise(F.col("pack")), alone))
     blocks = written(blocks.select("region", "block", "of", "label", "set_key", "n", "shingles", "far"))
 
     ends = blocks.groupBy("region", "block", "of").agg(
