@@ -33,7 +33,7 @@ REGION_SETS, REGION_SHINGLES = 4000, 2_000_000  # a region above either is joine
 PIVOTS = 12  # of a region in Spark
 SPARE = 2  # parts beyond those needed, so that a set may leave out that many empty ones
 CLASS_RATIO = 1.6
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 250_000
 MARKS_HELD = 2_000_000  # marks that a task ties at once
 
 # ---------------------------------------------------------------- sets and parts
@@ -515,7 +515,7 @@ def set_components(docs: DataFrame, q: int, percent: int, region_sets: int, regi
     links = _joined(small, num, den)
     if weight.filter("large").limit(1).count():
         once = weighed.filter("large").groupBy("set_key").agg(*[F.first(c).alias(c) for c in ("region", "n", "shingles")])
-        links = links.union(_large_regions(written(once), num, den, region_sets // 2, region_shingles // 2))
+        links = links.union(_large_regions(written(once), num, den, region_sets, region_shingles * 3 // 4))
     roots = components(written(links))
 
     firsts = rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("first"))
