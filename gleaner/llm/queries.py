@@ -130,7 +130,7 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op5_personal_data")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
-    return pii.report(table(spark, folder, "documents"))
+    return pii.report(table(spark, folder, "documents"), whole=True)
 
 
 SEARCH_SQL = """

@@ -111,3 +111,61 @@ def test_forms(seed):
 
 def test_empty_table(docs):
     assert pii.report(docs([(1, "a")]).limit(0)).collect() == []
+
+
+def brute_whole(pairs):
+    """(id, start, kind) of the words that disclose, counted in distinct whole texts."""
+    texts = {t for _, t in pairs if t}
+    held = {t: {w for *_, w in every(t)} for t in texts}
+    entities = {}
+    for t in texts:
+        for _, k, _, v in base(t):
+            wide = (v.split("@")[-1], v.rsplit(".", 1)[0], v[:6], v[:-4])[k]
+            for e in ((k, v), (k, "wide", wide)):
+                entities.setdefault(e, set()).add(t)
+    n, out = len(texts | {t for _, t in pairs if t is not None}), set()
+    for i, t in pairs:
+        found = base(t or "")
+        for a, b, w in every(t or ""):
+            shares = []
+            for having in entities.values():
+                if t in having and len(having) < n:
+                    k = sum(w in held[x] for x in having)
+                    low = (k + 0.5 - math.sqrt(k * (1 - k / n) + 0.25)) / (1 + 1 / n)
+                    shares.append(math.log(low * n / (sum(w in ws for ws in held.values()) * len(having))) / math.log(n / len(having)))
+            if shares and max(shares) >= 0.6 - 1e-9 and not any(s < b and a < e for s, _, e, _ in found):
+                out.add((str(i), a, "term" if max(shares) >= 0.85 - 1e-9 else "hint"))
+    return out
+
+
+def every(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    return [(m.start(), m.end(), m.group()) for m in re.finditer(r"(?:[a-z]|[^\x00-\x7F])+", low)]
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_whole_texts(docs, monkeypatch, shuffled):
+    """A nickname 30 words from an address met once, a name of two letters, and a town that goes with a mail domain."""
+    if shuffled:
+        monkeypatch.setattr("gleaner.llm.common.BROADCAST_BYTES", -1)
+    rng = random.Random(9)
+    filler = [f"{a}{b}{c}" for a in "bdfg" for b in ("al", "em", "or") for c in ("ne", "ka", "té")]
+    text = lambda n: " ".join(rng.choice(filler) for _ in range(n))
+    pairs = corpus() + [(1000 + i, text(30)) for i in range(700)]
+    pairs += [(2000, f"Quibble {text(30)} only.once@mail.test {text(30)} Xu {'y' * 60}")]
+    pairs += [(2010 + i, f"p{'abcdef'[i]}@wide.test {text(20)} Bigtown") for i in range(6)] + [(2020, f"Bigtown {text(5)}")]
+    made = {(str(r.doc_id), int(s.split(":")[1]), s.split(":")[0]) for r in pii.report(docs(pairs), whole=True).collect() for s in r.spans.split(",") if s}
+    assert {m for m in made if m[2] in KINDS[4:]} == brute_whole(pairs)
+    assert {k for i, a, k in made if i == "2000"} >= {"term", "email"} and ("2000", 0, "term") in made
+    assert [i for i, a, k in made if i == "2010" and a > 30 and k in KINDS[4:]]
+
+
+def test_the_query_counts_whole_texts(spark):
+    from gleaner.llm import queries
+
+    rows = queries.QUERIES["op5_personal_data"](spark, "/root/testdata/sf0.001").collect()
+    assert any("hint:" in r.spans or "term:" in r.spans for r in rows)
+
+
+def test_empty_table_of_whole_texts(docs):
+    assert pii.report(docs([(1, "a")]).limit(0), whole=True).collect() == []
