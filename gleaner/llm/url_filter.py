@@ -1,8 +1,9 @@
 """URL filters: rules on hosts and paths, and trust spread over the links between hosts.
 
-A rule judges what it fits. For the rest, personalised PageRank spreads trust along links from hosts that a rule
-allows as a whole, and distrust against links from hosts that a rule blocks as a whole. What reaches a host from
-others decides: one that links to blocked hosts, and that trusted ones hardly link to, is blocked.
+A rule judges what it fits. For the rest, personalised PageRank spreads trust along links and distrust against them.
+A host starts with as much trust, and as much distrust, as rules allow and block of what is known of it: its pages
+and what other hosts link to on it. What reaches a host from others decides: one that links to blocked hosts, and that
+trusted ones hardly link to, is blocked.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ DAMPING = 0.85
 ROUNDS = 12  # the rest of a restart that is not spread yet is 0.85 ** 12
 LEAST_DISTRUST = 0.05  # received distrust below this blocks nobody; a seed host has 0.15
 WRITE_EVERY = 4  # rounds between written tables
-LINK = r"""(?i)\bhref\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^/?#"'\s>]+)"""
+LINK = r"""(?i)\bhref\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^/?#"'\s>]+[^?#"'\s>]*)"""
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -60,12 +61,25 @@ def first_rule(rules: Column, path: Column) -> Column:
     return F.try_element_at(F.filter(rules, lambda r: F.startswith(path, r["path"])), F.lit(1))
 
 
-def host_links(pages: DataFrame) -> DataFrame:
-    """(src, dst, links): absolute links from pages to other hosts, counted; pages without a host have none."""
-    targets = F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1)))
-    links = pages.filter("host != ''").select(F.col("host").alias("src"), targets.alias("target"))
-    links = links.select("src", ascii_lower(F.regexp_extract("target", "//(.*)$", 1)).alias("dst"))
-    return links.filter("dst != '' AND dst != src").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"))
+def targets(pages: DataFrame) -> DataFrame:
+    """(src, dst, path, links): absolute links from pages to other hosts, counted; pages without a host have none."""
+    found = F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1)))
+    links = pages.filter("host != ''").select(F.col("host").alias("src"), found.alias("target"))
+    links = links.select("src", F.regexp_extract("target", "//(.*)$", 1).alias("rest"))
+    links = links.select("src", ascii_lower(F.regexp_extract("rest", "^[^/]*", 0)).alias("dst"), F.regexp_extract("rest", "/.*$", 0).alias("path"))
+    return links.filter("dst != '' AND dst != src").groupBy("src", "dst", "path").agg(F.count(F.lit(1)).alias("links"))
+
+
+def seeds_of(pages: DataFrame, linked: DataFrame, ruled: DataFrame) -> DataFrame:
+    """(host, trust, distrust): the shares of a host's pages, and of links to it, that a rule allows and blocks.
+
+    A page or a link that no rule fits counts as neither. pages: host and path; linked: as targets() makes it.
+    """
+    known = pages.select("host", "path", F.lit(1).alias("links")).union(linked.select(F.col("dst").alias("host"), "path", "links"))
+    known = known.groupBy("host", "path").agg(F.sum("links").alias("links"))
+    judged = known.join(ruled, "host").withColumn("verdict", first_rule(F.col("rules"), F.col("path"))["verdict"])
+    part = lambda verdict: F.sum(F.when(F.col("verdict") == verdict, F.col("links")).otherwise(0)) / F.sum("links")
+    return judged.groupBy("host").agg(part("allow").alias("trust"), part("block").alias("distrust"))
 
 
 def spread(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
@@ -96,14 +110,12 @@ def spread(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: fl
 
 
 def judge_hosts(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """(host, rules, verdict) for every host of pages; pages has host and html."""
-    links = written(host_links(pages))
-    hosts = pages.select("host").union(links.select("dst")).distinct()
+    """(host, rules, verdict) for every host of pages; pages has host, path and html."""
+    linked = written(targets(pages))
+    links = linked.groupBy("src", "dst").agg(F.sum("links").alias("links"))
+    hosts = pages.select("host").union(linked.select("dst")).distinct()
     ruled = written(rules_table(hosts, rules))
-    whole = first_rule(F.col("rules"), F.lit("/"))["verdict"]
-    seeds = ruled.select(
-        "host", F.when(whole == "allow", 1.0).otherwise(0.0).alias("trust"), F.when(whole == "block", 1.0).otherwise(0.0).alias("distrust")
-    )
+    seeds = seeds_of(pages, linked, ruled)
     got = spread(links, seeds)
     bad = (F.col("distrust") >= LEAST_DISTRUST) & (F.col("distrust") > F.col("trust"))
     return ruled.join(got, "host", "left").select("host", "rules", F.when(bad, "block").otherwise("allow").alias("verdict"))

@@ -90,3 +90,15 @@ def test_shuffled_join_gives_the_same(frame, monkeypatch):
 
 def test_empty_table(frame):
     assert url_filter.judge(frame([(1, "u", "h", "x", "y")], SCHEMA).limit(0)).collect() == []
+
+
+def test_registered_rules_block_by_links(frame):
+    """A host that links to pages under blocked paths is blocked; one that links beside them is not."""
+    pages = [(1, "http://q.net/es/1", ""), (2, "http://q.net/es/2", ""), (3, "http://q.net/en/", "")]
+    pages += [(10, "http://feeds.io/a", '<a href="http://q.net/es/1">'), (11, "http://only.io/", "<a href='//seen.net/fr/x?y'>")]
+    pages += [(12, "http://fine.io/", '<a href="http://r.net/de/1">'), (13, "http://both.io/", '<a href="//Seen.net/fr/z">')]
+    pages += [(20 + i, f"http://t{i}.com/", '<a href="http://both.io/">') for i in range(3)]
+    made = url_filter.judge(frame([(*r, "x", "y") for r in pages], SCHEMA))
+    got = {r.page_id: (r.rule, r.verdict) for r in made.collect()}
+    assert got[1] == got[2] == ("net/es/", "block") and got[3] == (None, "allow")
+    assert got[10] == got[11] == (None, "block") and got[12] == got[13] == (None, "allow")
