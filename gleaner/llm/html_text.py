@@ -1,8 +1,9 @@
 """Main text of web pages by two passes of block rules.
 
 The first pass looks at each block by itself: the elements it stands in, the share of its text in links, its
-length and its share of stop words make it good, bad or ambiguous. The second gives ambiguous short blocks the
-label of their nearest decided neighbours.
+length and its share of stop words make it good, bad or ambiguous. To stand in an article speaks for a block, not
+against those outside. The second gives ambiguous blocks the label of their nearest decided neighbours, on the same
+side of an article's border, and keeps what is rich in links between good neighbours.
 """
 
 from __future__ import annotations
@@ -133,13 +134,17 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def first_pass(block: Block, has_article: bool) -> bool | None:
+def rich_in_links(block: Block) -> bool:
+    return block.linked > (0.5 if block.where else LINKS_HIGH) * len(block.text)
+
+
+def first_pass(block: Block) -> bool | None:
     """True, False, or None for what its neighbours decide."""
-    if block.where is False or (has_article and block.where is None):
+    if block.where is False or rich_in_links(block):
         return False
     if block.where:
-        return block.linked <= max(LINKS_HIGH, 0.5) * len(block.text)
-    if block.linked > LINKS_HIGH * len(block.text) or "©" in block.text:
+        return True
+    if "©" in block.text:
         return False
     if len(block.text) < SHORT or block.heading:
         return False if block.linked and not block.heading else None
@@ -168,12 +173,42 @@ def second_pass(labels: list[bool | None]) -> list[bool]:
     return out
 
 
+def between_good(found: list[Block], labels: list[bool]) -> list[bool]:
+    """Labels where a run of blocks rich in links is good if the blocks on both sides are.
+
+    At the first or last block of an article, one good side inside it does.
+    """
+    out = list(labels)
+    rich = [b.where is not False and rich_in_links(b) for b in found]
+    i = 0
+    while i < len(found):
+        end = i + 1
+        if rich[i]:
+            while end < len(found) and rich[end] and found[end].where == found[i].where:
+                end += 1
+            inside = bool(found[i].where)
+            sides = [labels[k] if 0 <= k < len(found) and (found[k].where or not inside) else None for k in (i - 1, end)]
+            good = False not in sides and True in sides if inside else sides == [True, True]
+            out[i:end] = [good] * (end - i)
+        i = end
+    return out
+
+
+def labels_of(found: list[Block]) -> list[bool]:
+    """Whether each block is main text."""
+    first = [first_pass(b) for b in found]
+    out = [False] * len(found)
+    for inside in (True, False):
+        at = [i for i, b in enumerate(found) if bool(b.where) == inside]
+        for i, good in zip(at, second_pass([first[i] for i in at]), strict=True):
+            out[i] = good
+    return between_good(found, out)
+
+
 def main_text(page: str | None) -> str:
     """The good blocks of a page, a line each."""
     found = blocks_of(page or "")
-    has_article = any(b.where for b in found)
-    labels = second_pass([first_pass(b, has_article) for b in found])
-    return "\n".join(b.text for b, good in zip(found, labels, strict=True) if good)
+    return "\n".join(b.text for b, good in zip(found, labels_of(found), strict=True) if good)
 
 
 def _extractor():

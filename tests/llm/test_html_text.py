@@ -52,3 +52,17 @@ def test_rows(frame):
     assert sorted((str(r.page_id), r.n_chars) for r in made) == sorted([("1", len(main_text(PAGE)))] * 2 + [("None", 0), ("2", 499999)])
     assert all(len(r.text) == r.n_chars for r in made)
     assert html_text.extract(frame(rows, "page_id long, url string, html string, text string").limit(0)).collect() == []
+
+
+def test_a_body_outside_of_a_teaser_article():
+    page = f"<div><h2>Title</h2><p>{GOOD}</p><p>short one</p><p>{GOOD}</p></div><div class=x><article><p>teaser</p></article></div><div><a href=x>one</a></div>"
+    assert main_text(page) == "\n".join(["Title", GOOD.strip(), "short one", GOOD.strip(), "teaser"])
+
+
+def test_links_between_good_blocks_stay():
+    refs = "<ul><li><a href=a>first reference</a></li><li><a href=b>second reference</a></li></ul>"
+    kept = ["first reference", "second reference"]
+    assert main_text(f"<article><p>{GOOD}</p>{refs}<p>end</p></article>") == "\n".join([GOOD.strip(), *kept, "end"])
+    assert main_text(f"<article><p>{GOOD}</p>{refs}</article><p>x</p>") == "\n".join([GOOD.strip(), *kept])
+    assert main_text(f"<p>{GOOD}</p>{refs}<p>{GOOD}</p>") == "\n".join([GOOD.strip(), *kept, GOOD.strip()])
+    assert main_text(f"{refs}<p>{GOOD}</p>{refs}") == GOOD.strip()
