@@ -26,7 +26,7 @@ STOP_WORDS = frozenset(
 )
 LINKS_HIGH = 0.33  # share of a block's characters in links that makes it bad
 SHORT, LONG = 70, 200  # characters
-STOPS_LOW, STOPS_HIGH = 0.25, 0.32  # shares of stop words
+STOPS_HIGH = 0.32  # share of stop words
 
 # fixed values: the elements of HTML by what they mean here
 BLOCKS = frozenset(
@@ -56,6 +56,9 @@ _TOKEN = re.compile(
 _HINT = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*-)", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
+# fixed values: elements that hold the text whatever their class says, and words that make a class name tell of a layout
+WHOLE = frozenset("html body article main".split())
+LAYOUT = frozenset("has have with without no not non hide hides show shows layout".split())
 
 
 @dataclass
@@ -66,14 +69,15 @@ class Block:
     heading: bool
 
 
-def _hinted(attributes: str) -> bool:
-    """Whether class, id or role name something that is not main text."""
+def _hinted(element: str, attributes: str) -> bool:
+    """Whether class, id or role name something that is not main text; has-sidebar and the like tell of a layout."""
     if not attributes or attributes.isspace():
         return False
-    for name, value in _HINT.findall(attributes):
-        words = re.split(r"[\s_-]+", value.strip("\"'").lower())
-        if HINTS.intersection(words) or (name.lower() == "role" and ROLES.intersection(words)):
-            return True
+    for name, value in _HINT.findall(attributes) if element not in WHOLE else ():
+        for one in value.strip("\"'").lower().split():
+            words = re.split(r"[_-]+", one)
+            if (HINTS.intersection(words) and not LAYOUT.intersection(words)) or (name.lower() == "role" and ROLES.intersection(words)):
+                return True
     return bool(_HIDDEN.search(_HINT.sub("", attributes)))
 
 
@@ -125,7 +129,7 @@ def blocks_of(page: str) -> list[Block]:
                     del stack[k:]
                     break
         elif name not in VOID and not attributes.endswith("/"):
-            says = False if name in OUTSIDE or _hinted(attributes) else True if name in INSIDE else None
+            says = False if name in OUTSIDE or _hinted(name, attributes) else True if name in INSIDE else None
             if says is not None or (name in BLOCKS and name not in ("p", "li", "dd", "dt", "option", "td", "th", "tr")):
                 if says is None or name in BLOCKS:
                     stack.append((name, says))
@@ -144,15 +148,13 @@ def first_pass(block: Block) -> bool | None:
         return False
     if block.where:
         return True
-    if "©" in block.text:
+    if "©" in block.text and len(block.text) < LONG:
         return False
     if len(block.text) < SHORT or block.heading:
         return False if block.linked and not block.heading else None
     words = _WORD.findall(block.text.lower())
     stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if stops >= STOPS_HIGH and len(block.text) >= LONG:
-        return True
-    return None if stops >= STOPS_LOW else False
+    return True if stops >= STOPS_HIGH and len(block.text) >= LONG else None
 
 
 def second_pass(labels: list[bool | None]) -> list[bool]:
@@ -197,6 +199,10 @@ def between_good(found: list[Block], labels: list[bool]) -> list[bool]:
 def labels_of(found: list[Block]) -> list[bool]:
     """Whether each block is main text."""
     first = [first_pass(b) for b in found]
+    if True not in first:  # a language without stop words here, code or tables: length alone decides
+        for least in (LONG, SHORT):
+            if True not in first:
+                first = [True if label is None and not b.heading and len(b.text) >= least else label for b, label in zip(found, first, strict=True)]
     out = [False] * len(found)
     for inside in (True, False):
         at = [i for i, b in enumerate(found) if bool(b.where) == inside]

@@ -66,3 +66,19 @@ def test_links_between_good_blocks_stay():
     assert main_text(f"<article><p>{GOOD}</p>{refs}</article><p>x</p>") == "\n".join([GOOD.strip(), *kept])
     assert main_text(f"<p>{GOOD}</p>{refs}<p>{GOOD}</p>") == "\n".join([GOOD.strip(), *kept, GOOD.strip()])
     assert main_text(f"{refs}<p>{GOOD}</p>{refs}") == GOOD.strip()
+
+
+NAMES = "Zofia Kowalska, Jan Nowak, Piotr Wisniewski, Anna Lewandowska, Tomasz Kaminski, Ewa Zielinska, Marek Szymanski"
+
+
+def test_long_blocks_of_few_stop_words_stay():
+    assert main_text(f"<p>{GOOD}</p><p>{NAMES}</p><p>{GOOD}</p>") == "\n".join([GOOD.strip(), NAMES, GOOD.strip()])
+    assert main_text(f"<div><a href=x>menu</a></div><p>{NAMES} {NAMES}</p><p>{NAMES}</p>") == f"{NAMES} {NAMES}\n{NAMES}"
+    assert main_text(f"<p>{NAMES}</p>") == NAMES
+    assert main_text(f"<p>{GOOD} © 2020 somebody</p>") == f"{GOOD}© 2020 somebody".replace("  ", " ")
+
+
+@pytest.mark.parametrize("page", ['<body class="has-sidebar"><p>%s</p>', '<html class="sidebar"><body id=comments><p>%s</p>', '<article class="post with-comments">%s</article>', '<main class="no-header">%s</main>', '<div class="layout-sidebar"><p>%s</p></div>'])
+def test_classes_of_a_layout_hide_nothing(page):
+    assert main_text(page % GOOD) == GOOD.strip()
+    assert main_text(f'<article hidden>{GOOD}</article><div class="left-sidebar"><p>{GOOD}</p></div>') == ""
