@@ -15,7 +15,7 @@ from gleaner.types import CLASSIFICATION, REGRESSION, add_features
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 CATEGORIES = ["l_linestatus"]
 KEYS = ["l_orderkey", "l_linenumber"]
-FEW = train.TreeSettings(rounds=5)  # as many rounds as a check needs; the default is 100
+TREES = train.TreeSettings()  # the defaults of the operator: 100 rounds
 
 
 def _lines(spark, d, kind=CLASSIFICATION):
@@ -31,7 +31,7 @@ def _lines(spark, d, kind=CLASSIFICATION):
 
 def _fitted(spark, d, name, kind=CLASSIFICATION):
     fit_on, test, names = _lines(spark, d, kind)
-    return train.estimator(name, kind, trees=FEW).fit(train.spread(fit_on)), train.spread(test), names
+    return train.estimator(name, kind, trees=TREES).fit(train.spread(fit_on)), train.spread(test), names
 
 
 def _measured(spark, d, name, kind=CLASSIFICATION):
@@ -185,14 +185,13 @@ def q15(spark, d):
 @query("q16_model_search")
 def q16(spark, d):
     fit_on, _, _ = _lines(spark, d)
-    return search.model_search(fit_on, CLASSIFICATION, KEYS, quick=True).leaderboard
+    return search.model_search(fit_on, CLASSIFICATION, KEYS).leaderboard
 
 
 @query("q16_out_of_fold")
 def q16_oof(spark, d):
     fit_on, _, _ = _lines(spark, d, REGRESSION)
-    grids = {"decision_tree": {"maxDepth": [2, 4]}}
-    return search.model_search(fit_on, REGRESSION, KEYS, quick=True, grids=grids).out_of_fold
+    return search.model_search(fit_on, REGRESSION, KEYS).out_of_fold
 
 
 @query("q17_compare_feature_sets")
@@ -204,7 +203,7 @@ def q17(spark, d):
         "original": (df, CATEGORIES, NUMBERS),
         "engineered": (wide, CATEGORIES, [*NUMBERS, *[f.spec.name for f in made]]),
     }
-    runs = compare.compare_feature_sets(sets, F.col("l_returnflag") == "R", ["l_orderkey"], CLASSIFICATION, trees=FEW)
+    runs = compare.compare_feature_sets(sets, F.col("l_returnflag") == "R", ["l_orderkey"], CLASSIFICATION, trees=TREES)
     return tidy(runs)
 
 

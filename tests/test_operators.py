@@ -518,3 +518,27 @@ def test_pages_are_the_same_in_both_ways(spark, monkeypatch):
     near = [page(p) for p in range(1, 8)]
     monkeypatch.setattr(ranking, "TOP_ROWS", 0)
     assert [page(p) for p in range(1, 8)] == near and sum(map(len, near)) == 40
+
+
+def test_registered_models_are_whole(spark, monkeypatch):
+    """Registered boosted trees take the operator's rounds, and the searches all families, grids and folds."""
+    import inspect
+
+    from catalog import modelling
+
+    assert inspect.signature(search.model_search).parameters["rounds"].default == train.TreeSettings().rounds == 100
+    asked = []
+
+    class Asked(Exception):
+        pass
+
+    def noted(*args, **named):
+        asked.append(named)
+        raise Asked
+
+    for owner, name in ((train, "estimator"), (search, "model_search"), (compare, "compare_feature_sets")):
+        monkeypatch.setattr(owner, name, noted)
+    for query in (modelling.q1, modelling.q17, modelling.q16, modelling.q16_oof):
+        with pytest.raises(Asked):
+            query(spark, "/root/testdata/sf0.001")
+    assert [a["trees"].rounds for a in asked[:2]] == [100, 100] and asked[2:] == [{}, {}]
