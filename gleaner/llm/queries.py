@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import html_text, pii, toxicity, url_filter
+from gleaner.llm import html_text, licenses, pii, toxicity, url_filter
 from gleaner.llm.common import LOWER, UPPER, table
 from gleaner.llm.decontaminate import contamination
 from gleaner.llm.exact_search import top_k
@@ -197,3 +197,40 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_html_extraction")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(table(spark, folder, "pages"))
+
+
+def _license_sql() -> str:
+    """Every k-gram of a text against every k-gram of the templates; diagonals merged and shares counted as in licenses."""
+    templates = [*licenses.PHRASES, *licenses.NOTICES]
+    listed = ", ".join(f"({k}, {t.exact}, '{t.label}', '{t.text.replace(chr(39), chr(39) * 2)}')" for k, t in enumerate(templates))
+    grams = "array_to_string(w[p + 1 : p + size], ' ')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_sql_words("text")} AS w FROM documents),
+t AS (SELECT template, exact, label, {_sql_words("text")} AS w FROM (VALUES {listed}) AS x(template, exact, label, text)),
+tg AS (SELECT template, exact, n, size, p AS place, {grams} AS gram FROM (SELECT *, unnest(range(0, n - size + 1)) AS p FROM
+  (SELECT *, len(w) AS n, least(len(w), {licenses.GRAM}) AS size FROM t))),
+dg AS (SELECT r, size, p, {grams} AS gram FROM
+  (SELECT r, w, size, unnest(range(0, len(w) - size + 1)) AS p FROM d, (SELECT DISTINCT size FROM tg) WHERE len(w) >= size)),
+hit AS (SELECT r, template, exact, n, size, place, p - place AS diagonal FROM dg JOIN tg USING (size, gram)),
+opened AS (SELECT r, template, diagonal, CASE WHEN diagonal - lag(diagonal) OVER w > CASE WHEN exact THEN 0 ELSE {licenses.SHIFT} END
+  OR lag(diagonal) OVER w IS NULL THEN 1 ELSE 0 END AS opens
+  FROM (SELECT DISTINCT r, template, exact, diagonal FROM hit) WINDOW w AS (PARTITION BY r, template ORDER BY diagonal)),
+merged AS (SELECT r, template, diagonal, sum(opens) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM opened),
+held AS (SELECT r, template, span, any_value(n) AS n, min(diagonal + place) AS start, list(range(place, place + size)) AS places
+  FROM hit JOIN merged USING (r, template, diagonal) GROUP BY r, template, span),
+found AS (SELECT r, template, start, round(len(list_distinct(flatten(places))) / n, 6) AS share FROM held),
+named AS (SELECT r, template < {len(licenses.PHRASES)} AS base, start, share, label FROM found JOIN t USING (template)),
+per AS (SELECT r, count(*) FILTER (WHERE base AND share = 1) AS n_base, min(start) FILTER (WHERE base AND share = 1) AS first_word,
+  max(start) FILTER (WHERE base AND share = 1) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base AND share = 1) AS base_labels,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE share = 1 AND base OR share >= {licenses.LEAST_SHARE} AND NOT base) AS labels,
+  max(share) AS score FROM named GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+  CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  coalesce(score, 0.0) AS score FROM d LEFT JOIN per USING (r)
+"""
+
+
+@query("op12_license_scan", _license_sql())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.report(table(spark, folder, "documents"))
