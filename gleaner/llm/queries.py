@@ -13,6 +13,7 @@ from gleaner.llm.decontaminate import contamination
 from gleaner.llm.exact_search import top_k
 from gleaner.llm.jaccard import jaccard_components
 from gleaner.llm.packing import pack
+from gleaner.llm.prefix_trie import shared_beginnings
 from gleaner.llm.secrets import MORE_RULES, report
 from gleaner.llm.token_counts import token_counts
 from gleaner.plans.tables import shared_folder
@@ -234,3 +235,41 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
 @query("op12_license_scan", _license_sql())
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.report(table(spark, folder, "documents"))
+
+
+# crc32 by its table of 256 entries, as CTE crc_table and an expression on a text in ASCII
+CRC_TABLE = """crc_table AS (SELECT list(c ORDER BY i) AS tbl FROM (SELECT i, list_reduce(list_prepend(i, range(8)),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i)))"""
+CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(%s, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+TRIE_SQL = f"""
+WITH {CRC_TABLE},
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER
+  (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, n, conv_id - conv_id % 5 AS base, {CRC % "CAST(conv_id AS VARCHAR)"} % 9 AS h
+  FROM (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id), crc_table),
+heads AS (SELECT c.*, least(h, coalesce(b.n, 0)) AS head FROM convs c LEFT JOIN (SELECT conv_id AS base, n AS n FROM convs) b USING (base)),
+r AS (SELECT conv_id, head + place - h AS place, role, text FROM t JOIN heads USING (conv_id) WHERE place > h
+  UNION ALL SELECT c.conv_id, place, role, text FROM heads c JOIN t ON t.conv_id = c.base WHERE place <= h),
+seq AS (SELECT conv_id, list(sha256(length(role) || ':' || role || text) ORDER BY place) AS marks,
+  list(strlen(text) ORDER BY place) AS sizes FROM r GROUP BY conv_id),
+passed AS (SELECT conv_id, depth, array_to_string(marks[1:depth], ',') AS node, marks[1:depth] AS path, depth = len(marks) AS ends,
+  CASE depth WHEN 0 THEN 0 ELSE sizes[depth] END AS bytes
+  FROM (SELECT *, unnest(range(0, len(marks) + 1)) AS depth FROM (SELECT conv_id, coalesce(marks, []) AS marks, sizes FROM convs LEFT JOIN seq USING (conv_id)))),
+nodes AS (SELECT node, depth, any_value(path) AS path, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS own,
+  string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends) AS ids FROM passed GROUP BY node, depth),
+linked AS (SELECT *, CASE WHEN depth > 0 THEN array_to_string(path[1:depth - 1], ',') END AS parent FROM nodes),
+kids AS (SELECT parent AS node, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY parent),
+below AS (SELECT array_to_string(path[1:a], ',') AS node, CAST(sum(own) AS BIGINT) AS saved_tokens, count(*) FILTER (WHERE leaf) AS n_leaves FROM
+  (SELECT path, own, n_children IS NULL AS leaf, unnest(range(0, depth + 1)) AS a FROM nodes LEFT JOIN kids USING (node)) GROUP BY 1)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens,
+  sha256(coalesce(n.ids, '')) AS ends_sha256
+FROM linked n JOIN below USING (node) LEFT JOIN kids USING (node) LEFT JOIN nodes p ON p.node = n.parent
+"""
+
+
+@query("op13_conversation_prefix_trie", TRIE_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_beginnings(table(spark, folder, "conversations"))
