@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gleaner.llm import html_text, licenses, pii, toxicity, url_filter
 from gleaner.llm.common import LOWER, UPPER, table
@@ -14,6 +15,7 @@ from gleaner.llm.exact_search import top_k
 from gleaner.llm.jaccard import jaccard_components
 from gleaner.llm.packing import pack
 from gleaner.llm.prefix_trie import shared_beginnings
+from gleaner.llm.runs import find_runs
 from gleaner.llm.secrets import MORE_RULES, report
 from gleaner.llm.token_counts import token_counts
 from gleaner.plans.tables import shared_folder
@@ -273,3 +275,68 @@ FROM linked n JOIN below USING (node) LEFT JOIN kids USING (node) LEFT JOIN node
 @query("op13_conversation_prefix_trie", TRIE_SQL)
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return shared_beginnings(table(spark, folder, "conversations"))
+
+
+def made_periodic(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) where every tenth document, by the crc32 of its id, ends in words that repeat.
+
+    With h the crc32 of the decimal id, g = h div 10 and n words, words from a = g mod n on repeat with the period
+    1 + (n - a) div (3 + g mod 8), if h mod 10 is 0. Documents without an id or words stay as they are.
+    """
+    docs = docs.select("doc_id", "text").withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    chosen, g = F.col("h") % 10 == 0, F.expr("h div 10")
+    words = F.array_remove(F.split("text", "[\\x20\\x09-\\x0D]+"), "")
+    cut = docs.withColumn("words", F.when(chosen, words)).withColumn("g", g).withColumn("n", F.size("words"))
+    cut = cut.withColumn("a", F.when(F.col("n") > 0, F.expr("cast(g % n as int)"))).withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    tail = F.transform(F.sequence(F.col("a"), F.col("n") - 1), lambda i: F.get("words", F.col("a") + (i - F.col("a")) % F.col("p")))
+    whole = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")
+    return cut.select("doc_id", F.when(F.col("a").isNotNull(), whole).otherwise(F.col("text")).alias("text"))
+
+
+def _most_repeated(runs: Column) -> Column:
+    """The run with the greatest length / period, compared exactly; the first of those that tie."""
+    kind = "struct<start:bigint,length:bigint,period:bigint>"
+    more = lambda best, r: best["period"].isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    return F.aggregate(runs, F.lit(None).cast(kind), lambda best, r: F.when(more(best, r), r).otherwise(best))
+
+
+RUNS_SQL = f"""
+WITH {CRC_TABLE},
+d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+w0 AS (SELECT r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+  {CRC % "CAST(doc_id AS VARCHAR)"} AS h FROM d, crc_table),
+w1 AS (SELECT *, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM w0),
+w2 AS (SELECT *, 1 + (len(w) - a) // (3 + (h // 10) % 8) AS p FROM w1),
+w3 AS (SELECT r, doc_id, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, len(w)), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w FROM w2),
+one AS (SELECT r, i, w[i + 1] AS word FROM (SELECT r, w, unnest(range(0, len(w))) AS i FROM w3)),
+gram AS (SELECT r, i, hash(word, lead(word, 1) OVER o, lead(word, 2) OVER o) AS g, lead(word, 2) OVER o IS NOT NULL AS full3
+  FROM one WINDOW o AS (PARTITION BY r ORDER BY i)),
+pair AS (SELECT x.r AS r, x.i AS i, y.i - x.i AS q FROM gram x JOIN gram y ON x.r = y.r AND x.g = y.g AND y.i > x.i
+  JOIN w3 ON w3.r = x.r WHERE x.full3 AND y.full3 AND 4 * (y.i - x.i) <= len(w3.w)),
+chain AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM pair),
+stretch AS (SELECT r, q, min(i) AS s, max(i) + 2 + q - min(i) + 1 AS length FROM chain GROUP BY r, q, k),
+run AS (SELECT r, s AS start, length, min(q) AS period FROM stretch GROUP BY r, s, length HAVING length >= greatest(6, 4 * min(q))),
+said AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM run GROUP BY r),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS k FROM run) WHERE k = 1),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM run),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS text FROM one ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM w3 LEFT JOIN said USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+"""
+
+
+@query("op11_periodic_runs", RUNS_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    made = find_runs(made_periodic(table(spark, folder, "documents"))).withColumn("best", _most_repeated(F.col("runs")))
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    return made.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
