@@ -21,7 +21,7 @@ def subtree_totals(tree: DataFrame, values: list[str]) -> DataFrame:
     0. Ties of hashes only delay a splice. An empty table gives no rows; other columns are not looked at. Every round
     is written to the shared folder. A node with very many children is summed on the map side first.
     """
-    rounds = [written(_start(tree, values))]
+    rounds = [written(_start(tree.select("node", "parent", *values), values))]
     while rounds[-1].filter(F.col("kids") > 0).limit(1).count():
         rounds.append(written(contracted(rounds[-1], values, len(rounds))))
     total = lambda alive: alive.filter(F.col("kids") == 0).select("node", *[F.col(f"acc_{v}").alias(v) for v in values])

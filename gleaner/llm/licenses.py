@@ -119,9 +119,12 @@ def votes(docs: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def spans(voted: DataFrame, shift: int) -> DataFrame:
-    """(key, template, n, size, exact, held): neighbouring diagonals of a template merged; held: (diagonal, places)."""
+    """(key, template, n, size, exact, held): neighbouring diagonals of a template merged; held: (diagonal, places).
+
+    Diagonals that differ by a template's length or more are places of their own, however large shift is.
+    """
     w = Window.partitionBy("key", "template").orderBy("diagonal")
-    far = F.col("diagonal") - F.lag("diagonal").over(w) > F.when(F.col("exact"), F.lit(0)).otherwise(F.lit(shift))
+    far = F.col("diagonal") - F.lag("diagonal").over(w) > F.when(F.col("exact"), F.lit(0)).otherwise(F.least(F.lit(shift), F.col("n") - 1))
     opened = voted.withColumn("opens", F.coalesce(far, F.lit(True)).cast("int")).withColumn("span", F.sum("opens").over(w))
     return opened.groupBy("key", "template", "n", "size", "exact", "span").agg(
         F.sort_array(F.collect_list(F.struct("diagonal", "places"))).alias("held")

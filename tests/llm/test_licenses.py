@@ -23,7 +23,7 @@ def brute(text, templates=(*PHRASES, *NOTICES), shift=licenses.SHIFT, gram=licen
         )
         spans = []
         for d, p in hits:
-            if not spans or d - spans[-1][-1][0] > (0 if t.exact else shift):
+            if not spans or d - spans[-1][-1][0] > (0 if t.exact else min(shift, len(w) - 1)):
                 spans.append([])
             spans[-1].append((d, p))
         for s in spans:

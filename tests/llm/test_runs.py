@@ -89,17 +89,18 @@ def test_suffix_array_and_lcp():
 
 
 def test_query_makes_documents_periodic(docs, spark, tmp_path, pairs):
-    docs([(i, t) for i, t in pairs if i is not None][:160]).write.parquet(f"{tmp_path}/documents.parquet")
+    pairs = [(i, t) for i, t in pairs[:-2] if i is not None]
+    docs(pairs).write.parquet(f"{tmp_path}/documents.parquet")
     made = {(r.doc_id, r.runs_sha256, r.collapsed_sha256, r.n_runs, r.exponent_milli) for r in queries.op11(spark, str(tmp_path)).collect()}
     wanted = set()
-    for i, t in [(i, t) for i, t in pairs if i is not None][:160]:
+    for i, t in pairs:
         w, h = words(t), zlib.crc32(str(i).encode())
         n, g = len(w), h // 10
         if h % 10 == 0 and n:
             a = g % n
             p = 1 + (n - a) // (3 + g % 8)
             w = [x if k < a else w[a + (k - a) % p] for k, x in enumerate(w)]
-        found = brute(w) if n < 10_000 else [(0, 80_000, 4)]
+        found = brute(w)
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
         listed = "".join(f"{b},{length},{q}\n" for b, length, q in found)
         wanted.add((i, sha(listed), sha(collapsed(w, found)), len(found), max((1000 * x // q for _, x, q in found), default=None)))
