@@ -1,9 +1,9 @@
 """What trees learned: importances, effect of each split, and each feature's share in a prediction.
 
 A model's nodes are few (trees x nodes per tree), so they are read on the driver; rows stay
-on the cluster. Contributions are path-dependent Shapley values. For one leaf they depend
-only on which of the path's features let the row through, so a table with a row per such
-pattern is made once per leaf, and a task only looks patterns up.
+on the cluster. Contributions are path-dependent Shapley values: for one leaf an integral over
+the share t of known features, whose integrand is a polynomial, so a few Gauss points give it
+exactly and a leaf costs its path's length squared, however deep the tree.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -22,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleaner.models.boosting import BoostedTrees
 from gleaner.plans.tables import shared_folder
 
 
@@ -43,6 +43,7 @@ class Trees:
 
     nodes: list[dict[int, Node]] = field(default_factory=list)
     margin_scale: float = 1.0  # probability is the logistic of scale x sum, for boosted classifiers
+    base: float = 0.0  # added to the trees' sum
 
     def leaves_under(self, tree: int, node: int) -> list[float]:
         n = self.nodes[tree][node]
@@ -52,7 +53,9 @@ class Trees:
 
 
 def read_trees(spark: SparkSession, model: Model) -> Trees:
-    """The node table of a fitted tree model, taken from its saved form."""
+    """The node table of a fitted tree model: of boosted trees as they are, of others taken from the saved form."""
+    if isinstance(model, BoostedTrees):
+        return _of_boosted(model)
     path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
     model.write().save(path)
     rows = spark.read.parquet(f"{path}/data")
@@ -81,6 +84,21 @@ def read_trees(spark: SparkSession, model: Model) -> Trees:
     return out
 
 
+def _of_boosted(model: BoostedTrees) -> Trees:
+    out = Trees([], 1.0, model.base)
+    for t in model.trees:
+        nodes, reached = {}, [0]
+        while reached:
+            k = reached.pop()
+            f = t["feature"][k]
+            nodes[k] = Node(t["value"][k], float(t["rows"][k]), t["gain"][k], f, t["threshold"][k])
+            if f >= 0:
+                nodes[k].left, nodes[k].right = 2 * k + 1, 2 * k + 2
+                reached += [2 * k + 1, 2 * k + 2]
+        out.nodes.append(nodes)
+    return out
+
+
 def feature_importances(spark: SparkSession, model: Model, names: list[str]) -> DataFrame:
     """(feature, importance), strongest first."""
     rows = [(n, float(v)) for n, v in zip(names, model.featureImportances.toArray())]
@@ -128,39 +146,37 @@ def feature_impact(splits: DataFrame, top: int | None = None) -> DataFrame:
     return found if top is None else found.limit(top)
 
 
+TABLE_FEATURES = 8  # leaves with up to so many features look their rows' patterns up in a table
+
+
 @dataclass
 class Leaf:
-    """A leaf's path: per feature the tests on it, and contributions for every pattern of passed features."""
+    """A leaf's path: per feature the tests on it and the share of training rows that pass them, and the leaf's value."""
 
     features: list[int]
     tests: list[list[tuple[Node, bool]]]
-    table: np.ndarray  # (2 ** features, features)
+    shares: list[float]
+    value: float
 
 
-def _pattern_table(value: float, shares: list[float]) -> np.ndarray:
-    """Shapley values of each path feature for each pattern of features the row satisfies.
+def leaf_contributions(value: float, shares: np.ndarray, passed: np.ndarray) -> np.ndarray:
+    """Shapley values of a path's features for rows that pass some of them: (rows, features).
 
-    shares[i] is the fraction of training rows that pass feature i's tests. A coalition
-    without i keeps the row's answer for its members and that fraction for the others.
+    A feature that is known counts as passed or not, an unknown one as its share. With every feature known with
+    probability t, the gain of knowing feature i is (passed - share) times the product of the others' expectations;
+    the Shapley value is its mean over t in (0, 1). The product is a polynomial of degree features - 1 in t.
     """
-    m = len(shares)
-    table = np.zeros((1 << m, m))
-    for pattern in range(1 << m):
-        passed = [(pattern >> i) & 1 for i in range(m)]
-        for i in range(m):
-            rest = [j for j in range(m) if j != i]
-            total = 0.0
-            for size in range(m):
-                weight = math.factorial(size) * math.factorial(m - size - 1) / math.factorial(m)
-                for inside in combinations(rest, size):
-                    total += weight * math.prod(passed[j] if j in inside else shares[j] for j in rest)
-            table[pattern, i] = value * total * (passed[i] - shares[i])
-    return table
-
-
-def leaf_tables(trees: Trees) -> tuple[list[Leaf], float]:
-    """All leaves with their pattern tables, and the expected output over training rows."""
-    leaves, base = [], 0.0
+    points, weights = np.polynomial.legendre.leggauss((len(shares) + 1) // 2)
+    out = np.zeros(passed.shape)
+    for t, w in zip((points + 1) / 2, weights / 2):
+        factors = (1 - t) * shares + t * passed  # above 0, as every side of a split has rows
+        out += (value * w) * factors.prod(1, keepdims=True) / factors
+    return out * (passed - shares)
+
+
+def read_leaves(trees: Trees) -> tuple[list[Leaf], float]:
+    """All leaves with their paths, and the expected output over training rows."""
+    leaves, base = [], trees.base
     for nodes in trees.nodes:
         stack = [(0, {}, {})]
         while stack:
@@ -170,7 +186,7 @@ def leaf_tables(trees: Trees) -> tuple[list[Leaf], float]:
                 order = list(shares)
                 base += n.value * math.prod(shares.values())
                 if order:
-                    leaves.append(Leaf(order, [tests[f] for f in order], _pattern_table(n.value, [shares[f] for f in order])))
+                    leaves.append(Leaf(order, [tests[f] for f in order], [shares[f] for f in order], n.value))
                 continue
             for child, goes_left in ((n.left, True), (n.right, False)):
                 part = nodes[child].cover / n.cover if n.cover else 0.0
@@ -184,24 +200,89 @@ def leaf_tables(trees: Trees) -> tuple[list[Leaf], float]:
     return leaves, base
 
 
+def _goes_left(node: Node, v: np.ndarray) -> np.ndarray:
+    return v <= node.threshold if node.categories is None else np.isin(v, node.categories)
+
+
+def _passed(x: np.ndarray, leaf: Leaf) -> np.ndarray:
+    """(rows, features of the leaf): whether the row passes all tests on a feature."""
+    out = np.ones((len(x), len(leaf.features)), dtype=bool)
+    for i, tests in enumerate(leaf.tests):
+        for node, goes_left in tests:
+            out[:, i] &= _goes_left(node, x[:, node.feature]) == goes_left
+    return out
+
+
 def _contributions(x: np.ndarray, leaves: list[Leaf]) -> np.ndarray:
     out = np.zeros_like(x, dtype=float)
     for leaf in leaves:
-        code = np.zeros(len(x), dtype=np.int64)
-        for i, tests in enumerate(leaf.tests):
-            ok = np.ones(len(x), dtype=bool)
-            for node, goes_left in tests:
-                v = x[:, node.feature]
-                left = v <= node.threshold if node.categories is None else np.isin(v, node.categories)
-                ok &= left == goes_left
-            code |= ok.astype(np.int64) << i
-        out[:, leaf.features] += leaf.table[code]
+        passed, shares, m = _passed(x, leaf), np.array(leaf.shares), len(leaf.features)
+        if m <= TABLE_FEATURES:
+            every = (np.arange(1 << m)[:, None] >> np.arange(m)) & 1
+            out[:, leaf.features] += leaf_contributions(leaf.value, shares, every)[passed @ (1 << np.arange(m))]
+        else:
+            out[:, leaf.features] += leaf_contributions(leaf.value, shares, passed)
+    return out
+
+
+def _outputs(x: np.ndarray, trees: Trees) -> np.ndarray:
+    """The model's raw output for each row."""
+    out = np.full(len(x), trees.base)
+    for nodes in trees.nodes:
+        parts = [(0, np.arange(len(x)))]
+        while parts:
+            k, rows = parts.pop()
+            n = nodes[k]
+            if n.feature < 0:
+                out[rows] += n.value
+                continue
+            left = _goes_left(n, x[rows, n.feature])
+            parts += [(n.left, rows[left]), (n.right, rows[~left])]
     return out
 
 
+def permutation_importance(
+    df: DataFrame, trees: Trees, names: list[str], label: str = "label", features: str = "features", loss: str = "log_loss"
+) -> DataFrame:
+    """(feature, importance, base_loss, permuted_loss): how much the mean loss grows when a feature's values are mixed.
+
+    All features in one scan: values are permuted inside batches of rows, which keeps their distribution there; the
+    permutation is a shift by half a batch along the order of a hash of the row. loss is log_loss of labels 0 and 1,
+    or squared_error. Strongest first; rows without a label are left out.
+    """
+    slim = df.filter(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("y"), vector_to_array(features).alias("x"))
+    slim = slim.withColumn("k", F.xxhash64("x", "y"))
+    scale = trees.margin_scale
+
+    def losses(x, y):
+        raw = _outputs(x, trees)
+        if loss == "squared_error":
+            return (y - raw) ** 2
+        return np.logaddexp(0, np.where(y > 0, -scale * raw, scale * raw))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            pdf = pdf.sort_values("k", kind="stable")
+            x, y = np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy()
+            sums = [losses(x, y).sum()]
+            for f in range(x.shape[1]):
+                mixed = x.copy()
+                mixed[:, f] = np.roll(x[:, f], len(x) // 2)
+                sums.append(losses(mixed, y).sum())
+            yield pd.DataFrame({"slot": range(-1, x.shape[1]), "total": sums, "n": len(x)})
+
+    per = slim.mapInPandas(run, "slot int, total double, n bigint").groupBy("slot").agg((F.sum("total") / F.sum("n")).alias("mean"))
+    rows = {r["slot"]: r["mean"] for r in per.collect()}  # one row per feature
+    made = [(n, rows[k] - rows[-1], rows[-1], rows[k]) for k, n in enumerate(names)] if rows else []
+    shape = "feature string, importance double, base_loss double, permuted_loss double"
+    return df.sparkSession.createDataFrame(made, shape).orderBy(F.desc("importance"), "feature")
+
+
 def contributions(df: DataFrame, trees: Trees, keep: list[str], features: str = "features") -> DataFrame:
     """keep, base_value, and one contribution per vector slot; base and contributions add up to the model's raw output."""
-    leaves, base = leaf_tables(trees)
+    leaves, base = read_leaves(trees)
     slim = df.select(*keep, vector_to_array(features).alias("__x"))
     numbers = T.ArrayType(T.DoubleType())
     schema = slim.select(*keep).schema.add("values", numbers).add("contributions", numbers)

@@ -11,6 +11,7 @@ from pyspark.ml import regression as R
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.models.boosting import Booster
 from gleaner.models.evaluate import classification_metrics, regression_metrics
 from gleaner.operators.encode import one_hot_assemble
 from gleaner.plans.tables import with_facts
@@ -29,15 +30,11 @@ class TreeSettings:
     rounds: int = 100
 
 
-def estimator(name: str, kind: str, classes: int = 2, trees: TreeSettings = TreeSettings()) -> Estimator:
+def estimator(name: str, kind: str, classes: int = 2, trees: TreeSettings = TreeSettings()) -> Estimator | Booster:
     """boosted_trees, linear (logistic or least squares), decision_tree or random_forest."""
     common = {"featuresCol": FEATURES, "labelCol": LABEL}
     if name == "boosted_trees":
-        boost = {"maxDepth": trees.depth, "stepSize": trees.rate, "maxIter": trees.rounds, "seed": SEED}
-        if kind != CLASSIFICATION:
-            return R.GBTRegressor(**common, **boost)
-        one = C.GBTClassifier(**common, **boost)
-        return one if classes <= 2 else C.OneVsRest(classifier=one, **common)
+        return Booster(trees.depth, trees.rate, trees.rounds, classes if kind == CLASSIFICATION else 0)
     if name == "linear":
         return (
             C.LogisticRegression(**common, maxIter=100, regParam=0.0)

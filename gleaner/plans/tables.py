@@ -35,7 +35,15 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.written_to = path
+    return stored
+
+
+def forget(stored: DataFrame) -> None:
+    """Delete the files of a table made by written, which no later job may read."""
+    spark, path = stored.sparkSession, stored.sparkSession._jvm.org.apache.hadoop.fs.Path(stored.written_to)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys, how: str = "left") -> DataFrame:

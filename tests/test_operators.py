@@ -389,7 +389,7 @@ def test_contributions_add_up(spark, learned, name, kind):
         raw = predictions.select("id", F.col("prediction").alias("raw"))
     else:
         scored = train.positive_score(predictions)
-        raw = scored.select("id", (F.log(F.col("score") / (1 - F.col("score"))) / 2 if name == "boosted_trees" else F.col("score")).alias("raw"))
+        raw = scored.select("id", (F.log(F.col("score") / (1 - F.col("score"))) if name == "boosted_trees" else F.col("score")).alias("raw"))
     worst = total.join(raw, "id").agg(F.max(F.abs(F.col("total") - F.col("raw")))).first()[0]
     assert worst < 1e-6
 

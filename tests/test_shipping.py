@@ -11,7 +11,7 @@ from gleaner.operators import microsegments
 
 def test_task_functions_load_without_the_package(tmp_path):
     path = tmp_path / "f.bin"
-    leaf = explain.Leaf([0], [[(explain.Node(1.0, 1.0, 0.0, 0, 0.5), True)]], None)
+    leaf = explain.Leaf([0], [[(explain.Node(1.0, 1.0, 0.0, 0, 0.5), True)]], [0.5], 1.0)
     path.write_bytes(cloudpickle.dumps((explain._contributions, microsegments._bitmap_counter(2, [(0, 1)]), leaf)))
     code = f"import pickle; f, g, leaf = pickle.load(open({str(path)!r}, 'rb')); print(f.__name__, g.__name__, leaf.features)"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
