@@ -175,6 +175,12 @@ def q14(spark, d):
     return tidy(explain.attribution_summary(explained, names))
 
 
+@query("q14_permutation_importance")
+def q14_permuted(spark, d):
+    model, test, names = _fitted(spark, d, "boosted_trees")
+    return tidy(explain.permutation_importance(test, explain.read_trees(spark, model), names))
+
+
 @query("q15_explain_rows")
 def q15(spark, d):
     model, test, names = _fitted(spark, d, "boosted_trees")
@@ -188,6 +194,14 @@ def q16(spark, d):
     return search.model_search(fit_on, CLASSIFICATION, KEYS).leaderboard
 
 
+@query("q16_importance_of_the_winner")
+def q16_importance(spark, d):
+    fit_on, _, names = _lines(spark, d)
+    found = search.model_search(fit_on, CLASSIFICATION, KEYS)
+    named = spark.createDataFrame(list(enumerate(names)), "slot int, feature string")
+    return found.importance.join(F.broadcast(named), "slot").select(F.lit(found.best_family).alias("family"), "feature", "importance")
+
+
 @query("q16_out_of_fold")
 def q16_oof(spark, d):
     fit_on, _, _ = _lines(spark, d, REGRESSION)
@@ -301,3 +315,67 @@ def q16_once(spark, d):
     grids = {"decision_tree": {"maxDepth": [1, 2]}}
     found = search.model_search(frame, REGRESSION, ["o_orderkey"], quick=True, grids=grids)
     return found.out_of_fold.groupBy("o_orderkey").agg(F.count("prediction").alias("predictions"))
+
+
+STUMP = ["l_quantity", "l_discount", "l_tax"]  # few distinct values each, so that every value is a cut point
+
+
+@query(
+    "q1_first_split_of_boosted_trees",
+    f"""WITH m AS (SELECT avg(l_extendedprice) AS base FROM lineitem),
+    v AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, {k} AS slot, {c} AS x, l_extendedprice AS y FROM lineitem" for k, c in enumerate(STUMP))}),
+    per AS (SELECT feature, slot, x, count(*) AS n, sum(base - y) AS g FROM v, m GROUP BY feature, slot, x),
+    cut AS (SELECT feature, slot, x, sum(n) OVER w AS nl, sum(g) OVER w AS gl, sum(n) OVER (PARTITION BY feature) AS nt, sum(g) OVER (PARTITION BY feature) AS gt
+    FROM per WINDOW w AS (PARTITION BY feature ORDER BY x)),
+    best AS (SELECT *, nt - nl AS nr, gt - gl AS gr FROM cut WHERE nl < nt ORDER BY gl * gl / (nl + 1) + (gt - gl) * (gt - gl) / (nt - nl + 1) DESC, slot, x LIMIT 1)
+    SELECT feature, CAST(x AS DOUBLE) AS threshold, round(base, 2) AS base, round(-0.1 * gl / (nl + 1), 2) AS left_value, round(-0.1 * gr / (nr + 1), 2) AS right_value,
+    CAST(nl AS BIGINT) AS left_rows, CAST(nr AS BIGINT) AS right_rows FROM best, m""",
+)
+def q1_stump(spark, d):
+    """What the first split of boosted trees must be, with its leaf values."""
+    ready, _ = one_hot_assemble(table(spark, d, "lineitem"), [], STUMP)
+    frame = ready.select(F.col("l_extendedprice").cast("double").alias("label"), "features")
+    model = train.estimator("boosted_trees", REGRESSION, trees=train.TreeSettings(depth=1, rounds=1)).fit(frame)
+    t = model.trees[0]
+    row = (
+        STUMP[t["feature"][0]], t["threshold"][0], round(model.base, 2), round(t["value"][1], 2), round(t["value"][2], 2),
+        t["rows"][1], t["rows"][2],
+    )
+    return spark.createDataFrame(
+        [row], "feature string, threshold double, base double, left_value double, right_value double, left_rows bigint, right_rows bigint"
+    )
+
+
+@query(
+    "q14_contributions_of_a_given_tree",
+    """WITH c AS (SELECT count(*) AS n, count(*) FILTER (l_quantity <= 25) AS nq, count(*) FILTER (l_quantity <= 25 AND l_discount <= 0.05) AS nqd,
+    avg(l_extendedprice) FILTER (l_quantity <= 25 AND l_discount <= 0.05) AS a, avg(l_extendedprice) FILTER (l_quantity <= 25 AND l_discount > 0.05) AS b,
+    avg(l_extendedprice) FILTER (l_quantity > 25) AS z FROM lineitem),
+    f AS (SELECT l_orderkey, l_linenumber, l_quantity <= 25 AS q, l_discount <= 0.05 AS d, nq / n AS s, nqd / nq AS r, a, b, z FROM lineitem, c),
+    e AS (SELECT *, s * (r * a + (1 - r) * b) + (1 - s) * z AS none, CASE WHEN q THEN r * a + (1 - r) * b ELSE z END AS with_q,
+    s * CASE WHEN d THEN a ELSE b END + (1 - s) * z AS with_d, CASE WHEN NOT q THEN z WHEN d THEN a ELSE b END AS whole FROM f)
+    SELECT l_orderkey, l_linenumber, round(none, 2) AS base_value, round((with_q - none + whole - with_d) / 2, 2) AS of_quantity,
+    round((with_d - none + whole - with_q) / 2, 2) AS of_discount FROM e""",
+)
+def q14_given(spark, d):
+    """Contributions by a tree of three leaves whose values and covers come from the table, against their definition."""
+    df = table(spark, d, "lineitem")
+    price, low, cheap = F.col("l_extendedprice"), F.col("l_quantity") <= 25, F.col("l_discount") <= 0.05
+    c = df.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(low).alias("nq"), F.count_if(low & cheap).alias("nqd"),
+        F.avg(F.when(low & cheap, price)).alias("a"), F.avg(F.when(low & ~cheap, price)).alias("b"), F.avg(F.when(~low, price)).alias("z"),
+    ).first()
+    nodes = {
+        0: explain.Node(0.0, c["n"], 0.0, 0, 25.0, None, 1, 2),
+        1: explain.Node(0.0, c["nq"], 0.0, 1, 0.05, None, 3, 4),
+        2: explain.Node(c["z"], c["n"] - c["nq"], 0.0),
+        3: explain.Node(c["a"], c["nqd"], 0.0),
+        4: explain.Node(c["b"], c["nq"] - c["nqd"], 0.0),
+    }
+    ready, _ = one_hot_assemble(df, [], ["l_quantity", "l_discount"])
+    made = explain.contributions(ready, explain.Trees([nodes]), ["l_orderkey", "l_linenumber"])
+    two = lambda x: F.round(x, 2)
+    return made.select(
+        "l_orderkey", "l_linenumber", two(F.col("base_value")).alias("base_value"),
+        two(F.col("contributions")[0]).alias("of_quantity"), two(F.col("contributions")[1]).alias("of_discount"),
+    )
