@@ -179,34 +179,11 @@ def m7(spark, d):
 
 # microsegments: number the strongest conditions, test every row against them, count the rows of each combination
 MICRO_BASE = """t AS (SELECT event_id, value, hour(ts) AS h, day(ts) AS dd, user_id, event_id % 1 AS z,
-    CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS y, row_number() OVER () AS rid FROM events),
+    CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS y, CAST(row_number() OVER () AS INTEGER) AS rid FROM events),
     b AS (SELECT count(*) AS total, sum(y) AS positives, sum(y) / count(*) AS base FROM t)"""
 MICRO_COLUMNS = ["value", "h", "dd", "user_id"]
 
 
-def micro_sql(depth: int, top: int) -> str:
-    holds = " ".join(
-        f"WHEN feature = '{c}' THEN CASE op WHEN '>=' THEN CAST({c} AS DOUBLE) >= number ELSE CAST({c} AS DOUBLE) < number END" for c in MICRO_COLUMNS
-    )
-    parts = []
-    for k in range(2, depth + 1):
-        ids = [f"c{j}" for j in range(1, k + 1)]
-        joins = " ".join(
-            f"JOIN h c{j} ON c{j}.rid = c1.rid AND c{j}.id > c{j - 1}.id AND c{j}.feature NOT IN ({', '.join(f'c{m}.feature' for m in range(1, j))})"
-            for j in range(2, k + 1)
-        )
-        parts.append(
-            f"""SELECT {k} AS depth, {" || '&' || ".join(f"{c}.id" for c in ids)} AS members, count(*) AS n, sum(c1.y) AS pos,
-            greatest({", ".join(f"any_value({c}.lift)" for c in ids)}) AS best FROM h c1 {joins} GROUP BY ALL"""
-        )
-    return f""", top AS (SELECT *, row_number() OVER (ORDER BY lift DESC, feature, op, number, text) - 1 AS id FROM i
-    QUALIFY row_number() OVER (ORDER BY lift DESC, feature, op, number, text) <= {top}),
-    h AS MATERIALIZED (SELECT rid, y, id, feature, lift FROM t, top WHERE CASE {holds} END),
-    m AS ({" UNION ALL ".join(parts)})
-    SELECT depth, members, CAST(n AS BIGINT) AS support_count, round(n / total, 6) AS support, round(pos / n, 6) AS class_rate,
-    round(pos / n / base, 6) AS lift FROM m, b WHERE n >= {{support}} * total AND pos / n / base > best * (1.1 + (depth - 2) * 0.05)"""
-
-
 MICRO_SEGMENTS = " UNION ALL ".join(map(numeric_sql, MICRO_COLUMNS))
 MICRO_PROBLEM = Problem("event_type", CLASSIFICATION, "purchase")
 
@@ -233,15 +210,6 @@ def _named(found: DataFrame, conditions) -> DataFrame:
     return tidy(found.select("depth", members.alias("members"), "support_count", "support", "class_rate", "lift"))
 
 
-@query("m8_microsegments", measured_sql(MICRO_SEGMENTS, 0.001, 1.0, base=MICRO_BASE) + micro_sql(3, 18).format(support=0.002))
-def m8(spark, d):
-    df = _micro_frame(spark, d)
-    goal, found = _micro_insights(df)
-    conditions = insights.conditions_of(found, 18)
-    segments = microsegments.microsegments(df, found, goal, 3, 18, min_support=0.002)
-    return _named(segments, conditions)
-
-
 # many conditions on many features, combined to depth 5: every combination without a limit. A condition is a string
 # of bits, one per row, so a combination is an AND and a count
 DEEP_COLUMNS = ["value", "h", "dd", "user_id", "wd", "mi", "k"]
@@ -251,28 +219,29 @@ DEEP_BASE = """t AS (SELECT value, hour(ts) AS h, day(ts) AS dd, user_id, dayofy
 DEEP_TOP, DEEP_SUPPORT = 42, 0.03
 
 
-def deep_sql() -> str:
+def combined_sql(columns: list[str], top: int | None, support: float, deepest: int, rows: int) -> str:
+    """Every combination of the conditions (the top strongest if given); rows bounds the rows of the table."""
     holds = " ".join(
-        f"WHEN feature = '{c}' THEN CASE op WHEN '>=' THEN CAST({c} AS DOUBLE) >= number ELSE CAST({c} AS DOUBLE) < number END" for c in DEEP_COLUMNS
+        f"WHEN feature = '{c}' THEN CASE op WHEN '>=' THEN CAST({c} AS DOUBLE) >= number ELSE CAST({c} AS DOUBLE) < number END" for c in columns
     )
     levels = f"""l1 AS MATERIALIZED (SELECT CAST(id AS VARCHAR) AS members, id AS last, [feature] AS fs, lift AS best, bits FROM h, b
-        WHERE bit_count(bits) >= {DEEP_SUPPORT} * total)"""
-    for k in range(2, 6):
+        WHERE bit_count(bits) >= {support} * total)"""
+    for k in range(2, deepest + 1):
         levels += f""", l{k} AS MATERIALIZED (SELECT a.members || '&' || h.id AS members, h.id AS last, list_append(a.fs, h.feature) AS fs,
         greatest(a.best, h.lift) AS best, a.bits & h.bits AS bits FROM l{k - 1} a JOIN h ON h.id > a.last AND NOT list_contains(a.fs, h.feature), b
-        WHERE bit_count(a.bits & h.bits) >= {DEEP_SUPPORT} * total)"""
-    every = " UNION ALL ".join(f"SELECT {k} AS depth, members, bits, best FROM l{k}" for k in range(2, 6))
+        WHERE bit_count(a.bits & h.bits) >= {support} * total)"""
+    every = " UNION ALL ".join(f"SELECT {k} AS depth, members, bits, best FROM l{k}" for k in range(2, deepest + 1))
     return f""", top AS (SELECT *, row_number() OVER (ORDER BY lift DESC, feature, op, number, text) - 1 AS id FROM i
-    QUALIFY row_number() OVER (ORDER BY lift DESC, feature, op, number, text) <= {DEEP_TOP}),
-    h AS MATERIALIZED (SELECT id, any_value(feature) AS feature, any_value(lift) AS lift, bitstring_agg(rid, 1, 1000000) AS bits
+    QUALIFY row_number() OVER (ORDER BY lift DESC, feature, op, number, text) <= {top or 1_000_000}),
+    h AS MATERIALIZED (SELECT id, any_value(feature) AS feature, any_value(lift) AS lift, bitstring_agg(rid, 1, {rows}) AS bits
         FROM t, top WHERE CASE {holds} END GROUP BY id),
-    yes AS (SELECT bitstring_agg(rid, 1, 1000000) AS bits FROM t WHERE y = 1),
+    yes AS (SELECT bitstring_agg(rid, 1, {rows}) AS bits FROM t WHERE y = 1),
     {levels}, m AS (SELECT depth, members, best, bit_count(e.bits) AS n, bit_count(e.bits & yes.bits) AS pos FROM ({every}) e, yes)
     SELECT depth, members, CAST(n AS BIGINT) AS support_count, round(n / total, 6) AS support, round(pos / n, 6) AS class_rate,
     round(pos / n / base, 6) AS lift FROM m, b WHERE pos / n / base > best * (1.1 + (depth - 2) * 0.05)"""
 
 
-@query("m8_microsegments_depth_5", measured_sql(" UNION ALL ".join(map(numeric_sql, DEEP_COLUMNS)), 0.001, 1.0, base=DEEP_BASE) + deep_sql())
+@query("m8_microsegments_depth_5", measured_sql(" UNION ALL ".join(map(numeric_sql, DEEP_COLUMNS)), 0.001, 1.0, base=DEEP_BASE) + combined_sql(DEEP_COLUMNS, DEEP_TOP, DEEP_SUPPORT, 5, 1_000_000))
 def m8_deep(spark, d):
     df = table(spark, d, "events")
     parts = [F.hour("ts").alias("h"), F.dayofmonth("ts").alias("dd"), F.dayofyear("ts").alias("wd"), F.minute("ts").alias("mi")]
@@ -283,13 +252,23 @@ def m8_deep(spark, d):
     return _named(segments, insights.conditions_of(found, DEEP_TOP))
 
 
-@query("m12_microsegments_by_depth", measured_sql(MICRO_SEGMENTS, 0.001, 1.0, base=MICRO_BASE) + micro_sql(3, 18).format(support=0.002))
+# all conditions, to depth 3
+ALL_COMBINATIONS = measured_sql(MICRO_SEGMENTS, 0.001, 1.0, base=MICRO_BASE) + combined_sql(MICRO_COLUMNS, None, 0.002, 3, 100_000)
+
+
+@query("m8_microsegments", ALL_COMBINATIONS)
+def m8(spark, d):
+    df = _micro_frame(spark, d)
+    goal, found = _micro_insights(df)
+    return _named(microsegments.microsegments(df, found, goal, 3, min_support=0.002), insights.conditions_of(found))
+
+
+@query("m12_microsegments_by_depth", ALL_COMBINATIONS)
 def m12(spark, d):
     df = _micro_frame(spark, d)
     goal, found = _micro_insights(df)
-    conditions = insights.conditions_of(found, 18)
-    parts = [p for _, p in microsegments_by_depth(df, found, goal, 3, 18, min_support=0.002)]
-    return _named(reduce(DataFrame.unionByName, parts), conditions)
+    parts = [p for _, p in microsegments_by_depth(df, found, goal, 3, min_support=0.002)]
+    return _named(reduce(DataFrame.unionByName, parts), insights.conditions_of(found))
 
 
 @query(

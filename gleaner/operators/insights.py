@@ -235,8 +235,11 @@ def in_order(insights: DataFrame, n: int | None = None) -> DataFrame:
     return ordered if n is None else ordered.limit(n)
 
 
-def conditions_of(insights: DataFrame, n: int) -> list[tuple[Condition, float]]:
-    """The n strongest conditions with their lifts; n is a small setting, so they go to the driver."""
+def conditions_of(insights: DataFrame, n: int | None = None) -> list[tuple[Condition, float]]:
+    """The conditions with their lifts, the strongest first (the first n if given).
+
+    They are expressions for the driver to build; their number follows from features and bins, never from rows.
+    """
     return [(Condition(r["feature"], r["op"], r["number"], r["text"]), r["lift"]) for r in in_order(insights, n).collect()]
 
 

@@ -15,11 +15,10 @@ def microsegments_by_depth(
     insights: DataFrame,
     goal: Goal,
     max_depth: int = 3,
-    top_n: int = 50,
+    top_n: int | None = None,
     min_support: float = 0.01,
 ) -> Iterator[tuple[int, DataFrame]]:
     """Yield (depth, microsegments); a depth is counted when it is asked for, so a caller can show or stop early."""
-    conditions, first = conditions_of(insights, top_n), 0
+    conditions = conditions_of(insights, top_n)
     for depth, counted in counted_levels(df, conditions, goal, max_depth, min_support):
-        yield depth, microsegments_of(df.sparkSession, conditions, counted, goal, first)
-        first += len(counted)
+        yield depth, microsegments_of(counted, conditions, goal)

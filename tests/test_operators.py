@@ -317,8 +317,20 @@ def test_no_number_of_combinations_is_left_out(spark):
     df = df.select("x", *[(F.col("x") + i).alias(f"f{i}") for i in range(40)])
     goal = insights.Goal(F.col("x") >= 25, "up", 50, 25)
     levels = dict(microsegments.counted_levels(df, conditions, goal, 4, 0.01))
-    assert [len(levels[d]) for d in (2, 3, 4)] == [math.comb(40, d) for d in (2, 3, 4)]
-    assert {(n, pos) for level in levels.values() for _, n, pos in level} == {(50, 25)}
+    assert [levels[d].count() for d in (2, 3, 4)] == [math.comb(40, d) for d in (2, 3, 4)]
+    assert {tuple(r) for level in levels.values() for r in level.select("n", "pos").distinct().collect()} == {(50, 25)}
+
+
+def test_levels_of_many_jobs_and_no_conditions(mined, monkeypatch):
+    df, _ = mined
+    problem = Problem("y", CLASSIFICATION, 1)
+    goal = insights.goal_of(df, problem)
+    single = insights.all_insights(df, problem, insights.Limits(0.01, 1.0), goal=goal)
+    shown = lambda: sorted((tuple(r["combo"]), r["support_count"], r["lift"]) for r in microsegments.microsegments(df, single, goal, 3).collect())
+    whole = shown()
+    monkeypatch.setattr(microsegments, "COMBINATIONS_PER_JOB", 150)
+    assert shown() == whole and whole
+    assert microsegments.microsegments(df, single.limit(0), goal).collect() == []
 
 
 def test_more_conditions_than_one_word(mined):
@@ -326,10 +338,10 @@ def test_more_conditions_than_one_word(mined):
     goal = insights.goal_of(df, Problem("y", CLASSIFICATION, 1))
     conditions = [Condition("x", ">=", number=i / 4) for i in range(100)]
     combos = [(0, 99), (61, 62), (5, 70)]
-    got = {r["combo"]: (r["n"], r["pos"]) for r in microsegments.combination_counts(df, conditions, combos, goal.positive).collect()}
-    for i, combo in enumerate(combos):
+    got = {tuple(r["combo"]): (r["n"], r["pos"]) for r in microsegments.combination_counts(df, conditions, combos, goal.positive).collect()}
+    for combo in combos:
         inside = [r[3] for r in rows if all(r[0] >= j / 4 for j in combo)]
-        assert got.get(i, (0, 0)) == (len(inside), sum(inside))
+        assert got.get(combo, (0, 0)) == (len(inside), sum(inside))
 
 
 def test_store_filters_what_it_computed_once(mined):
