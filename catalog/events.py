@@ -363,6 +363,48 @@ def o2_transforms(spark, d):
     return tidy(made.select(*some, (F.col("`CUM_MEAN(c_acctbal)`") / 7).alias("CUM_MEAN(c_acctbal) / 7")), 4)
 
 
+def _whole_shop(spark, d):
+    """Orders with all columns of their lines and customers."""
+    tables = {t: table(spark, d, t) for t in ("customer", "orders", "lineitem")}
+    lines = tables["lineitem"].withColumn("line", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return synthesis.EntitySet(
+        tables | {"lineitem": lines},
+        {"customer": "c_custkey", "orders": "o_orderkey", "lineitem": "line"},
+        (
+            synthesis.Relationship("customer", "c_custkey", "orders", "o_custkey"),
+            synthesis.Relationship("orders", "o_orderkey", "lineitem", "l_orderkey"),
+        ),
+        {"orders": "o_orderdate"},
+    )
+
+
+STACKED = {
+    "MEAN(lineitem.l_quantity)": "me",
+    "SUM(lineitem.l_extendedprice * l_discount)": "cut",
+    "STD(lineitem.l_discount + l_tax)": "sd",
+    "NUM_UNIQUE(lineitem.l_linestatus)": "u",
+    "customer.c_acctbal": "c_acctbal",
+    "COUNT(lineitem) + MEAN(lineitem.l_quantity)": "n + me",
+    "o_totalprice - customer.c_acctbal": "o_totalprice - c_acctbal",
+    "MAX(lineitem.l_tax) * customer.c_acctbal": "mx * c_acctbal",
+    "MEAN(lineitem.l_quantity) / SUM(lineitem.l_extendedprice)": "me / su",
+}
+
+
+@query(
+    "o2_transforms_of_aggregates",
+    f"""WITH l AS (SELECT l_orderkey, count(*) AS n, avg(l_quantity) AS me, sum(l_extendedprice * l_discount) AS cut, stddev_samp(l_discount + l_tax) AS sd,
+    count(DISTINCT l_linestatus) AS u, max(l_tax) AS mx, sum(l_extendedprice) AS su FROM lineitem GROUP BY 1),
+    j AS (SELECT o.*, coalesce(n, 0) AS n, coalesce(u, 0) AS u, me, cut, sd, mx, su, c_acctbal FROM orders o LEFT JOIN l ON l_orderkey = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey)
+    SELECT o_orderkey, {", ".join(f'round({e}, 5) AS "{n}"' if n[:3] != "NUM" else f'{e} AS "{n}"' for n, e in STACKED.items())} FROM j""",
+)
+def o2_stacked(spark, d):
+    """Sums of products of a child's columns, and sums, products and quotients of aggregates and parent columns."""
+    plan = synthesis.Synthesis("orders", transforms=synthesis.PAIR_TRANSFORMS, names=tuple(STACKED))
+    made = synthesis.dfs_multi(_whole_shop(spark, d), plan)
+    return tidy(made.select("o_orderkey", *[F.col(f"`{n}`") for n in STACKED]), 5)
+
+
 @query(
     "o6_reapply_features",
     """SELECT c_custkey, count(o_orderkey) AS "COUNT(orders)", round(avg(o_totalprice / 7), 4) AS "MEAN(orders.o_totalprice)" FROM customer

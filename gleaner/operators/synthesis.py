@@ -8,6 +8,7 @@ which the same feature can be computed on other tables.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.times import micros, micros_in
-from gleaner.operators.asof import PRIMITIVES
+from gleaner.operators.asof import PRIMITIVES, asof_aggregate
 from gleaner.operators.windows import cumulative_features, percentile_features
 from gleaner.plans.lookup import lookup
 from gleaner.plans.tables import written
@@ -140,28 +141,57 @@ def quick_dfs(df: DataFrame, index: str, max_features: int | None = None) -> Dat
     return out.select(*[_quoted(c) for c in df.columns], *[e.alias(n) for n, e in made.items() if n not in df.columns])
 
 
-def _child_columns(es: EntitySet, rel: Relationship, plan: Synthesis, depth: int):
-    """The child table with features of its own children, its numeric and its text columns."""
+Feature = tuple[str, int]  # a numeric column and its depth: how many steps made it; a table's own columns have 0
+
+
+def _needed(name: str, plan: Synthesis) -> bool:
+    """Whether a plan asks for a feature or, as names tell what they are made of, for one that is made of it."""
+    return plan.names is None or any(name in n for n in plan.names)
+
+
+def stacked_pairs(features: list[Feature], plan: Synthesis, depth: int) -> dict[str, tuple[Callable[[], Column], int]]:
+    """Pair transforms of features by name: what makes the expression, and the depth, at most the given one.
+
+    A feature that several others are made of stays one column, computed once.
+    """
+    kinds = [t for t in plan.transforms if t in PAIR_TRANSFORMS]
+    made = {}
+    for (a, i), (b, j) in combinations(features, 2):
+        if max(i, j) < depth:
+            for k in kinds:
+                name = f"{a} {SIGNS[k]} {b}"
+                if _needed(name, plan):
+                    made[name] = (lambda a=a, b=b, k=k, name=name: pair_transforms([a, b], [k])[name]), max(i, j) + 1
+    return made
+
+
+def _child_columns(es: EntitySet, rel: Relationship, plan: Synthesis, depth: int) -> tuple[DataFrame, list[Feature], list[str]]:
+    """The child table with features of its own children and pairs of them, its numeric and its text columns."""
     child = es.tables[rel.child]
-    numbers, texts = es.numbers(rel.child), es.texts(rel.child)
+    numbers, texts = [(c, 0) for c in es.numbers(rel.child)], es.texts(rel.child)
     if depth > 1:
         child, stacked = _with_aggregates(es, rel.child, child, plan, depth - 1)
         numbers = numbers + stacked
+        pairs = stacked_pairs(numbers, plan, depth - 1)
+        if pairs:
+            child = child.select("*", *[make().alias(n) for n, (make, _) in pairs.items()])
+            numbers = numbers + [(n, d) for n, (_, d) in pairs.items()]
     return child, numbers, texts
 
 
-def _wanted(rel: Relationship, numbers, texts, plan: Synthesis) -> list[tuple[str, str, str]]:
-    out = [(f"COUNT({rel.child})", "count", rel.child_key)] if "count" in plan.aggregations else []
+def _wanted(rel: Relationship, numbers: list[Feature], texts, plan: Synthesis) -> list[tuple[str, str, str, int]]:
+    """(name, primitive, column, depth) of all aggregates over a child table."""
+    out = [(f"COUNT({rel.child})", "count", rel.child_key, 1)] if "count" in plan.aggregations else []
     for p in plan.aggregations:
         if p == "count":
             continue
-        for c in texts if p == "num_unique" else numbers:
-            out.append((f"{PRIMITIVES[p][0]}({rel.child}.{c})", p, c))
-    return out
+        for c, d in [(t, 0) for t in texts] if p == "num_unique" else numbers:
+            out.append((f"{PRIMITIVES[p][0]}({rel.child}.{c})", p, c, d + 1))
+    return [w for w in out if _needed(w[0], plan)]
 
 
-def _with_aggregates(es: EntitySet, name: str, df: DataFrame, plan: Synthesis, depth: int) -> tuple[DataFrame, list[str]]:
-    """df with aggregates over each child table, and the new column names."""
+def _with_aggregates(es: EntitySet, name: str, df: DataFrame, plan: Synthesis, depth: int) -> tuple[DataFrame, list[Feature]]:
+    """df with aggregates over each child table, and the new columns."""
     made = []
     for rel in es.relationships:
         if rel.parent != name:
@@ -171,30 +201,72 @@ def _with_aggregates(es: EntitySet, name: str, df: DataFrame, plan: Synthesis, d
         if not wanted:
             continue
         aggs = [
-            (F.count(F.lit(1)) if p == "count" else PRIMITIVES[p][1](_quoted(c))).alias(n) for n, p, c in wanted
+            (F.count(F.lit(1)) if p == "count" else PRIMITIVES[p][1](_quoted(c))).alias(n) for n, p, c, _ in wanted
         ]
         cut = [F.col(CUT).alias("__fcut")] if CUT in child.columns else []
         stats = child.groupBy(F.col(rel.child_key).alias("__fk"), *cut).agg(*aggs)
-        counts = {n for n, p, _ in wanted if p in ("count", "num_unique")}
+        counts = {n for n, p, _, _ in wanted if p in ("count", "num_unique")}
         same = F.col(f"`{rel.parent_key}`") == F.col("__fk")
         joined = df.join(stats, same & (F.col(CUT) == F.col("__fcut")) if cut else same, "left")
         df = joined.select(
             *[_quoted(c) for c in df.columns],
-            *[F.coalesce(_quoted(n), F.lit(0)).alias(n) if n in counts else _quoted(n) for n, _, _ in wanted],
+            *[F.coalesce(_quoted(n), F.lit(0)).alias(n) if n in counts else _quoted(n) for n, _, _, _ in wanted],
         )
-        made += [n for n, _, _ in wanted]
+        made += [(n, d) for n, _, _, d in wanted]
     return df, made
 
 
-def _with_direct(es: EntitySet, name: str, df: DataFrame, depth: int) -> tuple[DataFrame, list[str]]:
-    """df with its parents' columns as 'parent.column', and theirs in turn."""
+def _tables_below(es: EntitySet, name: str) -> set[str]:
+    found, todo = set(), [name]
+    while todo:
+        at = todo.pop()
+        new = {r.child for r in es.relationships if r.parent == at} - found
+        found |= new
+        todo += new
+    return found
+
+
+def _aggregates_at_cutoffs(es: EntitySet, df: DataFrame, plan: Synthesis, marks: DataFrame) -> tuple[DataFrame, list[Feature]]:
+    """df, a row per cutoff of the target, with aggregates over what each child table held by then.
+
+    What lies below a child table without any time there is the same at every cutoff: it is stacked on the child's rows
+    once, each row then falls into one interval between cutoffs, and intervals are accumulated. So rows never multiply
+    with cutoffs. Only where a table further below has a time of its own do a child row's features differ from cutoff
+    to cutoff, and its rows are taken once per cutoff.
+    """
     made = []
+    for rel in (r for r in es.relationships if r.parent == plan.target):
+        one = EntitySet(es.tables, es.index, tuple(r for r in es.relationships if r == rel or r.parent != plan.target), es.time)
+        if any(t in es.time for t in _tables_below(es, rel.child)):
+            cut = _before_cutoff(one, plan.target, marks, plan.training_window)
+            df, new = _with_aggregates(cut, plan.target, df, plan, plan.max_depth)
+        elif rel.child not in es.time:
+            df, new = _with_aggregates(one, plan.target, df, plan, plan.max_depth)
+        else:
+            child, numbers, texts = _child_columns(one, rel, plan, plan.max_depth)
+            wanted = _wanted(rel, numbers, texts, plan)
+            if not wanted:
+                continue
+            plain = {c: f"x{i}" for i, c in enumerate(dict.fromkeys(c for _, p, c, _ in wanted if p != "count"))}
+            keys = dict.fromkeys([rel.child_key, es.time[rel.child]])
+            child = written(child.select(*[_quoted(c) for c in keys], *[_quoted(c).alias(x) for c, x in plain.items()]))
+            index, triples = es.index[plan.target], [(n, p, plain.get(c, c)) for n, p, c, _ in wanted]
+            at = asof_aggregate(child, rel.child_key, es.time[rel.child], marks, index, "cutoff_time", triples, plan.training_window)
+            df = df.join(at, [index, "cutoff_time"], "left").select(*[_quoted(c) for c in df.columns], *[_quoted(n) for n, _, _ in triples])
+            new = [(n, d) for n, _, _, d in wanted]
+        made += new
+    return df, made
+
+
+def _with_direct(es: EntitySet, name: str, df: DataFrame, depth: int) -> tuple[DataFrame, dict[str, int | None]]:
+    """df with its parents' columns as 'parent.column', and theirs in turn; their depths, None for a text."""
+    made: dict[str, int | None] = {}
     for rel in es.relationships:
         if rel.child != name:
             continue
         parent = es.tables[rel.parent]
-        columns = [*es.numbers(rel.parent), *es.texts(rel.parent)]
-        higher: list[str] = []
+        columns: dict[str, int | None] = dict.fromkeys(es.numbers(rel.parent), 0) | dict.fromkeys(es.texts(rel.parent))
+        higher: dict[str, int | None] = {}
         if depth > 1:
             parent, higher = _with_direct(es, rel.parent, parent, depth - 1)
         names = [f"{rel.parent}.{c}" for c in [*columns, *higher]]
@@ -202,7 +274,7 @@ def _with_direct(es: EntitySet, name: str, df: DataFrame, depth: int) -> tuple[D
             _quoted(rel.parent_key).alias(rel.child_key), *[_quoted(c).alias(n) for c, n in zip([*columns, *higher], names)]
         )
         df = lookup(df, renamed, [rel.child_key])  # a parent may have very many children
-        made += names
+        made |= {n: None if d is None else d + 1 for n, d in zip(names, (columns | higher).values())}
     return df, made
 
 
@@ -235,8 +307,10 @@ def _before_cutoff(es: EntitySet, target: str, cutoffs: DataFrame, window: str |
 def dfs_multi(es: EntitySet, plan: Synthesis, cutoffs: DataFrame | None = None) -> DataFrame:
     """Feature matrix of the target table: its columns, child aggregates up to max_depth, parent columns, transforms.
 
+    Pair transforms apply to aggregates and parent columns too, and to a child's columns before they are aggregated,
+    as long as max_depth allows; running transforms apply to own columns, along the index, and the cutoff.
     cutoffs holds (index, cutoff_time), any number for each row: the matrix has a row per cutoff, and all
-    descendant tables are cut at it. Running transforms follow the index, and the cutoff.
+    descendant tables are cut at it.
     """
     index, base = es.index[plan.target], es.tables[plan.target]
     numbers = es.numbers(plan.target)
@@ -244,7 +318,6 @@ def dfs_multi(es: EntitySet, plan: Synthesis, cutoffs: DataFrame | None = None)
     if cutoffs is not None:
         marks = cutoffs.select(index, "cutoff_time", micros(cutoffs, "cutoff_time").alias(CUT)).distinct()
         marks = written(marks.filter(F.col(CUT).isNotNull()))
-        es = _before_cutoff(es, plan.target, marks, plan.training_window)
         base = base.join(marks, index)
         keep, order = [index, "cutoff_time", *numbers], [index, CUT]
     running = {f"{t.upper()}({c})": F.col(f"`{c}_{t}`") for t in ("percentile", "cum_sum", "cum_mean") if t in plan.transforms for c in numbers}
@@ -255,16 +328,23 @@ def dfs_multi(es: EntitySet, plan: Synthesis, cutoffs: DataFrame | None = None)
     ranks = [c for c in numbers if f"PERCENTILE({c})" in asked]
     if ranks:
         base = percentile_features(base, ranks)
-    df, made = _with_aggregates(es, plan.target, base, plan, plan.max_depth)
+    if cutoffs is None:
+        df, made = _with_aggregates(es, plan.target, base, plan, plan.max_depth)
+    else:
+        df, made = _aggregates_at_cutoffs(es, base, plan, marks)
     df, direct = _with_direct(es, plan.target, df, plan.max_depth)
     pairs = pair_transforms(numbers, [t for t in plan.transforms if t in PAIR_TRANSFORMS])
-    names = [*keep, *made, *direct, *pairs, *running]
+    # whatever a pair is made of is a column of df by now
+    above = [(c, 0) for c in numbers] + made + [(c, d) for c, d in direct.items() if d is not None]
+    stacked = {n: make for n, (make, _) in stacked_pairs(above, plan, plan.max_depth).items() if n not in pairs}
+    names = [*keep, *[n for n, _ in made], *direct, *pairs, *running, *stacked]
     fixed = 1 if cutoffs is None else 2
     if plan.names is not None:
         names = [*names[:fixed], *[n for n in names[fixed:] if n in plan.names]]
     elif plan.max_features is not None:
         names = names[: fixed + plan.max_features]
-    return df.select(*[pairs.get(n, running.get(n, _quoted(n))).alias(n) for n in names])
+    made_of = lambda n: stacked[n]() if n in stacked else pairs.get(n, running.get(n, _quoted(n)))
+    return df.select(*[made_of(n).alias(n) for n in names])
 
 
 def feature_names(matrix: DataFrame, plan: Synthesis, es: EntitySet) -> Synthesis:

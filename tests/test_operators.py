@@ -554,3 +554,77 @@ def test_registered_models_are_whole(spark, monkeypatch):
         with pytest.raises(Asked):
             query(spark, "/root/testdata/sf0.001")
     assert [a["trees"].rounds for a in asked[:2]] == [100, 100] and asked[2:] == [{}, {}]
+
+
+def _shop_at_cutoffs(spark, line_time):
+    t = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
+    rng = np.random.default_rng(6)
+    users = [(u, float(u)) for u in range(4)]
+    orders = [(o, int(rng.integers(0, 3)), t(int(rng.integers(0, 40))), float(rng.integers(0, 9)), "abc"[o % 3]) for o in range(60)]
+    lines = [(i, int(rng.integers(0, 60)), t(int(rng.integers(0, 40))), float(rng.integers(1, 6))) for i in range(150)]
+    visits = [(v, int(rng.integers(0, 4)), float(v % 5)) for v in range(30)]
+    es = synthesis.EntitySet(
+        {
+            "users": spark.createDataFrame(users, "u long, w double"),
+            "orders": spark.createDataFrame(orders, "o long, u long, t timestamp_ntz, x double, s string"),
+            "lines": spark.createDataFrame(lines, "l long, o long, lt timestamp_ntz, q double"),
+            "visits": spark.createDataFrame(visits, "v long, u long, y double"),
+        },
+        {"users": "u", "orders": "o", "lines": "l", "visits": "v"},
+        tuple(synthesis.Relationship(*r) for r in (("users", "u", "orders", "u"), ("orders", "o", "lines", "o"), ("users", "u", "visits", "u"))),
+        {"orders": "t"} | ({"lines": "lt"} if line_time else {}),
+    )
+    cuts = [(u, t(d)) for u in range(4) for d in range(1, 41, 3)]
+    return es, cuts, orders, lines, visits
+
+
+@pytest.mark.parametrize("line_time", [False, True])
+@pytest.mark.parametrize("window", [None, "9 days"])
+def test_features_at_many_cutoffs_against_counting(spark, line_time, window):
+    es, cuts, orders, lines, visits = _shop_at_cutoffs(spark, line_time)
+    plan = synthesis.Synthesis("users", ("mean", "sum", "max", "count", "num_unique"), ("add",), training_window=window)
+    made = synthesis.dfs_multi(es, plan, spark.createDataFrame(cuts, "u long, cutoff_time timestamp_ntz"))
+    got = {(r["u"], r["cutoff_time"]): r for r in made.collect()}
+    assert len(got) == len(cuts)
+    span = dt.timedelta(days=9) if window else dt.timedelta(days=9999)
+    seen = lambda at, cut: cut - span < at <= cut
+    for u, cut in cuts:
+        mine = [o for o in orders if o[1] == u and seen(o[2], cut)]
+        per = {o[0]: [x[3] for x in lines if x[1] == o[0] and (not line_time or seen(x[2], cut))] for o in mine}
+        r = got[u, cut]
+        assert r["COUNT(orders)"] == len(mine) and r["NUM_UNIQUE(orders.s)"] == len({o[4] for o in mine})
+        assert r["SUM(orders.COUNT(lines))"] == (sum(len(v) for v in per.values()) if mine else None)
+        filled = [sum(v) for v in per.values() if v]
+        assert r["MAX(orders.SUM(lines.q))"] == (max(filled) if filled else None)
+        assert r["MEAN(orders.x)"] == (pytest.approx(sum(o[3] for o in mine) / len(mine)) if mine else None)
+        assert r["SUM(visits.y)"] == (sum(v[2] for v in visits if v[1] == u) if any(v[1] == u for v in visits) else None)
+        both = r["COUNT(orders) + SUM(visits.y)"]
+        assert both == (None if r["SUM(visits.y)"] is None else r["COUNT(orders)"] + r["SUM(visits.y)"])
+
+
+def test_rows_do_not_multiply_with_cutoffs(spark, monkeypatch):
+    """Child rows are stacked and written once, however many cutoffs there are; no table of a row per cutoff is made."""
+    es, cuts, *_ = _shop_at_cutoffs(spark, False)
+    kept = []
+    whole = synthesis.written
+
+    def noted(df):
+        out = whole(df)
+        kept.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(synthesis, "written", noted)
+    plan = synthesis.Synthesis("users", ("mean", "count"), ())
+    synthesis.dfs_multi(es, plan, spark.createDataFrame(cuts, "u long, cutoff_time timestamp_ntz")).collect()
+    assert [n for columns, n in kept if "t" in columns] == [60]
+
+
+def test_depths_of_stacked_transforms(spark):
+    es, *_ = _shop_at_cutoffs(spark, False)
+    names = lambda depth, **more: synthesis.dfs_multi(es, synthesis.Synthesis("users", ("sum",), ("multiply",), max_depth=depth, **more)).columns
+    one, two = names(1), names(2)
+    assert not any("*" in n for n in one) and "w * SUM(orders.x)" in two
+    assert "SUM(orders.SUM(lines.q))" in two and not any("*" in n and "SUM(orders.SUM" in n for n in two)
+    three = names(3)
+    assert "SUM(orders.x * SUM(lines.q))" in three and "SUM(orders.x) * SUM(orders.SUM(lines.q))" in three and len(set(three)) == len(three)
+    assert names(3, names=("SUM(orders.x * SUM(lines.q))",)) == ["u", "SUM(orders.x * SUM(lines.q))"]
