@@ -234,12 +234,26 @@ def a8(spark, d):
     return tables.conform_schema(table(spark, d, "orders"), schema)[0]
 
 
-@query("a8_schema_mismatches", """SELECT * FROM (VALUES ('o_totalprice', 'string', 'double'), ('o_new', 'date', NULL)) v("column", expected, found)""")
+@query(
+    "a8_schema_mismatches",
+    """SELECT "column", expected, found, CASE "column" WHEN 'o_orderpriority' THEN (SELECT count(o_orderpriority) FROM orders WHERE try_cast(o_orderpriority AS BIGINT) IS NULL)
+    WHEN 'o_custkey' THEN (SELECT count(*) FROM orders WHERE o_custkey > 127) ELSE 0 END AS lost
+    FROM (VALUES ('o_totalprice', 'string', 'double'), ('o_orderpriority', 'bigint', 'string'), ('o_custkey', 'tinyint', 'bigint'), ('o_new', 'date', NULL)) v("column", expected, found)""",
+)
 def a8_mismatches(spark, d):
-    schema = T.StructType().add("o_orderkey", T.LongType()).add("o_totalprice", T.StringType()).add("o_new", T.DateType())
+    schema = T.StructType().add("o_orderkey", T.LongType()).add("o_totalprice", T.StringType()).add("o_orderpriority", T.LongType())
+    schema = schema.add("o_custkey", T.ByteType()).add("o_new", T.DateType())
     return tables.conform_schema(table(spark, d, "orders"), schema)[1]
 
 
+@query("a9_first_rows", "SELECT least(count(*), 5000) AS n_rows, count(*) > 5000 AS truncated, least(count(*), 5000) AS distinct_rows FROM lineitem")
+def a9_first(spark, d):
+    lines = table(spark, d, "lineitem").repartition(7, "l_orderkey")
+    rows, truncated = tables.cap_rows(lines, 5000)
+    some = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("l_orderkey", "l_linenumber").alias("distinct_rows"))
+    return some.withColumn("truncated", F.lit(truncated))
+
+
 @query("a9_sample_is_bounded", "SELECT true AS enough, true AS bounded, count(*) AS whole FROM lineitem")
 def a9_bounds(spark, d):
     lines = table(spark, d, "lineitem")

@@ -47,9 +47,21 @@ def value_counts(df: DataFrame, columns: list[str], keep=()) -> DataFrame:
     )
 
 
+KEY_LENGTH = 32  # longer values are counted by their digests, so that no text is shuffled
+
+
 def category_summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Per column: count_distinct, count and null_count of a text or boolean column."""
-    counts = value_counts(df, columns)
+    """Per column: count_distinct, count and null_count of a text or boolean column.
+
+    Values beyond KEY_LENGTH characters are known by their MD5 and their length.
+    """
+
+    def key(c: str):
+        value = F.col(f"`{c}`").cast("string")
+        digest = F.concat(F.md5(value), F.lit(":"), F.length(value).cast("string"))
+        return F.when(F.length(value) > KEY_LENGTH, digest).otherwise(value).alias(c)
+
+    counts = value_counts(df.select(*[key(c) for c in columns]), columns)
     return counts.groupBy("column").agg(
         F.count("value").alias("count_distinct"),
         F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("count"),

@@ -18,7 +18,7 @@ from gleaner.functions.lift import segment_metrics
 from gleaner.functions.predicates import Condition, is_above, is_class
 from gleaner.functions.rowwise import number
 from gleaner.functions.text import fixed, percent
-from gleaner.operators.aggregates import baseline_rate
+from gleaner.operators.aggregates import baseline_rate, distinct_counts
 from gleaner.operators.encode import BINNED
 from gleaner.plans.ordered import GROUP_ROWS
 from gleaner.plans.quantiles import LINEAR, quantiles
@@ -190,16 +190,15 @@ def engineered_insights(df: DataFrame, specs: list[FeatureSpec], goal: Goal, lim
     )
 
 
-# endings of the names of calendar parts with 31 values or fewer
-FEW_VALUED_PARTS = ("_month", "_day", "_dayofweek", "_quarter", "_is_weekend", "_hour")
+FEW_VALUES = 31  # calendar parts with up to so many distinct values are categories
 
 
 def datetime_insights(df: DataFrame, columns: list[str], goal: Goal, limits: Limits = Limits()) -> DataFrame:
-    """Calendar parts that can have up to 31 values as categories, others by thresholds.
-
-    The name tells the part, as in orderdate_month, so the data decide nothing.
-    """
-    few = {c for c in columns if c.endswith(FEW_VALUED_PARTS)}
+    """Calendar parts of at most FEW_VALUES distinct values as categories, others by thresholds."""
+    if not columns:
+        return categorical_insights(df, [], goal, limits, {})
+    counted = distinct_counts(df, columns).filter(F.col("count_distinct") <= FEW_VALUES).collect()  # a row per column
+    few = {r["column"] for r in counted}
     groups = dict.fromkeys(columns, DATETIME_GROUP)
     return categorical_insights(df, [c for c in columns if c in few], goal, limits, groups).unionByName(
         numeric_insights(df, [c for c in columns if c not in few], goal, limits, groups)

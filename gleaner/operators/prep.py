@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.rowwise import number
 from gleaner.operators.aggregates import value_counts
 from gleaner.operators.ranking import modes
+from gleaner.plans.lookup import lookup
 from gleaner.plans.ordered import GROUP_ROWS
 from gleaner.plans.quantiles import quantiles
 from gleaner.plans.tables import written
@@ -109,31 +110,16 @@ def frequent_values(df: DataFrame, columns: list[str], threshold: float = 0.01)
     return value_counts(df, columns).filter(F.col("n") >= threshold * rows).select("column", "value")
 
 
-INLINE_VALUES = 10_000  # frequent values that may be written into one expression
-
-
 def apply_rare(df: DataFrame, frequent: DataFrame, columns: list[str], replacement: str = "RARE") -> DataFrame:
-    """Replace values missing from the frequent table; nulls stay."""
-    known = frequent.filter(F.col("value").isNotNull())
-    found = known.limit(INLINE_VALUES + 1).collect()
-    keep: dict[str, list[str]] = {c: [] for c in columns}
-    if len(found) <= INLINE_VALUES:
-        for r in found:
-            keep[r["column"]].append(r["value"])
-        stays = {c: F.col(c).cast("string").isin(keep[c]) for c in columns}
-    else:  # a tiny threshold leaves many frequent values: look them up instead
-        stays, names = {}, df.columns
-        for c in columns:
-            table = known.filter(F.col("column") == c).select(F.col("value").alias(f"__v_{c}"))
-            df = df.join(table, F.col(c).cast("string") == F.col(f"__v_{c}"), "left")
-            stays[c] = F.col(f"__v_{c}").isNotNull()
-    made = [
-        F.when(F.col(c).isNull() | stays[c], F.col(c).cast("string")).otherwise(replacement).alias(c)
-        if c in stays
-        else F.col(c)
-        for c in (names if len(found) > INLINE_VALUES else df.columns)
-    ]
-    return df.select(*made)
+    """Replace values missing from the frequent table; nulls stay. Values are looked up, whatever their number."""
+    known = written(frequent.filter(F.col("value").isNotNull()).select("column", "value"))
+    out = df
+    for c in columns:
+        table = known.filter(F.col("column") == c).select(F.col("value").alias("__value"), F.lit(True).alias("__known"))
+        found = lookup(out.withColumn("__value", F.col(c).cast("string")), table, ["__value"], stored=True)
+        kept = F.when(F.col("__value").isNull() | F.col("__known"), F.col("__value")).otherwise(replacement)
+        out = found.select(*[kept.alias(x) if x == c else F.col(f"`{x}`") for x in df.columns])
+    return out
 
 
 def group_rare(df: DataFrame, columns: list[str], threshold: float = 0.01, replacement: str = "RARE") -> DataFrame:

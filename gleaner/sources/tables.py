@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import time
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.plans.tables import with_facts
+from gleaner.plans.tables import with_facts, written
 
 
 def read_csv(spark: SparkSession, path, header: bool = True, sep: str = ",", schema=None, infer: bool = True) -> DataFrame:
@@ -32,9 +35,57 @@ def sanitize_names(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df itself where every run cuts it into the same partitions, as a scan does; else df written once."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return written(df) if "Exchange" in plan or "Adaptive" in plan else df
+
+
+def first_rows(df: DataFrame, rows: int) -> DataFrame:
+    """Exactly the first rows of df in partition order, or all if fewer; every partition keeps its own share.
+
+    A first job counts rows per partition without reading columns. No row moves, so there is no task that all kept
+    rows pass through, and a partition stops reading at its share. What is behind a shuffle is written first, since
+    its partitions may be cut anew by each run.
+    """
+    df = settled(df)
+    return _shares(df, rows, rows_per_partition(df))
+
+
+def _shares(df: DataFrame, rows: int, held: dict[int, int]) -> DataFrame:
+    share, left = {}, rows
+    for part in sorted(held):
+        share[part] = min(left, held[part])
+        left -= share[part]
+
+    def run(batches):
+        left = share.get(TaskContext.get().partitionId(), 0)
+        for batch in batches:
+            if not left:
+                return
+            yield batch.slice(0, left)
+            left -= min(left, batch.num_rows)
+
+    return df.mapInArrow(run, df.schema)
+
+
+def rows_per_partition(df: DataFrame) -> dict[int, int]:
+    """Number of rows by partition; empty partitions are absent."""
+
+    def run(batches):
+        n = sum(b.num_rows for b in batches)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n])], ["part", "n"])
+
+    counted = df.select(F.lit(1).alias("one")).mapInArrow(run, "part int, n bigint")
+    return {r["part"]: r["n"] for r in counted.collect()}  # a row per task
+
+
 def cap_rows(df: DataFrame, rows: int) -> tuple[DataFrame, bool]:
-    """The first rows of df, and whether more than that existed (found without counting the table)."""
-    return df.limit(rows), df.limit(rows + 1).count() > rows
+    """The first rows of df, and whether more than that existed."""
+    df = settled(df)
+    held = rows_per_partition(df)
+    return _shares(df, rows, held), sum(held.values()) > rows
 
 
 def dataset_info(df: DataFrame) -> DataFrame:
@@ -59,14 +110,23 @@ TIMESTAMP_FORMATS = [
 ]
 
 
+def _shape(column: Column) -> Column:
+    """The value with every digit as 0: what tells formats apart before anything is parsed."""
+    return F.translate(column, "123456789", "000000000")
+
+
 def timestamp_format(df: DataFrame, column: str, min_parsed: float = 0.9) -> str | None:
     """The first way of parsing that fits at least min_parsed of the non-null values; None is the automatic one.
 
-    All candidates are counted in one scan.
+    All candidates are counted in one scan. A format is tried on values of its own shape only, so a value is parsed
+    once besides the automatic way, and twice where day and month may change places.
     """
-    tries = {"auto": F.expr(f"try_cast(`{column}` as timestamp)")}
-    tries |= {f: F.try_to_timestamp(F.col(column), F.lit(f)) for f in TIMESTAMP_FORMATS}
-    row = df.agg(F.count(column), *[F.count(e) for e in tries.values()]).first()
+    value = F.col(f"`{column}`").cast("string")
+    shaped = df.select(F.col(f"`{column}`").alias("v"), _shape(value).alias("s"))
+    tries = {"auto": F.expr("try_cast(v as timestamp)")}
+    for f in TIMESTAMP_FORMATS:
+        tries[f] = F.when(F.col("s") == re.sub("[a-zA-Z]", "0", f), F.try_to_timestamp(F.col("v"), F.lit(f)))
+    row = shaped.agg(F.count("v"), *[F.count(e) for e in tries.values()]).first()
     for (name, _), parsed in zip(tries.items(), row[1:]):
         if parsed > 0 and parsed >= min_parsed * row[0]:
             return None if name == "auto" else name
@@ -114,24 +174,39 @@ def schema_mismatches(df: DataFrame, schema: T.StructType) -> list[tuple[str, st
 
 
 def conform_schema(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """df cast to schema (values that do not fit become null), and its mismatches as a table."""
+    """df cast to schema (values that do not fit become null), and its mismatches as a table.
+
+    The report has, per column that differs, the expected and the found type (null: no such column) and how many
+    values the cast loses; one scan counts them for all columns.
+    """
     have = set(df.columns)
     casts = [
         (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name)
         for f in schema.fields
     ]
-    report = df.sparkSession.createDataFrame(
-        schema_mismatches(df, schema), "column string, expected string, found string"
-    )
+    found = schema_mismatches(df, schema)
+    kinds = {f.name: f.dataType for f in schema.fields}
+    lost = [
+        F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(kinds[c]).isNull()) if c in have else F.lit(0).cast("bigint")
+        for c, _, _ in found
+    ]
+    counts = df.agg(F.count(F.lit(1)), *lost).first()[1:] if found else ()
+    rows = [(*m, n) for m, n in zip(found, counts)]
+    report = df.sparkSession.createDataFrame(rows, "column string, expected string, found string, lost bigint")
     return df.select(*casts), report
 
 
 def bounded_sample(df: DataFrame, max_rows: int, seed: int = 42, sample: bool = True) -> DataFrame:
-    """About max_rows random rows of a larger table (never above 1.1 times that), or the first ones."""
-    rows = df.count()
+    """About max_rows random rows of a larger table (never above 1.1 times that), or the first ones.
+
+    Partitions draw by seed and keep their share of what was drawn, so a repeated run gives the same rows.
+    """
+    df = settled(df)
+    held = rows_per_partition(df)
+    rows = sum(held.values())
     if rows <= max_rows:
         return df
-    return df.sample(max_rows / rows, seed).limit(int(max_rows * 1.1)) if sample else df.limit(max_rows)
+    return first_rows(df.sample(max_rows / rows, seed), int(max_rows * 1.1)) if sample else _shares(df, max_rows, held)
 
 
 @dataclass(frozen=True)

@@ -93,7 +93,34 @@ def test_csv_save_load_and_conform(spark, nulls, tmp_path):
     schema = T.StructType().add("id", T.LongType()).add("c", T.IntegerType()).add("new", T.StringType())
     out, report = tables.conform_schema(read, schema)
     assert out.schema.simpleString() == schema.simpleString() and out.filter("c is not null").count() == 0
-    assert sorted(one(report)) == [("c", "int", "string"), ("id", "bigint", "int"), ("new", "string", None)]
+    assert sorted(one(report)) == [("c", "int", "string", 2), ("id", "bigint", "int", 0), ("new", "string", None, 0)]
+
+
+def test_row_caps_keep_each_partitions_share(spark, tmp_path):
+    spark.range(1000).repartition(8).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    some = tables.first_rows(df, 333)
+    assert some.count() == 333 == some.distinct().count() and one(some) == one(tables.first_rows(df, 333))
+    assert "Limit" not in some._jdf.queryExecution().toString()
+    assert tables.first_rows(df, 0).count() == 0 and tables.first_rows(df, 5000).count() == 1000
+    drawn = tables.bounded_sample(df, 50)
+    assert 20 < drawn.count() <= 55 and sorted(one(drawn)) == sorted(one(tables.bounded_sample(df, 50)))
+    assert tables.cap_rows(df.limit(0), 3)[0].count() == 0 and not tables.cap_rows(df.limit(0), 3)[1]
+
+
+def test_timestamp_formats_by_shape(spark):
+    as_text = lambda values: spark.createDataFrame([(v,) for v in values], "v string")
+    assert tables.timestamp_format(as_text(["31/12/2020", "01/02/2021", None]), "v") == "dd/MM/yyyy"
+    assert tables.timestamp_format(as_text(["12/31/2020", "01/02/2021"]), "v") == "MM/dd/yyyy"
+    assert tables.timestamp_format(as_text(["31-12-2020 10:00:00"] * 2 + ["2020/12/31"] * 18), "v") == "yyyy/MM/dd"
+    assert tables.timestamp_format(as_text(["2020-12-31 10:00:00"]), "v") is None
+    with pytest.raises(ValueError):
+        tables.timestamp_format(as_text(["99/99/2020", "x"]), "v")
+
+
+def test_long_texts_are_counted_by_digest(spark):
+    df = spark.createDataFrame([("a" * 500,), ("a" * 499 + "b",), ("a" * 500,), ("short",), (None,)], "t string")
+    assert one(agg.category_summary(df, ["t"])) == [("t", 3, 4, 1)]
 
 
 def test_capping_sampling_sizing_and_splitting(spark):
@@ -197,10 +224,11 @@ def test_columns_without_spread_are_not_scaled(spark):
         assert "same" not in prep.fit_scale(df, ["same", "x"], method).params
 
 
-def test_rare_lookup_equals_inline(spark, monkeypatch):
+def test_rare_values_are_the_same_by_broadcast_and_by_sorting(spark, monkeypatch):
     df = spark.createDataFrame([(v,) for v in ["a"] * 5 + ["b"] * 2 + ["c", None]], "v string")
     inline = sorted(one(prep.group_rare(df, ["v"], 0.2)), key=str)
-    monkeypatch.setattr(prep, "INLINE_VALUES", 0)
+    monkeypatch.setattr("gleaner.plans.lookup.BROADCAST_CELLS", 0)
+    monkeypatch.setattr("gleaner.plans.lookup.GROUP_ROWS", 3)
     assert sorted(one(prep.group_rare(df, ["v"], 0.2)), key=str) == inline
     assert inline.count(("RARE",)) == 1 and (None,) in inline
 
