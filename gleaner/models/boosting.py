@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.plans.quantiles import quantiles
+from gleaner.plans.sums import tree_sum
 from gleaner.plans.tables import forget, written
 
 BINS = 64  # of a feature, cut at exact quantiles
@@ -171,24 +172,8 @@ def _level_sums(
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-    def added(batches):
-        total = None
-        for batch in batches:
-            for raw in batch.column("sums").to_pylist():
-                part = np.frombuffer(raw, np.int64)
-                total = part.copy() if total is None else total + part
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
-
     size = (len(fits), 3, 2**level, width, bins_of)
-    sums = blocks.mapInArrow(run, "sums binary")
-    parts, most = blocks.rdd.getNumPartitions(), max(1, SUMS_BYTES // (8 * int(np.prod(size))))
-    while parts > most:  # by a tree of tasks, so that the driver gets few
-        parts = max(most, int(parts**0.5))
-        sums = sums.repartition(parts).mapInArrow(added, "sums binary")
-    out = np.zeros(size, np.int64)
-    for row in sums.toLocalIterator() if most == 1 else sums.collect():
-        out += np.frombuffer(row["sums"], np.int64).reshape(size)
+    out = tree_sum(blocks.mapInArrow(run, "sums binary"), size, np.int64, blocks.rdd.getNumPartitions(), SUMS_BYTES)
     for k, fit in enumerate(fits):
         if fit.positive is None:
             out[k, 1] = out[k, 2]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,7 @@ from gleaner.operators.windows import percentile_features
 from gleaner.plans.ordered import GROUP_ROWS
 from gleaner.plans.quantiles import LINEAR, quantiles
 from gleaner.plans.tables import with_facts, written
+from gleaner.plans.sums import tree_sum
 from gleaner.sources.tables import bounded_sample
 from gleaner.types import (
     BOOLEAN,
@@ -113,14 +116,40 @@ def profile_variables(df: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
 
 
 def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, correlation) of each column pair, over rows where both are known; one aggregate for all."""
-    pairs = F.array(
-        *[
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(number(a), number(b)).alias("correlation"))
-            for a, b in combinations(columns, 2)
-        ]
-    )
-    return df.agg(pairs.alias("p")).select(F.inline("p"))
+    """(a, b, correlation) of each column pair, over rows where both are known; null where one of them does not vary.
+
+    A task multiplies its rows as matrices, batch by batch, into sums of all pairs; the matrices of the tasks are added
+    up by a tree. So the plan and the jobs do not grow with the pairs. Values are taken from the columns' means, which
+    keeps the sums accurate.
+    """
+    n = len(columns)
+    shape = "a string, b string, correlation double"
+    if n < 2:
+        return df.sparkSession.createDataFrame([], shape)
+    wide = df.select(F.array(*[number(f"`{c}`") for c in columns]).alias("x"))
+    means = df.agg(*[F.avg(number(f"`{c}`")) for c in columns]).first()
+    centre = np.array([m or 0.0 for m in means])
+
+    def run(batches):
+        total = np.zeros((4, n, n))  # rows, sums of a, of squares of a, of products, over rows that know a and b
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, n) - centre
+            lost = batch.column("x").flatten().is_null().to_numpy(zero_copy_only=False).reshape(-1, n)
+            known = (~lost).astype(float)
+            x = np.where(lost, 0.0, x)
+            total += np.stack([known.T @ known, x.T @ known, (x * x).T @ known, x.T @ x])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    count, one, two, both = tree_sum(wide.mapInArrow(run, "sums binary"), (4, n, n))
+    with np.errstate(all="ignore"):
+        spread = two - one * one / count
+        found = (both - one * one.T / count) / np.sqrt(spread * spread.T)
+        varies = (spread > 1e-12 * two) & (spread.T > 1e-12 * two.T) & (count > 1)
+    rows = [
+        (a, b, float(np.clip(found[i, j], -1, 1)) if varies[i, j] or np.isnan(found[i, j]) and np.isnan(two[i, j]) else None)
+        for (i, a), (j, b) in combinations(enumerate(columns), 2)
+    ]
+    return df.sparkSession.createDataFrame(rows, shape)
 
 
 def spearman(df: DataFrame, columns: list[str], limit: int = GROUP_ROWS) -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.rowwise import number
 from gleaner.functions.times import micros
+from gleaner.plans import lookup as lookups
 from gleaner.plans.lookup import lookup
 from gleaner.plans.ordered import GROUP_ROWS, look_back, running_totals
-from gleaner.plans.quantiles import group_quantiles, value_ranks
+from gleaner.plans.quantiles import group_quantiles, ranks_of_all
 from gleaner.plans.tables import null_safe_join, written
 from gleaner.types import DATETIME, role_of
 
@@ -117,13 +118,30 @@ def cumulative_features(df: DataFrame, columns, order, partition=(), limit: int
 
 
 def percentile_features(df: DataFrame, columns, limit: int = GROUP_ROWS) -> DataFrame:
-    """{column}_percentile: average rank among the non-null values, divided by their number."""
-    out = df
+    """{column}_percentile: average rank among the non-null values, divided by their number.
+
+    Columns of one type are ranked together, so the jobs do not grow with the columns. Ranks of columns with few
+    distinct values, as counted, are broadcast together in one plan; others are looked up one by one.
+    """
+    kinds: dict = {}
     for c in columns:
-        ranks = written(value_ranks(df, c, limit))
-        total = ranks.agg(F.sum("n")).first()[0] or 1
-        share = ranks.select(F.col("value").alias(c), (F.col("avg_rank") / F.lit(float(total))).alias(f"{c}_percentile"))
-        out = lookup(out, share, [c], limit=limit)
+        kinds.setdefault(df.schema[c].dataType, []).append(c)
+    out, room = df, lookups.BROADCAST_CELLS
+    for group in kinds.values():
+        ranks = written(ranks_of_all(df, group, limit))
+        totals = {r["feature"]: (r["total"], r["values"]) for r in _rank_totals(ranks)}
+        for c in group:
+            total, values = totals.get(c, (1, 0))
+            share = F.col("avg_rank") / F.lit(float(total))
+            table = ranks.filter(F.col("feature") == c).select(F.col("value").alias(c), share.alias(f"{c}_percentile"))
+            if 2 * values <= room:
+                room -= 2 * values
+                out = out.join(F.broadcast(table), [c], "left").select(*[F.col(f"`{x}`") for x in out.columns], f"`{c}_percentile`")
+            else:
+                out = lookup(out, table, [c], limit=limit, stored=True)
     return out
 
 
+def _rank_totals(ranks: DataFrame) -> list:
+    """A row per column: rows and distinct values."""
+    return ranks.groupBy("feature").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("values")).collect()

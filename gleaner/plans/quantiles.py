@@ -211,8 +211,16 @@ def _hot_group_quantiles(hot, keys, columns, probs, names, limit):
 
 def value_ranks(df: DataFrame, column: str, limit: int = GROUP_ROWS) -> DataFrame:
     """Per distinct non-null value: its count n and average rank, ranks running over the whole column."""
-    counts = written(
-        df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    )
-    placed = running_totals(counts, [], ["value"], {"upto": F.col("n")}, limit)
-    return placed.select("value", "n", (F.col("upto") - (F.col("n") - 1) / 2).cast(T.DoubleType()).alias("avg_rank"))
+    return ranks_of_all(df, [column], limit).select("value", "n", "avg_rank")
+
+
+def ranks_of_all(df: DataFrame, columns: list[str], limit: int = GROUP_ROWS) -> DataFrame:
+    """(feature, value, n, avg_rank) of every distinct non-null value of all columns, which share one type.
+
+    One ranking serves all columns: values are counted, and counts run along each column, whose values may be many.
+    """
+    wide = df.select(*[F.col(f"`{c}`").alias(c) for c in columns])
+    long = wide.unpivot([], columns, "feature", "value").filter(F.col("value").isNotNull())
+    counts = written(long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")))
+    placed = running_totals(counts, ["feature"], ["value"], {"upto": F.col("n")}, limit)
+    return placed.select("feature", "value", "n", (F.col("upto") - (F.col("n") - 1) / 2).cast(T.DoubleType()).alias("avg_rank"))

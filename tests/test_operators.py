@@ -7,6 +7,7 @@ import math
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
@@ -656,3 +657,46 @@ def test_depths_of_stacked_transforms(spark):
     three = names(3)
     assert "SUM(orders.x * SUM(lines.q))" in three and "SUM(orders.x) * SUM(orders.SUM(lines.q))" in three and len(set(three)) == len(three)
     assert names(3, names=("SUM(orders.x * SUM(lines.q))",)) == ["u", "SUM(orders.x * SUM(lines.q))"]
+
+
+def test_pearson_against_pandas(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 30)) @ rng.normal(size=(30, 30)) + 1e6
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 4] = 7.0
+    pdf = pd.DataFrame(x, columns=[f"c.{i}" for i in range(30)])
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], ", ".join(f"`c.{i}` double" for i in range(30))).repartition(5)
+    expected = pdf.corr()
+    for most in (None, 1):
+        if most:
+            monkeypatch.setattr("gleaner.plans.sums.SUMS_BYTES", most)
+        got = profile.pearson(df, list(pdf.columns)).collect()
+        assert len(got) == 435
+        for r in got:
+            if "c.4" in (r["a"], r["b"]):
+                assert r["correlation"] is None
+            else:
+                assert r["correlation"] == pytest.approx(expected.loc[r["a"], r["b"]], abs=1e-9)
+    assert profile.pearson(df, ["c.0"]).collect() == [] and profile.pearson(df.limit(0), ["c.0", "c.1"]).first()["correlation"] is None
+
+
+def test_percentiles_of_many_columns_take_as_many_jobs(spark):
+    rng = np.random.default_rng(3)
+    rows = [tuple(float(v) for v in rng.integers(0, 9, 12)) for _ in range(80)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{i} double" for i in range(12)))
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+
+    def jobs(columns):
+        group = f"percentile-{len(columns)}"
+        context.setJobGroup(group, "")
+        made = windows.percentile_features(df, columns)
+        context.setJobGroup("other", "")
+        return made, len(tracker.getJobIdsForGroup(group))
+
+    (few, a), (many, b) = jobs(["c0", "c1"]), jobs(df.columns)
+    assert a == b
+    pdf = pd.DataFrame(rows, columns=df.columns)
+    got = many.toPandas()
+    for c in df.columns:
+        assert sorted(got[f"{c}_percentile"]) == pytest.approx(sorted(pdf[c].rank() / len(pdf)))
+    assert few.columns == [*df.columns, "c0_percentile", "c1_percentile"]
