@@ -153,7 +153,7 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _url_sql() -> str:
-    """Rules and rounds of trust as in url_filter, a round per table expression."""
+    """Rules, seeds by shares of pages and links, and rounds of trust as in url_filter, a round per table expression."""
     d, rules = url_filter.DAMPING, url_filter.RULES
     listed = ", ".join(f"('{v}', '{r}', '{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}')" for v, r in rules)
     rounds = ""
@@ -164,21 +164,26 @@ got{k} AS MATERIALIZED (SELECT w.b AS host, w.kind AS kind, sum(s.score * w.w) *
   FROM (SELECT host, kind, sum(score) AS score FROM ({before}) GROUP BY host, kind) s JOIN ways w ON s.host = w.a AND s.kind = w.kind
   GROUP BY w.b, w.kind)"""
     low = f"translate(%s, '{UPPER}', '{LOWER}')"
+    link = url_filter.LINK.replace("'", "''")
     rest = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END"
     return rf"""
 WITH p AS (SELECT row_number() OVER () AS r, page_id, html, coalesce({rest}, '') AS rest FROM pages),
 h AS (SELECT r, page_id, html, {low % "regexp_extract(rest, '^[^/?#]*')"} AS host,
   regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM p),
 rules(verdict, rule, domain, prefix) AS (VALUES {listed}),
-target AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''),
-  '(?i)\bhref\s*=\s*["'']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^/?#"''\s>]+)', 1)) AS t FROM h WHERE host <> ''),
-pairs AS (SELECT src, {low % "regexp_extract(t, '//(.*)$', 1)"} AS dst FROM target),
-links AS (SELECT src, dst, count(*) AS links FROM pairs WHERE dst <> '' AND dst <> src GROUP BY src, dst),
-hosts AS (SELECT host FROM h UNION SELECT dst FROM links),
-whole AS (SELECT host, verdict FROM (SELECT host, verdict, row_number() OVER
-  (PARTITION BY host ORDER BY length(rule) DESC, length(domain) DESC, verdict DESC) AS k
-  FROM hosts JOIN rules ON (host = domain OR ends_with(host, '.' || domain)) AND prefix = '/') WHERE k = 1),
-start AS (SELECT host, CASE verdict WHEN 'allow' THEN 0 ELSE 1 END AS kind, {1 - d} AS seed FROM whole),
+target AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)) AS t FROM h WHERE host <> ''),
+pairs AS (SELECT src, regexp_extract(t, '//(.*)$', 1) AS rest FROM target),
+linked AS (SELECT src, dst, path, count(*) AS links FROM (SELECT src, {low % "regexp_extract(rest, '^[^/]*')"} AS dst,
+  regexp_extract(rest, '/.*$') AS path FROM pairs) WHERE dst <> '' AND dst <> src GROUP BY src, dst, path),
+links AS (SELECT src, dst, sum(links) AS links FROM linked GROUP BY src, dst),
+known AS (SELECT host, path, sum(links) AS links FROM (SELECT host, path, 1 AS links FROM h UNION ALL SELECT dst, path, links FROM linked) GROUP BY host, path),
+judged AS (SELECT host, path, verdict, row_number() OVER (PARTITION BY host, path ORDER BY length(rule) DESC, length(domain) DESC, verdict DESC) AS k
+  FROM known JOIN rules ON (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, prefix)),
+shares AS (SELECT host, sum(CASE WHEN verdict = 'allow' THEN links ELSE 0 END) / sum(links) AS trust,
+  sum(CASE WHEN verdict = 'block' THEN links ELSE 0 END) / sum(links) AS distrust
+  FROM known LEFT JOIN (SELECT * FROM judged WHERE k = 1) USING (host, path) GROUP BY host),
+start AS (SELECT host, 0 AS kind, trust * {1 - d} AS seed FROM shares WHERE trust > 0
+  UNION ALL SELECT host, 1, distrust * {1 - d} FROM shares WHERE distrust > 0),
 ways AS (SELECT src AS a, dst AS b, links / sum(links) OVER (PARTITION BY src) AS w, 0 AS kind FROM links
   UNION ALL SELECT dst, src, links / sum(links) OVER (PARTITION BY dst), 1 FROM links){rounds},
 score AS (SELECT host, round(sum(CASE kind WHEN 0 THEN score ELSE 0 END), 9) AS trust,

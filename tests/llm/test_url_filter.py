@@ -102,3 +102,38 @@ def test_registered_rules_block_by_links(frame):
     got = {r.page_id: (r.rule, r.verdict) for r in made.collect()}
     assert got[1] == got[2] == ("net/es/", "block") and got[3] == (None, "allow")
     assert got[10] == got[11] == (None, "block") and got[12] == got[13] == (None, "allow")
+
+
+def test_registered_sql_says_the_same_where_links_decide(spark, tmp_path):
+    import sys
+
+    sys.path.insert(0, "tests")
+    from compare import compare
+
+    import duckdb
+
+    from gleaner.llm import queries
+
+    to = lambda *urls: "".join(f'<a href="{u}">x</a>' for u in urls)
+    rows = [
+        (1, "http://farm1.org/a", to("http://bad.net/es/x", "//Bad.net/es/y?q#z", "HTTPS://other.net/fr/1")),
+        (2, "http://farm2.org/a", to("http://bad.net/es/x", "http://good.com/")),
+        (3, "http://farm2.org/b", to("http://bad.net/es/x")),
+        (4, "http://bad.net/es/x", to("http://good.com/a", "/relative")),
+        (5, "http://bad.net/other", None),
+        (6, "http://good.com/a", to("http://friend.org/", "http://friend.org/b", "http://bad.net/es/x")),
+        (7, "http://friend.org/", to("http://farm3.org/")),
+        (8, "http://farm3.org/", to("http://bad.net/es/x", "http://bad.net/fr/x")),
+        (9, "http://example.com/en/1", to("http://www.example.com/en/2")),
+        (10, "http://mixed.org/x", to("http://bad.net/", "http://bad.net/es/1", "http://www.example.com/en/5")),
+        (11, None, to("http://bad.net/es/x")),
+        (12, "no scheme", None),
+        (13, "http://quiet.org/?a", "<p>no links</p>"),
+    ]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    status, details, _ = compare(spark, con, str(tmp_path), "op6", queries.QUERIES["op6_url_filter"], queries.ORACLES["op6_url_filter"])
+    assert status == "ok", details
+    verdicts = {r.page_id: (r.rule, r.verdict) for r in queries.op6(spark, str(tmp_path)).collect()}
+    assert verdicts[1] == (None, "block") and verdicts[7] == (None, "allow") and verdicts[13] == (None, "allow")
