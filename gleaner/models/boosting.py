@@ -233,7 +233,8 @@ def fit_together(df: DataFrame, fits: list[Fit], bins: int = BINS) -> list[Boost
     scale = 2.0**bits / reach
     cuts = cut_points(df, width, bins)
     shape = (width, max(len(c) for c in cuts) + 1)
-    blocks = written(to_blocks(df, cuts, start))
+    tasks = max(1, sum(r["n"] for r in per_fold) // BLOCK_ROWS)  # a task that has less than a block costs more than its work
+    blocks = written(to_blocks(df.coalesce(tasks), cuts, start))
     grown: list[list[Tree]] = [[] for _ in fits]
     kept: list[list[Tree]] = [[] for _ in fits]
     for turn in range(max(f.rounds for f in fits)):
