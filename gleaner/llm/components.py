@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.plans.tables import written
+from gleaner.plans.tables import forget, written
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for every node of edges (a, b); keys of any ordered type.
 
     Every round takes the smallest label among the neighbours and then the label of that label, so the number of
-    rounds grows with the logarithm of the longest path. Each round is written to the shared folder. Edges of a
-    node with very many neighbours are split by the adaptive join; minima are taken on the map side first.
+    rounds grows with the logarithm of the longest path. Each round is written to the shared folder, and the one
+    before it deleted. Edges of a node with very many neighbours are split by the adaptive join; minima are taken on the map side first.
     """
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")))
+    stored = labels
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("low"))
         lower = labels.join(near, labels.node == near.a).select(
@@ -28,6 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         )
         new = written(new)
         changed = new.filter(F.col("was") != F.col("root")).limit(1).count()
-        labels = new.select("node", "root")
+        forget(stored)
+        stored, labels = new, new.select("node", "root")
         if not changed:
+            forget(both)
             return labels

@@ -134,15 +134,38 @@ def _stars(marks: np.ndarray, nodes: np.ndarray):
     return marks[first], nodes[first], a[new], b[new]
 
 
+def _forest():
+    """Function that keeps, of the edges it is given, those that connect what earlier ones did not."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = x = above.get(up, up)
+        return x
+
+    def kept(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep = np.zeros(len(a), bool)
+        for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+            x, y = top(x), top(y)
+            if x != y:
+                above[max(x, y)] = min(x, y)
+                keep[i] = True
+        return a[keep], b[keep]
+
+    return kept
+
+
 def _marks(q: int, num: int, den: int):
     """Rows (kind, a, b): kind 0, a part's content and a set that has it; kind 1, an edge between two sets.
 
     Sets of one task that share a mark are tied by edges at once, so a mark leaves a task with one set only, and
-    a content that very many sets share costs no more rows than there are tasks.
+    a content that very many sets share costs no more rows than there are tasks. Edges of a task are a forest: fewer
+    than its sets.
     """
 
     def run(batches):
         shingles = shingler(q)
+        kept = _forest()
         marks: list[np.ndarray] = []
         nodes: list[np.ndarray] = []
         held, known = 0, set()
@@ -153,7 +176,7 @@ def _marks(q: int, num: int, den: int):
         def tied():
             m, h, a, b = _stars(np.concatenate(marks).view(np.int64), np.concatenate(nodes))
             yield rows(0, m, h)
-            yield rows(1, a, b)
+            yield rows(1, *kept(a, b))
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -172,6 +195,7 @@ def _marks(q: int, num: int, den: int):
                     marks, nodes, held = [], [], 0
             if len(known) > KNOWN_WORDS:
                 known.clear()
+                kept = _forest()
         if held:
             yield from tied()
 
@@ -179,18 +203,18 @@ def _marks(q: int, num: int, den: int):
 
 
 def _tie_hubs(batches):
-    """Edges between the sets that tasks sent for one mark; all rows of a mark are in one partition."""
-    marks, hubs = [], []
+    """Edges between the sets that tasks sent for one mark, as a forest; all rows of a mark are in one partition."""
+    marks, hubs, kept = [], [], _forest()
+    edges = lambda a, b: pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
     for x in batches:
         kind, a, b = (x.column(n).to_numpy() for n in ("kind", "a", "b"))
         marks.append(a[kind == 0])
         hubs.append(b[kind == 0])
         if (kind == 1).any():
-            yield pa.RecordBatch.from_arrays([pa.array(a[kind == 1]), pa.array(b[kind == 1])], ["a", "b"])
+            yield edges(*kept(a[kind == 1], b[kind == 1]))
     if marks and sum(map(len, marks)):
         _, _, a, b = _stars(np.concatenate(marks), np.concatenate(hubs))
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        yield edges(*kept(a, b))
 
 
 def _node(key: bytes) -> int:
