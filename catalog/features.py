@@ -219,6 +219,41 @@ def i14(spark, d):
     return tidy(out.select(*KEY, *some)).withColumn("n_columns", F.lit(len(out.columns)))
 
 
+ALL_NUMBERS = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _every_sql() -> str:
+    """Every automatic feature of lineitem by name, each one summed up on a scale that differences in last digits leave alone."""
+    x = {c: f"CAST({c} AS DOUBLE)" for c in ALL_NUMBERS}
+    made = dict(x)
+    for c, v in x.items():
+        made |= {f"{c}_log": f"ln(1 + greatest({v}, 0.0))", f"{c}_sqrt": f"sqrt(greatest({v}, 0.0))", f"{c}_square": f"{v} * {v}", f"{c}_cube": f"{v} * {v} * {v}"}
+        made[f"{c}_binned"] = f"least(len(list_filter(s_{c}, lambda y: y <= {v})) - 1, len(s_{c}) - 2)"
+    for k, a in enumerate(ALL_NUMBERS):
+        for b in ALL_NUMBERS[k + 1 :]:
+            made |= {f"{a}_mult_{b}": f"{x[a]} * {x[b]}", f"{a}_add_{b}": f"{x[a]} + {x[b]}", f"{a}_sub_{b}": f"{x[a]} - {x[b]}"}
+            made[f"{a}_div_{b}"] = f"CASE WHEN {b} <> 0 THEN {x[a]} / {x[b]} ELSE 0 END"
+    parts = {"year": "year", "month": "month", "day": "day", "dayofweek": "1 + dayofweek", "dayofyear": "dayofyear", "weekofyear": "weekofyear", "quarter": "quarter"}
+    made |= {f"l_shipdate_{n}": f"{f}(l_shipdate)" for n, f in parts.items()}
+    made["l_shipdate_is_weekend"] = "CASE WHEN dayofweek(l_shipdate) IN (0, 6) THEN 1 ELSE 0 END"
+    made |= {"l_linestatus_length": "length(l_linestatus)", "l_linestatus_word_count": "len(string_split(l_linestatus, ' '))"}
+    made["l_linestatus_unique_chars"] = "len(list_distinct(string_split(l_linestatus, '')))"
+    sums = ", ".join(f"CAST(sum(sign({e}) * floor(ln(1 + abs({e})) * 1000)) AS BIGINT) AS {n}" for n, e in made.items())
+    cuts = ", ".join(f"{_bin_sql(c, 'lineitem')} AS s_{c}" for c in ALL_NUMBERS)
+    return f"WITH cuts AS (SELECT {cuts}) SELECT name AS feature, value AS total FROM (UNPIVOT (SELECT {sums} FROM lineitem, cuts) ON *)"
+
+
+@query("i14_every_feature", _every_sql())
+def i14_every(spark, d):
+    """All features of all columns of lineitem, target and key left out."""
+    df = table(spark, d, "lineitem")
+    wide = encode.generate_all(df, exclude=["l_returnflag", "l_orderkey"])
+    made = [c for c in wide.columns if c not in df.columns or c in ALL_NUMBERS]
+    long = wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in made])).alias("f"))
+    x = F.col("f.x")
+    return long.groupBy("f.feature").agg(F.sum(F.signum(x) * F.floor(F.log(1 + F.abs(x)) * 1000)).cast("bigint").alias("total"))
+
+
 @query("i15_one_hot_assemble")
 def i15(spark, d):
     df = table(spark, d, "lineitem")
