@@ -13,7 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round takes the smallest label among the neighbours and then the label of that label, so the number of
     rounds grows with the logarithm of the longest path. Each round is written to the shared folder, and the one
-    before it deleted. Edges of a node with very many neighbours are split by the adaptive join; minima are taken on the map side first.
+    before it deleted. Edges of a node with very many neighbours are split by the adaptive join; minima are taken on
+    the map side first.
     """
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")))
