@@ -85,9 +85,11 @@ def entity_profile(df: DataFrame, entity: str, order, columns, limit: int = GROU
         ]
         if trend:
             aggs.append(F.regr_slope(x, seconds).alias(f"{c}__trend"))
-    stats = df.groupBy(entity).agg(*aggs)
-    medians = group_quantiles(df, [entity], list(columns), [0.5], {c: [f"{c}__median"] for c in columns}, limit)
-    return null_safe_join(stats, medians, [entity], "left")
+    # rows per entity come with the statistics, so hot entities are known without another scan
+    stats = written(df.groupBy(entity).agg(F.count(F.lit(1)).alias("__rows"), *aggs))
+    sizes, names = stats.select(entity, "__rows"), {c: [f"{c}__median"] for c in columns}
+    medians = group_quantiles(df, [entity], list(columns), [0.5], names, limit, sizes)
+    return null_safe_join(stats.drop("__rows"), medians, [entity], "left")
 
 
 def seconds_of(df: DataFrame, column: str) -> Column:

@@ -166,14 +166,16 @@ def _values_in_buckets(
 
 
 def group_quantiles(
-    df: DataFrame, keys, columns: list[str], probs: list[float], names: dict[str, list[str]], limit: int = GROUP_ROWS
+    df: DataFrame, keys, columns: list[str], probs: list[float], names: dict[str, list[str]], limit: int = GROUP_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Exact interpolated quantiles per group: one row per group, a column per (column, probability).
 
-    Small groups use the percentile aggregate. Groups above limit rows are ranked by value counts.
+    Small groups use the percentile aggregate. Groups above limit rows are ranked by value counts. sizes, a table of
+    the keys and __rows, saves the scan that counts rows per group.
     """
     keys = list(keys)
-    cold, hot, _ = split_hot(df.select(*keys, *columns), keys, limit)
+    cold, hot, _ = split_hot(df.select(*keys, *columns), keys, limit, sizes)
     parts = []
     if cold is not None:
         asked = F.array(*[F.lit(float(p)) for p in probs])
