@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gleaner.functions.sums import exact_mean, exact_sum
+
 
 @dataclass(frozen=True)
 class Labeler:
@@ -36,15 +38,15 @@ def will_purchase(name: str = "will_purchase") -> Labeler:
 
 
 def total_spend(column: str, name: str = "total_spend") -> Labeler:
-    return Labeler(name, F.sum(F.col(column).cast("double")), lambda x: F.coalesce(x, F.lit(0.0)))
+    return Labeler(name, exact_sum(F.col(column)), lambda x: F.coalesce(x, F.lit(0.0)))
 
 
 def average_value(column: str, name: str = "average_value") -> Labeler:
-    return Labeler(name, F.avg(F.col(column).cast("double")), lambda x: F.coalesce(x, F.lit(0.0)))
+    return Labeler(name, exact_mean(F.col(column)), lambda x: F.coalesce(x, F.lit(0.0)))
 
 
 # Aggregates a threshold label may use.
-THRESHOLD_AGGREGATES = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min, "count": F.count}
+THRESHOLD_AGGREGATES = {"sum": exact_sum, "mean": exact_mean, "max": F.max, "min": F.min, "count": F.count}
 
 
 def threshold(column: str, cut: float, how: str = "sum", name: str = "above_threshold") -> Labeler:
