@@ -20,7 +20,7 @@ from gleaner.plans.ordered import GROUP_ROWS
 from gleaner.plans.quantiles import LINEAR, quantiles
 from gleaner.plans.tables import with_facts, written
 from gleaner.plans.sums import tree_sum
-from gleaner.sources.tables import bounded_sample
+from gleaner.sources.tables import exact_sample
 from gleaner.types import (
     BOOLEAN,
     CATEGORICAL,
@@ -256,9 +256,9 @@ def profile_recommendations(df: DataFrame, variables: DataFrame | None = None) -
 
 
 def profile_sample(df: DataFrame, max_rows: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """The rows to profile (all of them unless max_rows is given and smaller) and how they were taken."""
+    """The rows to profile (all of them, or exactly max_rows random ones if that is smaller) and how they were taken."""
     original = df.count()
-    taken = df if max_rows is None else bounded_sample(df, max(1, max_rows), seed)
+    taken = df if max_rows is None or original <= max(1, max_rows) else exact_sample(df, max(1, max_rows), seed)
     # written only when sampled, so that every later job sees the same rows
     taken = taken if taken is df else written(taken)
     rows = original if taken is df else taken.count()

@@ -7,6 +7,7 @@ import time
 import uuid
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -209,6 +210,35 @@ def bounded_sample(df: DataFrame, max_rows: int, seed: int = 42, sample: bool =
     return first_rows(df.sample(max_rows / rows, seed), int(max_rows * 1.1)) if sample else _shares(df, max_rows, held)
 
 
+def exact_sample(df: DataFrame, rows: int, seed: int = 42) -> DataFrame:
+    """Exactly that many random rows of df, or all if fewer.
+
+    Every partition gives its part of them by its size (largest remainders first), drawn in one pass over its rows
+    without replacement; no row moves. A repeated run gives the same rows.
+    """
+    df = settled(df)
+    held = rows_per_partition(df)
+    whole = sum(held.values())
+    if whole <= rows:
+        return df
+    share = {p: rows * n // whole for p, n in held.items()}
+    rest = rows - sum(share.values())
+    for p in sorted(held, key=lambda p: (-(rows * held[p] % whole), p))[:rest]:
+        share[p] += 1
+
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        rng, wanted, left = np.random.default_rng([seed, part]), share.get(part, 0), held.get(part, 0)
+        for batch in batches:
+            m = batch.num_rows
+            if wanted and m:
+                hits = int(rng.hypergeometric(wanted, left - wanted, m))
+                yield batch.take(pa.array(np.sort(rng.choice(m, hits, replace=False))))
+                wanted, left = wanted - hits, left - m
+
+    return df.mapInArrow(run, df.schema)
+
+
 @dataclass(frozen=True)
 class TableSize:
     rows: int

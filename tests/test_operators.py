@@ -259,6 +259,16 @@ def test_profile_sample_and_targets(spark):
     assert set(profile.full_profile(df)) == {"sample", "summary", "variables", "missing", "alerts", "recommendations"}
 
 
+def test_a_profile_takes_exactly_the_rows_asked_for(spark):
+    df = spark.range(9000, numPartitions=7)
+    taken, info = profile.profile_sample(df, 1001)
+    ids = [r["id"] for r in taken.collect()]
+    assert tuple(info.first()) == (True, 9000, 1001, 1001 / 9000) and len(set(ids)) == 1001
+    assert 4000 < np.mean(ids) < 5000 and max(ids) > 8500
+    assert sorted(ids) == sorted(r["id"] for r in profile.profile_sample(df, 1001)[0].collect())
+    assert profile.profile_sample(df, 9000)[1].first()["sampled"] is False
+
+
 def test_detects_a_time_series(spark):
     day = F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(cast(id div 5 as int))")
     df = spark.range(200).withColumn("created", day).withColumn("user_id", (F.col("id") % 5).cast("string")).drop("id")
