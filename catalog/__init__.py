@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,15 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*made)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x rounded the way the SQL side does it: the nearest whole number of x times a power of ten.
+
+    F.round goes by the shortest decimal form of x, so the two differ where x is a last bit away from a tie.
+    """
+    power = F.lit(10.0**digits)
+    return F.round(x * power) / power
+
+
 def load_all() -> None:
     from catalog import (  # noqa: F401
         aggregates,

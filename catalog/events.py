@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from catalog import query, table, tidy
+from catalog import query, rounded, table, tidy
 from gleaner.functions import labelers, rowwise
 from gleaner.operators import labels, synthesis, tsfeatures, windows
 from gleaner.operators.asof import asof_aggregate
@@ -235,7 +235,7 @@ SINGLE_ROUNDED = r"""SELECT o_orderkey, round(COLUMNS('^CUM_SUM.*|.* \* .*'), 2)
 
 def _single_rounded(df):
     wide = lambda c: c.startswith("CUM_SUM") or " * " in c
-    return df.select("o_orderkey", *[F.round(F.col(f"`{c}`"), 2 if wide(c) else 6).alias(c) for c in df.columns[1:]])
+    return df.select("o_orderkey", *[rounded(F.col(f"`{c}`"), 2 if wide(c) else 6).alias(c) for c in df.columns[1:]])
 
 
 @query("o1_dfs_single", SINGLE_ROUNDED.format(source=f'({SINGLE_SQL})'))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.rowwise import number
+from gleaner.functions.sums import grid_units, split_on_grid
 from gleaner.functions.times import micros
 from gleaner.plans import lookup as lookups
 from gleaner.plans.lookup import lookup
@@ -105,17 +106,21 @@ def entity_features(df: DataFrame, entity: str, order, columns, limit: int = GRO
 
 
 def cumulative_features(df: DataFrame, columns, order, partition=(), limit: int = GROUP_ROWS) -> DataFrame:
-    """{column}_cum_sum and {column}_cum_mean up to and with the row; null where the value is null."""
-    totals = {}
-    for c in columns:
-        totals[f"__s_{c}"] = F.coalesce(number(c), F.lit(0.0))
+    """{column}_cum_sum and {column}_cum_mean up to and with the row; null where the value is null.
+
+    Sums are as good as rounded once, however many rows they run over: errors of single additions do not pile up.
+    """
+    totals, grids = {}, grid_units(df, [number(c) for c in columns])
+    for c, unit in zip(columns, grids):
+        on_grid, rest = split_on_grid(F.coalesce(number(c), F.lit(0.0)), unit)
+        totals[f"__s_{c}"], totals[f"__r_{c}"] = on_grid, rest
         totals[f"__n_{c}"] = F.col(c).isNotNull().cast("bigint")
     placed = running_totals(df, partition, order, totals, limit)
     made = []
     for c in columns:
-        known = F.col(c).isNotNull()
-        made.append(F.when(known, F.col(f"__s_{c}")).alias(f"{c}_cum_sum"))
-        made.append(F.when(known, F.col(f"__s_{c}") / F.col(f"__n_{c}")).alias(f"{c}_cum_mean"))
+        known, total = F.col(c).isNotNull(), F.col(f"__s_{c}") + F.col(f"__r_{c}")
+        made.append(F.when(known, total).alias(f"{c}_cum_sum"))
+        made.append(F.when(known, total / F.col(f"__n_{c}")).alias(f"{c}_cum_mean"))
     return placed.select(*df.columns, *made)
 
 
