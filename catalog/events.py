@@ -481,9 +481,9 @@ EFFICIENT_SQL = f"""WITH v AS (SELECT user_id, event_id, ts, value AS x FROM eve
 @query("p2_ts_features_efficient", EFFICIENT_SQL)
 def p2(spark, d):
     out = tsfeatures.ts_features(table(spark, d, "events"), "user_id", ["ts", "event_id"], ["value"], "efficient")
-    sums = [F.round("value__sum_values", 4).alias("value__sum_values"), F.round("value__abs_energy", 4).alias("value__abs_energy")]
-    rest = [f"`{c}`" for c in out.columns if c not in ("value__sum_values", "value__abs_energy")]
-    return tidy(out.select(*rest, *sums))
+    digits = {"value__sum_values": 4, "value__abs_energy": 4}
+    doubles = {f.name for f in out.schema if f.dataType.typeName() == "double"}
+    return out.select(*[rounded(F.col(f"`{c}`"), digits.get(c, 6)).alias(c) if c in doubles else F.col(f"`{c}`") for c in out.columns])
 
 
 @query("p3_custom_ts_features", "SELECT user_id, round(max(value) - min(value), 6) AS spread, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY 1")

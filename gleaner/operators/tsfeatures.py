@@ -135,7 +135,8 @@ def _efficient(df, entity, time, values, include, exclude, limit):
     at_max, at_min = x == F.col("__maximum"), x == F.col("__minimum")
     position = (F.col("__pos") - 1).cast("double")
     pairs = F.min(n)
-    aggs = {
+    # again, now in the order of time: so last digits do not follow the order of files
+    aggs = base_aggs | {
         "mean_abs_change": F.avg(F.abs(step)),
         "mean_change": F.when(pairs > 1, F.sum(step) / (pairs - 1)),
         "absolute_sum_of_changes": F.coalesce(F.sum(F.abs(step)), F.lit(0.0)),
@@ -147,7 +148,7 @@ def _efficient(df, entity, time, values, include, exclude, limit):
         "first_location_of_minimum": F.min(when(at_min, (F.col("__pos") - 1) / n)),
         "last_location_of_minimum": F.max(when(at_min, place)),
         "linear_trend_slope": F.regr_slope(x, position),
-        "linear_trend_intercept": F.regr_intercept(x, position),
+        "linear_trend_intercept": F.avg(x) - F.regr_slope(x, position) * F.avg(position),
         "linear_trend_rvalue": F.corr(x, position),
     }
     for s in SIGMAS:
@@ -168,8 +169,8 @@ def _efficient(df, entity, time, values, include, exclude, limit):
         strikes.append(runs.groupBy(*keys).agg(F.max("n").alias(f"longest_strike_{name}_mean")))
     repeats = long.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg((F.max("n") > 1).cast("int").alias("has_duplicate"))
 
-    joined = base
-    for part in (ordered, *strikes, repeats):
+    joined = ordered
+    for part in (*strikes, repeats):
         joined = null_safe_join(joined, part, keys)
     joined = joined.withColumns(
         {f"longest_strike_{s}_mean": F.coalesce(F.col(f"longest_strike_{s}_mean"), F.lit(0)) for s in ("above", "below")}
