@@ -166,7 +166,7 @@ def t1(spark, d):
 
     events = table(spark, d, "events").select("user_id", "event_id", "value")
     out = combine_per_group(
-        events, ["user_id"], partial, "user_id long, lo double, hi double", finish, "user_id long, spread double", limit=60
+        events, ["user_id"], partial, "user_id long, lo double, hi double", finish, "user_id long, spread double", limit=60, many=True
     )
     return tidy(out)
 
