@@ -11,27 +11,30 @@ from gleaner.plans.tables import forget, written
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for every node of edges (a, b); keys of any ordered type.
 
-    Every round takes the smallest label among the neighbours and then the label of that label, so the number of
-    rounds grows with the logarithm of the longest path. Each round is written to the shared folder, and the one
-    before it deleted. Edges of a node with very many neighbours are split by the adaptive join; minima are taken on
-    the map side first.
+    Every round moves each node to the one of the smallest hash among itself and its neighbours, and goes on with the
+    edges between different places, each once. The hash changes with the round, so places and edges shrink by a share
+    every round, however long a path, and all rounds together read about as much as the first few. Then places are
+    followed back. Each round is written to the shared folder, and its edges deleted after. Edges of a node with very
+    many neighbours are split by the adaptive join; minima are taken on the map side first.
     """
-    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")))
-    stored = labels
-    while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("low"))
-        lower = labels.join(near, labels.node == near.a).select(
-            "node", F.col("root").alias("was"), F.least("root", "low").alias("root")
-        )
-        jump = labels.select(F.col("node").alias("via"), F.col("root").alias("then"))
-        new = lower.join(jump, F.col("root") == F.col("via"), "left").select(
-            "node", "was", F.least("root", F.coalesce("then", "root")).alias("root")
-        )
-        new = written(new)
-        changed = new.filter(F.col("was") != F.col("root")).limit(1).count()
-        forget(stored)
-        stored, labels = new, new.select("node", "root")
-        if not changed:
-            forget(both)
-            return labels
+    edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    moves: list[DataFrame] = []
+    while not moves or edges.limit(1).count():
+        ranked = lambda c: F.struct(F.xxhash64(F.lit(len(moves)), c).alias("h"), F.col(c).alias("x"))
+        both = edges.select("a", ranked("b").alias("to")).union(edges.select(F.col("b").alias("a"), ranked("a").alias("to")))
+        best = both.groupBy("a").agg(F.min("to").alias("to"))
+        moved = written(best.select(F.col("a").alias("node"), F.least("to", ranked("a"))["x"].alias("root")))
+        one, other = (moved.select(F.col("node").alias(c), F.col("root").alias(f"at_{c}")) for c in ("a", "b"))
+        left = edges.join(one, "a").join(other, "b").filter(F.col("at_a") != F.col("at_b"))
+        left = written(left.select(F.least("at_a", "at_b").alias("a"), F.greatest("at_a", "at_b").alias("b")).distinct())
+        forget(edges)
+        edges = left
+        moves.append(moved)
+    forget(edges)
+    labels = moves[-1]
+    for moved in reversed(moves[:-1]):
+        further = labels.select(F.col("node").alias("root"), F.col("root").alias("then"))
+        labels = moved.join(further, "root", "left").select("node", F.coalesce("then", "root").alias("root"))
+    labels = written(labels)
+    lowest = labels.groupBy("root").agg(F.min("node").alias("low"))
+    return written(labels.join(lowest, "root").select("node", F.col("low").alias("root")))

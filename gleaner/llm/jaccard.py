@@ -7,8 +7,11 @@ document lies in every window. So texts that cannot be linked are first set apar
 
 1. Linked sets a, b differ in at most r(|a| + |b|) shingles. Sets are dealt to classes of size, with copies of
    those at a border to the class above. In a class, shingles are dealt by hash to more parts than two linked
-   sets can differ in, so linked sets agree on a whole part. Sets that agree on a part are neighbours;
-   components of neighbours are coarse regions, and no link leaves one.
+   sets can differ in, so linked sets agree on whole parts. Parts of few shingles, or of shingles that many texts
+   have, say little: there are more parts by a share, and a set leaves out as many of the weakest. Of the parts that
+   two linked sets agree on, the strongest is left out by neither. Which shingles many texts have is told by a sample,
+   which affects speed only. Sets that agree on a part are neighbours; components of neighbours are coarse regions,
+   and no link leaves one.
 2. A coarse region is joined by pivots: exact distances to them give links; the rest goes to the region of its
    nearest pivot and, as a copy, to every region in whose window it lies; regions are joined the same way again.
    Documents already connected are not compared, since only components are asked for.
@@ -22,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +35,8 @@ from gleaner.plans.tables import written
 
 REGION_SETS, REGION_SHINGLES = 4000, 2_000_000  # a region above either is joined by many tasks
 PIVOTS = 12  # of a region in Spark
-SPARE = 2  # parts beyond those needed, so that a set may leave out that many empty ones
+SPARE, SPARE_SHARE = 2, 0.3  # parts beyond those needed, and as a share of them; a set leaves out as many
+SAMPLE_TEXTS, COMMON_SHINGLES = 10_000, 1_000_000  # texts looked at for shingles that many have, and most of these kept
 CLASS_RATIO = 1.6
 KNOWN_WORDS = 250_000
 MARKS_HELD = 2_000_000  # marks that a task ties at once
@@ -90,10 +95,18 @@ def size_classes(limit: int, num: int, den: int) -> list[tuple[int, int]]:
     return out
 
 
-def signatures(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Hashes of (class, part, content of the part), for the set's class and those above that it borders on."""
+def signatures(shingles: np.ndarray, num: int, den: int, common: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of (class, part, content of the part), for the set's class and those above that it borders on.
+
+    Of differ + 1 + spare parts linked sets agree on spare + 1 or more. Each leaves out its spare weakest, in an order
+    that follows from a part's content only: the strongest part they agree on has spare weaker ones in both. common
+    are sorted shingles that do not count for a part's strength.
+    """
     n, out = len(shingles), []
     spread, content = _mix(shingles), _mix(shingles ^ np.uint64(0x9E3779B97F4A7C15))
+    telling = np.ones(n)
+    if common is not None and len(common):
+        telling = (common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] != shingles).astype(float)
     classes = size_classes(n * den // num + 1, num, den)
     home = max(k for k, (low, _) in enumerate(classes) if low <= n)
     for k in range(home, len(classes)):
@@ -102,15 +115,16 @@ def signatures(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
             break
         if not differ:
             continue  # linked sets of this class are equal
-        parts = differ + 1 + SPARE
-        part = (spread >> np.uint64(20)) % np.uint64(parts)
+        spare = SPARE + int(SPARE_SHARE * differ)
+        parts = differ + 1 + spare
+        part = ((spread >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         filled, first = np.unique(part[order], return_index=True)
         sums = np.zeros(parts, np.uint64)
-        sums[filled.astype(np.int64)] = np.add.reduceat(content[order], first)
-        kept = filled.astype(np.int64) if parts - len(filled) <= SPARE else np.arange(parts)
-        salt = np.uint64(k << 40) + kept.astype(np.uint64)
-        out.append(_mix(sums[kept] + _mix(salt)))
+        sums[filled] = np.add.reduceat(content[order], first)
+        marks = _mix(sums + _mix(np.uint64(k << 40) + np.arange(parts, dtype=np.uint64)))
+        strength = np.bincount(part, weights=telling, minlength=parts)
+        out.append(marks[np.lexsort((marks, strength))[spare:]])
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -155,7 +169,7 @@ def _forest():
     return kept
 
 
-def _marks(q: int, num: int, den: int):
+def _marks(q: int, num: int, den: int, common: Broadcast):
     """Rows (kind, a, b): kind 0, a part's content and a set that has it; kind 1, an edge between two sets.
 
     Sets of one task that share a mark are tied by edges at once, so a mark leaves a task with one set only, and
@@ -187,7 +201,7 @@ def _marks(q: int, num: int, den: int):
                 if node in known:  # a copy
                     continue
                 known.add(node)
-                marks.append(signatures(s, num, den))
+                marks.append(signatures(s, num, den, common.value))
                 nodes.append(np.full(len(marks[-1]), node, np.int64))
                 held += len(marks[-1])
                 if held > MARKS_HELD:
@@ -510,12 +524,30 @@ def _large_regions(members: DataFrame, num: int, den: int, block_sets: int, bloc
 # ---------------------------------------------------------------- the join
 
 
+def common_shingles(docs: DataFrame, q: int) -> np.ndarray:
+    """Sorted shingles that at least two texts of a sample have, at most COMMON_SHINGLES, the most frequent first."""
+
+    def run(batches):
+        shingles = shingler(q)
+        for batch in batches:
+            found = [shingles(t) for t in batch.column(0).to_pylist()]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["s"])
+
+    share = max(1, docs.count() // SAMPLE_TEXTS)
+    some = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).distinct()
+    counts = some.mapInArrow(run, "s bigint").groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    top = counts.orderBy(F.desc("n"), "s").limit(COMMON_SHINGLES).select("s").toArrow().column("s").to_numpy()
+    return np.sort(top.astype(np.int64).view(np.uint64))
+
+
 def coarse_regions(docs: DataFrame, q: int, num: int, den: int) -> DataFrame:
     """(node, region): components of sets that agree on a part; sets that agree with no other are left out.
 
     Marks go from one pass over the texts straight into one shuffle; they are stored nowhere else.
     """
-    sent = docs.select("text").mapInArrow(_marks(q, num, den), "kind tinyint, a bigint, b bigint").repartition("a")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, q))
+    sent = docs.select("text").mapInArrow(_marks(q, num, den, common), "kind tinyint, a bigint, b bigint").repartition("a")
     return components(sent.mapInArrow(_tie_hubs, "a bigint, b bigint").distinct()).withColumnRenamed("root", "region")
 
 

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from gleaner.llm import jaccard
+from gleaner.llm import components, jaccard
 
 
 def shingles(text, q):
@@ -126,3 +126,38 @@ def test_linked_sets_share_a_signature(num):
 
 def test_empty_table(docs):
     assert jaccard.jaccard_components(docs([(1, "a")]).limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("num", [80, 90])
+def test_linked_sets_share_a_signature_whatever_is_common(num):
+    """What counts as common only changes which parts are left out."""
+    rng = random.Random(num)
+    for _ in range(400):
+        a = set(rng.sample(range(10**9), rng.randint(20, 300)))
+        b = set(a)
+        for _ in range(rng.randint(0, len(a) // 9)):
+            b.discard(rng.choice(sorted(b)))
+            b.add(rng.randrange(10**9))
+        common = np.array(sorted(rng.sample(sorted(a | b), rng.randint(0, len(a)))), np.uint64)
+        if a != b and 100 * len(a & b) >= num * len(a | b):
+            x, y = (set(jaccard.signatures(np.array(sorted(s), np.uint64), num, 100, common).tolist()) for s in (a, b))
+            assert x & y
+
+
+def test_shared_passages_make_no_region(docs):
+    """Texts that share passages, but a sixth of their words at most, stay in regions of their own."""
+    rng = random.Random(4)
+    passages = [" ".join(f"p{k}w{i}" for i in range(12)) for k in range(5)]
+    text = lambda: " ".join([*(f"w{rng.randrange(10**6)}" for _ in range(120)), *rng.sample(passages, 2)])
+    made = jaccard.coarse_regions(docs([(i, text()) for i in range(400)]), 5, 80, 100)
+    assert made.groupBy("region").count().filter("count > 20").collect() == []
+
+
+def test_components_of_paths_stars_and_loops(spark):
+    path = [(i, i + 1) for i in range(0, 300)]
+    star = [(1000, 1001 + i) for i in range(200)]
+    edges = spark.createDataFrame([*path, *path[:5], *star, (2000, 2000), (2002, 2001)], "a bigint, b bigint").repartition(5)
+    made = {r.node: r.root for r in components.components(edges).collect()}
+    want = {**{i: 0 for i in range(301)}, **{i: 1000 for i in range(1000, 1201)}, 2000: 2000, 2001: 2001, 2002: 2001}
+    assert made == want
+    assert components.components(edges.limit(0)).collect() == []
