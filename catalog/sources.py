@@ -248,7 +248,7 @@ def a8_mismatches(spark, d):
 
 @query("a9_first_rows", "SELECT least(count(*), 20000) AS n_rows, count(*) > 20000 AS truncated FROM lineitem")
 def a9_first(spark, d):
-    rows, truncated = tables.cap_rows(table(spark, d, "lineitem").repartition(7, "l_orderkey"), 20_000)
+    rows, truncated = tables.cap_rows(table(spark, d, "lineitem"), 20_000)
     return rows.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("truncated", F.lit(truncated))
 
 
