@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog import query, table, tidy
@@ -199,10 +201,21 @@ def i4_many(spark, d):
     """All 760 features of 190 pairs, each one summed up over all rows."""
     number = lambda i: ((F.col("p_partkey") * (i + 1) + F.col("p_size")) % 17).cast("double")
     df = table(spark, d, "part").select(*[number(i).alias(c) for i, c in enumerate(MANY)])
-    wide = add_features(df, rowwise.interactions(MANY))
-    made = [c for c in wide.columns if c not in MANY]
-    long = wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in made])).alias("f"))
-    return long.groupBy("f.feature").agg(F.sum(F.round(F.col("f.x") * 1000)).cast("bigint").alias("total"))
+    return _totals(df, rowwise.interactions(MANY))
+
+
+def _totals(df, features):
+    """(feature, total): thousandths of every feature, rounded and summed up where the rows are.
+
+    A row is never made into a row per feature. Features are added up some at a time, since the code of one aggregate
+    over hundreds of them is too long to be compiled.
+    """
+    found = []
+    for k in range(0, len(features), 40):
+        names = [f.spec.name for f in features[k : k + 40]]
+        sums = add_features(df, features[k : k + 40]).agg(*[F.sum(F.round(F.col(f"`{c}`") * 1000)).cast("bigint").alias(c) for c in names])
+        found.append(sums.unpivot([], [F.col(f"`{c}`") for c in names], "feature", "total"))
+    return reduce(DataFrame.unionAll, found).filter(F.col("total").isNotNull())
 
 
 @query(

@@ -710,3 +710,17 @@ def test_percentiles_of_many_columns_take_as_many_jobs(spark):
     for c in df.columns:
         assert sorted(got[f"{c}_percentile"]) == pytest.approx(sorted(pdf[c].rank() / len(pdf)))
     assert few.columns == [*df.columns, "c0_percentile", "c1_percentile"]
+
+
+def test_totals_of_many_features_make_no_row_per_feature(spark):
+    from catalog import features as made_of
+    from gleaner.functions import rowwise
+
+    df = spark.range(1, 4).select(*[(F.col("id") * k).cast("double").alias(f"c{k}") for k in range(1, 11)])
+    features = rowwise.interactions(df.columns)
+    totals = made_of._totals(df, features)
+    assert "Generate" not in totals._jdf.queryExecution().executedPlan().toString()
+    found = {r["feature"]: r["total"] for r in totals.collect()}
+    assert len(found) == len(features) == 180
+    assert found["c2_mult_c3"] == 84_000 and found["c1_sub_c10"] == -54_000 and found["c1_div_c2"] == 1500
+    assert made_of._totals(df.limit(0), features).collect() == []
