@@ -190,6 +190,20 @@ def _wanted(rel: Relationship, numbers: list[Feature], texts, plan: Synthesis) -
     return [w for w in out if _needed(w[0], plan)]
 
 
+def _with_stats(df: DataFrame, rel: Relationship, child: DataFrame, wanted: list[tuple[str, str, str, int]]) -> DataFrame:
+    """df with aggregates over the rows of one child table."""
+    aggs = [(F.count(F.lit(1)) if p == "count" else PRIMITIVES[p][1](_quoted(c))).alias(n) for n, p, c, _ in wanted]
+    cut = [F.col(CUT).alias("__fcut")] if CUT in child.columns else []
+    stats = child.groupBy(F.col(rel.child_key).alias("__fk"), *cut).agg(*aggs)
+    counts = {n for n, p, _, _ in wanted if p in ("count", "num_unique")}
+    same = F.col(f"`{rel.parent_key}`") == F.col("__fk")
+    joined = df.join(stats, same & (F.col(CUT) == F.col("__fcut")) if cut else same, "left")
+    return joined.select(
+        *[_quoted(c) for c in df.columns],
+        *[F.coalesce(_quoted(n), F.lit(0)).alias(n) if n in counts else _quoted(n) for n, _, _, _ in wanted],
+    )
+
+
 def _with_aggregates(es: EntitySet, name: str, df: DataFrame, plan: Synthesis, depth: int) -> tuple[DataFrame, list[Feature]]:
     """df with aggregates over each child table, and the new columns."""
     made = []
@@ -200,18 +214,13 @@ def _with_aggregates(es: EntitySet, name: str, df: DataFrame, plan: Synthesis, d
         wanted = _wanted(rel, numbers, texts, plan)
         if not wanted:
             continue
-        aggs = [
-            (F.count(F.lit(1)) if p == "count" else PRIMITIVES[p][1](_quoted(c))).alias(n) for n, p, c, _ in wanted
-        ]
-        cut = [F.col(CUT).alias("__fcut")] if CUT in child.columns else []
-        stats = child.groupBy(F.col(rel.child_key).alias("__fk"), *cut).agg(*aggs)
-        counts = {n for n, p, _, _ in wanted if p in ("count", "num_unique")}
-        same = F.col(f"`{rel.parent_key}`") == F.col("__fk")
-        joined = df.join(stats, same & (F.col(CUT) == F.col("__fcut")) if cut else same, "left")
-        df = joined.select(
-            *[_quoted(c) for c in df.columns],
-            *[F.coalesce(_quoted(n), F.lit(0)).alias(n) if n in counts else _quoted(n) for n, _, _, _ in wanted],
-        )
+        before = df.columns
+        # distinct counts copy every row per counted column; they are taken of the child's own few columns, apart from all else
+        apart = [w for w in wanted if w[1] == "num_unique"]
+        for some, rows in (([w for w in wanted if w not in apart], child), (apart, es.tables[rel.child])):
+            if some:
+                df = _with_stats(df, rel, rows, some)
+        df = df.select(*[_quoted(c) for c in before], *[_quoted(n) for n, _, _, _ in wanted])
         made += [(n, d) for n, _, _, d in wanted]
     return df, made
 

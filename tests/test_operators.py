@@ -724,3 +724,16 @@ def test_totals_of_many_features_make_no_row_per_feature(spark):
     assert len(found) == len(features) == 180
     assert found["c2_mult_c3"] == 84_000 and found["c1_sub_c10"] == -54_000 and found["c1_div_c2"] == 1500
     assert made_of._totals(df.limit(0), features).collect() == []
+
+
+def test_distinct_counts_do_not_copy_the_other_aggregates(spark):
+    parents = spark.createDataFrame([(1, 5.0), (2, 6.0), (3, 7.0)], "p long, own double")
+    rows = [(1, 1, 2.5, "a", "x"), (2, 1, 3.5, "a", "y"), (3, 2, 1.0, None, "z"), (4, 1, 1.5, "b", None)]
+    children = spark.createDataFrame(rows, "c long, p long, amount double, first string, second string")
+    es = synthesis.EntitySet({"up": parents, "down": children}, {"up": "p", "down": "c"}, (synthesis.Relationship("up", "p", "down", "p"),), {})
+    made = synthesis.dfs_multi(es, synthesis.Synthesis("up", transforms=(), max_depth=1))
+    copied = [line for line in made._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Expand" in line]
+    assert copied and not any("amount" in line for line in copied)
+    found = {r["p"]: r.asDict() for r in made.collect()}
+    names = ("COUNT(down)", "NUM_UNIQUE(down.first)", "NUM_UNIQUE(down.second)", "SUM(down.amount)")
+    assert [tuple(found[p][n] for n in names) for p in (1, 2, 3)] == [(3, 2, 2, 7.5), (1, 0, 1, 1.0), (0, 0, 0, None)]
