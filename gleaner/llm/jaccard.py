@@ -11,17 +11,20 @@ document lies in every window. So texts that cannot be linked are first set apar
    have, say little: there are more parts by a share, and a set leaves out as many of the weakest. Of the parts that
    two linked sets agree on, the strongest is left out by neither. Which shingles many texts have is told by a sample,
    which affects speed only. Sets that agree on a part are neighbours; components of neighbours are coarse regions,
-   and no link leaves one.
-2. A coarse region is joined by pivots: exact distances to them give links; the rest goes to the region of its
+   and no link leaves one. Parts that hold nothing are agreed on by strangers, so they are weakest and never sent; a set
+   with more of them than it leaves out is dealt by its rarest shingles as well, of which linked sets share one.
+2. A coarse region above the limits of a task is parted again, by the rarest shingles of its sets alone, where rare is
+   what few of its own sets have; so are the regions that this leaves, as long as it parts much.
+3. A coarse region is joined by pivots: exact distances to them give links; the rest goes to the region of its
    nearest pivot and, as a copy, to every region in whose window it lies; regions are joined the same way again.
    Documents already connected are not compared, since only components are asked for.
-3. A region above the limits of a task takes its pivot round in Spark; its cells (nearest pivot, ring of
+4. A region still above the limits of a task takes its pivot round in Spark; its cells (nearest pivot, ring of
    distance) are cut into blocks, and pairs of blocks that the triangle inequality cannot rule out are tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +32,21 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import attach, in_batches, sized, text_key
+from gleaner.llm import common as limits
+from gleaner.llm.common import attach, give_back, in_batches, sized, text_key
 from gleaner.llm.components import components
-from gleaner.plans.tables import written
+from gleaner.plans.tables import forget, let_go, written
 
 REGION_SETS, REGION_SHINGLES = 4000, 2_000_000  # a region above either is joined by many tasks
 PIVOTS = 12  # of a region in Spark
 SPARE, SPARE_SHARE = 2, 0.3  # parts beyond those needed, and as a share of them; a set leaves out as many
 SAMPLE_TEXTS, COMMON_SHINGLES = 10_000, 1_000_000  # texts looked at for shingles that many have, and most of these kept
 CLASS_RATIO = 1.6
+COUNTED_SHINGLES = 50_000_000  # of large regions, looked at for those that many of their sets have
+PARTED = 0.9  # share of sets in large regions above which parting them again is given up
 KNOWN_WORDS = 250_000
-MARKS_HELD = 2_000_000  # marks that a task ties at once
+MARKS_HELD = 500_000  # marks that a task ties at once
+SIEVE_BITS = 26  # of a set's number, told apart when shingles are kept of some sets only
 
 # ---------------------------------------------------------------- sets and parts
 
@@ -95,18 +102,35 @@ def size_classes(limit: int, num: int, den: int) -> list[tuple[int, int]]:
     return out
 
 
+def _found(values: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the sorted array `of` (not empty) where values may stand, and whether they do."""
+    at = np.minimum(np.searchsorted(of, values), len(of) - 1)
+    return at, of[at] == values
+
+
+def rarest(codes: np.ndarray, often: np.ndarray, num: int, den: int) -> np.ndarray:
+    """As many of a set's codes as make linked sets share one: first those with the smallest `often`, then by hash.
+
+    Linked sets share num / den of either at least, so neither leaves out the first of their common codes. often must
+    follow from the code alone.
+    """
+    n = len(codes)
+    return codes[np.lexsort((_mix(codes), often))[: n - -(-n * num // den) + 1]]
+
+
 def signatures(shingles: np.ndarray, num: int, den: int, common: np.ndarray | None = None) -> np.ndarray:
     """Hashes of (class, part, content of the part), for the set's class and those above that it borders on.
 
     Of differ + 1 + spare parts linked sets agree on spare + 1 or more. Each leaves out its spare weakest, in an order
     that follows from a part's content only: the strongest part they agree on has spare weaker ones in both. common
-    are sorted shingles that do not count for a part's strength.
+    are sorted shingles that do not count for a part's strength. Parts without content are the weakest and are never
+    sent: linked sets that agree on no others have more than spare of them, and share one of their rarest shingles.
     """
-    n, out = len(shingles), []
+    n, out, sparse = len(shingles), [], False
     spread, content = _mix(shingles), _mix(shingles ^ np.uint64(0x9E3779B97F4A7C15))
     telling = np.ones(n)
     if common is not None and len(common):
-        telling = (common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] != shingles).astype(float)
+        telling = 1.0 - _found(shingles, common)[1]
     classes = size_classes(n * den // num + 1, num, den)
     home = max(k for k, (low, _) in enumerate(classes) if low <= n)
     for k in range(home, len(classes)):
@@ -124,7 +148,14 @@ def signatures(shingles: np.ndarray, num: int, den: int, common: np.ndarray | No
         sums[filled] = np.add.reduceat(content[order], first)
         marks = _mix(sums + _mix(np.uint64(k << 40) + np.arange(parts, dtype=np.uint64)))
         strength = np.bincount(part, weights=telling, minlength=parts)
-        out.append(marks[np.lexsort((marks, strength))[spare:]])
+        empty = np.ones(parts, bool)
+        empty[filled] = False
+        strength[empty] = -1
+        sparse = sparse or parts - len(filled) > spare
+        strong = np.lexsort((marks, strength))[spare:]
+        out.append(marks[strong[~empty[strong]]])
+    if sparse:
+        out.append(rarest(_mix(content + np.uint64(1)), 1 - telling, num, den))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -169,49 +200,62 @@ def _forest():
     return kept
 
 
-def _marks(q: int, num: int, den: int, common: Broadcast):
-    """Rows (kind, a, b): kind 0, a part's content and a set that has it; kind 1, an edge between two sets.
+def _tied(sets: Iterator[tuple[bytes, Callable[[], np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+    """Rows (kind, a, b) from sets (key, their marks): kind 0, a mark and a set that has it; kind 1, an edge of two sets.
 
-    Sets of one task that share a mark are tied by edges at once, so a mark leaves a task with one set only, and
+    Sets of one task that share a mark are tied by edges at once, so a mark leaves a task with few sets only, and
     a content that very many sets share costs no more rows than there are tasks. Edges of a task are a forest: fewer
     than its sets.
     """
+    kept = _forest()
+    marks: list[np.ndarray] = []
+    nodes: list[np.ndarray] = []
+    held, known = 0, set()
+
+    def rows(kind: int, a: np.ndarray, b: np.ndarray):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
+
+    def tied():
+        m, h, a, b = _stars(np.concatenate(marks).view(np.int64), np.concatenate(nodes))
+        yield rows(0, m, h)
+        yield rows(1, *kept(a, b))
+
+    for key, of in sets:
+        if key in known:  # a copy
+            continue
+        known.add(key)
+        marks.append(of())
+        nodes.append(np.full(len(marks[-1]), _node(key), np.int64))
+        held += len(marks[-1])
+        if held > MARKS_HELD:
+            yield from tied()
+            marks, nodes, held = [], [], 0
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+            kept = _forest()
+    if held:
+        yield from tied()
+    marks, nodes = [], []
+    give_back()
+
+
+MARKED = "kind tinyint, a bigint, b bigint"
+
+
+def _marks(q: int, num: int, den: int, common: Broadcast):
+    """Rows of _tied from texts, by the contents of parts."""
 
     def run(batches):
         shingles = shingler(q)
-        kept = _forest()
-        marks: list[np.ndarray] = []
-        nodes: list[np.ndarray] = []
-        held, known = 0, set()
 
-        def rows(kind: int, a: np.ndarray, b: np.ndarray):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
+        def sets():
+            for batch in batches:
+                for text in batch.column(0).to_pylist():
+                    s = shingles(text)
+                    if len(s):
+                        yield _key(s), lambda s=s: signatures(s, num, den, common.value)
 
-        def tied():
-            m, h, a, b = _stars(np.concatenate(marks).view(np.int64), np.concatenate(nodes))
-            yield rows(0, m, h)
-            yield rows(1, *kept(a, b))
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                s = shingles(text)
-                if not len(s):
-                    continue
-                node = _node(_key(s))
-                if node in known:  # a copy
-                    continue
-                known.add(node)
-                marks.append(signatures(s, num, den, common.value))
-                nodes.append(np.full(len(marks[-1]), node, np.int64))
-                held += len(marks[-1])
-                if held > MARKS_HELD:
-                    yield from tied()
-                    marks, nodes, held = [], [], 0
-            if len(known) > KNOWN_WORDS:
-                known.clear()
-                kept = _forest()
-        if held:
-            yield from tied()
+        return _tied(sets())
 
     return run
 
@@ -236,15 +280,31 @@ def _node(key: bytes) -> int:
     return int.from_bytes(key[:8], "big", signed=True)
 
 
+def _sieve(nodes: DataFrame) -> np.ndarray:
+    """A bit for the last SIEVE_BITS bits of every node; whatever the number of nodes, these bits are all that is collected."""
+    slot = F.col("node").bitwiseAND(F.lit(2**SIEVE_BITS - 1))
+    bit = F.expr("shiftleft(1L, cast(slot & 63L AS int))")
+    words = nodes.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(2**SIEVE_BITS // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out
+
+
+def _passes(bits: np.ndarray, node: int) -> bool:
+    slot = node & (2**SIEVE_BITS - 1)
+    return bool(int(bits[slot >> 6]) >> (slot & 63) & 1)
+
+
 DESCRIBED = "doc_id bigint, key binary, n_shingles bigint, set_key binary, node bigint, shingles binary"
 
 
-def _describe(q: int):
-    """A row per document; a set's shingles come with the first of its documents in a task."""
+def _describe(q: int, sieve: Broadcast):
+    """A row per document; shingles of a set that the sieve lets through come with the first of its documents in a task."""
 
     def make():
         shingles = shingler(q)
         known: set[bytes] = set()
+        bits = sieve.value
 
         def rows(doc_ids, keys, texts):
             sizes, set_keys, nodes, blobs = [], [], [], []
@@ -256,7 +316,8 @@ def _describe(q: int):
                 sizes.append(len(s))
                 set_keys.append(key)
                 nodes.append(_node(key) if key else None)
-                blobs.append(s.tobytes() if key and key not in known else None)
+                wanted = key and key not in known and _passes(bits, nodes[-1])
+                blobs.append(s.tobytes() if wanted else None)
                 known.add(key)
             return doc_ids, keys, sizes, set_keys, nodes, blobs
 
@@ -547,31 +608,105 @@ def coarse_regions(docs: DataFrame, q: int, num: int, den: int) -> DataFrame:
     Marks go from one pass over the texts straight into one shuffle; they are stored nowhere else.
     """
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, q))
-    sent = docs.select("text").mapInArrow(_marks(q, num, den, common), "kind tinyint, a bigint, b bigint").repartition("a")
-    return components(sent.mapInArrow(_tie_hubs, "a bigint, b bigint").distinct()).withColumnRenamed("root", "region")
+    return _regions(docs.select("text").mapInArrow(_marks(q, num, den, common), MARKED))
+
+
+def _regions(marked: DataFrame) -> DataFrame:
+    """(node, region): components of sets that share a mark."""
+    tied = marked.repartition("a").mapInArrow(_tie_hubs, "a bigint, b bigint").distinct()
+    return components(tied).withColumnRenamed("root", "region")
+
+
+def _codes(region: int, blob: bytes) -> np.ndarray:
+    """A set's shingles as those of its region: equal ones of two regions differ."""
+    return _mix(np.frombuffer(blob, np.uint64) ^ _mix(np.array([region], np.int64).view(np.uint64)))
+
+
+def parted(members: DataFrame, num: int, den: int) -> DataFrame:
+    """members (region, set_key, node, n, shingles; one row per set) with regions inside of theirs, which no link leaves.
+
+    Sets stay together that share one of their rarest shingles, those first that the fewest sets of the region have.
+    Of very large regions a share of the sets is counted, and COMMON_SHINGLES counts are kept, which affects speed
+    only: what has no count passes for rare. Sets that share none with another are left out, as no link is theirs.
+    """
+
+    def codes(batches):
+        for batch in batches:
+            found = [_codes(r, b) for r, b in zip(batch.column("region").to_pylist(), batch.column("shingles").to_pylist())]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["s"])
+
+    def marks(batches):
+        values, counts = often.value
+
+        def code(region, blob):
+            mine = _codes(region, blob)
+            if not len(values):
+                return rarest(mine, np.zeros(len(mine)), num, den)
+            at, there = _found(mine, values)
+            return rarest(mine, np.where(there, counts[at], 0), num, den)
+
+        def sets():
+            for batch in batches:
+                for region, key, blob in zip(*[batch.column(c).to_pylist() for c in ("region", "set_key", "shingles")]):
+                    yield key, lambda r=region, b=blob: code(r, b)
+
+        return _tied(sets())
+
+    total = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    share = max(1, total // COUNTED_SHINGLES)
+    some = members.filter(F.pmod(F.xxhash64("set_key", F.lit(3)), F.lit(share)) == 0).select("region", "shingles")
+    counted = some.mapInArrow(codes, "s bigint").groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    top = counted.orderBy(F.desc("n"), "s").limit(COMMON_SHINGLES).toArrow()
+    values = top.column("s").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(values)
+    often = members.sparkSession.sparkContext.broadcast((values[order], top.column("n").to_numpy()[order]))
+    regions, regions_size = sized(_regions(members.select("region", "set_key", "shingles").mapInArrow(marks, MARKED)), 40)
+    out = written(attach(members.drop("region"), regions, regions_size, ["node"], "inner").select(*members.columns))
+    let_go(members.sparkSession)
+    return out
+
+
+def _by_size(members: DataFrame, region_sets: int, region_shingles: int) -> tuple[DataFrame, DataFrame, int]:
+    """Groups for _joined of the regions that a task can join, the members of larger ones, and the sets in these."""
+    weight = members.select("region", "set_key", "n").distinct().groupBy("region").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total"))
+    large = (F.col("sets") > region_sets) | (F.col("total") > region_shingles)
+    weight, weight_size = sized(weight.filter("sets > 1").select("region", "sets", large.alias("large")), 40)
+    weighed = attach(members, weight, weight_size, ["region"], "inner")
+    small = weighed.filter(~F.col("large")).select(
+        F.col("region").alias("task"), F.lit(0).alias("side"), F.col("set_key").alias("label"), "set_key", "shingles"
+    )
+    held = weight.filter("large").agg(F.coalesce(F.sum("sets"), F.lit(0))).first()[0]
+    return small, weighed.filter("large").select(*members.columns), held
 
 
 def set_components(docs: DataFrame, q: int, percent: int, region_sets: int, region_shingles: int) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, key of the text, n_shingles, set_key), and (set_key, root, component_id) of every set."""
     num, den = percent, 100
     regions, regions_size = sized(coarse_regions(docs, q, num, den), 40)
+    let_go(docs.sparkSession)  # of the marks
+    sieve = docs.sparkSession.sparkContext.broadcast(_sieve(regions))
     texts = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text")
-    placed = attach(in_batches(texts, _describe(q), DESCRIBED), regions, regions_size, ["node"])
+    placed = attach(in_batches(texts, _describe(q, sieve), DESCRIBED), regions, regions_size, ["node"])
     # shingles are kept of the sets in regions only
     rows = written(placed.withColumn("shingles", F.when(F.col("region").isNotNull(), F.col("shingles"))))
-    sent = rows.filter(F.col("shingles").isNotNull()).select("region", "set_key", F.col("n_shingles").alias("n"), "shingles")
+    sent = rows.filter(F.col("shingles").isNotNull()).select("region", "set_key", "node", F.col("n_shingles").alias("n"), "shingles")
 
-    weight = sent.select("region", "set_key", "n").distinct().groupBy("region").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total"))
-    large = (F.col("sets") > region_sets) | (F.col("total") > region_shingles)
-    weight, weight_size = sized(weight.filter("sets > 1").select("region", large.alias("large")), 40)
-    weighed = attach(sent, weight, weight_size, ["region"], "inner")
-    small = weighed.filter(~F.col("large")).select(
-        F.col("region").alias("task"), F.lit(0).alias("side"), F.col("set_key").alias("label"), "set_key", "shingles"
-    )
+    small, large, held = _by_size(sent, region_sets, region_shingles)
     links = _joined(small, num, den)
-    if weight.filter("large").limit(1).count():
-        once = weighed.filter("large").groupBy("set_key").agg(*[F.first(c).alias(c) for c in ("region", "n", "shingles")])
-        links = links.union(_large_regions(written(once), num, den, region_sets, region_shingles * 3 // 4))
+    if held:
+        links = written(links)
+        rest = written(large.groupBy("set_key").agg(*[F.first(c).alias(c) for c in ("region", "node", "n", "shingles")]))
+    while held:
+        finer = parted(rest, num, den)
+        forget(rest)
+        small, large, left = _by_size(finer, region_sets, region_shingles)
+        links = links.union(written(_joined(small, num, den)))
+        if left > PARTED * held:
+            links = links.union(_large_regions(written(large), num, den, region_sets, region_shingles * 3 // 4))
+            break
+        rest, held = written(large), left
+        forget(finer)
     roots = components(written(links))
 
     firsts = rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("first"))
@@ -581,6 +716,19 @@ def set_components(docs: DataFrame, q: int, percent: int, region_sets: int, regi
     return rows.select("doc_id", "key", "n_shingles", "set_key"), named.join(lowest, "root").select("set_key", "root", "component_id")
 
 
+def _told(docs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """docs with what a written table says of some texts (by __key). Where it is too large to be broadcast, only those
+    documents are shuffled whose digest has a hash that is among its own, as far as these can be broadcast."""
+    if size > limits.BROADCAST_BYTES:
+        hashes, hashes_size = sized(texts.select(F.xxhash64("__key").alias("__hash")).distinct(), 32)
+        if hashes_size <= limits.BROADCAST_BYTES:
+            docs = docs.withColumn("__hash", F.xxhash64("__key"))
+            here = attach(docs, hashes, hashes_size, ["__hash"], "left_semi").drop("__hash")
+            away = attach(docs, hashes, hashes_size, ["__hash"], "left_anti").drop("__hash")
+            return attach(here, texts, size, ["__key"]).unionByName(away, allowMissingColumns=True)
+    return attach(docs, texts, size, ["__key"])
+
+
 def jaccard_components(
     docs: DataFrame,
     q: int = 3,
@@ -618,7 +766,7 @@ def one_of_each(docs: DataFrame, q: int = 5, percent: int = 80, id_col: str = "d
     best = placed.groupBy("root").agg(F.min("mine").alias("best"), F.sum("n").alias("rows")).filter("rows > 1")
     grouped = written(placed.join(best, "root").select("root", "key", "mine", "best", "n"))
     texts, size = sized(grouped.select(F.col("key").alias("__key"), F.col("root").alias("__root"), F.col("best").alias("__best")).distinct(), 120)
-    joined = attach(docs.withColumn("__key", text_key(F.col("text"))), texts, size, ["__key"])
+    joined = _told(docs.withColumn("__key", text_key(F.col("text"))), texts, size)
     own = F.struct(F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(2**63 - 1)).alias("id"), F.col("__key").alias("key"))
     kept = joined.filter(F.col("__best").isNull() | (own == F.col("__best")))
     # rows that repeat in id and text are told apart by nothing, so one of them is taken

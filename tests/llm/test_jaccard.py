@@ -161,3 +161,77 @@ def test_components_of_paths_stars_and_loops(spark):
     want = {**{i: 0 for i in range(301)}, **{i: 1000 for i in range(1000, 1201)}, 2000: 2000, 2001: 2001, 2002: 2001}
     assert made == want
     assert components.components(edges.limit(0)).collect() == []
+
+
+def test_strangers_share_no_signature():
+    """Parts that hold nothing tie nobody; what two sets share decides."""
+    rng = np.random.default_rng(9)
+    marks = [jaccard.signatures(np.sort(rng.integers(0, 2**63, n, np.uint64)), 80, 100) for n in rng.integers(1, 120, 6000)]
+    assert len(np.unique(np.concatenate(marks))) == sum(len(np.unique(m)) for m in marks)
+
+
+def test_linked_sets_share_a_signature_where_parts_are_empty():
+    """Shingles that all fall into the parts in which two linked sets differ, so that they agree on empty parts only."""
+    rng = random.Random(2)
+    for _ in range(300):
+        n = rng.randint(26, 30)
+        parts = next(d + 3 + int(0.3 * d) for low, d in reversed(jaccard.size_classes(99, 80, 100)) if low <= n)
+        few = set(rng.sample(range(parts), 3))
+        a: set = set()
+        while len(a) < n:
+            x = rng.randrange(10**15)
+            if int(jaccard._mix(np.array([x], np.uint64))[0] >> np.uint64(20)) % parts in few:
+                a.add(x)
+        b = set(a)
+        for x in rng.sample(sorted(a), 3):  # one in each of the parts where possible
+            b.discard(x)
+        x, y = (set(jaccard.signatures(np.array(sorted(s), np.uint64), 80, 100).tolist()) for s in (a, b))
+        assert x & y
+
+
+@pytest.mark.parametrize("cap", [None, -1])
+def test_regions_of_strangers_are_parted(docs, monkeypatch, cap):
+    """Texts that share lines with many others, and so hang together, are not compared pair by pair."""
+
+    def no(*_):
+        raise AssertionError("a region without links was joined by pivots")
+
+    if cap is not None:
+        monkeypatch.setattr("gleaner.llm.common.BROADCAST_BYTES", cap)
+    monkeypatch.setattr(jaccard, "_large_regions", no)
+    monkeypatch.setattr(jaccard, "SAMPLE_TEXTS", 1)
+    rng = random.Random(6)
+    lines = [" ".join(f"p{k}w{i}" for i in range(14)) for k in range(12)]
+    pairs = [(k, " ".join(rng.sample(lines, 2) + [f"w{rng.randrange(10**6)}" for _ in range(12)])) for k in range(240)]
+    pairs += [(1000 + k, t + " more") for k, t in pairs[:20]] + ODD
+    made = jaccard.jaccard_components(docs(pairs), 5, 80, region_sets=40)
+    assert found(made.collect()) == brute(pairs, 5, 80)
+
+
+def test_one_of_each_where_texts_are_shuffled(docs, monkeypatch):
+    """Only documents of groups are shuffled; which rows stay is the same."""
+    pairs = [*corpus(12, 150), *ODD, (2001, "")]
+    kept = lambda: sorted((str(r.doc_id), str(r.text)) for r in jaccard.one_of_each(docs(pairs)).collect())
+    whole = kept()
+    monkeypatch.setattr("gleaner.llm.common.BROADCAST_BYTES", 4000)
+    assert kept() == whole
+    frame = docs(pairs).withColumn("__key", jaccard.text_key("text"))
+    few = jaccard.written(frame.filter("doc_id < 60").selectExpr("__key", "doc_id AS __root").distinct())
+    made = jaccard._told(frame, few, 5000)
+    assert sorted(map(str, made.collect())) == sorted(map(str, frame.join(few, "__key", "left").select(*made.columns).collect()))
+
+
+@pytest.mark.parametrize("few", [0, 90])
+def test_components_in_rounds_and_at_once(spark, monkeypatch, few):
+    """All in rounds, and a few rounds before the driver joins the last edges."""
+    monkeypatch.setattr(components, "FEW_EDGES", few)
+    rng = random.Random(few)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(220)]
+    key = lambda x: f"{x:03}".encode()
+    edges = spark.createDataFrame([(key(a), key(b)) for a, b in pairs], "a binary, b binary")
+    root = {x: x for p in pairs for x in p}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    made = {bytes(r.node): bytes(r.root) for r in components.components(edges).collect()}
+    assert made == {key(x): key(r) for x, r in root.items()}
